@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import decontamination, mixing
-from cuelake.llm.common import table
+from cuelake.llm import decontamination, mixing, token_files
+from cuelake.llm.common import shared_dir, table
 
-_CONN = r"[^\x20\x09-\x0D]+"
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,17 @@ FROM e
 """
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    return token_files.token_report(token_files.write(table(spark, sf_dir, "documents"), vocabulary(), folder))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +87,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_token_files": op3_token_files,
     "op9_decontaminate": op9_decontaminate,
 }
 
