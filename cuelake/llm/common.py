@@ -39,11 +39,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def keyed_join(df: DataFrame, keys: DataFrame, on: str, how: str, n_keys: int) -> DataFrame:
     """Semi or anti join with a list of keys: broadcast while the list is
     within BROADCAST_KEYS, by shuffle beyond it. Null keys match null."""
@@ -61,18 +56,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     side, and no node's links ever meet in one row.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpointed(both.where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = materialize(both.where("a <> b").distinct(), "links")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["a"]).select(
             "node", F.col("component").alias("was"), F.least("component", "m").alias("component")
         )
         up = labels.select(F.col("node").alias("up"), F.col("component").alias("of"))
-        step = checkpointed(
+        step = materialize(
             step.join(up, step["component"] == up["up"], "left").select(
                 "node", "was", F.least("component", F.coalesce("of", "component")).alias("component")
-            )
+            ),
+            "labels",
         )
         labels = step.select("node", "component")
         if step.where("component <> was").isEmpty():

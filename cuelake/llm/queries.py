@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import decontamination, mixing, token_files
+from cuelake.llm import decontamination, jaccard_join, mixing, token_files
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(token_files.write(table(spark, sf_dir, "documents"), vocabulary(), folder))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -88,6 +92,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
 }
 
