@@ -55,6 +55,9 @@ HUB_SHINGLES = 3
 #: Members verified against one copy of a hub's set.
 SALT = 512
 
+#: Documents whose sets are in a task's memory at once.
+ROWS = 256
+
 _SALT2 = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -78,9 +81,9 @@ def _map(df: DataFrame, schema: str, make) -> DataFrame:
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = make(batch)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                made = make(whole.slice(first, ROWS))
                 yield pa.RecordBatch.from_arrays([pa.array(made[c], t) for c, t in zip(names, types, strict=True)], names=names)
 
     return df.mapInArrow(run, schema)
