@@ -14,6 +14,7 @@ Null and empty texts give the end id alone. An empty table gives no shards.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.wavelet import WaveletMatrix
-from cuelake.llm.words import _buffers
+from cuelake.llm.words import SLICE, _buffers
 
 SHARD_TOKENS = 1 << 22
 END_ID = 1
 #: Distinct pieces encoded in one call of the tokenizer.
 CALL = 16_384
+#: Distinct pieces whose ids a Python worker keeps, from task to task (about 180 bytes each).
+KEEP = 1_000_000
 
 SHARD = (
     "part int, seq int, n_tokens long, bits int, doc_ids array<long>, doc_ends array<long>, "
@@ -38,28 +41,64 @@ SHARD = (
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
-_loaded: dict[str, object] = {}
+_loaded: dict[str, Pieces] = {}
 
 
-def _tokenizer(path: str):
+def _pieces(path: str) -> Pieces:
     if path not in _loaded:
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path] = Pieces(Tokenizer.from_file(path))
     return _loaded[path]
 
 
-def encode(texts: pa.Array, tokenizer, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, ends) of a batch of texts, each followed by the end id.
+class Pieces:
+    """Ids of pieces of text, each encoded once; forgotten when there are KEEP of them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.sizes = array("I"), array("I")
+
+    def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, first, size): distinct[k] has ids[first[k] : first[k] + size[k]]."""
+        if len(self.place) > KEEP:
+            self.clear()
+        new = [x for x in distinct if x not in self.place]
+        for k in range(0, len(new), CALL):
+            for x, e in zip(new[k : k + CALL], self.tokenizer.encode_batch_fast(new[k : k + CALL], add_special_tokens=False), strict=True):
+                self.place[x] = len(self.sizes)
+                ids = e.ids
+                self.flat.extend(ids)
+                self.sizes.append(len(ids))
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        size = np.array(self.sizes, np.int64)
+        return np.array(self.flat, np.uint32), (np.cumsum(size) - size)[at], size[at]
+
+
+def encode(texts: pa.Array, pieces: Pieces, end_id: int = END_ID) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, ids, ends) of slices of a batch of texts, each
+    text followed by the end id.
 
     A tokenizer that drops white space and splits words from stops gives a
-    text the ids of its pieces one after the other; so each distinct piece of
-    the batch (cut at ASCII white space, and between an ASCII letter and a
-    stop) is encoded once, and the pieces' ids are put in place.
+    text the ids of its pieces one after the other; so each distinct piece
+    (cut at ASCII white space, and between an ASCII letter and a stop) is
+    encoded once, and the pieces' ids are put in place.
     """
     texts = texts.fill_null("")
     off, whole = _buffers(texts)
-    data, bounds = whole[off[0] : off[-1]], off - off[0]
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(off, off[first] + SLICE, "right")) - 1)
+        ids, ends = _encode(whole[off[first] : off[last]], off[first : last + 1] - off[first], pieces, end_id)
+        yield first, last, ids, ends
+        first = last
+
+
+def _encode(data: np.ndarray, bounds: np.ndarray, pieces: Pieces, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     inside = ~_SPACE[data]
     start = inside.copy()
@@ -70,26 +109,20 @@ def encode(texts: pa.Array, tokenizer, end_id: int = END_ID) -> tuple[np.ndarray
     if len(starts):
         kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])
         cuts = np.concatenate([kept[starts], kept[-1:]]).astype(np.int64)
-        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[inside])))
-        coded = pieces.dictionary_encode()
-        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        found, lengths = [], []
-        for k in range(0, len(distinct), CALL):
-            for e in tokenizer.encode_batch_fast(distinct[k : k + CALL], add_special_tokens=False):
-                found += (ids := e.ids)
-                lengths.append(len(ids))
-        flat, size = np.array(found, np.uint32), np.array(lengths, np.int64)
-        first = np.cumsum(size) - size
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[inside]))).dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        flat, first, size = pieces.look_up(coded.dictionary.to_pylist())
+        took, begin = size[index], first[index]
     else:
-        flat, size, first, index = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    took = size[index]
+        flat, took, begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.concatenate([np.zeros(1, np.int64), np.cumsum(took)])
+    total, docs = int(before[-1]), len(bounds) - 1
     doc_piece = np.searchsorted(starts, bounds, "left")
-    ends = before[doc_piece[1:]] + np.arange(1, len(texts) + 1)
-    ids = np.full(int(before[-1]) + len(texts), end_id, np.uint32)
-    doc = np.repeat(np.arange(len(texts)), np.diff(doc_piece))
-    source = np.arange(int(before[-1])) - np.repeat(before[:-1] - first[index], took)
-    ids[np.arange(int(before[-1])) + np.repeat(doc, took)] = flat[source]
+    ends = before[doc_piece[1:]] + np.arange(1, docs + 1)
+    ids = np.full(total + docs, end_id, np.uint32)
+    place = np.ones(total + docs, bool)
+    place[ends - 1] = False
+    ids[place] = flat[np.arange(total) + np.repeat(begin - before[:-1], took)]
     return ids, ends
 
 
@@ -108,8 +141,8 @@ def shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shard_tokens:
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary)
-        bits = max(1, (max(tokenizer.get_vocab_size(), end_id + 1) - 1).bit_length())
+        pieces = _pieces(vocabulary)
+        bits = max(1, (max(pieces.tokenizer.get_vocab_size(), end_id + 1) - 1).bit_length())
         kind = np.uint16 if bits <= 16 else np.uint32
         part, seq = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
@@ -122,20 +155,20 @@ def shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shard_tokens:
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            ids, last = encode(batch.column("text"), tokenizer, end_id)
-            ids = ids.astype(kind)
-            own, first, row = batch.column("doc_id").to_pylist(), 0, 0
-            while row < len(own):
-                # as many documents as fill the shard, and the one that goes over
-                stop = min(len(own), int(np.searchsorted(last, (last[row - 1] if row else 0) + shard_tokens - n, "left")) + 1)
-                base = last[row - 1] if row else 0
-                held.append(ids[base : last[stop - 1]])
-                doc_ids += own[row:stop]
-                ends += (last[row:stop] - base + n).tolist()
-                n += int(last[stop - 1] - base)
-                row = stop
-                if n >= shard_tokens:
-                    yield close()
+            every = batch.column("doc_id").to_pylist()
+            for begin, stop_row, ids, last in encode(batch.column("text"), pieces, end_id):
+                ids, own, row = ids.astype(kind), every[begin:stop_row], 0
+                while row < len(own):
+                    # as many documents as fill the shard, and the one that goes over
+                    base = int(last[row - 1]) if row else 0
+                    stop = min(len(own), int(np.searchsorted(last, base + shard_tokens - n, "left")) + 1)
+                    held.append(ids[base : last[stop - 1]])
+                    doc_ids += own[row:stop]
+                    ends += (last[row:stop] - base + n).tolist()
+                    n += int(last[stop - 1]) - base
+                    row = stop
+                    if n >= shard_tokens:
+                        yield close()
         if doc_ids:
             yield close()
 
