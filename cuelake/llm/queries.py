@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import decontamination, jaccard_join, mixing, token_files, toxicity
+from cuelake.llm import decontamination, jaccard_join, language_id, mixing, token_files, toxicity
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(token_files.write(table(spark, sf_dir, "documents"), vocabulary(), folder))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -96,6 +100,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
