@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import decontamination, jaccard_join, language_id, mixing, token_files, toxicity
+from cuelake.llm import cap_filters, decontamination, jaccard_join, language_id, mixing, token_files, toxicity
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -98,6 +102,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cap_filters": op1_cap_filters,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
