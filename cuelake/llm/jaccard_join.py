@@ -22,7 +22,7 @@ How it runs:
    links out are skipped. Long lists are cut in blocks over tasks and compare parity
    sketches (which never underrate a similarity); of the links that a list
    suggests it gives a spanning forest first, and after those are verified, whatever
-   still joins two classes.
+   still joins two classes. Pairs from short lists pass the sketches once, before whole sets are sent to be compared.
 
 Ids may be null or repeat: documents are told apart by their sets, a null id
 is never a class's id while another is there. Ties and repeated rows fall
@@ -157,13 +157,13 @@ def _sketch(h: np.ndarray) -> bytes:
 
 def _prefixes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node, n, tokens (the prefix, in the global order), blocks (for each of them, in how many its list is
-    cut; 0: not common), sketch (null if no token is common)."""
+    cut; 0: not common), hot (a token is common), sketch."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_common(nodes, docs, n, num, den))
 
     def make(batch: pa.RecordBatch) -> dict:
         common, counts = shared.value
-        out: dict[str, list] = {"node": batch.column("node"), "n": [], "tokens": [], "blocks": [], "sketch": []}
+        out: dict[str, list] = {"node": batch.column("node"), "n": [], "tokens": [], "blocks": [], "hot": [], "sketch": []}
         for h in _sets(batch.column("text"), n):
             at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
             hot = common[at] == h if len(common) else np.zeros(len(h), bool)
@@ -172,11 +172,12 @@ def _prefixes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
             out["n"].append(len(h))
             out["tokens"].append(h[order].view(np.int64))
             out["blocks"].append(cut[order])
-            out["sketch"].append(_sketch(h) if hot[order].any() else None)
+            out["hot"].append(int(hot[order].any()))
+            out["sketch"].append(_sketch(h))
         return out
 
     rows = _by_key(docs, nodes.select("node", "_id", "_h"))
-    return materialize(_map(rows, "node long, n int, tokens array<long>, blocks array<long>, sketch binary", make), "jaccard-prefixes")
+    return materialize(_map(rows, "node long, n int, tokens array<long>, blocks array<long>, hot int, sketch binary", make), "jaccard-prefixes")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -215,6 +216,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num:
     return materialize(rows.mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
+def _plausible(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (a, b) without those that sizes or sketches rule out."""
+    own = prefixes.select("node", "n", "sketch").distinct()
+    rows = pairs.join(own.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a").join(own.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b")
+    rows = rows.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b", "na", "nb", "sa", "sb")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            size = np.minimum([len(x) for x in sa], [len(x) for x in sb])
+            odd = np.zeros(len(n), np.int64)
+            for k in np.unique(size):
+                at = np.flatnonzero(size == k)
+                odd[at] = np.bitwise_count(_folded([sa[i] for i in at], int(k)) ^ _folded([sb[i] for i in at], int(k))).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(odd <= n - 2 * -((-num * n) // (num + den))))
+
+    return rows.mapInArrow(keep, "a long, b long")
+
+
 def _hub_pairs(prefixes: DataFrame) -> DataFrame:
     """Each node with at most one hub: the least node among those of about its
     size that share one of its first shingles."""
@@ -364,14 +385,14 @@ def similarity_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     able = nodes.where(F.col("n") * (den - num) >= num)
     prefixes = _prefixes(able, docs, n, num, den)
 
-    links = _verified(_hub_pairs(prefixes), able, docs, n, num, den)
+    links = _verified(_plausible(_hub_pairs(prefixes), prefixes, num, den), able, docs, n, num, den)
     classes = _classes(links)
     for forest in (True, False):
         # what is not common needs no second look: its lists gave every pair
-        rows = prefixes if forest else prefixes.where("sketch is not null")
+        rows = prefixes if forest else prefixes.where("hot = 1")
         entries = _entries(rows, classes)
         found = _list_candidates(entries if forest else entries.where("sketch is not null"), num, den, forest)
-        links = links.union(_verified(found, able, docs, n, num, den))
+        links = links.union(_verified(_plausible(found, prefixes, num, den), able, docs, n, num, den))
         classes = _classes(links)
     labels = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     labels = materialize(labels, "jaccard-labels")
