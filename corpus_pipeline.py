@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.llm import decontamination, mixing
+from cuelake.llm import decontamination, jaccard_join, mixing, toxicity
 from cuelake.llm.common import materialize, table
+from cuelake.llm.queries import write_tokens
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (five words, 0.8) stays."""
+    return jaccard_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +29,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("decontamination", decontaminated), ("mixing", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the documents, and what each document has in them."""
+    return write_tokens(docs)
+
+
+STAGES = [("toxicity", clean), ("jaccard join", distinct), ("decontamination", decontaminated), ("mixing", mixed), ("token files", tokens)]
 
 #: The stages learn a classifier and tokenize: SQL cannot say them.
 ORACLE_SQL = None
@@ -27,5 +43,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuelake.llm import cap_filters, decontamination, jaccard_join, language_id, mixing, token_files, toxicity
+from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, token_files, toxicity
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,9 +57,14 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def write_tokens(docs: DataFrame) -> DataFrame:
+    """Token files of docs in the shared folder, and their report."""
+    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    return token_files.token_report(token_files.write(docs, vocabulary(), folder))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    return token_files.token_report(token_files.write(table(spark, sf_dir, "documents"), vocabulary(), folder))
+    return write_tokens(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +75,74 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/thousand/hundred/id.txt; each that states a licence speaks for its directory."""
+    k = F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(k / 1000).cast("string"), F.floor(k / 100).cast("string"), F.concat(k.cast("string"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan.scan(files, every_file_speaks=True)
+
+
+def _license_sql() -> str:
+    quoted = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(license_scan.TEMPLATES))
+    return rf"""
+WITH f AS (
+  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR) AS dir,
+         concat_ws('/', coalesce(source, 'none'), (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR, doc_id::VARCHAR || '.txt') AS path
+  FROM documents),
+p AS (SELECT row_number() OVER () AS id, * FROM (
+  SELECT DISTINCT path, doc_id, line FROM (SELECT path, doc_id, unnest(string_split(text, chr(10))) AS line FROM f)
+  WHERE regexp_matches(line, '{license_scan.KEYWORDS}'))),
+tf AS (
+  SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(line), '{license_scan.TERM}')) AS term FROM p) GROUP BY ALL),
+n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM tf),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+t AS (SELECT template, license, term, count(*) AS tf FROM (
+  SELECT template, license, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS term FROM (VALUES {quoted}) v(template, license, text)) GROUP BY ALL),
+w AS (SELECT template, license, term, tf * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) AS wt FROM t LEFT JOIN df USING (term), n),
+wn AS (SELECT *, sqrt(sum(wt * wt) OVER (PARTITION BY template)) AS nt FROM w),
+m AS (SELECT id, term, tf * (ln((n + 1) / (df + 1)) + 1) AS wp FROM tf JOIN df USING (term), n),
+l AS (SELECT id, sqrt(sum(wp * wp)) AS np FROM m GROUP BY id),
+s AS (SELECT id, license, round(sum(wp * wt) / any_value(nt) / any_value(np), 6) AS score FROM m JOIN wn USING (term) JOIN l USING (id) GROUP BY id, template, license),
+o AS (
+  SELECT path, license, score FROM s JOIN p USING (id) WHERE score >= {license_scan.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+d AS (
+  SELECT dir, license FROM o JOIN f USING (path)
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, license) = 1),
+u AS (
+  SELECT x.dir, d.dir AS up, d.license FROM (SELECT DISTINCT dir FROM f) x JOIN d ON x.dir = d.dir OR starts_with(x.dir, d.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY x.dir ORDER BY length(d.dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.license, u.license) AS license, o.score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN u.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN o.license IS NULL THEN u.up END AS inherited_from
+FROM f LEFT JOIN o USING (path) LEFT JOIN u ON f.dir = u.dir
+"""
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS content FROM conversations),
+w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE speaker NOT IN ('system', 'unknown')),
+m AS (
+  SELECT c.conv_id, w.perspective, c.turn, c.turn // 1024 AS part, c.speaker, c.content,
+         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+  FROM c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id),
+h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS header FROM m),
+o AS (
+  SELECT *, row_number() OVER v AS k,
+         coalesce(sum(length(header) + length(content) + 11) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(header) AS begins
+  FROM h WINDOW v AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS LAST, speaker, content))
+SELECT conv_id, perspective, part, count(*) AS n_messages, count(*) FILTER (WHERE role = 'assistant') AS n_masked,
+       string_agg(header || content || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
+       coalesce(string_agg(begins || '-' || (begins + length(content)), ',' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS mask
+FROM o GROUP BY conv_id, perspective, part
+"""
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
 
@@ -101,14 +175,44 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = rf"""
+WITH r AS (
+  SELECT row_number() OVER () AS id, page_id, lower(regexp_extract(coalesce(url, ''), '{line_dedup.HOST}', 1)) AS host,
+         regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', '', 'g'), '{line_dedup.BREAKING}', chr(10), 'g'), '{line_dedup.TAG}', '', 'g') AS body
+  FROM pages),
+l AS (SELECT id, host, generate_subscripts(x, 1) AS k, unnest(x) AS line
+      FROM (SELECT id, host, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '{line_dedup.AROUND}', '', 'g')), lambda x: x <> '') AS x FROM r)),
+h AS (SELECT host, count(*) AS pages FROM r WHERE host <> '' GROUP BY host),
+b AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT id) AS n FROM l WHERE host <> '' GROUP BY host, line) JOIN h USING (host)
+  WHERE n >= {line_dedup.LEAST} AND n > {line_dedup.RATIO} * pages),
+k AS (
+  SELECT l.id, count(*) AS n_lines, count(b.line) AS n_dropped, string_agg(l.line, chr(10) ORDER BY k) FILTER (WHERE b.line IS NULL) AS text
+  FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY l.id)
+SELECT r.page_id, r.host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(text, '') AS text FROM r LEFT JOIN k USING (id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cap_filters": op1_cap_filters,
     "op2_mix_sources": op2_mix_sources,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_format": op7_chat_format,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op9_decontaminate": OP9_SQL}
+SQL: dict[str, str] = {
+    "op2_mix_sources": OP2_SQL,
+    "op6_license_scan": _license_sql(),
+    "op7_chat_format": OP7_SQL,
+    "op9_decontaminate": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
