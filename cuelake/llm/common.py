@@ -39,6 +39,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _sheltered_names(docs: DataFrame, used: tuple[str, ...]) -> list[str]:
+    return [c if c in used else f"in_{c}" for c in docs.columns]
+
+
+def sheltered(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with all columns but the used ones renamed, so that none clashes
+    with a name that an operator adds (those never begin with in_)."""
+    return docs.toDF(*_sheltered_names(docs, used))
+
+
+def restored(rows: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """rows, made from sheltered docs, with the columns of docs alone."""
+    return rows.select(*["`" + n.replace("`", "``") + "`" for n in _sheltered_names(docs, used)]).toDF(*docs.columns)
+
+
 def keyed_join(df: DataFrame, keys: DataFrame, on: str, how: str, n_keys: int) -> DataFrame:
     """Semi or anti join with a list of keys: broadcast while the list is
     within BROADCAST_KEYS, by shuffle beyond it. Null keys match null."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize
+from cuelake.llm.common import materialize, restored, sheltered
 from cuelake.llm.words import ALNUM, Words, words
 
 N = 10
@@ -126,14 +126,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, action: str
     """docs without contaminated documents ("drop"), or with the hit spans cut
     from their texts ("cut": the words left, joined by blanks, lower-cased as
     compared). Clean documents stay as they are."""
-    found = find_benchmark(docs, benchmark, n)
+    found = find_benchmark(sheltered(docs, "text"), benchmark, n)
     clean = F.size("_spans") == 0
     if action == "drop":
-        return found.where(clean).select(*docs.columns)
+        return restored(found.where(clean), docs, "text")
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     all_words = F.regexp_extract_all(lower, F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
     left = F.filter(all_words, lambda w, i: ~F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    return found.withColumn("text", F.when(clean, F.col("text")).otherwise(F.array_join(left, " "))).select(*docs.columns)
+    return restored(found.withColumn("text", F.when(clean, F.col("text")).otherwise(F.array_join(left, " "))), docs, "text")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import BROADCAST_KEYS, connected_components, materialize
+from cuelake.llm.common import BROADCAST_KEYS, connected_components, materialize, restored, sheltered
 from cuelake.llm.words import SPACED, Words, mix, words
 
 N, NUM, DEN = 4, 85, 100
@@ -417,13 +417,13 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     chosen = first.select(F.col("r._id").alias("_kid"), F.col("r._h").alias("_kh"))
     kept = materialize(chosen.union(classes.where("n_shingles = 0").select("_id", "_h")).distinct(), "jaccard-kept")
     side = F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
-    rows = _identified(docs)
+    rows = _identified(sheltered(docs, "doc_id", "text"))
     rows = rows.join(side, (rows["_id"] == side["_kid"]) & (rows["_h"] == side["_kh"]), "left_semi")
     # rows with words that are equal in id and text: one of them stays
     again = linked.groupBy("_id", "_h").count().where("count > 1").select(F.col("_id").alias("_kid"), F.col("_h").alias("_kh"))
     again = materialize(again, "jaccard-again")
     if again.isEmpty():
-        return rows.select(*docs.columns)
+        return restored(rows, docs, "doc_id", "text")
     same = (rows["_id"] == again["_kid"]) & (rows["_h"] == again["_kh"])
     one = rows.join(again, same, "left_semi").dropDuplicates(["_id", "_h"])
-    return rows.join(again, same, "left_anti").union(one).select(*docs.columns)
+    return restored(rows.join(again, same, "left_anti").union(one), docs, "doc_id", "text")

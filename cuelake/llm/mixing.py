@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import restored, sheltered
+
 WEIGHTS = (5, 2, 1)
 #: Share of all sizes as a fraction, and most times a source is repeated.
 SHARE = (3, 2)
@@ -109,7 +111,8 @@ def mix(docs: DataFrame) -> DataFrame:
     Texts are not shuffled: the plan, made from ids and sizes alone, comes
     down to a row for each source, which the second scan looks up.
     """
-    sized = docs.withColumns({"_size": word_count(), "_key": random_key()})
+    used = ("doc_id", "text", "source")
+    sized = sheltered(docs, *used).withColumns({"_size": word_count(), "_key": random_key()})
     place = cuts(plan_mix(sized.select("doc_id", "source", F.col("_size").alias("size"))))
     rows = sized.join(place, sized["source"].eqNullSafe(place["_source"]))
     here, cut = F.struct(F.col("_key"), F.col("_size").alias("size")), F.struct("_cut._key", "_cut.size")
@@ -119,4 +122,4 @@ def mix(docs: DataFrame) -> DataFrame:
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = rows.where("_size > 0").withColumn("_copy", F.explode(copies))
     cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("_copy", F.lit(1))), " ")
-    return rows.withColumn("text", F.when(F.col("_copy") < 0, F.col("text")).otherwise(cut_text)).select(*docs.columns)
+    return restored(rows.withColumn("text", F.when(F.col("_copy") < 0, F.col("text")).otherwise(cut_text)), docs, *used)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cuelake.llm.common import materialize
+from cuelake.llm.common import materialize, restored, sheltered
 from cuelake.llm.words import ALNUM, Words, mix, words
 
 BITS = 22
@@ -197,5 +197,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic; all columns stay as they are."""
     model = train(docs, labels, learns("_d"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return score(held, model).where("score < 0.5").select("_row.*")
+    return restored(score(sheltered(docs, "text"), model).where("score < 0.5"), docs, "text")
