@@ -69,8 +69,9 @@ def _loose(text: str | None) -> str | None:
             return json.dumps(json.loads(part), ensure_ascii=False, sort_keys=True)
         except ValueError:
             pass
-    # a quote inside a string is one that no separator follows
-    mended = re.sub(r'(?<=[^\s\[{:,\\])"(?=[^\s\]}:,])', r"\"", outside[first : last + 1])
+    # a quote that begins or ends a string has a separator before or after it, blanks aside
+    body = outside[first : last + 1]
+    mended = re.sub(r'"', lambda m: m[0] if re.search(r'[\[{:,\\]\s*$', body[: m.start()]) or re.match(r"\s*[\]}:,]", body[m.end() :]) else r"\"", body)
     try:
         return json.dumps(json.loads(mended), ensure_ascii=False, sort_keys=True)
     except ValueError:
