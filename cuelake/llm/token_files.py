@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.wavelet import WaveletMatrix
 from cuelake.llm.words import SLICE, _buffers
 
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Distinct pieces encoded in one call of the tokenizer.
 CALL = 16_384

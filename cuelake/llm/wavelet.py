@@ -27,10 +27,10 @@ class WaveletMatrix:
     def build(cls, tokens: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, ranks = [], [], []
         for k in range(bits - 1, -1, -1):
-            bit = (tokens >> tokens.dtype.type(k) & tokens.dtype.type(1)).astype(bool)
+            bit = (tokens & tokens.dtype.type(1 << k)) != 0
             packed = np.packbits(bit, bitorder="little")
-            low = tokens[~bit]
-            tokens = np.concatenate([low, tokens[bit]])
+            low = tokens[np.flatnonzero(~bit)]
+            tokens = np.concatenate([low, tokens[np.flatnonzero(bit)]])
             planes.append(packed)
             zeros.append(len(low))
             ranks.append(rank_directory(packed))
@@ -98,12 +98,13 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~bit] = out[: self.zeros[k]]
-            up[bit] = out[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~bit)] = out[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = out[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             out = up
         return out
 
