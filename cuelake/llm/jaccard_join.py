@@ -49,7 +49,7 @@ COMMON_LIMIT = 4_000_000
 #: Shingles whose hash is below this are counted and come first: a fifth.
 CUT = np.uint64(2**64 // 5)
 #: Entries of a list that meet in one task.
-BLOCK = 4096
+BLOCK = 1024
 #: First shingles by which a node looks for its hub.
 HUB_SHINGLES = 3
 #: Members verified against one copy of a hub's set.
