@@ -89,3 +89,22 @@ def request_body(model: str, prompt: Column, texts: Column, temperature: float =
     """A chat request of a batch of texts as JSON."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.to_json(F.struct(F.lit(model).alias("model"), F.lit(temperature).alias("temperature"), F.array(message("system", prompt), message("user", F.to_json(texts))).alias("messages")))
+
+
+def entries(text: Column) -> Column:
+    """id to text of a model's answer in any of its shapes: a list of objects,
+    such a list in a wrapper, or an object with ids as keys."""
+    item = "array<struct<id:string,translation:string,text:string>>"
+    inner = F.when(F.trim(text).startswith("["), text).otherwise(F.coalesce(F.get_json_object(text, "$.translations"), F.get_json_object(text, "$.items")))
+    listed = F.transform(F.filter(F.from_json(inner, item), lambda x: x["id"].isNotNull()), lambda x: F.struct(x["id"], F.coalesce(x["translation"], x["text"])))
+    return F.when(inner.isNotNull(), F.map_from_entries(listed)).otherwise(F.from_json(text, "map<string,string>"))
+
+
+def checked(text: Column, schema: str, enums: dict[str, tuple[str, ...]], ids: str, allowed: Column) -> Column:
+    """What is wrong with a model's JSON: not_json, a field's name (missing or
+    not one of its values), or ids; null if nothing is."""
+    value = F.from_json(text, schema)
+    error = F.when(F.try_parse_json(text).isNull(), "not_json")
+    for field, values in enums.items():
+        error = error.when(F.coalesce(~value[field].isin(*values), F.lit(True)), field)
+    return error.when(value[ids].isNull() | (F.size(F.array_except(value[ids], allowed)) > 0), "ids")

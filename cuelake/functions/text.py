@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -158,3 +159,39 @@ def repeated_phrase(text: Column) -> Column:
         places = F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
         return F.exists(places, lambda i: F.slice(w, i, F.lit(n)) == F.slice(w, i + n, F.lit(n)))
     return at(3) | at(4) | at(5)
+
+
+def _wrapped(text: str | None, width: int) -> str | None:
+    if text is None:
+        return None
+    t = re.sub(r"\s+", " ", text).strip()
+    if re.search(r"[\u3400-\u9fff]", t):
+        t = t.translate(str.maketrans(",!?:;", "，！？：；"))
+    t = re.sub(r"([，。！？：；,.!?:;])\1+", r"\1", t)
+    lines = []
+    while len(t) > width:
+        part = t[: width + 1]
+        # after the last mark, else at the last blank, else anywhere
+        cut = max((m.end() for m in re.finditer(r"[，。！？：；,.!?:;]", part[:width])), default=0) or part.rfind(" ") or width
+        cut = cut if cut > 0 else width
+        lines.append(t[:cut].strip())
+        t = t[cut:].strip()
+    return "\n".join([*lines, t] if t else lines)
+
+
+@F.pandas_udf(StringType())
+def wrapped(text: pd.Series, width: pd.Series) -> pd.Series:
+    """White space and repeated marks collapsed, full-width marks in Han text, lines of at most ``width`` characters."""
+    return pd.Series([_wrapped(t, int(w)) for t, w in zip(text, width, strict=True)])
+
+
+def language_of_path(path: Column) -> Column:
+    """A language code between dots or hyphens at a file name's end; null if none."""
+    code = F.regexp_extract(path, r"[._-]([a-z]{2,3}(?:-[A-Za-z]{2,4})?)\.[A-Za-z0-9]+$", 1)
+    return F.when(code != "", code)
+
+
+def prompt(style: Column, custom: Column, terms: Column) -> Column:
+    """Instructions of a translation: style, the user's own, and a line for each term (struct source, target)."""
+    lines = F.transform(terms, lambda t: F.concat(F.lit("- "), t["source"], F.lit(" = "), t["target"]))
+    return F.concat_ws("\n", F.when(style != "", style), F.when(custom != "", custom), F.when(F.size(terms) > 0, F.concat(F.lit("Terms:\n"), F.array_join(lines, "\n"))))

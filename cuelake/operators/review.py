@@ -90,3 +90,35 @@ def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFr
 def first_by_group(rows: DataFrame, group: list[str], order: list[Column], most: int = 1) -> DataFrame:
     """The first ``most`` rows of each group."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= most)
+
+
+def rejections(baseline: dict[str, Column], candidate: dict[str, Column]) -> Column:
+    """Codes against a candidate window: no_cues, loses_text, less_coverage, more_overlaps, more_repeats, lower_confidence."""
+    b, c = baseline, candidate
+    return F.array_compact(F.array(
+        F.when(c["n"] == 0, "no_cues"), F.when(c["characters"] * 2 < b["characters"], "loses_text"), F.when(c["covered_ms"] * 10 < b["covered_ms"] * 8, "less_coverage"),
+        F.when(c["n_overlap"] > b["n_overlap"], "more_overlaps"), F.when(c["n_again"] > b["n_again"], "more_repeats"), F.when(c["mean_logprob"] < b["mean_logprob"] - 100, "lower_confidence"),
+    ))
+
+
+def improvement(baseline: dict[str, Column], candidate: dict[str, Column]) -> Column:
+    """Weighted gain of a candidate: confidence, compression and repeats."""
+    b, c = baseline, candidate
+    return (c["mean_logprob"] - b["mean_logprob"]) / 1000 * 0.5 + (b["most_compression"] - c["most_compression"]) / 1000 * 0.3 + (b["n_again"] - c["n_again"]) * 0.2
+
+
+def running_offsets(clips: DataFrame, silence_ms: int, group: str = "media_id") -> DataFrame:
+    """Clips put one after the other with silence between: start_ms and end_ms in the bundle."""
+    length = F.col("end_ms") - F.col("start_ms")
+    before = F.coalesce(F.sum(length + silence_ms).over(Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return clips.select(group, "pos", before.alias("start_ms"), (before + length).alias("end_ms"))
+
+
+def rebased(cues: DataFrame, windows: DataFrame, group: str = "media_id") -> DataFrame:
+    """Cues of a window (group, window_start, window_end) whose times count from
+    the window's start, moved to the whole recording's, and cut to the window. Times that already do stay."""
+    rows = cues.join(windows, group)
+    relative = (F.max("end_ms").over(Window.partitionBy(group)) <= F.col("window_end") - F.col("window_start")) & (F.col("window_start") > 0)
+    moved = rows.withColumn("_by", F.when(relative, F.col("window_start")).otherwise(F.lit(0).cast("long")))
+    cut = moved.withColumns({"start_ms": F.greatest(F.col("start_ms") + F.col("_by"), "window_start"), "end_ms": F.least(F.col("end_ms") + F.col("_by"), "window_end")})
+    return cut.where("end_ms > start_ms").select(group, "pos", "start_ms", "end_ms")

@@ -131,3 +131,47 @@ def best_terms(terms: DataFrame) -> DataFrame:
     usable = terms.where((F.col("origin") == "profile") | (F.col("confidence") == "high"))
     best = F.min(F.struct(rank.alias("r"), "target", "origin"))
     return usable.groupBy(F.lower(F.trim("source")).alias("source")).agg(best.alias("b")).select("source", "b.target", "b.origin")
+
+
+def staged(batches: DataFrame, stages: dict[str, Callable[[list[str], list[str]], list[str]]]) -> DataFrame:
+    """batches (key, texts) through stages in order (such as draft, review,
+    final), each given the texts and what the stage before made; a column of
+    arrays for each. A batch whose stage fails keeps what the stage before made, with its error."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out: dict[str, list] = {name: [] for name in stages} | {"error": []}
+            for texts in pdf["texts"]:
+                now, error = list(texts), None
+                for name, stage in stages.items():
+                    try:
+                        made = stage(list(texts), now)
+                        if len(made) != len(now):
+                            raise ValueError("another number of texts")
+                        now = made
+                    except ValueError as e:
+                        error = error or f"{name}: {e}"
+                    out[name].append(now)
+                out["error"].append(error)
+            yield pd.DataFrame({"key": pdf["key"], **out})
+
+    schema = f"key {dict(batches.dtypes)['key']}, {', '.join(f'`{n}` array<string>' for n in stages)}, error string"
+    return batches.select("key", "texts").mapInPandas(run, schema)
+
+
+def checks(rows: DataFrame, **conditions: Column) -> DataFrame:
+    """name, holds: aggregate conditions over a table, one row each."""
+    made = rows.agg(*[c.alias(n) for n, c in conditions.items()])
+    return made.select(F.explode(F.create_map(*[x for n in conditions for x in (F.lit(n), F.col(n))])).alias("name", "holds"))
+
+
+def asr_mode(mode: Column, language: Column) -> Column:
+    """A request's mode: ``multilingual`` excludes a fixed language; ``auto`` has none; otherwise fixed."""
+    m = F.lower(F.trim(F.coalesce(mode, F.lit("auto"))))
+    set_ = F.coalesce(language, F.lit("")) != ""
+    return F.when((m == "multilingual") & set_, "conflict").when(m == "multilingual", "multilingual").when(set_, "fixed").otherwise("auto")
+
+
+def ranged(value: Column, low: int, high: int, default: int) -> Column:
+    """An integer within its range; the default if null or no number; clipped otherwise."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value.try_cast("int"), F.lit(default))))

@@ -1,6 +1,6 @@
 """The queries of the operators over timed text, by name, and their SQL."""
 
-from cuelake.queries import scalars, sequences, tracks  # noqa: F401  they register their queries
+from cuelake.queries import documents, scalars, sequences, tracks  # noqa: F401  they register their queries
 from cuelake.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -330,7 +330,7 @@ def median(spark: SparkSession, d: str) -> DataFrame:
     return cues(spark, d).groupBy("role").agg(F.count("*").alias("n"), F.median(F.length("text")).alias("median_length"))
 
 
-@query("s01_s02_k01_k03_round_trip", f"""{_C} SELECT media_id, pos, pos AS number, greatest(start_ms, 0) AS start_ms, greatest(end_ms, 0) AS end_ms, text FROM (
+@query("s01_s02_s10_s11_k01_k03_round_trip", f"""{_C} SELECT media_id, pos, pos AS number, greatest(start_ms, 0) AS start_ms, greatest(end_ms, 0) AS end_ms, text FROM (
   SELECT media_id, pos, start_ms, end_ms, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM cues) WHERE text <> ''""")
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     from cuelake.sources import subtitles
