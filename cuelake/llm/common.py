@@ -54,14 +54,6 @@ def restored(rows: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
     return rows.select(*["`" + n.replace("`", "``") + "`" for n in _sheltered_names(docs, used)]).toDF(*docs.columns)
 
 
-def keyed_join(df: DataFrame, keys: DataFrame, on: str, how: str, n_keys: int) -> DataFrame:
-    """Semi or anti join with a list of keys: broadcast while the list is
-    within BROADCAST_KEYS, by shuffle beyond it. Null keys match null."""
-    side = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys
-    side = side.withColumnRenamed(on, "_key")
-    return df.join(side, df[on].eqNullSafe(side["_key"]), how)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, component): the smallest node reachable.
 

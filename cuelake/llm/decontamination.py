@@ -29,8 +29,8 @@ from cuelake.llm.common import materialize, restored, sheltered
 from cuelake.llm.words import ALNUM, Words, words
 
 N = 10
-#: Windows in one broadcast (about 150 bytes each).
-BLOCK = 1_000_000
+#: Windows in one broadcast (about 600 bytes each on the driver).
+BLOCK = 250_000
 
 _SPANS = "array<struct<start:int,end:int>>"
 

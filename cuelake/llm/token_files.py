@@ -259,7 +259,12 @@ def token_report(files: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents
     before it), n_tokens, ids_crc32.
 
-    The shards' own starts come from a table with one small row a shard."""
-    ahead = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    starts = files.select("part", "seq", "n_tokens").select("part", "seq", ahead.alias("_ahead"))
-    return documents(files).join(starts, ["part", "seq"]).select("doc_id", (F.col("_ahead") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    A shard's own start is what its part's shards before it hold, and the parts
+    before: sums by part are as many rows as tasks wrote."""
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sizes, none = files.select("part", "seq", "n_tokens"), F.lit(0).cast("long")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select("part", F.coalesce(F.sum("_n").over(upto(Window.orderBy("part"))), none).alias("_parts"))
+    inside = F.coalesce(F.sum("n_tokens").over(upto(Window.partitionBy("part").orderBy("seq"))), none)
+    starts = sizes.select("part", "seq", inside.alias("_inside")).join(parts, "part")
+    start = F.col("_parts") + F.col("_inside") + F.col("first")
+    return documents(files).join(starts, ["part", "seq"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
