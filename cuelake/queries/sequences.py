@@ -163,7 +163,7 @@ def bilingual(spark: SparkSession, d: str) -> DataFrame:
     return R.is_bilingual(cues(spark, d), _ACCENT, "[A-Za-z]")
 
 
-@query("w01_scenes", f"""{_C} SELECT media_id, pos, sum(new) OVER (PARTITION BY media_id ORDER BY pos) AS scene FROM (
+@query("w01_scenes", f"""{_C} SELECT media_id, pos, CAST(sum(new) OVER (PARTITION BY media_id ORDER BY pos) AS BIGINT) AS scene FROM (
   SELECT media_id, pos, CASE WHEN pos = 1 OR start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY pos) >= 30000 THEN 1 ELSE 0 END AS new FROM cues)""")
 def scenes(spark: SparkSession, d: str) -> DataFrame:
     return W.scenes(cues(spark, d)).select("media_id", "pos", "scene")
@@ -171,7 +171,7 @@ def scenes(spark: SparkSession, d: str) -> DataFrame:
 
 def _islands(gap: int, source: str = "cues") -> str:
     return f"""SELECT media_id, island, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM (
-  SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CAST(sum(new) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (
     SELECT *, CASE WHEN start_ms > max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 1 WHEN row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms) = 1 THEN 1 ELSE 0 END AS new
     FROM (SELECT media_id, greatest(start_ms, 0) AS start_ms, end_ms FROM {source}) WHERE end_ms > start_ms)) GROUP BY media_id, island"""
 
@@ -181,7 +181,7 @@ def islands(spark: SparkSession, d: str) -> DataFrame:
     return J.islands(cues(spark, d), 250)
 
 
-@query("a20_union_length", f"{_C} SELECT media_id, sum(end_ms - start_ms) AS covered_ms FROM ({_islands(0)}) GROUP BY media_id")
+@query("a20_union_length", f"{_C} SELECT media_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS covered_ms FROM ({_islands(0)}) GROUP BY media_id")
 def union_length(spark: SparkSession, d: str) -> DataFrame:
     return J.union_length(cues(spark, d))
 

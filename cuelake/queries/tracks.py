@@ -49,9 +49,9 @@ def nearest_within(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j02_aligned_groups", f"""{_T}, b AS (SELECT media_id, start_ms, end_ms, 1 AS l FROM cues UNION ALL SELECT media_id, start_ms, end_ms, 0 FROM other),
-g AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, l ROWS UNBOUNDED PRECEDING) AS part FROM (
+g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, l ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM (
   SELECT *, CASE WHEN start_ms >= max(end_ms) OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 WHEN row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, l) = 1 THEN 1 ELSE 0 END AS new FROM b))
-SELECT media_id, part, sum(l) AS n_left, sum(1 - l) AS n_right, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM g GROUP BY media_id, part""")
+SELECT media_id, part, CAST(sum(l) AS BIGINT) AS n_left, CAST(sum(1 - l) AS BIGINT) AS n_right, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM g GROUP BY media_id, part""")
 def aligned_groups(spark: SparkSession, d: str) -> DataFrame:
     return J.aligned_groups(*tracks(spark, d))
 
