@@ -184,6 +184,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num:
     """Of distinct pairs (a, b) those that link. A set meets its hub's in a
     task; a hub of many members is sent once for each SALT of them."""
     pairs = materialize(pairs, "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("s"))
     place = nodes.select("node", "_id", "_h")
     members = pairs.join(salts, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("salt"))
@@ -390,6 +392,8 @@ def similarity_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     for forest in (True, False):
         # what is not common needs no second look: its lists gave every pair
         rows = prefixes if forest else prefixes.where("hot = 1")
+        if rows.isEmpty():
+            break
         entries = _entries(rows, classes)
         found = _list_candidates(entries if forest else entries.where("sketch is not null"), num, den, forest)
         links = links.union(_verified(_plausible(found, prefixes, num, den), able, docs, n, num, den))
