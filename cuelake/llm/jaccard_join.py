@@ -46,8 +46,6 @@ N, NUM, DEN = 4, 85, 100
 COMMON = 32
 #: Common shingles that are sent to all tasks; if there are more, the least common go unmarked (the order stays valid).
 COMMON_LIMIT = 4_000_000
-#: Shingles whose hash is below this are counted and come first: a fifth.
-CUT = np.uint64(2**64 // 5)
 #: Entries of a list that meet in one task.
 BLOCK = 1024
 #: First shingles by which a node looks for its hub.
@@ -124,14 +122,21 @@ def _prefix(n: int | np.ndarray, num: int, den: int):
     return n + (-n * num) // den + 1
 
 
+def _cut(num: int, den: int) -> np.uint64:
+    """Shingles whose hash is below this come first: twice as many as a prefix
+    takes, so that it holds no common shingle unless half of a set's are common."""
+    return np.uint64(min(2**64 - 1, 2 * (den - num) * 2**64 // den))
+
+
 def _common(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the common shingles, and in how many nodes each is."""
+    cut = _cut(num, den)
 
     def make(batch: pa.RecordBatch) -> dict:
         out = [np.zeros(0, np.uint64)]
         for h in _sets(batch.column("text"), n):
             if len(h):
-                out.append(h[: max(int(np.searchsorted(h, CUT)), min(len(h), 2 * _prefix(len(h), num, den)))])
+                out.append(h[: max(int(np.searchsorted(h, cut)), min(len(h), 2 * _prefix(len(h), num, den)))])
         return {"token": np.concatenate(out).view(np.int64)}
 
     counts = _map(_by_key(docs, nodes.select("_id", "_h")), "token long", make).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
@@ -160,6 +165,7 @@ def _prefixes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
     cut; 0: not common), hot (a token is common), sketch."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_common(nodes, docs, n, num, den))
+    first = _cut(num, den)
 
     def make(batch: pa.RecordBatch) -> dict:
         common, counts = shared.value
@@ -167,7 +173,7 @@ def _prefixes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
         for h in _sets(batch.column("text"), n):
             at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
             hot = common[at] == h if len(common) else np.zeros(len(h), bool)
-            order = np.argsort((h >= CUT) * 2 + hot, kind="stable")[: _prefix(len(h), num, den)]
+            order = np.argsort((h >= first) * 2 + hot, kind="stable")[: _prefix(len(h), num, den)]
             cut = np.where(hot, -(-counts[at] // BLOCK), 0) if len(common) else np.zeros(len(h), np.int64)
             out["n"].append(len(h))
             out["tokens"].append(h[order].view(np.int64))
