@@ -31,7 +31,7 @@ END_ID = 1
 #: Distinct pieces encoded in one call of the tokenizer.
 CALL = 16_384
 #: Distinct pieces whose ids a Python worker keeps, from task to task (about 180 bytes each).
-KEEP = 1_000_000
+KEEP = 500_000
 
 SHARD = (
     "part int, seq int, n_tokens long, bits int, doc_ids array<long>, doc_ends array<long>, "

@@ -21,6 +21,7 @@ or have more columns, make no difference.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,20 +125,24 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """FTRL over rows (each its coordinates, in any order of rows) and their labels."""
+    """FTRL over rows (each its coordinates, in any order of rows) and their labels.
+
+    All rows' coordinates are one array, so that a task's memory is that and the state."""
     # the sample comes in no fixed order: by content first, for equal reruns
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), y[i]))
-    rows, y = [rows[i] for i in order], y[order]
-    seen = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        seen[r] += 1
-    kept = [np.append(r[seen[r] >= LEAST_ROWS], INTERCEPT) for r in rows]
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), zlib.crc32(rows[i]), zlib.adler32(rows[i]), y[i]))
+    flat, sizes, y = np.concatenate([rows[i] for i in order]), np.array([len(rows[i]) for i in order]), y[order]
+    rows.clear()
+    often = np.bincount(flat, minlength=1 << BITS)[flat] >= LEAST_ROWS
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(often)])[np.cumsum(sizes)]
+    flat = flat[often]
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     model = Ftrl(np.zeros(INTERCEPT + 1), np.zeros(INTERCEPT + 1))
     for k in range(PASSES):
         for i in np.random.default_rng(k).permutation(len(y)):
-            model.learn(kept[i], int(y[i]))
+            model.learn(np.append(flat[begins[i] : ends[i]], INTERCEPT), int(y[i]))
     w = model.weights(slice(0, INTERCEPT))
-    scale, bias = platt(np.array([w[r[:-1]].sum() for r in kept]), y)
+    sums = np.concatenate([np.zeros(1), np.cumsum(w[flat])])
+    scale, bias = platt(sums[ends] - sums[begins], y)
     at = np.flatnonzero(w)
     return Model(at, w[at] * scale, bias)
 
