@@ -25,7 +25,8 @@ How it runs:
    still joins two classes. Pairs from short lists pass the sketches once, before whole sets are sent to be compared.
 
 Ids may be null or repeat: documents are told apart by their sets, a null id
-is never a class's id while another is there. Ties and repeated rows fall
+is never a class's id while another is there; ``component_id`` names a class, and where ids are null or repeat
+two classes may bear one name, so what keeps a document of each class goes by the internal label. Ties and repeated rows fall
 into one node. An empty table gives an empty result; other columns are not read.
 """
 
@@ -384,8 +385,9 @@ def _classes(links: DataFrame) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs (doc_id, text) to doc_id, _id, _h, n_shingles, component_id: a row
-    for each document; component_id is the smallest doc_id of its class."""
+    """docs (doc_id, text) to doc_id, _id, _h, n_shingles, component_id, class: a row
+    for each document; component_id is the smallest doc_id of its class. Where ids
+    are null or repeat, classes may share it; ``class`` tells them apart (null: no words)."""
     signed = materialize(set_signatures(docs, n), "jaccard-signatures")
     # sets that small only link with equal ones
     own = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("_id", "_h")).alias("r"), F.min("doc_id").alias("least"))
@@ -407,9 +409,9 @@ def similarity_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     labels = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     labels = materialize(labels, "jaccard-labels")
     least = labels.groupBy("class").agg(F.min("least").alias("component_id"))
-    place = labels.join(least, "class").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "component_id")
+    place = labels.join(least, "class").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "component_id", "class")
     out = signed.join(place, (signed["n"] == place["_n"]) & (signed["s1"] == place["_s1"]) & (signed["s2"] == place["_s2"]), "left")
-    return out.select("doc_id", "_id", "_h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "_id", "_h", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class")
 
 
 def jaccard_report(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -423,7 +425,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     without words all stay."""
     classes = materialize(similarity_classes(docs, n, num, den), "jaccard-classes")
     linked = classes.where("n_shingles > 0")
-    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_h")).alias("r"))
+    first = linked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "_id", "_h")).alias("r"))
     chosen = first.select(F.col("r._id").alias("_kid"), F.col("r._h").alias("_kh"))
     kept = materialize(chosen.union(classes.where("n_shingles = 0").select("_id", "_h")).distinct(), "jaccard-kept")
     side = F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept

@@ -311,6 +311,15 @@ def test_one_of_each_class_stays(spark):
     assert jaccard_join.keep_one(docs(spark, [])).count() == 0
 
 
+def test_classes_that_share_an_id_each_keep_one(spark):
+    rng = random.Random(9)
+    alone, one, two = [sentence(rng, 30, 10**6) for _ in range(6)], sentence(rng, 80, 10**6), sentence(rng, 80, 10**6)
+    rows = [(None, t) for t in alone] + [(None, alone[0]), (3, one), (3, two), (4, two), (9, edited(rng, one, 1)), (None, None)]
+    kept = jaccard_join.keep_one(docs(spark, [(*r, "en", "s", 0) for r in rows]))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(None, t) for t in alone] + [(3, one), (3, two), (None, None)], key=repr)
+
+
 def test_long_texts_join(spark):
     rng = random.Random(1)
     long = sentence(rng, 30_000, 10**6)
