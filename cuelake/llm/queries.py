@@ -76,11 +76,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/thousand/hundred/id.txt; each that states a licence speaks for its directory."""
+    """Documents as files source/thousand/hundred/id.txt; each that states a licence speaks for its directory. Single lines are compared, as by the SQL."""
     k = F.col("doc_id")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(k / 1000).cast("string"), F.floor(k / 100).cast("string"), F.concat(k.cast("string"), F.lit(".txt")))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return license_scan.scan(files, every_file_speaks=True)
+    return license_scan.scan(files, license_scan.TEMPLATES, every_file_speaks=True, blocks=False)
 
 
 def _license_sql() -> str:

@@ -225,6 +225,19 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     assert clash.count() == len(rows) and clash.columns == ["path", "dir", "license", "score", "origin", "inherited_from"]
 
 
+def test_notices_over_several_lines_are_compared_whole(spark):
+    gpl = ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation; either version {} of the License, or", "(at your option) any later version."]
+    warranty = ["", "This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."]
+    text = lambda k, mark: "\n".join(f"{mark} {x}".format(k) for x in gpl + warranty) + "\n\nint main;\n" + "x = 1\n" * 50
+    title = lambda k, rest: f"          GNU GENERAL PUBLIC LICENSE\n             Version {k}{rest}\n\nEveryone is permitted to copy\nverbatim copies."
+    rows = [("p/two.c", text(2, " *")), ("q/three.py", text(3, "#")), ("r/LICENSE", title(2, ", June 1991")), ("r/up.c", "code"), ("r/a/b/low.c", "code"), ("s/COPYING", title(3, ", 29 June 2007")), ("t/LICENSE", title(2, "")), ("u/none.c", "code\nmore"), ("v/crlf.c", text(2, "//").replace("\n", "\r\n"))]
+    got = {r.path: (r.license, r.origin, r.inherited_from) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "p/two.c": ("GPL-2.0", "own", None), "q/three.py": ("GPL-3.0", "own", None), "r/LICENSE": ("GPL-2.0", "own", None), "r/up.c": ("GPL-2.0", "inherited", "r"), "r/a/b/low.c": ("GPL-2.0", "inherited", "r"),
+        "s/COPYING": ("GPL-3.0", "own", None), "t/LICENSE": ("GPL-2.0", "own", None), "u/none.c": (None, None, None), "v/crlf.c": ("GPL-2.0", "own", None),
+    }
+
+
 # operator 7
 
 
