@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cuelake.functions import similarity as S
 from cuelake.functions import text as T
@@ -154,3 +157,27 @@ def term_consistency(source: DataFrame, target: DataFrame, terms: DataFrame, gro
     b = target.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("target_term"))).groupBy("source_term", "target_term").agg(F.sum(n(F.col("text"), F.col("target_term"))).alias("n_target"))
     out = terms.join(a, ["source_term", "target_term"], "left").join(b, ["source_term", "target_term"], "left").fillna(0, ["n_source", "n_target"])
     return out.withColumn("missing", F.greatest(F.lit(0).cast("long"), F.col("n_source") - F.col("n_target")))
+
+
+@F.pandas_udf(StringType())
+def plain_caption(text: pd.Series) -> pd.Series:
+    """Case folded, without what is no letter, digit or underscore."""
+    return text.map(lambda x: re.sub(r"[^\w\u3400-\u9fff]+", "", x.casefold()) if x is not None else None)
+
+
+def consensus(rows: DataFrame, group: list[str], block: int = 64) -> DataFrame:
+    """group, text, stability, n: of each group's texts the one most like all
+    of them (then the longest, then the first by pos), and its mean similarity to those that say something; 0.5 for one alone.
+
+    Whole texts; equal ones are compared once and count as often as they come. The pairs of a group are dealt out, ``block`` texts against all at a time."""
+    said = rows.select(*group, "pos", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''").withColumn("plain", plain_caption("text"))
+    each = said.groupBy(*group, "plain").agg(F.count("*").alias("w"), F.min(F.struct("pos", "text")).alias("first"))
+    sizes = each.groupBy(*group).agg(F.sum(F.when(F.col("plain") != "", F.col("w")).otherwise(0)).alias("n"), F.ceil(F.count("*") / block).alias("blocks"))
+    each = each.join(sizes, group)
+    left = each.withColumn("part", F.pmod(F.xxhash64("plain"), F.col("blocks")))
+    right = each.select(*group, F.col("plain").alias("other"), F.col("w").alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    both = left.join(right, [*group, "part"]).withColumn("r", S.matching_ratio("plain", "other"))
+    sums = both.groupBy(*group, "plain", "first", "n").agg(F.round(F.sum(F.col("times") * F.col("r")), 9).alias("total"))
+    best = sums.groupBy(*group).agg(F.max_by(F.struct("first", "plain", "total", "n"), F.struct("total", F.length("plain"), -F.col("first.pos"))).alias("b"))
+    stability = F.when(F.col("b.plain") != "", F.when(F.col("b.n") == 1, 0.5).otherwise(F.round(F.col("b.total") / F.col("b.n"), 6)))
+    return best.select(*group, F.col("b.first.text").alias("text"), stability.alias("stability"), F.col("b.n").alias("n"))

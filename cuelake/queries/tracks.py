@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.bridge import CUES_SQL, OTHER_SQL, cues, other_track, table
-from cuelake.functions import similarity as S
 from cuelake.operators import intervals as J
 from cuelake.operators import metrics as A
 from cuelake.operators import review as V
@@ -453,8 +452,7 @@ def temporal_stability(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a24_a25_consensus")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Of each conversation's first three texts, the one most like the others."""
-    rows = cues(spark, d).where("pos <= 3").select("media_id", "pos", F.left("text", F.lit(60)).alias("text"))
-    both = rows.join(rows.select("media_id", F.col("pos").alias("p2"), F.col("text").alias("t2")), "media_id").where("pos <> p2").withColumn("r", S.matching_ratio("text", "t2"))
-    sums = both.groupBy("media_id", "pos", "text").agg(F.avg("r").alias("stability"))
-    return sums.groupBy("media_id").agg(F.max_by("text", F.struct("stability", F.length("text"), -F.col("pos"))).alias("text"), F.max("stability").alias("stability"))
+    """Of all texts of a scene, whole, the one most like the others."""
+    from cuelake.operators.sequences import scenes
+
+    return A.consensus(scenes(cues(spark, d)), ["media_id", "scene"])
