@@ -1,7 +1,7 @@
 """Operators over rows in order: sessions, batches, context, and folds.
 
 Windows are partitioned by the group and ordered by ``pos``. What depends on the result for the
-row before (folds) runs in ``applyInPandas``, a group at a time."""
+row before (folds) runs in ``applyInPandas``, an island of a group at a time: rows up to a gap that no fold goes over."""
 
 from __future__ import annotations
 
@@ -94,6 +94,14 @@ def equal_runs(rows: DataFrame, key: Column, group: str = "media_id") -> DataFra
     return made.groupBy(group, "_run").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")
 
 
+def islands(rows: DataFrame, apart: int, group: str = "media_id", order: tuple[str, ...] = ("start_ms", "end_ms", "pos")) -> DataFrame:
+    """rows with _island: another begins at a row that starts more than ``apart`` ms after all ends before."""
+    by = Window.partitionBy(group).orderBy(*[F.asc_nulls_last(c) for c in order])
+    before = F.max("end_ms").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(before.isNull() | (F.col("start_ms") - before > apart), 1).otherwise(0)
+    return rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def speech_blocks(spans: DataFrame, target_ms: int = 45_000, most_ms: int = 60_000, silence_ms: int = 8_000, pad_ms: int = 800, group: str = "media_id") -> DataFrame:
     """Speech spans folded into blocks: a block closes at a silence of
     ``silence_ms``, when the next span would make it longer than ``most_ms``, or once it holds ``target_ms`` of
@@ -117,16 +125,20 @@ def speech_blocks(spans: DataFrame, target_ms: int = 45_000, most_ms: int = 60_0
 
     done = lambda acc: F.when(acc["start_ms"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(block(acc))))
     ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms")))
-    folded = spans.groupBy(group).agg(ordered.alias("s"), F.max("total_ms").alias("total_ms")).select(group, "total_ms", F.posexplode(F.aggregate("s", begin, step, done)).alias("k", "b"))
+    total = spans.groupBy(group).agg(F.max("total_ms").alias("total_ms"))
+    cut = islands(spans.select(group, "start_ms", "end_ms"), silence_ms - 1, group, ("start_ms", "end_ms")).groupBy(group, "_island").agg(ordered.alias("s"))
+    folded = cut.select(group, "_island", F.posexplode(F.aggregate("s", begin, step, done)).alias("_k", "b")).join(total, group)
+    folded = folded.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy("_island", "_k")) - 1)
     return folded.select(
         group, F.col("k").alias("block"), F.greatest(F.lit(0).cast("long"), F.col("b.start_ms") - pad_ms).alias("start_ms"),
         F.least(F.col("total_ms"), F.col("b.end_ms") + pad_ms).alias("end_ms"), F.col("b.speech_ms").alias("speech_ms"),
     )
 
 
-def fold(rows: DataFrame, step: Callable[[list[dict], dict], None], group: str = "media_id", order: tuple[str, ...] = ("start_ms", "end_ms", "pos")) -> DataFrame:
+def fold(rows: DataFrame, step: Callable[[list[dict], dict], None], group: str = "media_id", order: tuple[str, ...] = ("start_ms", "end_ms", "pos"), apart: int | None = None) -> DataFrame:
     """A left fold of each group's rows in order: ``step(kept, row)`` changes
-    the list of rows kept so far. Columns stay; pos counts anew."""
+    the list of rows kept so far. Columns stay; pos counts anew. A step that never joins a row to one
+    that ended more than ``apart`` ms before says so: the fold then runs on each island between such gaps alone."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
@@ -136,7 +148,12 @@ def fold(rows: DataFrame, step: Callable[[list[dict], dict], None], group: str =
         out["pos"] = range(1, len(out) + 1)
         return out
 
-    return rows.groupBy(group).applyInPandas(run, rows.schema)
+    if apart is None:
+        return rows.groupBy(group).applyInPandas(run, rows.schema)
+    cut = islands(rows, apart, group, order)
+    made = cut.groupBy(group, "_island").applyInPandas(run, cut.schema)
+    pos = F.row_number().over(Window.partitionBy(group).orderBy("_island", "pos")).cast(rows.schema["pos"].dataType)
+    return made.withColumn("pos", pos).select(*rows.columns)
 
 
 def _ratio(a: str, b: str) -> float:
@@ -156,7 +173,7 @@ def drop_boundary_duplicates(rows: DataFrame, similarity: float = 0.9, slack_ms:
         else:
             kept.append(row)
 
-    return fold(rows, step, group)
+    return fold(rows, step, group, apart=slack_ms)
 
 
 def merge_similar(rows: DataFrame, similarity: float = 0.92, gap_ms: int = 50, group: str = "media_id") -> DataFrame:
@@ -170,7 +187,7 @@ def merge_similar(rows: DataFrame, similarity: float = 0.92, gap_ms: int = 50, g
         else:
             kept.append(row)
 
-    return fold(rows, step, group)
+    return fold(rows, step, group, apart=gap_ms)
 
 
 def merge_segments(rows: DataFrame, gap_ms: int = 2000, most_ms: int = 15_000, least_ms: int = 3000, group: str = "media_id") -> DataFrame:
@@ -183,7 +200,7 @@ def merge_segments(rows: DataFrame, gap_ms: int = 2000, most_ms: int = 15_000, l
         else:
             kept.append(dict(row))
 
-    return fold(rows, step, group).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
+    return fold(rows, step, group, apart=gap_ms).where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
 def split_at_largest_gaps(rows: DataFrame, most: int = 20, group: str = "media_id") -> DataFrame:
@@ -222,4 +239,4 @@ def resegment(words: DataFrame, most_ms: int = 6000, most_units: int = 42, pause
         else:
             kept.append(row | {"text": text})
 
-    return fold(words, step, group)
+    return fold(words, step, group, apart=pause_ms - 1)
