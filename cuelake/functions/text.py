@@ -195,3 +195,12 @@ def prompt(style: Column, custom: Column, terms: Column) -> Column:
     """Instructions of a translation: style, the user's own, and a line for each term (struct source, target)."""
     lines = F.transform(terms, lambda t: F.concat(F.lit("- "), t["source"], F.lit(" = "), t["target"]))
     return F.concat_ws("\n", F.when(style != "", style), F.when(custom != "", custom), F.when(F.size(terms) > 0, F.concat(F.lit("Terms:\n"), F.array_join(lines, "\n"))))
+
+
+def subtitle_formats(value: Column, supported: tuple[str, ...] = ("srt", "ass")) -> Column:
+    """The formats of a list like "srt; ASS", each once, in order; "srt" is put first if it is not among them. Others fail."""
+    asked = F.transform(F.split(F.coalesce(value, F.lit("")), "[,;]"), lambda x: F.lower(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    asked = F.array_distinct(F.filter(asked, lambda x: x != ""))
+    bad = F.filter(asked, lambda x: ~x.isin(*supported))
+    formats = F.when(F.array_contains(asked, "srt"), asked).otherwise(F.concat(F.array(F.lit("srt")), asked))
+    return F.when(F.size(bad) == 0, formats).otherwise(F.raise_error(F.concat(F.lit("Unsupported subtitle format: "), F.get(bad, F.lit(0)))).cast("array<string>"))

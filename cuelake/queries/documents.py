@@ -19,8 +19,13 @@ _T = f"WITH {CUES_SQL}, {OTHER_SQL} "
 
 @query("s04_s12_s25_decoded", "SELECT doc_id, text FROM documents")
 def decoded(spark: SparkSession, d: str) -> DataFrame:
-    """Every other text as GB 18030 bytes if it can be, the rest as UTF-8 with a mark."""
-    return table(spark, d, "documents").select("doc_id", files.decoded(F.encode(F.concat(F.lit("﻿"), "text"), "UTF-8")).alias("text"))
+    """A third of the texts as GB 18030 bytes and a third as Windows-1252, if they can be, the rest as UTF-8 with a mark."""
+    kind = F.col("doc_id") % 3
+    charset = F.when(kind == 0, "gb18030").when(kind == 1, "cp1252").otherwise("utf-8-sig")
+    rows = table(spark, d, "documents").select("doc_id", kind.alias("kind"), files.encoded("text", charset).alias("raw"))
+    western = F.coalesce(F.col("kind") == 1, F.lit(False))
+    text = F.coalesce(files.decoded(F.when(~western, F.col("raw"))), files.decoded_transcript(F.when(western, F.col("raw"))))
+    return rows.select("doc_id", text.alias("text"))
 
 
 @query("s07_raw_scan", "SELECT conv_id * 1000 + turn AS media_id, '  ' || role || chr(10) || ' x' AS text FROM conversations")

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 VIDEO = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "ts", "flv")
 AUDIO = ("wav", "mp3", "flac", "m4a", "aac", "ogg", "opus", "wma")
@@ -112,13 +112,48 @@ def decoded(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+@F.pandas_udf(StringType())
+def decoded_transcript(content: pd.Series) -> pd.Series:
+    """UTF-8 (a byte order mark dropped), else Windows-1252; fails on anything else."""
+
+    def one(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        for name in ("utf-8-sig", "cp1252"):
+            try:
+                return raw.decode(name)
+            except UnicodeDecodeError:
+                pass
+        raise ValueError("transcript is neither UTF-8 nor Windows-1252")
+
+    return content.map(one)
+
+
+@F.pandas_udf(BinaryType())
+def encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
+    """Bytes of the charset if it has the text and they are not UTF-8 for another text; otherwise UTF-8 with a byte order mark."""
+
+    def one(x: str | None, name: str) -> bytes | None:
+        if x is None:
+            return None
+        try:
+            raw = x.encode(name)
+            if raw.decode("utf-8-sig", "replace") == x or "\ufffd" in raw.decode("utf-8-sig", "replace"):
+                return raw
+        except UnicodeEncodeError:
+            pass
+        return x.encode("utf-8-sig")
+
+    return pd.Series([one(x, c) for x, c in zip(text, charset, strict=True)], dtype=object)
+
+
 def clip_candidates(members: DataFrame, least: float = 3.0, most: float = 15.0) -> DataFrame:
     """Members .wav with the .txt of the same stem: audio, transcript, group (its
     folder), seconds, rms, words, sha256; clips of ``least`` to ``most`` seconds with a word."""
     stem = F.lower(F.regexp_replace("member", r"\.[^./]*$", ""))
     rows = members.withColumn("stem", stem)
     audio = rows.where(F.lower("member").endswith(".wav")).select("archive", "stem", F.col("member").alias("audio"), "content")
-    text = rows.where(F.lower("member").endswith(".txt")).select("archive", "stem", F.trim(decoded("content")).alias("transcript"))
+    text = rows.where(F.lower("member").endswith(".txt")).select("archive", "stem", F.trim(decoded_transcript("content")).alias("transcript"))
     out = audio.join(text, ["archive", "stem"]).withColumn("m", wave_metrics("content"))
     words = F.size(F.filter(F.split("transcript", r"\s+"), lambda x: x != ""))
     out = out.select("audio", "transcript", F.regexp_extract("audio", r"^(.*)/[^/]*$", 1).alias("group"), "m.seconds", "m.rms", words.alias("words"), F.sha2("content", 256).alias("sha256"))

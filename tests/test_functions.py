@@ -124,3 +124,11 @@ def test_answers(spark):
     assert one(spark, N.confidence(F.col("t")), t="0.5") == "medium"
     assert one(spark, N.id_set_error(F.array(F.lit(1), F.lit(1)), F.array(F.lit(1)))) == "duplicate"
     assert one(spark, N.drop_secrets(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("name"), F.lit("y")))) == {"name": "y"}
+
+
+def test_subtitle_formats(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " ASS; srt,ass"), (4, "ass"), (5, "vtt,srt")], "k int, x string")
+    made = rows.select("k", T.subtitle_formats(F.col("x")).alias("f"))
+    assert [r.f for r in made.where("k < 5").orderBy("k").collect()] == [["srt"], ["srt"], ["ass", "srt"], ["srt", "ass"]]
+    with pytest.raises(Exception, match="Unsupported subtitle format: vtt"):
+        made.where("k = 5").collect()

@@ -121,3 +121,11 @@ def test_logs(spark):
     lines = F.array(*[F.lit(x) for x in ["start", "error: one", "transcribing", "translating now", "ok"]])
     row = spark.range(1).select(E.stage_from_log(lines, {"transcrib": "asr", "translat": "mt"}).alias("s"), E.last_error(lines).alias("e")).first()
     assert (row.s, row.e) == ("mt", "error: one")
+
+
+def test_windows_1252_transcripts_are_decoded(spark):
+    raw = ["a\u2019b \u20ac5".encode("cp1252"), "\ufeffcaf\u00e9".encode(), b"", None]
+    rows = spark.createDataFrame([(x and bytearray(x),) if x else (x,) for x in raw], "content binary")
+    assert [r.x for r in rows.select(files.decoded_transcript("content").alias("x")).collect()] == ["a\u2019b \u20ac5", "caf\u00e9", "", None]
+    with pytest.raises(Exception, match="neither UTF-8 nor Windows-1252"):
+        spark.createDataFrame([(bytearray(b"\x81\xff"),)], "content binary").select(files.decoded_transcript("content")).collect()
