@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
@@ -147,6 +147,16 @@ def encoded(text: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([one(x, c) for x, c in zip(text, charset, strict=True)], dtype=object)
 
 
+#: Bytes hashed at each end of a file that is longer than two such pieces.
+PIECE = 1 << 20
+
+
+def fingerprint(content: Column) -> Column:
+    """SHA-256 of all bytes up to two pieces, of the first and last piece beyond."""
+    ends = F.concat(F.substring(content, 1, PIECE), F.substring(content, -PIECE, PIECE))
+    return F.sha2(F.when(F.octet_length(content) <= 2 * PIECE, content).otherwise(ends), 256)
+
+
 def clip_candidates(members: DataFrame, least: float = 3.0, most: float = 15.0) -> DataFrame:
     """Members .wav with the .txt of the same stem: audio, transcript, group (its
     folder), seconds, rms, words, sha256; clips of ``least`` to ``most`` seconds with a word."""

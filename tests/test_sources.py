@@ -129,3 +129,15 @@ def test_windows_1252_transcripts_are_decoded(spark):
     assert [r.x for r in rows.select(files.decoded_transcript("content").alias("x")).collect()] == ["a\u2019b \u20ac5", "caf\u00e9", "", None]
     with pytest.raises(Exception, match="neither UTF-8 nor Windows-1252"):
         spark.createDataFrame([(bytearray(b"\x81\xff"),)], "content binary").select(files.decoded_transcript("content")).collect()
+
+
+def test_fingerprint_hashes_whole_files_up_to_two_pieces(spark):
+    from hashlib import sha256
+
+    from pyspark.sql import functions as F
+
+    m = 1 << 20
+    raw = [b"a" * 200 + b"x" + b"a" * 200, b"a" * 200 + b"y" + b"a" * 200, b"b" * m + b"c" * m, b"b" * m + b"-" + b"c" * m, b""]
+    rows = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(raw)], "k int, content binary")
+    got = [r.x for r in rows.select("k", files.fingerprint(F.col("content")).alias("x")).orderBy("k").collect()]
+    assert got == [sha256(x if len(x) <= 2 * m else x[:m] + x[-m:]).hexdigest() for x in raw] and got[0] != got[1]
