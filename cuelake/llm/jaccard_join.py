@@ -18,8 +18,8 @@ How it runs:
 3. Answers from a similar set: nodes whose first shingles agree are verified against one hub each;
    a node that is similar to its hub takes over the hub's class, and later only answers
    outside of that class are computed for it.
-4. Lists are sorted by size and position; blocks whose sizes or positions rule
-   links out are skipped. Long lists are cut in blocks over tasks and compare parity
+4. Lists are sorted by size and position; blocks whose sizes rule links out are
+   skipped, and positions filter the pairs of the blocks that are left. Long lists are cut in blocks over tasks and compare parity
    sketches (which never underrate a similarity); of the links that a list
    suggests it gives a spanning forest first, and after those are verified, whatever
    still joins two classes. Pairs from short lists pass the sketches once, before whole sets are sent to be compared.
