@@ -13,9 +13,12 @@ Null and empty texts give the end id alone. An empty table gives no shards.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import arrow_task
 from cuelake.llm.wavelet import WaveletMatrix
 from cuelake.llm.words import SLICE, _buffers
 
@@ -30,22 +34,47 @@ SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Distinct pieces encoded in one call of the tokenizer.
 CALL = 16_384
-#: Distinct pieces whose ids a Python worker keeps, from task to task (about 180 bytes each).
-KEEP = 500_000
+#: Distinct pieces whose ids a Python worker keeps, from task to task (about 200 bytes each); beyond, the less used half goes.
+KEEP = 300_000
+#: Bytes of text encoded at once where a tokenizer cannot be given pieces.
+WHOLE = 1 << 18
 
 SHARD = (
     "part int, seq int, n_tokens long, bits int, doc_ids array<long>, doc_ends array<long>, "
     "zeros array<int>, planes array<binary>, ranks array<binary>"
 )
 
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
-_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+#: The form of tokenizer that pieces are cut for.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None,
+}
+#: What ends each word's last token there.
+WORD_END = "</w>"
+
+# kinds of bytes: white space, ASCII letters, digits, apostrophe, other ASCII; last "|" (of <|endoftext|>) and non-ASCII, beside which nothing is cut
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[ord("'")] = 3
+_KIND[ord("|")] = _KIND[128:] = 5
+#: Between which kinds a text may be cut: the tokenizer splits there whatever follows (an apostrophe may go with the letters after it).
+_CUT = np.zeros((6, 6), bool)
+for _pair in ((1, 2), (2, 1), (2, 2), (1, 4), (4, 1), (2, 4), (4, 2), (1, 3), (2, 3)):
+    _CUT[_pair] = True
+_CUT[0, 1:] = True
+_CUT = _CUT.ravel()
 _loaded: dict[str, Pieces] = {}
 
 
 def _pieces(path: str) -> Pieces:
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
 
         _loaded[path] = Pieces(Tokenizer.from_file(path))
@@ -53,76 +82,127 @@ def _pieces(path: str) -> Pieces:
 
 
 class Pieces:
-    """Ids of pieces of text, each encoded once; forgotten when there are KEEP of them."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.clear()
-
-    def clear(self) -> None:
+    """Ids of pieces of text, each encoded once. Of more than KEEP pieces, those used most stay.
+
+    ``cuts``: whether the tokenizer has the FORM for which a text's ids are those of its pieces."""
+
+    def __init__(self, tokenizer, keep: int = KEEP):
+        self.tokenizer, self.keep = tokenizer, keep
+        said = json.loads(tokenizer.to_str())
+        self.cuts = all(said[k] == v for k, v in FORM.items()) and said["model"].get("end_of_word_suffix") == WORD_END and all(re.fullmatch(r"<\|\w+\|>", x["content"]) for x in said["added_tokens"])
+        words = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[k for w, k in words.items() if w.endswith(WORD_END)]] = True
+        self.kind = np.uint16 if len(self.ends_word) <= 1 << 16 else np.uint32
         self.place: dict[str, int] = {}
-        self.flat, self.sizes = array("I"), array("I")
-
-    def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(all ids, first, size): distinct[k] has ids[first[k] : first[k] + size[k]]."""
-        if len(self.place) > KEEP:
-            self.clear()
-        new = [x for x in distinct if x not in self.place]
+        self.first, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.flat, self.n_ids = np.zeros(4096, self.kind), 0
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m, more = len(self.place), self.n_ids, len(pieces)
+        grown = lambda a, least: a if len(a) >= least else np.concatenate([a, np.zeros(max(len(a), least - len(a)), a.dtype)])
+        self.first, self.size, self.used, self.flat = grown(self.first, n + more), grown(self.size, n + more), grown(self.used, n + more), grown(self.flat, m + len(ids))
+        self.flat[m : m + len(ids)] = ids
+        self.first[n : n + more], self.size[n : n + more], self.used[n : n + more] = m + np.cumsum(sizes) - sizes, sizes, 0
+        self.place.update(zip(pieces, range(n, n + more), strict=True))
+        self.n_ids = m + len(ids)
+
+    def _learn(self, new: list[str]) -> None:
+        word = [x.isascii() and x.isalpha() for x in new]
         for k in range(0, len(new), CALL):
-            for x, e in zip(new[k : k + CALL], self.tokenizer.encode_batch_fast(new[k : k + CALL], add_special_tokens=False), strict=True):
-                self.place[x] = len(self.sizes)
-                ids = e.ids
-                self.flat.extend(ids)
-                self.sizes.append(len(ids))
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        size = np.array(self.sizes, np.int64)
-        return np.array(self.flat, np.uint32), (np.cumsum(size) - size)[at], size[at]
+            # words of ASCII letters go as one text: each ends with the only token of its that ends a word
+            some, is_word = new[k : k + CALL], word[k : k + CALL]
+            plain = [x for x, w in zip(some, is_word, strict=True) if w]
+            if plain:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+                self._add(plain, ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
+            rest = [x for x, w in zip(some, is_word, strict=True) if not w]
+            if rest:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+                self._add(rest, np.fromiter(chain.from_iterable(got), np.int64), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def _shrink(self) -> None:
+        """Half of the pieces at most stay: those used more often than the rest."""
+        used = self.used[: len(self.place)]
+        stay = np.flatnonzero(used > np.partition(used, len(used) // 2)[len(used) // 2])
+        names, size = list(self.place), self.size[stay]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(size.sum()) + np.repeat(self.first[stay] - (ends - size), size)]
+        self.place = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.first, self.size, self.used, self.n_ids = ends - size, size, used[stay] // 2, len(self.flat)
+
+    def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(first, size): distinct[k] has the ids flat[first[k] : first[k] + size[k]], until the next call."""
+        if len(self.place) > self.keep:
+            self._shrink()
+        at = np.fromiter((self.place.get(x, -1) for x in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            self._learn(new)
+            at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        self.used[at] += 1
+        return self.first[at], self.size[at]
 
 
 def encode(texts: pa.Array, pieces: Pieces, end_id: int = END_ID) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, ids, ends) of slices of a batch of texts, each
     text followed by the end id.
 
-    A tokenizer that drops white space and splits words from stops gives a
-    text the ids of its pieces one after the other; so each distinct piece
-    (cut at ASCII white space, and between an ASCII letter and a stop) is
-    encoded once, and the pieces' ids are put in place.
+    A tokenizer of the FORM gives a text the ids of its pieces one after the
+    other; so each distinct piece (cut where _CUT says so, ASCII pieces
+    in lower case) is encoded once, and the pieces' ids are put in place. Any other
+    tokenizer encodes whole texts.
     """
     texts = texts.fill_null("")
     off, whole = _buffers(texts)
-    first = 0
+    first, most = 0, SLICE if pieces.cuts else WHOLE
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(off, off[first] + SLICE, "right")) - 1)
-        ids, ends = _encode(whole[off[first] : off[last]], off[first : last + 1] - off[first], pieces, end_id)
+        last = max(first + 1, int(np.searchsorted(off, off[first] + most, "right")) - 1)
+        if pieces.cuts:
+            ids, ends = _encode(whole[off[first] : off[last]], off[first : last + 1] - off[first], pieces, end_id)
+        else:
+            got = pieces.tokenizer.encode_batch_fast(texts.slice(first, last - first).to_pylist(), add_special_tokens=False)
+            ends = np.cumsum([len(e.ids) + 1 for e in got])
+            ids = np.fromiter(chain.from_iterable((*e.ids, end_id) for e in got), np.int64, int(ends[-1]))
         yield first, last, ids, ends
         first = last
 
 
 def _encode(data: np.ndarray, bounds: np.ndarray, pieces: Pieces, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
-    inside = ~_SPACE[data]
+    kind = _KIND[data]
+    inside = kind != 0
     start = inside.copy()
-    start[1:] &= ~inside[:-1] | (_LETTER[data[:-1]] & _STOP[data[1:]])
+    start[1:] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
     inner = bounds[bounds < n]
     start[inner] = inside[inner]
     starts = np.flatnonzero(start)
     if len(starts):
-        kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(inside)])
-        cuts = np.concatenate([kept[starts], kept[-1:]]).astype(np.int64)
-        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[inside]))).dictionary_encode()
+        kept = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(inside, out=kept[1:])
+        cuts = np.append(kept[starts], kept[-1:])
+        body = data[inside]
+        capital = (body >= 65) & (body <= 90)
+        wide = np.zeros(len(starts), bool)
+        wide[np.searchsorted(cuts, np.flatnonzero(body > 127), "right") - 1] = True
+        capital &= ~np.repeat(wide, np.diff(cuts))
+        body += capital.view(np.uint8) << 5
+        kind_of = pa.StringArray if cuts.dtype == np.int32 else pa.LargeStringArray
+        coded = kind_of.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(body)).dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        flat, first, size = pieces.look_up(coded.dictionary.to_pylist())
+        first, size = pieces.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         took, begin = size[index], first[index]
     else:
-        flat, took, begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        took, begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
     before = np.concatenate([np.zeros(1, np.int64), np.cumsum(took)])
     total, docs = int(before[-1]), len(bounds) - 1
     doc_piece = np.searchsorted(starts, bounds, "left")
     ends = before[doc_piece[1:]] + np.arange(1, docs + 1)
-    ids = np.full(total + docs, end_id, np.uint32)
+    ids = np.full(total + docs, end_id, pieces.kind if end_id < len(pieces.ends_word) else np.uint32)
     place = np.ones(total + docs, bool)
     place[ends - 1] = False
-    ids[place] = flat[np.arange(total) + np.repeat(begin - before[:-1], took)]
+    ids[place] = pieces.flat[np.arange(total) + np.repeat(begin - before[:-1], took)]
     return ids, ends
 
 
@@ -173,7 +253,7 @@ def shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, shard_tokens:
             yield close()
 
     schema = _arrow_schema()
-    return rows.mapInArrow(pack, SHARD)
+    return rows.mapInArrow(arrow_task(pack), SHARD)
 
 
 def _arrow_schema() -> pa.Schema:
@@ -200,7 +280,7 @@ def _per_shard(files: DataFrame, schema: str, rows_of) -> DataFrame:
             for k in range(batch.num_rows):
                 yield rows_of(batch.slice(k, 1).to_pylist()[0])
 
-    return files.mapInArrow(read, schema)
+    return files.mapInArrow(arrow_task(read), schema)
 
 
 def documents(files: DataFrame) -> DataFrame:
