@@ -13,7 +13,7 @@ GAPS = (-400, 0, 20, 250, 2000, 31000, 500)
 #: The same as `cues`, for an SQL engine.
 CUES_SQL = """cues AS (
   SELECT media_id, pos, turn, role, text, start_ms, start_ms + dur_ms AS end_ms,
-         -((media_id * 7 + pos * 13) % 1500) AS logprob_milli, 800 + (media_id * 11 + pos * 29) % 2000 AS compression_milli, (media_id * 5 + pos * 37) % 1000 AS silence_milli
+         -((media_id * 389 + pos * 613) % 1200) AS logprob_milli, 800 + (media_id * 577 + pos * 811) % 2200 AS compression_milli, (media_id * 211 + pos * 347) % 1000 AS silence_milli
   FROM (
     SELECT *, CAST(sum(dur_ms + gap_ms) OVER (PARTITION BY media_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - dur_ms AS start_ms
     FROM (
@@ -40,7 +40,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, p = F.col("media_id"), F.col("pos")
     return rows.select(
         "media_id", "pos", "turn", "role", "text", "start_ms", (F.col("start_ms") + F.col("dur_ms")).alias("end_ms"),
-        (-((m * 7 + p * 13) % 1500)).alias("logprob_milli"), (800 + (m * 11 + p * 29) % 2000).alias("compression_milli"), ((m * 5 + p * 37) % 1000).alias("silence_milli"),
+        (-((m * 389 + p * 613) % 1200)).alias("logprob_milli"), (800 + (m * 577 + p * 811) % 2200).alias("compression_milli"), ((m * 211 + p * 347) % 1000).alias("silence_milli"),
     )
 
 

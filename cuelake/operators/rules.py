@@ -157,13 +157,21 @@ def by_type(issues: DataFrame) -> DataFrame:
     return issues.groupingSets([["severity", "type"], ["severity"], []], "severity", "type").agg(F.count("*").alias("n"))
 
 
+def text_in_silence() -> Column:
+    return (F.col("silence_milli") > 600) & (F.trim(F.coalesce("text", F.lit(""))) != "")
+
+
+def doubtful() -> Column:
+    """Low confidence, high compression, or text in silence."""
+    return F.coalesce(F.col("logprob_milli") < -1000, F.lit(False)) | F.coalesce(F.col("compression_milli") > 2400, F.lit(False)) | F.coalesce(text_in_silence(), F.lit(False))
+
+
 def suspicious(cues: DataFrame, group: str = "media_id") -> DataFrame:
-    """cues with suspicious: low confidence, high compression, text in silence, or the text before again."""
+    """cues with suspicious: doubtful, or the text before again."""
     order = Window.partitionBy(group).orderBy("pos")
     plain = T.letters_only(F.col("text"))
     again = (plain == F.lag(plain).over(order)) & (plain != "")
-    flag = (F.col("logprob_milli") < -1000) | (F.col("compression_milli") > 2400) | ((F.col("silence_milli") > 600) & (F.trim("text") != "")) | F.coalesce(again, F.lit(False))
-    return cues.withColumn("suspicious", flag)
+    return cues.withColumn("suspicious", doubtful() | F.coalesce(again, F.lit(False)))
 
 
 def invalid_strict(cues: DataFrame, group: str = "media_id") -> DataFrame:
