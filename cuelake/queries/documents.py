@@ -155,28 +155,6 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.left("text", F.lit(100)), F.right("text", F.lit(100)), F.col("n_chars").cast("string")), 256).alias("fingerprint"))
 
 
-_B = {"n": "n", "characters": "ch", "covered_ms": "cov", "n_overlap": "ov", "n_again": "ag", "mean_logprob": "lp", "most_compression": "cp"}
-_HALVES = """halves AS (SELECT media_id, pos % 2 AS half, count(*) AS n, sum(length(text))::BIGINT AS ch, sum(end_ms - start_ms)::BIGINT AS cov, count(*) FILTER (WHERE turn % 7 = 0) AS ov, count(*) FILTER (WHERE turn % 3 = 0) AS ag, avg(logprob_milli) AS lp, max(compression_milli) AS cp FROM cues GROUP BY ALL)"""
-
-
-def halves(spark: SparkSession, d: str) -> DataFrame:
-    """Even and odd cues of a recording as baseline (b_*) and candidate (c_*)."""
-    rows = cues(spark, d).groupBy("media_id", (F.col("pos") % 2).alias("half")).agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("ch"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("cov"), F.count_if(F.col("turn") % 7 == 0).alias("ov"),
-        F.count_if(F.col("turn") % 3 == 0).alias("ag"), F.avg("logprob_milli").alias("lp"), F.max("compression_milli").alias("cp"),
-    )
-    side = lambda k, p: rows.where(f"half = {k}").select("media_id", *[F.col(c).alias(f"{p}_{c}") for c in _B.values()])
-    return side(0, "b").join(side(1, "c"), "media_id")
-
-
-@query("f21_m21_rejections", f"""WITH {CUES_SQL}, {_HALVES} SELECT media_id, array_to_string(list_filter([CASE WHEN c.n = 0 THEN 'no_cues' END, CASE WHEN c.ch * 2 < b.ch THEN 'loses_text' END, CASE WHEN c.cov * 10 < b.cov * 8 THEN 'less_coverage' END,
-  CASE WHEN c.ov > b.ov THEN 'more_overlaps' END, CASE WHEN c.ag > b.ag THEN 'more_repeats' END, CASE WHEN c.lp < b.lp - 100 THEN 'lower_confidence' END], lambda x: x IS NOT NULL), ',') AS codes,
-  (c.lp - b.lp) / 1000 * 0.5 + (b.cp - c.cp) / 1000::DOUBLE * 0.3 + (b.ag - c.ag) * 0.2::DOUBLE AS score FROM halves b JOIN halves c USING (media_id) WHERE b.half = 0 AND c.half = 1""")
-def rejections(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda p: {k: F.col(f"{p}_{c}") for k, c in _B.items()}
-    return halves(spark, d).select("media_id", F.array_join(V.rejections(side("b"), side("c")), ",").alias("codes"), V.improvement(side("b"), side("c")).alias("score"))
-
-
 @query("f30_f31_f34_a37_a38_gates", f"{_C} SELECT media_id, bool_and(end_ms > start_ms) AND bool_and(length(text) > 20) AND count(*) >= 2 AS passed FROM cues GROUP BY media_id")
 def gates(spark: SparkSession, d: str) -> DataFrame:
     return cues(spark, d).groupBy("media_id").agg((F.bool_and(F.col("end_ms") > F.col("start_ms")) & F.bool_and(F.length("text") > 20) & (F.count("*") >= 2)).alias("passed"))
@@ -191,15 +169,6 @@ def answer_shapes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(N.entries(shape)).alias("id", "text"))
 
 
-@query("n11_n12_n14_n15_n17_n18_n19_n20_n21_n22_checked", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'not_json' WHEN 2 THEN 'level' ELSE 'ids' END AS error FROM events")
-def checked(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id")
-    ids = F.when(k % 4 == 3, k + 5).otherwise(k)
-    good = F.concat(F.lit('{"level":"'), F.when(k % 4 == 2, "odd").otherwise("high"), F.lit('","ids":['), ids.cast("string"), F.lit("]}"))
-    text = F.when(k % 4 == 1, "{").otherwise(good)
-    return table(spark, d, "events").select("event_id", N.checked(text, "level string, ids array<bigint>", {"level": ("high", "low")}, "ids", F.array(k)).alias("error"))
-
-
 @query("j13_j37_strategies", f"""{_T} SELECT c.media_id, count(*) AS n, count(*) FILTER (WHERE o.text = c.text) AS n_equal, sum(length(c.text) - coalesce(length(o.text), 0))::BIGINT AS shorter FROM cues c LEFT JOIN other o USING (media_id, pos) GROUP BY c.media_id""")
 def strategies(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d)
@@ -213,12 +182,6 @@ def campaign(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de"]).agg(F.avg("n_chars"))
 
 
-@query("j22_terms_nearby", f"{_C} SELECT media_id, pos, (contains(lower(text), 'the ') OR coalesce(contains(lower(lag(text) OVER w), 'the '), false) OR coalesce(contains(lower(lead(text) OVER w), 'the '), false)) AS nearby FROM cues WINDOW w AS (PARTITION BY media_id ORDER BY pos)")
-def terms_nearby(spark: SparkSession, d: str) -> DataFrame:
-    has = F.contains(F.lower("text"), F.lit("the ")).cast("int")
-    return cues(spark, d).select("media_id", "pos", (F.max(has).over(Window.partitionBy("media_id").orderBy("pos").rowsBetween(-1, 1)) == 1).alias("nearby"))
-
-
 @query("a33_a36_counts", f"{_C} SELECT media_id, count(*) AS planned, count(*) FILTER (WHERE pos % 3 = 0) AS executed, count(*) FILTER (WHERE pos % 6 = 0) AS accepted, count(*) FILTER (WHERE pos % 3 <> 0) AS skipped FROM cues GROUP BY media_id")
 def counts(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("pos")
@@ -274,14 +237,6 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("key").alias("media_id"), F.array_join("final", "|").alias("final"))
 
 
-@query("u16_judge_budget", f"{_C} SELECT media_id, pos, CASE WHEN k <= 40 THEN 'asked' ELSE 'over budget' END AS state FROM (SELECT media_id, pos, row_number() OVER (ORDER BY sha256('j:' || media_id || '/' || pos), media_id, pos) AS k FROM cues WHERE pos % 4 = 0)")
-def judge_budget(spark: SparkSession, d: str) -> DataFrame:
-    """A budget of forty questions, which the least hashes get."""
-    rows = cues(spark, d).where("pos % 4 = 0").select("media_id", "pos")
-    asked = V.stable_sample(rows, F.concat(F.col("media_id").cast("string"), F.lit("/"), F.col("pos").cast("string")), "j", 40).withColumn("asked", F.lit(True))
-    return rows.join(asked, ["media_id", "pos"], "left").select("media_id", "pos", F.when(F.col("asked"), "asked").otherwise("over budget").alias("state"))
-
-
 @query("u19_c01_c03_c04_config", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'conflict' WHEN event_id % 2 = 0 THEN 'multilingual' WHEN event_id % 3 = 0 THEN 'fixed' ELSE 'auto' END AS mode, CASE WHEN event_id % 7 = 0 THEN 30 ELSE greatest(1, least(600, event_id)) END AS seconds FROM events")
 def config(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")

@@ -412,28 +412,6 @@ def request_body(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "n", (F.get_json_object(body("stub", F.lit("translate"), F.col("texts")), "$.model") == "stub").alias("named"))
 
 
-@query("a19_asr_signals", f"""{_T}, p AS (SELECT l.media_id, l.pos, l.start_ms, l.end_ms, max(r.pos) AS hit FROM cues l LEFT JOIN other r ON l.media_id = r.media_id AND r.start_ms < l.end_ms AND r.end_ms > l.start_ms GROUP BY ALL)
-SELECT media_id, count(*) AS n, count(*) FILTER (WHERE hit IS NULL) AS n_missing FROM p GROUP BY media_id""")
-def asr_signals(spark: SparkSession, d: str) -> DataFrame:
-    rows, other = tracks(spark, d)
-    met = J.touching(rows, other).groupBy("media_id").agg(F.count("*").alias("m"))
-    total = rows.groupBy("media_id").agg(F.count("*").alias("n"))
-    return total.join(met, "media_id", "left").select("media_id", "n", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n_missing"))
-
-
-@query("j15_disagreement", f"""{_T}, b AS (SELECT media_id, pos, length(other_text) - length(text) AS d FROM (SELECT l.media_id, l.pos, l.text, r.text AS other_text, row_number() OVER (PARTITION BY l.media_id, l.pos ORDER BY {_OVERLAP} DESC, r.pos) AS k FROM cues l JOIN other r ON l.media_id = r.media_id WHERE {_OVERLAP} > 300) WHERE k = 1)
-SELECT media_id, count(*) AS n, count(*) FILTER (WHERE d <> 0)::DOUBLE / count(*) AS share FROM b GROUP BY media_id""")
-def disagreement(spark: SparkSession, d: str) -> DataFrame:
-    pairs_ = J.best_overlap(*tracks(spark, d))
-    differs = F.length("other_text") != F.length("text")
-    return pairs_.groupBy("media_id").agg(F.count("*").alias("n"), (F.count_if(differs) / F.count("*")).alias("share"))
-
-
-@query("j29_review_items", f"{_C} SELECT media_id, pos, silence_milli FROM cues ORDER BY silence_milli DESC, media_id, pos LIMIT 20")
-def review_items(spark: SparkSession, d: str) -> DataFrame:
-    return cues(spark, d).orderBy(F.desc("silence_milli"), "media_id", "pos").limit(20).select("media_id", "pos", "silence_milli")
-
-
 @query("f32_immutable", f"{_C} SELECT media_id, pos, start_ms, 'changed' AS problem FROM cues WHERE pos % 6 = 0")
 def immutable(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d).select("media_id", "pos", "start_ms")
@@ -441,15 +419,6 @@ def immutable(spark: SparkSession, d: str) -> DataFrame:
     return rows.exceptAll(changed).withColumn("problem", F.lit("changed"))
 
 
-@query("a26_temporal_stability", f"{_C} SELECT media_id, max(n) AS longest FROM (SELECT media_id, g, count(*) AS n FROM (SELECT media_id, pos - row_number() OVER (PARTITION BY media_id, turn % 4 < 2 ORDER BY pos) AS g, turn % 4 < 2 AS q FROM cues) WHERE q GROUP BY media_id, g) GROUP BY media_id")
-def temporal_stability(spark: SparkSession, d: str) -> DataFrame:
-    from cuelake.operators.sequences import equal_runs
-
-    rows = cues(spark, d).withColumn("present", F.col("turn") % 4 < 2)
-    runs = equal_runs(rows, F.col("present")).join(rows.select("media_id", F.col("pos").alias("first_pos"), "present"), ["media_id", "first_pos"]).where("present")
-    return runs.groupBy("media_id").agg(F.max("n").alias("longest"))
-
-
 @query("a24_a25_consensus")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     """Of all texts of a scene, whole, the one most like the others."""
