@@ -14,12 +14,14 @@ How it runs:
    however many, are never compared.
 2. Shingles found in many nodes are counted over all nodes; the global order puts them
    after the others, and the prefix of each set goes to inverted lists. A
-   passage that many documents share leaves their prefixes that way.
+   passage that many documents share leaves their prefixes that way. Tasks get the common shingles by
+   broadcast while they are few, and each set's own by a join beyond that; the prefixes are the same.
 3. Answers from a similar set: nodes whose first shingles agree are verified against one hub each;
-   a node that is similar to its hub takes over the hub's class, and later only answers
-   outside of that class are computed for it.
-4. Lists are sorted by size and position; blocks whose sizes rule links out are
-   skipped, and positions filter the pairs of the blocks that are left. Long lists are cut in blocks over tasks and compare parity
+   a node that is similar to its hub takes over the hub's class, and only answers
+   outside of that class are computed for it. Its intersection with another set is the hub's with that set,
+   corrected by the shingles in which node and hub differ: the hub's set is sent once, the node's differences alone.
+4. Lists are sorted by size and position and cut in blocks with bounds of both; two blocks whose bounds rule
+   links out are skipped before any pair is formed. Long lists are cut over tasks and compare parity
    sketches (which never underrate a similarity); of the links that a list
    suggests it gives a spanning forest first, and after those are verified, whatever
    still joins two classes. Pairs from short lists pass the sketches once, before whole sets are sent to be compared.
@@ -27,7 +29,8 @@ How it runs:
 Ids may be null or repeat: documents are told apart by their sets, a null id
 is never a class's id while another is there; ``component_id`` names a class, and where ids are null or repeat
 two classes may bear one name, so what keeps a document of each class goes by the internal label. Ties and repeated rows fall
-into one node. An empty table gives an empty result; other columns are not read.
+into one node; rows equal in id and text are read once. Very long texts count as a whole. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -39,20 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import BROADCAST_KEYS, connected_components, materialize, restored, sheltered
+from cuelake.llm.common import BROADCAST_KEYS, arrow_task, connected_components, materialize, restored, sheltered
 from cuelake.llm.words import SPACED, Words, mix, words
 
 N, NUM, DEN = 4, 85, 100
 #: A shingle of so many nodes or more is common.
 COMMON = 32
-#: Common shingles that are sent to all tasks; if there are more, the least common go unmarked (the order stays valid).
-COMMON_LIMIT = 4_000_000
+#: Common shingles (16 bytes each) that are sent to all tasks; more are joined with the sets they are in.
+COMMON_SENT = 1_000_000
 #: Entries of a list that meet in one task.
 BLOCK = 1024
 #: First shingles by which a node looks for its hub.
 HUB_SHINGLES = 3
 #: Members verified against one copy of a hub's set.
-SALT = 512
+SALT = 128
+#: Entries of a list whose bounds are kept together.
+SPAN = 128
 
 #: Documents whose sets are in a task's memory at once.
 ROWS = 256
@@ -85,7 +90,7 @@ def _map(df: DataFrame, schema: str, make) -> DataFrame:
                 made = make(whole.slice(first, ROWS))
                 yield pa.RecordBatch.from_arrays([pa.array(made[c], t) for c, t in zip(names, types, strict=True)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(arrow_task(run), schema)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -109,6 +114,19 @@ def set_signatures(docs: DataFrame, n: int = N) -> DataFrame:
     return _map(rows, "doc_id long, _id long, _h long, n int, s1 long, s2 long", make)
 
 
+def _once(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """doc_id, text of docs, rows that are equal in both once."""
+    rows = docs.select("doc_id", "text")
+    again = signed.groupBy("_id", "_h").count().where("count > 1").select(F.col("_id").alias("_kid"), F.col("_h").alias("_kh"))
+    again = materialize(again, "jaccard-repeated")
+    if again.isEmpty():
+        return rows
+    rows = _identified(rows)
+    same = (rows["_id"] == again["_kid"]) & (rows["_h"] == again["_kh"])
+    one = rows.join(again, same, "left_semi").dropDuplicates(["_id", "_h"])
+    return rows.join(again, same, "left_anti").union(one).select("doc_id", "text")
+
+
 def _by_key(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Texts of the rows that keys (_id, _h and more) name: by broadcast while
     keys are few, by shuffle beyond."""
@@ -129,26 +147,31 @@ def _cut(num: int, den: int) -> np.uint64:
     return np.uint64(min(2**64 - 1, 2 * (den - num) * 2**64 // den))
 
 
-def _common(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the common shingles, and in how many nodes each is."""
-    cut = _cut(num, den)
+def _first(h: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of a sorted set the shingles that may be in its prefix."""
+    return h[: max(int(np.searchsorted(h, _cut(num, den))), min(len(h), 2 * _prefix(len(h), num, den)))]
+
+
+def _common(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """token, c: the common shingles among those that may be in prefixes, and in how many nodes each is."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        out = [np.zeros(0, np.uint64)]
-        for h in _sets(batch.column("text"), n):
-            if len(h):
-                out.append(h[: max(int(np.searchsorted(h, cut)), min(len(h), 2 * _prefix(len(h), num, den)))])
-        return {"token": np.concatenate(out).view(np.int64)}
+        return {"token": np.concatenate([np.zeros(0, np.uint64), *(_first(h, num, den) for h in _sets(batch.column("text"), n))]).view(np.int64)}
 
     counts = _map(_by_key(docs, nodes.select("_id", "_h")), "token long", make).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
-    counts = materialize(counts, "jaccard-common")
-    least, found = COMMON, counts.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()
-    while sum(r["count"] for r in found if 2 ** r["k"] >= least) > COMMON_LIMIT:
-        least *= 2
-    held = counts.where(F.col("c") >= least).toArrow()
-    tokens, c = held["token"].to_numpy().view(np.uint64), held["c"].to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], c[order]
+    return materialize(counts, "jaccard-common")
+
+
+def _marked(nodes: DataFrame, docs: DataFrame, common: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """nodes with hot, cuts: the common shingles that each has (in order) and their counts. No more than may be in its prefix."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        sets = [_first(h, num, den) for h in _sets(batch.column("text"), n)]
+        return {"node": np.repeat(batch.column("node").to_numpy(), [len(h) for h in sets]), "token": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)}
+
+    held = _map(_by_key(docs, nodes.select("node", "_id", "_h")), "node long, token long", make).join(common, "token")
+    held = held.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("token", "c"))).alias("m"))
+    return nodes.join(held, "node", "left").withColumns({"hot": F.coalesce(F.col("m.token"), F.array().cast("array<long>")), "cuts": F.coalesce(F.col("m.c"), F.array().cast("array<long>"))}).drop("m")
 
 
 def _sketch_bytes(n: int) -> int:
@@ -161,68 +184,107 @@ def _sketch(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def _in_order(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes as they are sorted in sets, and their counts."""
+    tokens = tokens.view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
 def _prefixes(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node, n, tokens (the prefix, in the global order), blocks (for each of them, in how many its list is
     cut; 0: not common), hot (a token is common), sketch."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_common(nodes, docs, n, num, den))
-    first = _cut(num, den)
+    first, common = _cut(num, den), _common(nodes, docs, n, num, den)
+    sent = common.count() <= COMMON_SENT
+    if sent:
+        held = common.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(_in_order(held["token"].to_numpy(), held["c"].to_numpy()))
+    else:
+        nodes, shared = _marked(nodes, docs, common, n, num, den), None
 
     def make(batch: pa.RecordBatch) -> dict:
-        common, counts = shared.value
         out: dict[str, list] = {"node": batch.column("node"), "n": [], "tokens": [], "blocks": [], "hot": [], "sketch": []}
-        for h in _sets(batch.column("text"), n):
-            at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-            hot = common[at] == h if len(common) else np.zeros(len(h), bool)
-            order = np.argsort((h >= first) * 2 + hot, kind="stable")[: _prefix(len(h), num, den)]
-            cut = np.where(hot, -(-counts[at] // BLOCK), 0) if len(common) else np.zeros(len(h), np.int64)
+        for k, h in enumerate(_sets(batch.column("text"), n)):
+            tokens, counts = shared.value if sent else _in_order(*(np.array(batch.column(c)[k].as_py(), np.int64) for c in ("hot", "cuts")))
+            blocks = np.zeros(len(h), np.int64)
+            if len(tokens):
+                at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+                blocks = np.where(tokens[at] == h, -(-counts[at] // BLOCK), 0)
+            order = np.argsort((h >= first) * 2 + (blocks > 0), kind="stable")[: _prefix(len(h), num, den)]
             out["n"].append(len(h))
             out["tokens"].append(h[order].view(np.int64))
-            out["blocks"].append(cut[order])
-            out["hot"].append(int(hot[order].any()))
+            out["blocks"].append(blocks[order])
+            out["hot"].append(int((blocks[order] > 0).any()))
             out["sketch"].append(_sketch(h))
         return out
 
-    rows = _by_key(docs, nodes.select("node", "_id", "_h"))
+    rows = _by_key(docs, nodes.select("node", "_id", "_h", *([] if sent else ["hot", "cuts"])))
     return materialize(_map(rows, "node long, n int, tokens array<long>, blocks array<long>, hot int, sketch binary", make), "jaccard-prefixes")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (a, b) those that link. A set meets its hub's in a
-    task; a hub of many members is sent once for each SALT of them."""
+def _shared(small: np.ndarray, large: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (small, large) if len(small) <= len(large) else (large, small)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int, members: DataFrame | None = None) -> DataFrame:
+    """Of distinct pairs (a, b) those that link, with the shingles of b that a has not (plus) and of a that b has not (minus).
+
+    Whole sets meet in a task: that of a, once for each SALT of its partners, and that of each base. The base of b is b itself, or,
+    for members (b with its hub a, plus and minus, as found before), the hub: then b's
+    intersection with a is the base's, and what plus adds and minus takes away."""
     pairs = materialize(pairs, "jaccard-pairs")
     if pairs.isEmpty():
-        return pairs
+        return pairs.withColumns({"plus": F.lit(None).cast("binary"), "minus": F.lit(None).cast("binary")})
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("s"))
-    place = nodes.select("node", "_id", "_h")
-    members = pairs.join(salts, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("salt"))
-    hubs = salts.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"))
-    keys = materialize(members.union(hubs).join(place, "node"), "jaccard-keys")
+    asked = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("s")).cast("int").alias("salt"))
+    no, empty = F.lit(None).cast("long"), F.lit(b"")
+    if members is None:
+        asked = asked.withColumns({"base": F.col("b"), "plus": empty, "minus": empty})
+    else:
+        by_hub = members.select(F.col("a").alias("_hub"), F.col("b").alias("_b"), "plus", "minus")
+        asked = asked.join(by_hub, F.col("b") == F.col("_b"), "left")
+        asked = asked.select("a", "b", "salt", F.coalesce("_hub", "b").alias("base"), F.coalesce("plus", empty).alias("plus"), F.coalesce("minus", empty).alias("minus"))
+    asked = materialize(asked, "jaccard-asked")
+    bases = asked.select("a", "salt", "base").distinct().select("a", "salt", "base", F.col("base").alias("node"))
+    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), no.alias("base"), F.col("a").alias("node"))
+    keys = materialize(bases.union(hubs).join(nodes.select("node", "_id", "_h"), "node"), "jaccard-keys")
 
     def sets(batch: pa.RecordBatch) -> dict:
-        return {"a": batch.column("a"), "node": batch.column("node"), "salt": batch.column("salt"), "items": [h.tobytes() for h in _sets(batch.column("text"), n)]}
+        return {"a": batch.column("a"), "salt": batch.column("salt"), "base": batch.column("base"), "plus": [h.tobytes() for h in _sets(batch.column("text"), n)]}
 
-    rows = _map(_by_key(docs, keys), "a long, node long, salt int, items binary", sets)
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", (F.col("a") != F.col("node")).cast("int"))
+    whole = _map(_by_key(docs, keys), "a long, salt int, base long, plus binary", sets)
+    rows = whole.select("a", "salt", "base", no.alias("b"), "plus", F.lit(None).cast("binary").alias("minus"))
+    rows = rows.union(asked.select("a", "salt", "base", "b", "plus", "minus"))
+    # the set of a, and then each base's before those that are told by it
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("base"), F.asc_nulls_first("b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = np.zeros(0, np.uint64), None
+        own = base = np.zeros(0, np.uint64)
+        both = 0
         for batch in batches:
-            a, node, items = batch.column("a").to_pylist(), batch.column("node").to_pylist(), batch.column("items")
-            out = []
+            is_a, is_set = batch.column("base").is_null().to_pylist(), batch.column("b").is_null().to_pylist()
+            plus, minus = batch.column("plus"), batch.column("minus")
+            took: list[tuple[int, bytes, bytes]] = []
             for k in range(batch.num_rows):
-                h = np.frombuffer(items[k].as_buffer(), np.uint64)
-                if a[k] == node[k]:
-                    hub, own = h, a[k]
-                    continue
-                assert own == a[k]
-                small, large = (h, hub) if len(h) < len(hub) else (hub, h)
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if den * both >= num * (len(h) + len(hub) - both):
-                    out.append((a[k], node[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-    return materialize(rows.mapInArrow(check, "a long, b long"), "jaccard-links")
+                h = np.frombuffer(plus[k].as_buffer(), np.uint64)
+                if is_a[k]:
+                    own = h
+                elif is_set[k]:
+                    base, both = h, _shared(h, own)
+                else:
+                    less = np.frombuffer(minus[k].as_buffer(), np.uint64)
+                    shared = both + _shared(h, own) - _shared(less, own)
+                    size = len(base) + len(h) - len(less)
+                    if den * shared >= num * (len(own) + size - shared):
+                        b = base if not len(h) and not len(less) else np.union1d(np.setdiff1d(base, less, assume_unique=True), h)
+                        took.append((k, np.setdiff1d(b, own, assume_unique=True).tobytes(), np.setdiff1d(own, b, assume_unique=True).tobytes()))
+            at = pa.array([k for k, *_ in took], pa.int64())
+            made = [batch.column("a").take(at), batch.column("b").take(at), pa.array([x for _, x, _ in took], pa.binary()), pa.array([x for *_, x in took], pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["a", "b", "plus", "minus"])
+
+    return materialize(rows.mapInArrow(arrow_task(check), "a long, b long, plus binary, minus binary"), "jaccard-links")
 
 
 def _plausible(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
@@ -242,7 +304,7 @@ def _plausible(pairs: DataFrame, prefixes: DataFrame, num: int, den: int) -> Dat
                 odd[at] = np.bitwise_count(_folded([sa[i] for i in at], int(k)) ^ _folded([sb[i] for i in at], int(k))).sum(1)
             yield batch.select(["a", "b"]).filter(pa.array(odd <= n - 2 * -((-num * n) // (num + den))))
 
-    return rows.mapInArrow(keep, "a long, b long")
+    return rows.mapInArrow(arrow_task(keep), "a long, b long")
 
 
 def _hub_pairs(prefixes: DataFrame) -> DataFrame:
@@ -279,38 +341,57 @@ def _folded(sketches: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def _met(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, int, int]]:
+    """(a, b, c, d): entries a..b and c..d of a list, in its order, that may link. Blocks of SPAN entries whose bounds of
+    size and position rule that out are skipped."""
+    cut = np.arange(0, len(n), SPAN)
+    ends = np.append(cut[1:], len(n))
+    low, high = np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut)
+    far, rest = np.maximum.reduceat(pos, cut), np.maximum.reduceat(n - pos, cut)
+    need = -((-num * (low[:, None] + low)) // (num + den))
+    may = (np.minimum(far[:, None], far) + np.minimum(rest[:, None], rest) >= need) & (num * low[:, None] <= den * high) & (num * low <= den * high[:, None])
+    for i, j in zip(*np.nonzero(np.triu(may)), strict=True):
+        yield int(cut[i]), int(ends[i]), int(cut[j]), int(ends[j])
+
+
+def _similar_sketches(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: list, num: int, den: int) -> np.ndarray:
+    """Which pairs (i, j) of entries their sketches do not rule out."""
+    most_odd = n[i] + n[j] - 2 * -((-num * (n[i] + n[j])) // (num + den))
+    ok = np.zeros(len(i), bool)
+    sizes = np.array([len(s) for s in sketches])
+    smaller = np.minimum(sizes[i], sizes[j])
+    for size in np.unique(smaller):
+        at = np.flatnonzero(smaller == size)
+        used = np.unique(np.concatenate([i[at], j[at]]))
+        flat = _folded([sketches[k] for k in used], int(size))
+        odd = np.bitwise_count(flat[np.searchsorted(used, i[at])] ^ flat[np.searchsorted(used, j[at])]).sum(1)
+        ok[at] = odd <= most_odd[at]
+    return ok
+
+
 def _list_pairs(node: np.ndarray, group: np.ndarray, n: np.ndarray, pos: np.ndarray, own: np.ndarray, sketches: list | None, num: int, den: int, forest: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one list that may link and are of two classes. Entries are
-    sorted by size; a block of them is compared with those that sizes allow."""
+    """Pairs of one list that may link and are of two classes."""
     out = []
     group, apart = group.copy(), (own != own[0]).any()  # two blocks: pairs inside one of them meet elsewhere
-    step = max(1, min(256, (1 << 20) // len(n)))
-    for a in range(0, len(n), step):
-        b = min(len(n), a + step)
-        end = int(np.searchsorted(n, n[b - 1] * den // num, "right"))
-        if end - a < 2 or (group[a:end] == group[a]).all():
+    if len(n) > SPAN:  # entries of about one size by position, so that blocks have close bounds
+        order = np.lexsort((n, pos, np.floor(np.log(n) * (2 / np.log(den / num)))))
+        node, group, n, pos, own = node[order], group[order], n[order], pos[order], own[order]
+        sketches = [sketches[k] for k in order] if sketches is not None else None
+    for a, b, c, d in _met(n, pos, num, den):
+        if (group[a:b] == group[a]).all() and (group[c:d] == group[a]).all():
             continue
-        x, y = slice(a, b), slice(a, end)
+        x, y = slice(a, b), slice(c, d)
         need = -((-num * (n[x, None] + n[None, y])) // (num + den))
-        most = np.minimum(pos[x, None], pos[None, y]) + 1 + np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :]) - 1
-        may = (most >= need) & (num * n[None, y] <= den * n[x, None]) & (group[x, None] != group[None, y]) & (np.arange(a, end)[None, :] > np.arange(a, b)[:, None])
+        most = np.minimum(pos[x, None], pos[None, y]) + np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :])
+        may = (most >= need) & (num * n[None, y] <= den * n[x, None]) & (num * n[x, None] <= den * n[None, y]) & (group[x, None] != group[None, y])
+        if a == c:
+            may = np.triu(may, 1)
         if apart:
             may &= own[x, None] != own[None, y]
         i, j = np.nonzero(may)
-        i, j = i + a, j + a
+        i, j = i + a, j + c
         if sketches is not None and len(i):
-            most_odd = n[i] + n[j] - 2 * -((-num * (n[i] + n[j])) // (num + den))
-            ok = np.zeros(len(i), bool)
-            sizes = np.array([len(s) for s in sketches[a:end]])
-            smaller = np.minimum(sizes[i - a], sizes[j - a])
-            for size in np.unique(smaller):
-                at = np.flatnonzero(smaller == size)
-                used = np.unique(np.concatenate([i[at], j[at]]))
-                flat = _folded([sketches[k] for k in used], int(size))
-                for c in range(0, len(at), 1 << 18):
-                    w = at[c : c + (1 << 18)]
-                    odd = np.bitwise_count(flat[np.searchsorted(used, i[w])] ^ flat[np.searchsorted(used, j[w])]).sum(1)
-                    ok[w] = odd <= most_odd[w]
+            ok = _similar_sketches(i, j, n, sketches, num, den)
             i, j = i[ok], j[ok]
             if forest and len(i):
                 keep_i, keep_j = [], []
@@ -351,7 +432,7 @@ def _list_candidates(entries: DataFrame, num: int, den: int, forest: bool) -> Da
         if held is not None and held.num_rows:
             yield pairs(_lists(held, num, den, forest))
 
-    return rows.select("token", "pair", "own", "node", "class", "n", "pos", "sketch").mapInArrow(scan, "a long, b long").distinct()
+    return rows.select("token", "pair", "own", "node", "class", "n", "pos", "sketch").mapInArrow(arrow_task(scan), "a long, b long").distinct()
 
 
 def _starts(table: pa.Table) -> np.ndarray:
@@ -389,13 +470,15 @@ def similarity_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
     for each document; component_id is the smallest doc_id of its class. Where ids
     are null or repeat, classes may share it; ``class`` tells them apart (null: no words)."""
     signed = materialize(set_signatures(docs, n), "jaccard-signatures")
+    docs = _once(docs, signed)
     # sets that small only link with equal ones
     own = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("_id", "_h")).alias("r"), F.min("doc_id").alias("least"))
     nodes = materialize(own.select("n", "s1", "s2", "least", F.col("r._id").alias("_id"), F.col("r._h").alias("_h"), F.monotonically_increasing_id().alias("node")), "jaccard-nodes")
     able = nodes.where(F.col("n") * (den - num) >= num)
     prefixes = _prefixes(able, docs, n, num, den)
 
-    links = _verified(_plausible(_hub_pairs(prefixes), prefixes, num, den), able, docs, n, num, den)
+    members = _verified(_plausible(_hub_pairs(prefixes), prefixes, num, den), able, docs, n, num, den)
+    links = members.select("a", "b")
     classes = _classes(links)
     for forest in (True, False):
         # what is not common needs no second look: its lists gave every pair
@@ -404,7 +487,7 @@ def similarity_classes(docs: DataFrame, n: int = N, num: int = NUM, den: int = D
             break
         entries = _entries(rows, classes)
         found = _list_candidates(entries if forest else entries.where("sketch is not null"), num, den, forest)
-        links = links.union(_verified(_plausible(found, prefixes, num, den), able, docs, n, num, den))
+        links = links.union(_verified(_plausible(found, prefixes, num, den), able, docs, n, num, den, members).select("a", "b"))
         classes = _classes(links)
     labels = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     labels = materialize(labels, "jaccard-labels")

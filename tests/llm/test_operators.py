@@ -266,6 +266,12 @@ def shingles(text, n):
 
 
 def brute_classes(rows, n, num, den):
+    """doc_id, size of the set, component id of each row."""
+    return sorted((x[:3] for x in brute_members(rows, n, num, den)), key=repr)
+
+
+def brute_members(rows, n, num, den):
+    """The same, and the number of a row of its class."""
     sets = [(i, shingles(t, n)) for i, t, *_ in rows]
     root = list(range(len(sets)))
 
@@ -283,7 +289,7 @@ def brute_classes(rows, n, num, den):
     for k, (i, _) in enumerate(sets):
         if i is not None:
             low[find(k)] = min(low.get(find(k), i), i)
-    return sorted(((i, len(s), low.get(find(k)) if s else i) for k, (i, s) in enumerate(sets)), key=repr)
+    return [(i, len(s), low.get(find(k)) if s else i, find(k)) for k, (i, s) in enumerate(sets)]
 
 
 def edited(rng, text, edits):
@@ -307,9 +313,11 @@ def jaccard_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_jaccard_classes_agree_with_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "sent", "span"), [(4096, 10**6, 128), (16, 0, 4)])
+def test_jaccard_classes_agree_with_brute_force(spark, monkeypatch, block, sent, span):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "COMMON_SENT", sent)
+    monkeypatch.setattr(jaccard_join, "SPAN", span)
     rows = jaccard_rows(7)
     got = sorted((tuple(r) for r in jaccard_join.jaccard_report(docs(spark, [(*r, 1, 2) for r in rows], ", node int, n int")).collect()), key=repr)
     assert got == brute_classes(rows, 4, 85, 100)
@@ -318,9 +326,10 @@ def test_jaccard_classes_agree_with_brute_force(spark, monkeypatch, block):
 def test_one_of_each_class_stays(spark):
     rows = jaccard_rows(8)
     kept = jaccard_join.keep_one(docs(spark, [(*r, 1) for r in rows], ", _id int"))
-    want = brute_classes(rows, 5, 80, 100)
+    want = brute_members(rows, 5, 80, 100)
     assert kept.columns[-1] == "_id"
-    assert kept.count() == len({c for _, n, c in want if n}) + sum(1 for _, n, _ in want if not n)
+    # classes, not their names: the id 8 names two of them
+    assert kept.count() == len({c for _, n, _, c in want if n}) + sum(1 for _, n, *_ in want if not n)
     assert jaccard_join.keep_one(docs(spark, [])).count() == 0
 
 
@@ -333,6 +342,25 @@ def test_classes_that_share_an_id_each_keep_one(spark):
     assert got == sorted([(None, t) for t in alone] + [(3, one), (3, two), (None, None)], key=repr)
 
 
+def test_many_copies_without_an_id(spark):
+    rng = random.Random(4)
+    one, two = sentence(rng, 60, 10**6), sentence(rng, 60, 10**6)
+    rows = [(None, one, "en", "s", 0)] * 1000 + [(7, two, "en", "s", 0)] * 300 + [(2, edited(rng, one, 1), "en", "s", 0), (9, edited(rng, two, 1), "en", "s", 0)]
+    got = jaccard_join.jaccard_report(docs(spark, rows)).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(None, 57, 2, 1000), (2, 57, 2, 1), (7, 57, 7, 300), (9, 57, 7, 1)], key=repr)
+    assert jaccard_join.keep_one(docs(spark, rows)).count() == 2
+
+
+def test_blocks_of_a_list_are_skipped_by_size_and_position(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SPAN", 8)
+    n = np.repeat([100, 100, 400], 8)
+    pos = np.repeat([0, 8, 0], 8)
+    met = list(jaccard_join._met(n, pos, 85, 100))
+    # by size the last block meets itself alone; sets of 100 need 92 in common, which 92 left from position 8 on may be
+    assert {(a // 8, c // 8) for a, _, c, _ in met} == {(0, 0), (0, 1), (1, 1), (2, 2)}
+    assert {(a // 8, c // 8) for a, _, c, _ in jaccard_join._met(n, np.repeat([0, 9, 0], 8), 85, 100)} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_long_texts_join(spark):
     rng = random.Random(1)
     long = sentence(rng, 30_000, 10**6)
