@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -204,3 +205,93 @@ def subtitle_formats(value: Column, supported: tuple[str, ...] = ("srt", "ass"))
     bad = F.filter(asked, lambda x: ~x.isin(*supported))
     formats = F.when(F.array_contains(asked, "srt"), asked).otherwise(F.concat(F.array(F.lit("srt")), asked))
     return F.when(F.size(bad) == 0, formats).otherwise(F.raise_error(F.concat(F.lit("Unsupported subtitle format: "), F.get(bad, F.lit(0)))).cast("array<string>"))
+
+
+#: Suffixes of the source language's files, the kind of references that scores may use, keys and endings that reports must not have.
+SOURCE_LANGUAGES = ("english", "eng", "en")
+FORMAL = "gold_verbatim"
+FORBIDDEN_KEYS = ("path", "transcript", "prompt", "api_key", "authorization", "source_srt", "reference_srt", "candidate_srt", "input")
+SECRET_KEYS = r"(?i)key|token|secret|password|authorization"
+PRIVATE_PATH = r"(?:[A-Za-z]:[\\/]|/Users/|/home/|\\\\)"
+
+
+def is_source_language(filename: Column) -> Column:
+    """Whether a subtitle file's language suffix is one of the source language's."""
+    return F.regexp_extract(F.lower(filename), r"\.([a-z]{2,6})\.(srt|ass|ssa|sub)$", 1).isin(*SOURCE_LANGUAGES)
+
+
+def is_formal_reference(kind: Column) -> Column:
+    return F.coalesce(kind == FORMAL, F.lit(False))
+
+
+def safe_member(name: Column) -> Column:
+    """An archive member's name with forward slashes; null if it is empty, absolute, with a drive, or has a part that is empty, . or .. ."""
+    path = F.replace(name, F.lit("\\"), F.lit("/"))
+    bad = path.startswith("/") | path.rlike("^[A-Za-z]:") | F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
+    return F.when(~bad, path)
+
+
+def target_language(translated: Column, bilingual: Column) -> Column:
+    """The language in the first path that has one; empty without."""
+    found = [F.regexp_extract(F.coalesce(c, F.lit("")), r"\.(?:translated|bilingual)\.([A-Za-z]{2}(?:-[A-Za-z0-9]+)?)\.srt$", 1) for c in (translated, bilingual)]
+    return F.when(found[0] != "", found[0]).otherwise(found[1])
+
+
+def source_groups(members: DataFrame, member: str = "member") -> DataFrame:
+    """members with source_group: the folder where members are in three folders or more, else the name without the segment or number at its end.
+    Null for names that are ids, or have no such end."""
+    parent, stem = F.regexp_extract(member, r"^(.*)/[^/]*$", 1), F.regexp_replace(F.regexp_extract(member, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    folders = members.select(parent.alias("p")).distinct().limit(3).count()  # three are enough to know
+    is_id = stem.rlike(r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    cut = F.regexp_replace(F.regexp_replace(stem, r"(?i)(?:[-_.](?:clip|segment|seg|chunk|part|utt))?[-_.]?\d+(?:[-_.]\d+)?$", ""), r"^[-_.]+|[-_.]+$", "")
+    by_name = F.when(~is_id & (cut != "") & (cut != stem), cut)
+    return members.withColumn("source_group", F.when(F.lit(folders >= 3) & (parent != ""), parent).otherwise(by_name))
+
+
+def _visited(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: "[redacted]" if re.search(SECRET_KEYS, k) else _visited(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_visited(v) for v in value]
+    return re.sub(r"(?:[A-Za-z]:\\|/(?:home|Users|root|tmp)/)\S*", "[path]", value) if isinstance(value, str) else value
+
+
+@F.pandas_udf(StringType())
+def sanitized(document: pd.Series) -> pd.Series:
+    """A JSON document of any depth with secrets and absolute paths masked; null if it cannot be read."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return json.dumps(_visited(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return document.map(one)
+
+
+def _problem(value: object) -> str | None:
+    if isinstance(value, dict):
+        for key, item in value.items():
+            low = key.casefold()
+            if low.endswith("_text") or any(x in low for x in FORBIDDEN_KEYS):
+                return "forbidden_key"
+            if found := _problem(item):
+                return found
+    elif isinstance(value, list):
+        return next((found for item in value if (found := _problem(item))), None)
+    elif isinstance(value, str) and not re.match("(?i)https?://", value) and re.search(PRIVATE_PATH, value):
+        return "private_path"
+    return None
+
+
+@F.pandas_udf(StringType())
+def public_safe(document: pd.Series) -> pd.Series:
+    """What must not be public in a JSON document: forbidden_key, private_path or not_json; null if nothing."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return _problem(json.loads(text))
+        except (TypeError, ValueError):
+            return "not_json"
+
+    return document.map(one)

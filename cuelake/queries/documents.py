@@ -102,13 +102,6 @@ def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     return V.running_offsets(cues(spark, d), 500)
 
 
-@query("k22_k24_t45_layout", "SELECT doc_id, kind || '/doc-' || doc_id || '.' || lang || '.srt' AS path, lang AS language FROM documents, (VALUES ('source'), ('target')) v(kind)")
-def layout(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.explode(F.array(F.lit("source"), F.lit("target"))).alias("kind"))
-    path = F.concat("kind", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit("."), "lang", F.lit(".srt"))
-    return rows.select("doc_id", path.alias("path"), T.language_of_path(path).alias("language"))
-
-
 @query("t19_two_lines", "SELECT conv_id, turn, role AS source, 'x' AS target FROM conversations")
 def two_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = T.lines(F.concat("role", F.lit("\n\n x \n")))
@@ -121,7 +114,7 @@ def wrapped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", T.wrapped("text", F.lit(42)).alias("text"))
 
 
-@query("t28_t29_t30_secrets", "SELECT c_custkey, 'name=' || c_name AS kept, true AS safe FROM customer")
+@query("t29_secrets", "SELECT c_custkey, 'name=' || c_name AS kept, true AS safe FROM customer")
 def secrets(spark: SparkSession, d: str) -> DataFrame:
     values = F.create_map(F.lit("name"), F.col("c_name"), F.lit("API_Key"), F.lit("x"), F.lit("my_password"), F.lit("y"))
     kept = N.drop_secrets(values)
@@ -135,16 +128,7 @@ def prompt(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.prompt(F.lit("formal"), custom, terms).alias("prompt"))
 
 
-@query("t43_t44_source_groups", "SELECT 'film' || p_partkey % 50 AS source_group, count(*) AS n, count(*) FILTER (WHERE p_partkey % 7 = 0) AS n_unsafe FROM part GROUP BY 1")
-def source_groups(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    member = F.concat(F.when(k % 7 == 0, "../").otherwise("in/"), F.lit("film"), (k % 50).cast("string"), F.lit("_seg"), k.cast("string"), F.lit(".wav"))
-    group = F.regexp_extract(member, r"([^/]*?)[_-]seg\d+\.[^.]*$", 1)
-    unsafe = member.rlike(r"^[/\\]|(^|[/\\])\.\.([/\\]|$)|^[A-Za-z]:")
-    return table(spark, d, "part").select(group.alias("source_group"), unsafe.alias("unsafe")).groupBy("source_group").agg(F.count("*").alias("n"), F.count_if("unsafe").alias("n_unsafe"))
-
-
-@query("m13_c09_c10_c11_config_hash", """SELECT c_custkey, sha256('{"a":"' || c_mktsegment || '","b":' || c_nationkey || '}') AS digest FROM customer""")
+@query("m13_config_hash", """SELECT c_custkey, sha256('{"a":"' || c_mktsegment || '","b":' || c_nationkey || '}') AS digest FROM customer""")
 def config_hash(spark: SparkSession, d: str) -> DataFrame:
     """Keys in order, so that equal configurations have equal digests."""
     return table(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(F.struct(F.col("c_mktsegment").alias("a"), F.col("c_nationkey").alias("b"))), 256).alias("digest"))
@@ -155,11 +139,6 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.left("text", F.lit(100)), F.right("text", F.lit(100)), F.col("n_chars").cast("string")), 256).alias("fingerprint"))
 
 
-@query("f30_f31_f34_a37_a38_gates", f"{_C} SELECT media_id, bool_and(end_ms > start_ms) AND bool_and(length(text) > 20) AND count(*) >= 2 AS passed FROM cues GROUP BY media_id")
-def gates(spark: SparkSession, d: str) -> DataFrame:
-    return cues(spark, d).groupBy("media_id").agg((F.bool_and(F.col("end_ms") > F.col("start_ms")) & F.bool_and(F.length("text") > 20) & (F.count("*") >= 2)).alias("passed"))
-
-
 @query("n04_n06_answer_shapes", "SELECT event_id, event_id::VARCHAR AS id, event_type AS text FROM events")
 def answer_shapes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id").cast("string")
@@ -169,13 +148,6 @@ def answer_shapes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(N.entries(shape)).alias("id", "text"))
 
 
-@query("j13_j37_strategies", f"""{_T} SELECT c.media_id, count(*) AS n, count(*) FILTER (WHERE o.text = c.text) AS n_equal, sum(length(c.text) - coalesce(length(o.text), 0))::BIGINT AS shorter FROM cues c LEFT JOIN other o USING (media_id, pos) GROUP BY c.media_id""")
-def strategies(spark: SparkSession, d: str) -> DataFrame:
-    rows = cues(spark, d)
-    both = rows.join(other_track(rows).select("media_id", "pos", F.col("text").alias("other")), ["media_id", "pos"], "left")
-    return both.groupBy("media_id").agg(F.count("*").alias("n"), F.count_if(F.col("other") == F.col("text")).alias("n_equal"), F.sum(F.length("text") - F.coalesce(F.length("other"), F.lit(0))).alias("shorter"))
-
-
 @query("j14_a39_a42_campaign", "SELECT source, avg(n_chars) FILTER (WHERE lang = 'en') AS en, avg(n_chars) FILTER (WHERE lang = 'fr') AS fr, avg(n_chars) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY source")
 def campaign(spark: SparkSession, d: str) -> DataFrame:
     """Samples by profile, as columns."""
@@ -237,8 +209,3 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("key").alias("media_id"), F.array_join("final", "|").alias("final"))
 
 
-@query("u19_c01_c03_c04_config", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'conflict' WHEN event_id % 2 = 0 THEN 'multilingual' WHEN event_id % 3 = 0 THEN 'fixed' ELSE 'auto' END AS mode, CASE WHEN event_id % 7 = 0 THEN 30 ELSE greatest(1, least(600, event_id)) END AS seconds FROM events")
-def config(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("event_id")
-    mode = C.asr_mode(F.when(k % 2 == 0, " Multilingual"), F.when(k % 3 == 0, "fr"))
-    return table(spark, d, "events").select("event_id", mode.alias("mode"), C.ranged(F.when(k % 7 == 0, "none").otherwise(k.cast("string")), 1, 600, 30).cast("long").alias("seconds"))
