@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import connected_components, materialize
+from cuelake.llm.common import arrow_task, connected_components, materialize
 
 COSINE = 0.98
 BLOCKS = 2
@@ -107,7 +107,7 @@ def _filters(nodes: DataFrame, words: int, kind: type) -> DataFrame:
                 names=["node", "label", "dim", "copies", "vector", "filters"],
             )
 
-    return nodes.select("node", "label", "copies", "embedding").mapInArrow(run, "node long, label long, dim int, copies long, vector binary, filters array<long>")
+    return nodes.select("node", "label", "copies", "embedding").mapInArrow(arrow_task(run), "node long, label long, dim int, copies long, vector binary, filters array<long>")
 
 
 def _meet(x: np.ndarray, filters: np.ndarray, own: int, node: np.ndarray, copies: np.ndarray, block: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
@@ -179,7 +179,7 @@ def _links(spread: DataFrame, kind: type, cosine: float) -> DataFrame:
 
     keys = ["label", "dim", "filter", "pair"]
     rows = spread.repartition(*keys).sortWithinPartitions(*keys, "node")
-    return rows.select(*keys, "block", "node", "copies", "vector", "filters").mapInArrow(run, "a long, b long, n long")
+    return rows.select(*keys, "block", "node", "copies", "vector", "filters").mapInArrow(arrow_task(run), "a long, b long, n long")
 
 
 def _starts(t: pa.Table) -> np.ndarray:

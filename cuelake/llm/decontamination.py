@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize, restored, sheltered
+from cuelake.llm.common import arrow_task, materialize, restored, sheltered
 from cuelake.llm.words import ALNUM, Words, words
 
 N = 10
@@ -116,7 +116,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int
                 made = {"_words": pa.array(counts), "_spans": pa.array(spans, batch.schema.field("_spans").type), "_items": pa.array(items, batch.schema.field("_items").type)}
                 yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in batch.schema.names], schema=batch.schema)
 
-        out = out.mapInArrow(scan, out.schema)
+        out = out.mapInArrow(arrow_task(scan), out.schema)
         if k + 1 < blocks:
             out = materialize(out, "decontamination")
     return out

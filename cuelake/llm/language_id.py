@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from cuelake.llm.common import materialize
+from cuelake.llm.common import arrow_task, materialize
 from cuelake.llm.words import _buffers
 
 SIZES = (2, 3, 4)
@@ -145,7 +145,7 @@ def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, landmarks: int =
                 made.append(held.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["codes"])
 
-    found = sorted((np.frombuffer(r["codes"], np.uint32) for r in chosen.mapInArrow(grams, "codes binary").collect()), key=lambda x: x.tobytes())
+    found = sorted((np.frombuffer(r["codes"], np.uint32) for r in chosen.mapInArrow(arrow_task(grams), "codes binary").collect()), key=lambda x: x.tobytes())
     if not found:
         return None
     alphabet = _alphabet(found)
@@ -160,7 +160,7 @@ def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, landmarks: int =
                 k = shared.value.kernel(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in k], pa.binary())], names=["lang", "k"])
 
-    got = sample.select("text", "lang").mapInArrow(kernels, "lang string, k binary").toArrow()
+    got = sample.select("text", "lang").mapInArrow(arrow_task(kernels), "lang string, k binary").toArrow()
     order = sorted(zip(got["lang"].to_pylist(), got["k"].to_pylist(), strict=True))
     k = np.stack([np.frombuffer(x, np.float32) for _, x in order]).astype(np.float64)
     y = np.array([[float(lang == x) for x in model.languages] for lang, _ in order])
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = StructType([*docs.schema.fields, StructField("_letter", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, schema).drop("_letter")
+    return rows.mapInArrow(arrow_task(run), schema).drop("_letter")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ END_ID = 1
 #: Distinct pieces encoded in one call of the tokenizer.
 CALL = 16_384
 #: Distinct pieces whose ids a Python worker keeps, from task to task (about 200 bytes each); beyond, the less used half goes.
-KEEP = 300_000
+KEEP = 500_000
 #: Bytes of text encoded at once where a tokenizer cannot be given pieces.
 WHOLE = 1 << 18
 

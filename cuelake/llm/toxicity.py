@@ -7,14 +7,16 @@ gives every coordinate its own rate and, by its L1 term, leaves most weights
 at zero, so that the weights are a short list that is broadcast.
 
 The model learns from about TRAIN_ROWS labelled rows at most (a hash of the id
-picks them evenly), whose features are extracted over all tasks; FTRL, which is
+picks them evenly), whose features are extracted over all tasks, and of those from so many that they
+have about TRAIN_FEATURES features at most; FTRL, which is
 sequential, then passes over this bounded sample in one task. Coordinates in
 fewer than LEAST_ROWS of its rows are left out. Last, scale and intercept of the sparse model are
 refitted to the sample (Platt), since L1 shrinks all weights.
 
 Null and empty texts have no features and get the score of the intercept;
-labelled rows with a null label are not learned from; a document that several
-labels name is learned from with each; repeated documents are each scored. Without
+labelled rows with a null label are not learned from; a document with labels of
+both kinds is learned from with each; rows equal in id, text and label are learned from once, and each scored. Very long
+texts are scored as a whole. Without
 labelled rows every score is PRIOR. Documents that are null in other columns,
 or have more columns, make no difference.
 """
@@ -31,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cuelake.llm.common import materialize, restored, sheltered
+from cuelake.llm.common import arrow_task, materialize, restored, sheltered
 from cuelake.llm.words import ALNUM, Words, mix, words
 
 BITS = 22
 TRAIN_ROWS = 20_000
+#: Features of all rows to learn from (4 bytes each in the one task of FTRL, and about 30 while it begins).
+TRAIN_FEATURES = 12_000_000
 LEAST_ROWS = 4
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.01
@@ -93,12 +97,12 @@ class Model:
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROWS) -> DataFrame:
     """text, y of about ``rows`` labelled documents at most, where ``use`` holds."""
-    able = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("y"))
-    able = able.where(use)
+    able = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_d"), (F.col("toxic") > 0).cast("int").alias("y"))
+    able = able.where(use).distinct()  # two rows of an id at most
     rate = rows / max(rows, able.count())
     picked = able.where(F.pmod(F.xxhash64("_d"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     # the bound on the picked rows is the size check of this broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_d")).select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_d")).select("text", "y", F.xxhash64("doc_id", F.lit(2)).alias("h"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +113,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.unique(row << 32 | at)
             cut = np.searchsorted(key >> 32, np.arange(s.last - s.first + 1))
             found += [(key[a:b] & 0xFFFFFFFF).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.binary())], names=["y", "at"])
+        sizes = pa.array([len(x) // 4 for x in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("h"), sizes, pa.array(found, pa.binary())], names=["y", "h", "n", "at"])
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -132,8 +137,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), zlib.crc32(rows[i]), zlib.adler32(rows[i]), y[i]))
     flat, sizes, y = np.concatenate([rows[i] for i in order]), np.array([len(rows[i]) for i in order]), y[order]
     rows.clear()
-    often = np.bincount(flat, minlength=1 << BITS)[flat] >= LEAST_ROWS
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(often)])[np.cumsum(sizes)]
+    often = (np.bincount(flat, minlength=1 << BITS) >= LEAST_ROWS)[flat]
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(often, dtype=np.int32)])[np.cumsum(sizes)]
     flat = flat[often]
     begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     model = Ftrl(np.zeros(INTERCEPT + 1), np.zeros(INTERCEPT + 1))
@@ -141,15 +146,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         for i in np.random.default_rng(k).permutation(len(y)):
             model.learn(np.append(flat[begins[i] : ends[i]], INTERCEPT), int(y[i]))
     w = model.weights(slice(0, INTERCEPT))
-    sums = np.concatenate([np.zeros(1), np.cumsum(w[flat])])
-    scale, bias = platt(sums[ends] - sums[begins], y)
+    scale, bias = platt(np.array([w[flat[a:b]].sum() for a, b in zip(begins, ends, strict=True)]), y)
     at = np.flatnonzero(w)
     return Model(at, w[at] * scale, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROWS) -> Model:
     """A model of labels.toxic, learned from documents where ``use`` (on _d, the id) holds."""
-    sample = materialize(training_rows(docs, labels, use, rows).mapInArrow(_extract, "y int, at binary"), "toxicity-sample")
+    made = training_rows(docs, labels, use, rows).mapInArrow(arrow_task(_extract), "y int, h long, n long, at binary")
+    sample = materialize(made.dropDuplicates(["y", "h", "at"]), "toxicity-sample")
+    total = sample.agg(F.sum("n")).first()[0] or 0
+    if total > TRAIN_FEATURES:
+        sample = sample.where(F.pmod("h", F.lit(1 << 30)) < int(TRAIN_FEATURES / total * (1 << 30)))
+    sample = sample.select("y", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, y = [], []
@@ -160,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROW
             m = fit(made, np.array(y))
             yield pa.RecordBatch.from_arrays([pa.array([*m.at, INTERCEPT], pa.int32()), pa.array([*m.w, m.bias], pa.float64())], names=["k", "w"])
 
-    got = sample.coalesce(1).mapInArrow(run, "k int, w double").toArrow().sort_by("k")
+    got = sample.coalesce(1).mapInArrow(arrow_task(run), "k int, w double").toArrow().sort_by("k")
     if not got.num_rows:
         return Model(np.zeros(0, np.int32), np.zeros(0), -np.inf if PRIOR == 0 else float(np.log(PRIOR / (1 - PRIOR))))
     k, w = got["k"].to_numpy(), got["w"].to_numpy()
@@ -184,7 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(np.isneginf(total), PRIOR, p))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(arrow_task(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def learns(doc_id: str = "doc_id", folds: int = 5) -> Column:

@@ -43,13 +43,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n, SLICE) + 1
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size - 1, b, np.uint64))]) for b in (BASE, BACK)]
+def _power() -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(SLICE, b, np.uint64))]) for b in (BASE, BACK)]
     return _powers[0], _powers[1]
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word, from prefix sums over SLICE bytes at a time, whatever the length of the text."""
+    out, (up, back) = np.zeros(len(starts), np.uint64), _power()
+    k = 0
+    while k < len(starts):
+        base = int(starts[k])
+        last = max(k + 1, int(np.searchsorted(ends, base + SLICE, "right")))
+        if ends[last - 1] - base <= SLICE:
+            part = data[base : ends[last - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            a = starts[k:last] - base
+            out[k:last] = (sums[ends[k:last] - base] - sums[a]) * back[a]
+        else:  # one word, longer than that
+            total, scale = 0, 1
+            for at in range(base, int(ends[k]), SLICE):
+                part = data[at : min(at + SLICE, int(ends[k]))]
+                total += scale * int(((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum())
+                scale = scale * int(up[SLICE]) % 2**64
+            out[k] = total % 2**64
+        k = last
+    return mix(out)
+
+
 @dataclass
 class Words:
     """Words of rows first..last of a batch. offsets[i]:offsets[i + 1] are row i's words."""
@@ -111,9 +134,5 @@ def words(texts: pa.Array, lookup: np.ndarray) -> Iterator[Words]:
         end[1:n] &= ~inside[1:]
         end[inner] = inside[inner - 1]
         ends = np.flatnonzero(end)
-        up, back = _power(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * back[starts])
-        yield Words(first, last, data, starts, ends, hashes, np.searchsorted(starts, bounds, "left"))
+        yield Words(first, last, data, starts, ends, _hashes(data, starts, ends), np.searchsorted(starts, bounds, "left"))
         first = last
