@@ -122,3 +122,59 @@ def rebased(cues: DataFrame, windows: DataFrame, group: str = "media_id") -> Dat
     moved = rows.withColumn("_by", F.when(relative, F.col("window_start")).otherwise(F.lit(0).cast("long")))
     cut = moved.withColumns({"start_ms": F.greatest(F.col("start_ms") + F.col("_by"), "window_start"), "end_ms": F.least(F.col("end_ms") + F.col("_by"), "window_end")})
     return cut.where("end_ms > start_ms").select(group, "pos", "start_ms", "end_ms")
+
+
+#: Length of clips and of bundles in ms, the silence between clips, and what the six bundles stand for.
+CLIP_MS, BUNDLE_MS, SILENCE_MS = (3000, 15_000), (45_000, 75_000), 250
+CATEGORIES = ("normal", "normal", "fast", "fast", "low_volume", "low_volume")
+
+
+def filled(clips: DataFrame, order: list[Column], by: list[str], bundle_ms: tuple[int, int] = BUNDLE_MS, silence_ms: int = SILENCE_MS, clip_ms: tuple[int, int] = CLIP_MS) -> DataFrame:
+    """The clips (duration_ms) that fill a bundle of each group, with place and at_ms (where each ends in it): in order, until the bundle is long enough. Groups that do not
+    get there give none. Clips of other lengths than ``clip_ms`` are left out; the others never go over the bundle's most before it is long enough, so that none is skipped."""
+    least, most = bundle_ms
+    if clip_ms[1] + silence_ms > most - least:
+        raise ValueError("a clip could go over the bundle's most")
+    w = Window.partitionBy(*by).orderBy(*order)
+    rows = clips.where(F.col("duration_ms").between(*clip_ms)).withColumn("place", F.row_number().over(w))
+    rows = rows.withColumn("at_ms", F.sum("duration_ms").over(w.rowsBetween(Window.unboundedPreceding, 0)) + (F.col("place") - 1) * silence_ms)
+    taken = rows.where(F.col("at_ms") - F.col("duration_ms") - F.when(F.col("place") > 1, silence_ms).otherwise(0) < least)
+    return taken.withColumn("_all", F.max("at_ms").over(Window.partitionBy(*by))).where(F.col("_all") >= least).drop("_all")
+
+
+def select_bundles(clips: DataFrame, seed: str, categories: tuple[str, ...] = CATEGORIES, group: str = "source_group") -> DataFrame:
+    """clips (clip_id, source_group, duration_ms, rate, rms) of a bundle for each category: bundle, category, clip_id, group, place. Normal bundles prefer clips near both medians, fast
+    ones the upper quarter of rates, quiet ones the lower quarter of rms, then a hash; groups take turns, and no clip is in two bundles.
+
+    A bundle is a small job of its own, as it depends on the one before; of each only the group's name and its few clips come to the driver."""
+    spark = clips.sparkSession
+    q = clips.agg(F.percentile("rate", 0.5).alias("rate"), F.percentile("rms", 0.5).alias("rms"), F.percentile("rate", 0.75).alias("fast"), F.percentile("rms", 0.25).alias("low")).first()
+    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("clip_id").cast("string")), 256)
+    orders = {
+        "fast": [(F.col("rate") < q["fast"]).cast("int"), F.desc("rate"), h], "low_volume": [(F.col("rms") > q["low"]).cast("int"), F.col("rms"), h],
+        "normal": [F.abs(F.col("rate") - q["rate"]) + F.abs(F.col("rms") - q["rms"]), h],
+    }
+    used: list[tuple] = []
+    last = None
+    for k, category in enumerate(categories, 1):
+        left = clips
+        if used:
+            names = spark.createDataFrame([(u[2],) for u in used], f"clip_id {dict(clips.dtypes)['clip_id']}")
+            left = clips.join(F.broadcast(names), "clip_id", "left_anti")
+        bundles = filled(left, orders[category], [group])
+        turn = F.lit(1) if last is None else F.when(F.col(group) > last, 1).otherwise(2)
+        first = bundles.select(group).distinct().orderBy(turn, group).limit(1).collect()
+        if not first:
+            raise ValueError(f"no group fills bundle {k} ({category})")
+        last = first[0][0]
+        used += [(k, category, r["clip_id"], last, r["place"]) for r in bundles.where(F.col(group) == last).orderBy("place").collect()]
+    kinds = dict(clips.dtypes)
+    return spark.createDataFrame(used, f"bundle int, category string, clip_id {kinds['clip_id']}, {group} {kinds[group]}, place int")
+
+
+def prepared(clips: DataFrame, tracks: int = 2, meetings: int = 3) -> DataFrame:
+    """clips (meeting, track, start_ms, duration_ms) of the first ``tracks`` tracks that fill a bundle, of the first ``meetings`` meetings that have so many."""
+    bundles = filled(clips, [F.col("start_ms"), F.col("duration_ms")], ["meeting", "track"])
+    able = bundles.select("meeting", "track").distinct().withColumn("_t", F.row_number().over(Window.partitionBy("meeting").orderBy("track")))
+    enough = able.where(F.col("_t") == tracks).select("meeting").orderBy("meeting").limit(meetings)  # as many rows as meetings are asked for
+    return bundles.join(able.where(F.col("_t") <= tracks).drop("_t"), ["meeting", "track"], "left_semi").join(F.broadcast(enough), "meeting", "left_semi")

@@ -5,6 +5,8 @@ row before (folds) runs in ``applyInPandas``, an island of a group at a time: ro
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -227,16 +229,89 @@ def split_at_largest_gaps(rows: DataFrame, most: int = 20, group: str = "media_i
     return rows.groupBy(group).applyInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, part int")
 
 
-def resegment(words: DataFrame, most_ms: int = 6000, most_units: int = 42, pause_ms: int = 700, group: str = "media_id") -> DataFrame:
-    """Timed words (pos, text, start_ms, end_ms) to cues: another cue begins
-    after a pause, beyond the longest time or length, or after a sentence's end. No word is lost."""
+#: What ends a cue of words, in ms, reading units and units a second; ends of sentences and of clauses.
+LEAST_MS, TARGET_MS, MOST_MS, MOST_UNITS, MOST_RATE = 700, 4500, 6500, 44, 12
+SENTENCE_END, CLAUSE_END = r"[。！？!?.]\s*$", r"[，,;；:：]\s*$"
 
-    def step(kept: list[dict], row: dict) -> None:
-        last = kept[-1] if kept else None
-        text = (row["text"] or "").strip()
-        if last and row["start_ms"] - last["end_ms"] < pause_ms and row["end_ms"] - last["start_ms"] <= most_ms and len(last["text"]) + 1 + len(text) <= most_units and not last["text"].endswith((".", "!", "?", "。", "！", "？")):
-            last |= {"end_ms": max(last["end_ms"], row["end_ms"]), "text": f"{last['text']} {text}".strip()}
+
+def _units(text: str) -> int:
+    """Reading units in quarters: wide 4; letters and digits 2, and 2 more at a word's start; white space 0; anything else 1."""
+    units, inside = 0, False
+    for c in text:
+        if c.isspace():
+            inside = False
+        elif unicodedata.east_asian_width(c) in "WF":
+            units, inside = units + 4, False
+        elif c.isalnum():
+            units, inside = units + (2 if inside else 4), True
         else:
-            kept.append(row | {"text": text})
+            units, inside = units + 1, False
+    return units
+
+
+def _latin(c: str) -> bool:
+    return c.isdigit() or "LATIN" in unicodedata.name(c, "")
+
 
-    return fold(words, step, group, apart=pause_ms - 1)
+def _joined(text: str, token: str) -> str:
+    """A token after a text: with a blank if the token begins with one or both sides are Latin, but not before closing marks."""
+    word = token.strip()
+    gap = text and word and word[0] not in ",.;:!?)]}" and (token[0].isspace() or (_latin(text[-1]) and _latin(word[0])))
+    return text + (" " if gap else "") + word
+
+
+def resegment(words: DataFrame, pause_ms: int = 10_000, group: str = "media_id") -> DataFrame:
+    """Timed words (pos, text, start_ms, end_ms) to cues (with n_words). A cue ends with the word that makes it MOST_MS long or MOST_UNITS of reading, or, once it is
+    LEAST_MS long, that makes it read faster than MOST_RATE or ends a sentence, or ends a clause from TARGET_MS on. A
+    pause of ``pause_ms`` ends one too, so that a recording is folded an island at a time. Blank words go; words without a positive length say nothing of time."""
+
+    def step(kept: list[dict], row: dict) -> None:
+        last = kept[-1] if kept and not kept[-1]["_closed"] else None
+        timed = row["end_ms"] > row["start_ms"]
+        if last is None:
+            # a cue of one word closes with the next one at the earliest
+            kept.append(row | {"text": row["text"].strip(), "_closed": False, "n_words": 1, "_timed": timed})
+            return
+        joined = _joined(last["text"], row["text"])
+        start = last["start_ms"] if last["_timed"] or not timed else row["start_ms"]
+        end = row["end_ms"] if timed else last["end_ms"]
+        ms, units = max(1, end - start), _units(joined)
+        closed = (last["_timed"] or timed) and (
+            ms >= MOST_MS or units >= 4 * MOST_UNITS or (ms >= LEAST_MS and (units * 250 > MOST_RATE * ms or bool(re.search(SENTENCE_END, row["text"])))) or (ms >= TARGET_MS and bool(re.search(CLAUSE_END, row["text"])))
+        )
+        last |= {"text": joined, "start_ms": start, "end_ms": max(start + 1, end), "n_words": last["n_words"] + 1, "_timed": last["_timed"] or timed, "_closed": closed}
+
+    said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(group, "pos", "text", "start_ms", "end_ms")
+    rows = said.withColumns({"n_words": F.lit(0), "_closed": F.lit(False), "_timed": F.lit(False)})
+    return fold(rows, step, group, ("pos",), pause_ms - 1).select(group, "pos", "text", "start_ms", "end_ms", "n_words")
+
+
+def _text_print(rows: DataFrame, name: str, group: str) -> DataFrame:
+    """group, ``name``: length and a fingerprint of all letters and digits in order, however cut; each letter is hashed with its place, so that no text of a group is put together."""
+    plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
+    placed = rows.select(group, "pos", plain.alias("p")).withColumn("_at", F.coalesce(F.sum(F.length("p")).over(_order(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    each = F.transform(F.filter(F.split("p", ""), lambda c: c != ""), lambda c, i: F.xxhash64(F.col("_at") + i, c))
+    one = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return placed.groupBy(group).agg(F.struct(F.sum(F.length("p")).alias("n"), F.bit_xor(one).alias("h")).alias(name))
+
+
+def resegmented(cues: DataFrame, words: DataFrame, pause_ms: int = 10_000, group: str = "media_id") -> DataFrame:
+    """Cues made of their words (``resegment``), or the cues as they were where there are no timed words or the result does not hold: group, pos,
+    text, start_ms, end_ms, fallback (null, or the first of no_word_timestamps, empty_resegment, invalid_timestamps, overlap, text_conservation_failed, word_conservation_failed)."""
+    made = resegment(words, pause_ms, group)
+    before = F.max("end_ms").over(_order(group).rowsBetween(Window.unboundedPreceding, -1))
+    checked = made.withColumn("before", before).groupBy(group).agg(
+        F.count_if((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms"))).alias("n_bad"), F.count_if(F.col("start_ms") < F.col("before")).alias("n_over"), F.sum("n_words").alias("n_made"), F.lit(True).alias("there"),
+    )
+    given = words.groupBy(group).agg(F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("n_given"), F.count_if((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("end_ms") > F.col("start_ms"))).alias("n_timed"))
+    rows = cues.select(group).distinct()
+    for side in (given, checked, _text_print(cues, "was", group), _text_print(made, "now", group)):
+        rows = rows.join(side, group, "left")
+    code = (
+        F.when(F.coalesce("n_timed", F.lit(0)) == 0, "no_word_timestamps").when(F.col("there").isNull(), "empty_resegment").when(F.col("n_bad") > 0, "invalid_timestamps").when(F.col("n_over") > 0, "overlap")
+        .when(~F.col("was").eqNullSafe(F.col("now")), "text_conservation_failed").when(F.col("n_made") != F.col("n_given"), "word_conservation_failed")
+    )
+    codes = rows.select(group, code.alias("fallback"))
+    columns = [group, "pos", "text", "start_ms", "end_ms"]
+    new = made.select(*columns).join(codes.where("fallback is null"), group)
+    return new.unionByName(cues.select(*columns).join(codes.where("fallback is not null"), group))

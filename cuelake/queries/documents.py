@@ -178,15 +178,6 @@ def rebased(spark: SparkSession, d: str) -> DataFrame:
     return V.rebased(rows.select("media_id", "pos", "start_ms", "end_ms"), windows)
 
 
-@query("l07_l09_stratified", f"{_C} SELECT media_id, pos, quarter FROM (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY sha256('s:' || media_id || '/' || pos), media_id, pos) AS k FROM (SELECT media_id, pos, CASE WHEN silence_milli < 250 THEN 0 WHEN silence_milli < 500 THEN 1 WHEN silence_milli < 750 THEN 2 ELSE 3 END AS quarter FROM cues)) WHERE k <= 5")
-def stratified(spark: SparkSession, d: str) -> DataFrame:
-    """Five of each quarter of a measure: the sample's size is the operator's."""
-    s = F.col("silence_milli")
-    rows = cues(spark, d).select("media_id", "pos", F.when(s < 250, 0).when(s < 500, 1).when(s < 750, 2).otherwise(3).alias("quarter"))
-    h = F.sha2(F.concat(F.lit("s:"), F.col("media_id").cast("string"), F.lit("/"), F.col("pos").cast("string")), 256)
-    return V.first_by_group(rows, ["quarter"], [h, F.col("media_id"), F.col("pos")], 5).drop("place")
-
-
 @query("r05_r12_r13_isolated", "SELECT conv_id AS key, CASE WHEN count(*) > 7 THEN 'review: too many' END AS error FROM conversations GROUP BY conv_id")
 def isolated(spark: SparkSession, d: str) -> DataFrame:
     """A stage that fails for one batch leaves the others alone."""

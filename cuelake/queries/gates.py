@@ -62,7 +62,7 @@ def proofs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f34_outputs_valid", """WITH o AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS size FROM lineitem)
-SELECT o_orderkey AS task_id, o_orderstatus AS status, o_orderstatus = 'F' AND bool_and(coalesce(o.size > 20, false)) AS valid FROM (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [1, 2] ELSE [1] END) AS need FROM orders) t LEFT JOIN o ON o.k = t.o_orderkey AND o.n = t.need GROUP BY o_orderkey, o_orderstatus""")
+SELECT o_orderkey AS task_id, o_orderstatus AS status, o_orderstatus = 'F' AND bool_and(EXISTS (SELECT 1 FROM o WHERE o.k = t.o_orderkey AND o.n = t.need AND o.size > 20)) AS valid FROM (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [1, 2] ELSE [1] END) AS need FROM orders) t GROUP BY o_orderkey, o_orderstatus""")
 def outputs_valid(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tasks that need one output or two, their lines as outputs, whose quantity over 20 is their size."""
     required = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("1"), F.lit("2"))).otherwise(F.array(F.lit("1")))

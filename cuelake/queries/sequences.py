@@ -240,13 +240,27 @@ def speech_blocks(spark: SparkSession, d: str) -> DataFrame:
     return W.speech_blocks(rows.join(rows.groupBy("media_id").agg(F.max("end_ms").alias("total_ms")), "media_id"))
 
 
-@query("w12_w13_w14_resegment")
+_ENDS = "ms >= 6500 OR units >= 176 OR (ms >= 700 AND (units * 250 > 12 * ms OR regexp_matches(word, '[。！？!?.]$'))) OR (ms >= 4500 AND regexp_matches(word, '[，,;；:：]$'))"
+
+
+@query("w12_w13_w14_resegment", rf"""WITH RECURSIVE {CUES_SQL}, tokens AS (SELECT media_id, pos, start_ms, end_ms, len(w) AS n, generate_subscripts(w, 1) AS k, unnest(w) AS word FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda x: x <> '') AS w FROM cues)),
+timed AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY pos, k) AS i, word, start_ms + (k - 1) * greatest(1, (end_ms - start_ms) // n) AS s, start_ms + k * greatest(1, (end_ms - start_ms) // n) AS e FROM tokens),
+fold AS (SELECT media_id, i, 1 AS cue, word AS text, s, e, false AS closed FROM timed WHERE i = 1
+  UNION ALL
+  SELECT media_id, i, cue, text, s, e, NOT first AND ({_ENDS}) FROM (SELECT *, greatest(1, e - s) AS ms, (len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]')) + len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'))) * 2 + len(regexp_extract_all(text, '[^\p{{L}}\p{{N}} ]')) AS units FROM (
+    SELECT f.media_id, t.i, f.cue + f.closed::INT AS cue, t.word, CASE WHEN f.closed THEN t.word WHEN regexp_matches(t.word, '^[,.;:!?)\]}}]') THEN f.text || t.word ELSE f.text || ' ' || t.word END AS text, CASE WHEN f.closed THEN t.s ELSE f.s END AS s, t.e, f.closed AS first FROM fold f JOIN timed t ON t.media_id = f.media_id AND t.i = f.i + 1))),
+made AS (SELECT media_id, cue AS pos, arg_max(text, i) AS text, arg_max(s, i) AS start_ms, greatest(arg_max(s, i) + 1, arg_max(e, i)) AS end_ms FROM fold GROUP BY ALL),
+checked AS (SELECT media_id, CASE WHEN count(*) FILTER (WHERE end_ms <= start_ms OR start_ms < 0) > 0 THEN 'invalid_timestamps' WHEN count(*) FILTER (WHERE start_ms < before) > 0 THEN 'overlap' END AS fallback
+  FROM (SELECT *, max(end_ms) OVER (PARTITION BY media_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM made) GROUP BY media_id)
+SELECT media_id, pos, text, start_ms, end_ms, fallback FROM made JOIN checked USING (media_id) WHERE fallback IS NULL UNION ALL SELECT media_id, pos, text, start_ms, end_ms, coalesce(fallback, 'no_word_timestamps') FROM cues LEFT JOIN checked USING (media_id) WHERE fallback IS NOT NULL OR media_id NOT IN (SELECT media_id FROM checked)""")
 def resegment(spark: SparkSession, d: str) -> DataFrame:
-    """Words get equal shares of their cue's time."""
-    rows = cues(spark, d).select("media_id", "start_ms", "end_ms", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("k", "text"), F.size(F.split(F.trim("text"), r"\s+")).alias("n"), (F.col("pos") * 100_000).alias("base"))
-    step = F.floor((F.col("end_ms") - F.col("start_ms")) / F.col("n"))
-    words = rows.select("media_id", (F.col("base") + F.col("k")).alias("pos"), "text", (F.col("start_ms") + F.col("k") * step).alias("start_ms"), (F.col("start_ms") + (F.col("k") + 1) * step).alias("end_ms"))
-    return W.resegment(words).select("media_id", "pos", "text", "start_ms", "end_ms")
+    """Words get equal shares of their cue's time. Recordings whose cues overlap stay as they are."""
+    rows = cues(spark, d)
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    made = rows.select("media_id", "start_ms", "end_ms", F.size(words).alias("n"), (F.col("pos") * 1_000_000).alias("base"), F.posexplode(words).alias("k", "word"))
+    step = F.greatest(F.lit(1).cast("long"), F.floor((F.col("end_ms") - F.col("start_ms")) / F.col("n")))
+    tokens = made.select("media_id", (F.col("base") + F.col("k")).alias("pos"), F.concat(F.lit(" "), "word").alias("text"), (F.col("start_ms") + F.col("k") * step).alias("start_ms"), (F.col("start_ms") + (F.col("k") + 1) * step).alias("end_ms"))
+    return W.resegmented(rows, tokens, pause_ms=10**12)
 
 
 @query("w15_w16_batches", f"""WITH {CUES_SQL}, b AS (SELECT media_id, (pos - 1) // 3 AS batch, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM cues GROUP BY ALL), t AS (SELECT media_id, max(pos) AS top FROM cues GROUP BY media_id)

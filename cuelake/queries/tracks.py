@@ -248,12 +248,6 @@ def stable_sample(spark: SparkSession, d: str) -> DataFrame:
     return V.stable_sample(table(spark, d, "part"), F.col("p_partkey"), "seed", 12).select("p_partkey")
 
 
-@query("l01_l08_greedy_budget")
-def greedy_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.suspicious(cues(spark, d)).where("suspicious").withColumn("cost", F.col("end_ms") - F.col("start_ms"))
-    return V.greedy_budget(rows, "cost", [F.col("start_ms"), F.col("pos")], 20, F.lit(6000)).select("media_id", "pos", "cost", "taken")
-
-
 @query("l11_l12_l15_first_by_group", "SELECT user_id, event_id, ts, place FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events) WHERE place <= 2")
 def first_by_group(spark: SparkSession, d: str) -> DataFrame:
     return V.first_by_group(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.col("event_id")], 2)
