@@ -35,22 +35,6 @@ def raw_scan(spark: SparkSession, d: str) -> DataFrame:
     return subtitles.parse(rows, subtitles.RAW).select("media_id", "text")
 
 
-@query("s13_s27_s28_states", "SELECT event_id, event_type AS stage, value FROM events WHERE event_id % 5 <> 0")
-def states(spark: SparkSession, d: str) -> DataFrame:
-    good = F.to_json(F.struct(F.col("event_type").alias("stage"), "value", F.lit("dropped").alias("unknown")))
-    text = F.when(F.col("event_id") % 5 == 0, "{corrupt").otherwise(good)
-    rows = table(spark, d, "events").select("event_id", F.from_json(text, "stage string, value double, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("s"))
-    return rows.where("s._corrupt_record is null").select("event_id", "s.stage", "s.value")
-
-
-@query("s14_t37_f35_extensions", "SELECT extension, count(*) AS n FROM (SELECT ['mp4', 'mkv', 'mov'][p_partkey % 5 + 1] AS extension FROM part WHERE p_partkey % 5 < 3) GROUP BY extension")
-def extensions(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("MP4", "mkv", "Mov", "txt", "srt")])
-    path = F.concat("p_name", F.lit("."), F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")))
-    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    return table(spark, d, "part").select(extension.alias("extension")).where(F.col("extension").isin(*files.VIDEO)).groupBy("extension").agg(F.count("*").alias("n"))
-
-
 @query("s15_s16_sidecar", f"{_C} SELECT media_id, pos, CASE WHEN pos % 3 = 0 THEN NULL ELSE least(1.0, silence_milli / 500.0::DOUBLE) END AS stability FROM cues")
 def sidecar(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d)
@@ -79,24 +63,12 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return C.checks(table(spark, d, "documents"), unique=F.count("*") == F.countDistinct("doc_id"), groups=F.countDistinct("source") >= 3, languages=F.bool_and(F.col("lang").isin("en", "fr", "de", "es")), exact=F.count("*") == 6)
 
 
-@query("s35_s42_search", "SELECT doc_id, n_chars FROM documents WHERE lang = 'fr' AND n_chars > 500 ORDER BY n_chars DESC, doc_id LIMIT 50")
-def search(spark: SparkSession, d: str) -> DataFrame:
-    """The operator has a limit of its own: the search's."""
-    return table(spark, d, "documents").where("lang = 'fr' and n_chars > 500").orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "n_chars")
-
-
 @query("k06_k07_json_report", """SELECT conv_id, '{"conv_id":' || conv_id || ',"n":' || count(*) || ',"roles":[' || string_agg('"' || role || '"', ',' ORDER BY turn) || ']}' AS document FROM conversations GROUP BY conv_id""")
 def json_report(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
     return rows.select("conv_id", F.to_json(F.struct("conv_id", "n", "roles")).alias("document"))
 
 
-@query("k08_k09_k10_union_of_columns", "SELECT n_name AS name, n_regionkey AS region, NULL AS size FROM nation UNION ALL SELECT p_brand, NULL, p_size FROM part")
-def union_of_columns(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return a.unionByName(table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("size")), allowMissingColumns=True)
-
-
 @query("k18_running_offsets", f"{_C} SELECT media_id, pos, coalesce(sum(end_ms - start_ms + 500) OVER w, 0)::BIGINT AS start_ms, coalesce(sum(end_ms - start_ms + 500) OVER w, 0)::BIGINT + end_ms - start_ms AS end_ms FROM cues WINDOW w AS (PARTITION BY media_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     return V.running_offsets(cues(spark, d), 500)
@@ -134,11 +106,6 @@ def config_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(F.struct(F.col("c_mktsegment").alias("a"), F.col("c_nationkey").alias("b"))), 256).alias("digest"))
 
 
-@query("m18_fingerprint", "SELECT doc_id, sha256(left(text, 100) || right(text, 100) || n_chars) AS fingerprint FROM documents")
-def fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.left("text", F.lit(100)), F.right("text", F.lit(100)), F.col("n_chars").cast("string")), 256).alias("fingerprint"))
-
-
 @query("n04_n06_answer_shapes", "SELECT event_id, event_id::VARCHAR AS id, event_type AS text FROM events")
 def answer_shapes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id").cast("string")

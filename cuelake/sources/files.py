@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import tempfile
 import wave
 import zipfile
 from collections.abc import Iterator
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-VIDEO = ("mp4", "mkv", "mov", "avi", "webm", "m4v", "ts", "flv")
-AUDIO = ("wav", "mp3", "flac", "m4a", "aac", "ogg", "opus", "wma")
-#: Header names that mean the same, in lower case.
+#: Extensions of media files.
+VIDEO = ("mp4", "mkv", "mov", "avi", "wmv", "flv", "webm", "m4v")
+AUDIO = ("mp3", "m4a", "aac", "flac", "ogg", "opus", "wma", "wav")
+#: Header names that mean the same, in lower case.
 ALIASES = {"audio": ("audio", "path", "file", "filename", "wav"), "transcript": ("transcript", "text", "sentence", "transcription")}
 
 
@@ -37,11 +39,46 @@ def read_table(spark: SparkSession, path: str, separator: str = ",", aliases: di
     return rows.select(*[F.col(f"`{c}`").alias(name) for name, c in picked.items()], *[F.col(f"`{c}`") for c in rows.columns if c not in picked.values()])
 
 
-def media_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = VIDEO) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A document a line, each a row of the schema; unknown keys go, unreadable lines are left out."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    whole = StructType([*kind.fields, StructField("_corrupt_record", StringType())])
+    made = spark.read.text(path).select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("s"))
+    return made.where("s is not null and s._corrupt_record is null").select("s.*").drop("_corrupt_record")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share: ``spark.checkpoint.dir``; a temporary one in local mode alone, as in tests."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="cuelake-")
+        context.setCheckpointDir(path)
+    return path
+
+
+def only_media(listing: DataFrame, extensions: tuple[str, ...] = VIDEO + AUDIO) -> DataFrame:
+    """The rows of a listing (path) that are media by their extension, whatever its case."""
+    return listing.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
+
+
+def media_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = VIDEO + AUDIO) -> DataFrame:
     """path, size and modification time of media files below a folder; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    return rows.where(extension.isin(*extensions)).select("path", F.col("length").alias("size"), "modificationTime")
+    return only_media(rows, extensions).select("path", F.col("length").alias("size"), "modificationTime")
+
+
+def best_answers(found: DataFrame, most: int, key: str) -> DataFrame:
+    """The ``most`` best-rated answers of a search (rating, ai_translated, machine_translated) that no machine translated."""
+    by_machine = F.coalesce("ai_translated", F.lit(False)) | F.coalesce("machine_translated", F.lit(False))
+    return found.where(~by_machine).orderBy(F.desc("rating"), key).limit(most)
+
+
+def archive_subtitles(archives: DataFrame, present: DataFrame) -> DataFrame:
+    """archive, member, content of the .srt members of archives, without those that are there already (member)."""
+    return archive_members(archives).where(F.lower("member").endswith(".srt")).join(present.select("member").distinct(), "member", "left_anti")
 
 
 def unsafe(name: str) -> bool:
@@ -171,8 +208,8 @@ def clip_candidates(members: DataFrame, least: float = 3.0, most: float = 15.0)
 
 
 def write_table(rows: DataFrame, path: str, separator: str = ",") -> None:
-    """CSV or TSV with a header, columns by name."""
-    rows.select(*sorted(rows.columns)).write.csv(path, header=True, sep=separator, mode="overwrite")
+    """CSV or TSV with a header, columns by name; quotes are doubled."""
+    rows.select(*sorted(rows.columns)).write.csv(path, header=True, sep=separator, mode="overwrite", escape='"')
 
 
 def write_report(rows: DataFrame, path: str, keys: list[str]) -> None:
