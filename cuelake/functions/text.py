@@ -295,3 +295,10 @@ def public_safe(document: pd.Series) -> pd.Series:
             return "not_json"
 
     return document.map(one)
+
+
+def two_lines(text: Column) -> Column:
+    """source, target, error of a text of exactly two lines that are not empty."""
+    found = lines(F.coalesce(text, F.lit("")))
+    ok = F.size(found) == 2
+    return F.struct(F.when(ok, F.get(found, F.lit(0))).alias("source"), F.when(ok, F.get(found, F.lit(1))).alias("target"), F.when(~ok, "two lines are needed").alias("error"))

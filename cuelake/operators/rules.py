@@ -14,8 +14,20 @@ from cuelake.functions import text as T
 
 ERROR, WARNING, INFO = "error", "warning", "info"
 
-#: Openings that a model leaves in a translation, case ignored.
-BOILERPLATE = r"(?i)^\s*(sure[,!. ]|certainly[,!. ]|here is the translation|here's the translation|translation:|translated text:|as an ai |i cannot |i'm sorry|好的[，,]?以下是|以下是翻译|翻译[：:])"
+#: What a model writes around a translation, anywhere in a text, case ignored.
+BOILERPLATE_PATTERNS = (
+    r"(?:好的|当然)[，,\s]*(?:以下|下面)(?:是|为)?.*(?:翻译|字幕)",
+    r"(?:以下|下面)(?:是|为)?.*(?:翻译|字幕)",
+    r"这是.*翻译(?:结果|版本|内容)?",
+    r"翻译如下",
+    r"我(?:可以|来)?帮你.*翻译",
+    r"Here (?:is|are).*(?:translation|subtitle)",
+    r"I(?:'ve| have) translated",
+    r"Sure[!,\.\s]+here (?:is|are).*(?:translation|subtitle)",
+    r"Certainly[!,\.\s]+here (?:is|are).*(?:translation|subtitle)",
+    r"```",
+)
+BOILERPLATE = f"(?i)({'|'.join(BOILERPLATE_PATTERNS)})"
 
 
 @dataclass(frozen=True)

@@ -74,18 +74,6 @@ def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     return V.running_offsets(cues(spark, d), 500)
 
 
-@query("t19_two_lines", "SELECT conv_id, turn, role AS source, 'x' AS target FROM conversations")
-def two_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = T.lines(F.concat("role", F.lit("\n\n x \n")))
-    sure = F.when(F.size(lines) == 2, lines).otherwise(F.raise_error(F.lit("two lines are needed")).cast("array<string>"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.get(sure, F.lit(0)).alias("source"), F.get(sure, F.lit(1)).alias("target"))
-
-
-@query("t23_wrapped")
-def wrapped(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", T.wrapped("text", F.lit(42)).alias("text"))
-
-
 @query("t29_secrets", "SELECT c_custkey, 'name=' || c_name AS kept, true AS safe FROM customer")
 def secrets(spark: SparkSession, d: str) -> DataFrame:
     values = F.create_map(F.lit("name"), F.col("c_name"), F.lit("API_Key"), F.lit("x"), F.lit("my_password"), F.lit("y"))
@@ -165,5 +153,3 @@ def staged(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d).groupBy(F.col("media_id").alias("key")).agg(texts.alias("texts"))
     made = C.staged(rows, {"draft": lambda texts, now: [f"draft {t}" for t in texts], "review": lambda texts, now: [n.replace("draft", "DRAFT") for n in now], "final": lambda texts, now: [f"final {n}" for n in now]})
     return made.select(F.col("key").alias("media_id"), F.array_join("final", "|").alias("final"))
-
-

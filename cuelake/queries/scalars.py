@@ -39,14 +39,6 @@ def campaign_seconds(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", P.campaign_seconds(F.concat_ws(":", k % 3, k % 60, k % 59)).alias("seconds"))
 
 
-@query("p13_p14_fractions", "SELECT event_id, 1 + event_id % 7 AS n, CAST((1 + event_id % 7) AS BIGINT) AS parsed, true AS rising FROM events")
-def fractions(spark: SparkSession, d: str) -> DataFrame:
-    n = (1 + F.col("event_id") % 7).cast("int")
-    made = P.interior_fractions(n)
-    parsed = P.parse_fractions(F.array_join(made.cast("array<string>"), ","))
-    return table(spark, d, "events").select("event_id", n.cast("long").alias("n"), F.size(parsed).cast("long").alias("parsed"), parsed.isNotNull().alias("rising"))
-
-
 @query("t02_t03_letters_only", "SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', '', 'g') AS plain FROM documents".replace("\\\\", "\\"))
 def letters_only(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.letters_only(F.col("text")).alias("plain"))
@@ -151,13 +143,6 @@ def levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return p.join(other, "p_partkey").select("p_partkey", F.levenshtein("p_name", "next").cast("long").alias("distance"))
 
 
-@query("m02_matching_ratio")
-def matching_ratio(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_name")
-    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next"))
-    return p.join(other, "p_partkey").select("p_partkey", S.matching_ratio("p_name", "next").alias("ratio"))
-
-
 @query("m03_ngram_f1", """WITH p AS (SELECT a.p_partkey, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
 gx AS (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, substr(x, unnest(generate_series(1, length(x) - 1)), 2) AS g FROM p) GROUP BY ALL),
 gy AS (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, substr(y, unnest(generate_series(1, length(y) - 1)), 2) AS g FROM p) GROUP BY ALL),
@@ -169,15 +154,6 @@ def ngram_f1(spark: SparkSession, d: str) -> DataFrame:
     return p.join(other, "p_partkey").select("p_partkey", S.ngram_f1(F.col("p_name"), F.col("next")).alias("f1"))
 
 
-@query("m04_j12_word_errors")
-def word_errors(spark: SparkSession, d: str) -> DataFrame:
-    from cuelake.operators.metrics import error_rates
-
-    c = cues(spark, d)
-    heard = F.regexp_replace("text", r"\bthe\b ", "")
-    return error_rates(c.select("media_id", "pos", F.col("text").alias("reference"), heard.alias("candidate"))).drop("reference", "candidate")
-
-
 @query("m05_bleu_chrf")
 def bleu_chrf(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d).select("media_id", "pos", F.col("text").alias("reference"), F.regexp_replace("text", "and ", "").alias("candidate"))
@@ -244,10 +220,3 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 def confidence(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("event_id") % 5 == 0, F.lit(" High ")).otherwise(((F.col("event_id") % 100) / 100).cast("string"))
     return table(spark, d, "events").select("event_id", N.confidence(value).alias("confidence"))
-
-
-@query("n02_n03_n05_loose_json", """SELECT event_id, props AS given FROM events WHERE false""")
-def loose_json(spark: SparkSession, d: str) -> DataFrame:
-    """What tolerant parsing cannot read of the events' JSON: nothing."""
-    rows = table(spark, d, "events").select("event_id", F.col("props").alias("given"))
-    return rows.where(F.col("given").isNotNull() & N.loose_json(F.concat(F.lit("Here:\n"), "given", F.lit(" // done"))).isNull())

@@ -63,15 +63,16 @@ def too_short(spark: SparkSession, d: str) -> DataFrame:
     return R.check(cues(spark, d), [R.too_short()])
 
 
-@query("f09_duplicate_runs", f"""WITH {CUES_SQL.replace("role, text, start_ms", "role, role || (turn // 3) AS text, start_ms")} {_ISSUE["runs"]}""")
+@query("f09_duplicate_runs", f"""{_C} SELECT media_id, min(pos) AS pos, 'duplicate' AS type, 'warning' AS severity, count(*)::VARCHAR AS detail FROM cues GROUP BY media_id, pos // 3 HAVING count(*) >= 2""")
 def duplicate_runs(spark: SparkSession, d: str) -> DataFrame:
-    return R.duplicate_runs(cues(spark, d).withColumn("text", F.concat("role", F.floor(F.col("turn") / 3).cast("string"))))
+    """Three cues in a row have one text, blanks around it aside."""
+    return R.duplicate_runs(cues(spark, d).withColumn("text", F.concat(F.lit("line "), F.floor(F.col("pos") / 3).cast("string"), F.when(F.col("pos") % 2 == 0, "  ").otherwise(""))))
 
 
-@query("f09_near_duplicates")
+@query("f09_near_duplicates", f"{_C} SELECT media_id, pos, 'near_duplicate' AS type, 'info' AS severity, '0.96' AS detail FROM cues WHERE pos % 2 = 0")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    rows = cues(spark, d).withColumn("text", F.concat(F.lit("the very same sentence again "), F.floor(F.col("turn") / 2).cast("string"), F.left("role", F.lit(1))))
-    return R.near_duplicates(rows)
+    """Two cues have one text, of 25 letters and digits; the next two differ in its last: 48 of 50 match."""
+    return R.near_duplicates(cues(spark, d).withColumn("text", F.concat(F.lit("The very same sentence again "), (F.floor(F.col("pos") / 2) % 10).cast("string"))))
 
 
 @query("f10_broken_time", f"WITH {CUES_SQL}, b AS (SELECT media_id, pos, start_ms, CASE WHEN pos % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms FROM cues) SELECT media_id, pos, 'broken_timestamp' AS type, 'error' AS severity, start_ms || '-' || end_ms AS detail FROM b WHERE start_ms >= end_ms")
@@ -80,10 +81,18 @@ def broken_time(spark: SparkSession, d: str) -> DataFrame:
     return R.check(rows, [R.broken_time()])
 
 
-@query("f11_boilerplate", f"{_C} SELECT media_id, pos, 'llm_boilerplate' AS type, 'error' AS severity, 'Translation:' AS detail FROM cues WHERE pos % 4 = 0")
+#: Texts and what of them is a model's own words, by hand.
+_WORDS = [
+    ("Here is the Translation you asked for: yes", "Here is the Translation"), ("I cannot come tonight.", None), ("I'm sorry, here we are.", None), ("well, I have translated it", "I have translated"), ("```\nyes", "```"), ("Sure! here are the subtitles", "Sure! here are the subtitle"),
+    ("好的，以下是字幕：走吧", "好的，以下是字幕"), ("好的，我们走吧。", None), ("她说：翻译如下 走", "翻译如下"), ("我来帮你把这句翻译", "我来帮你把这句翻译"), ("Translation: no", None), ("where is the subtitle", None),
+]
+_SAID = ", ".join("NULL" if w is None else "'" + w.replace("'", "''") + "'" for _, w in _WORDS)
+
+
+@query("f11_boilerplate", f"{_C} SELECT media_id, pos, 'llm_boilerplate' AS type, 'error' AS severity, [{_SAID}][pos % {len(_WORDS)} + 1] AS detail FROM cues WHERE [{_SAID}][pos % {len(_WORDS)} + 1] IS NOT NULL")
 def boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    rows = cues(spark, d).withColumn("text", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("Translation: "), "text")).otherwise(F.concat(F.lit("- "), "text")))
-    return R.check(rows, [R.boilerplate()])
+    texts = F.array(*[F.lit(t) for t, _ in _WORDS])
+    return R.check(cues(spark, d).withColumn("text", F.element_at(texts, (F.col("pos") % len(_WORDS) + 1).cast("int"))), [R.boilerplate()])
 
 
 _FOREIGN = "CASE " + " ".join(f"WHEN len(regexp_extract_all(text, '{p}')) >= 3 THEN '{n}'" for n, p in _SCRIPTS.items()) + " END"

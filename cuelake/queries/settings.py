@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.bridge import CUES_SQL, cues, table
+from cuelake.functions import similarity as S
+from cuelake.functions import structured as N
 from cuelake.functions import text as T
+from cuelake.functions import time as P
 from cuelake.plans import settings as C
 from cuelake.queries.registry import query
 
@@ -69,6 +72,27 @@ _cases("t30_public_safe", lambda x: F.struct(T.public_safe(x).alias("problem")),
 ])
 
 
+_cases("p13_p14_fractions", lambda n, given: F.struct(F.array_join(P.interior_fractions(n.cast("int")).cast("array<string>"), ",").alias("interior"), F.array_join(P.parse_fractions(given).cast("array<string>"), ",").alias("parsed")), ["interior", "parsed"], [
+    (("1", "0.5"), ("0.5", "0.5")), (("3", "0.1, 0.25 ,0.9"), ("0.25,0.5,0.75", "0.1,0.25,0.9")), (("2", "0.5,0.5"), ("0.333333,0.666667", None)), (("4", "0,0.5"), ("0.2,0.4,0.6,0.8", None)), (("1", "0.2,x"), ("0.5", None)), (("1", "0.9,0.1"), ("0.5", None)), (("1", "0.3,1"), ("0.5", None)),
+])
+_cases("n02_n03_n05_loose_json", lambda x: F.struct(N.loose_json(x).alias("document")), ["document"], [
+    (('```json\n{"b": 1, "a": [2]}\n```',), ('{"a": [2], "b": 1}',)), (('Here you are: {"a": "x"} as asked',), ('{"a": "x"}',)), (('{"a": 1, // a note\n "url": "http://x//y"}',), ('{"a": 1, "url": "http://x//y"}',)),
+    (('{"a": "he said "no" to me"}',), ('{"a": "he said \\"no\\" to me"}',)), (("no object at all",), (None,)), (('{"a": [1, 2}',), (None,)), ((None,), (None,)), (('{"é": "\\u00e9"}',), ('{"é": "é"}',)),
+])
+_cases("m02_matching_ratio", lambda a, b: F.struct(F.round(S.matching_ratio(a, b), 6).alias("ratio")), ["ratio"], [
+    (("abcd", "bcde"), (0.75,)), (("same", "same"), (1.0,)), (("abc", "xyz"), (0.0,)), (("", "abc"), (0.0,)), (("qabxcd", "abycdf"), (0.666667,)), (("aab", "aba"), (0.666667,)), ((None, "a"), (0.0,)),
+])
+_cases("m04_j12_word_errors", lambda a, b: S.word_errors(a, b), ["substitutions", "insertions", "deletions", "words"], [
+    (("a b c", "a b c"), (0, 0, 0, 3)), (("a b c", "a x c"), (1, 0, 0, 3)), (("a b c", "a c"), (0, 0, 1, 3)), (("a c", "a b c d"), (0, 2, 0, 2)), (("", "a"), (0, 1, 0, 0)), (("a b", None), (0, 0, 2, 2)),
+])
+_cases("t19_two_lines", lambda x: T.two_lines(x), ["source", "target", "error"], [
+    (("one\ntwo",), ("one", "two", None)), ((" one \n\n two \n",), ("one", "two", None)), (("one",), (None, None, "two lines are needed")), (("a\nb\nc",), (None, None, "two lines are needed")), ((None,), (None, None, "two lines are needed")), ((" \n ",), (None, None, "two lines are needed")),
+])
+_cases("t23_wrapped", lambda x: F.struct(T.wrapped(x, F.lit(20)).alias("text")), ["text"], [
+    (("short",), ("short",)), (("this text is too long for a line",), ("this text is too\nlong for a line",)), ((None,), (None,)), (("",), ("",)),
+])
+
+
 @query("f35_formal_references", "SELECT source, count(*) FILTER (WHERE lang = 'en') AS n_formal, count(*) AS n FROM documents GROUP BY source")
 def formal_references(spark: SparkSession, d: str) -> DataFrame:
     """Languages stand for kinds of references: English ones are gold."""
