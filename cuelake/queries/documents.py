@@ -144,12 +144,3 @@ def isolated(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.collect_list("role").alias("texts"))
     return C.staged(rows, {"draft": lambda texts, now: [t.upper() for t in texts], "review": review}).select("key", "error")
-
-
-@query("u02_u03_u04_u06_u07_u08_u09_u10_u17_staged", f"{_C} SELECT media_id, string_agg('final DRAFT ' || role, '|' ORDER BY pos) AS final FROM cues GROUP BY media_id")
-def staged(spark: SparkSession, d: str) -> DataFrame:
-    """Draft, review and final stage by stand-ins for a model."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "role"))), lambda x: x["role"])
-    rows = cues(spark, d).groupBy(F.col("media_id").alias("key")).agg(texts.alias("texts"))
-    made = C.staged(rows, {"draft": lambda texts, now: [f"draft {t}" for t in texts], "review": lambda texts, now: [n.replace("draft", "DRAFT") for n in now], "final": lambda texts, now: [f"final {n}" for n in now]})
-    return made.select(F.col("key").alias("media_id"), F.array_join("final", "|").alias("final"))

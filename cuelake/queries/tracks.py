@@ -388,7 +388,7 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
     return C.best_terms(rows)
 
 
-@query("u01_u05_k17_translate", f"{_C} SELECT media_id, CASE WHEN media_id % 4 = 0 THEN 'cache' ELSE 'model' END AS origin, array_to_string(list(CASE WHEN media_id % 4 = 0 THEN role ELSE 'b a ' || pos END ORDER BY pos), '|') AS translations FROM cues GROUP BY media_id")
+@query("k17_cached_translate", f"{_C} SELECT media_id, CASE WHEN media_id % 4 = 0 THEN 'cache' ELSE 'model' END AS origin, array_to_string(list(CASE WHEN media_id % 4 = 0 THEN role ELSE 'b a ' || pos END ORDER BY pos), '|') AS translations FROM cues GROUP BY media_id")
 def translate(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in for a model turns words round; a quarter of the batches is cached."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("x")))), lambda s: s["x"])
