@@ -266,11 +266,12 @@ def resegment(words: DataFrame, pause_ms: int = 10_000, group: str = "media_id")
     pause of ``pause_ms`` ends one too, so that a recording is folded an island at a time. Blank words go; words without a positive length say nothing of time."""
 
     def step(kept: list[dict], row: dict) -> None:
-        last = kept[-1] if kept and not kept[-1]["_closed"] else None
-        timed = row["end_ms"] > row["start_ms"]
+        top = kept[-1]["_top"] if kept else row["start_ms"]
+        last = kept[-1] if kept and not kept[-1]["_closed"] and row["start_ms"] - top < pause_ms else None
+        timed, top = row["end_ms"] > row["start_ms"], max(top, row["end_ms"])
         if last is None:
             # a cue of one word closes with the next one at the earliest
-            kept.append(row | {"text": row["text"].strip(), "_closed": False, "n_words": 1, "_timed": timed})
+            kept.append(row | {"text": row["text"].strip(), "_closed": False, "n_words": 1, "_timed": timed, "_top": top})
             return
         joined = _joined(last["text"], row["text"])
         start = last["start_ms"] if last["_timed"] or not timed else row["start_ms"]
@@ -279,11 +280,11 @@ def resegment(words: DataFrame, pause_ms: int = 10_000, group: str = "media_id")
         closed = (last["_timed"] or timed) and (
             ms >= MOST_MS or units >= 4 * MOST_UNITS or (ms >= LEAST_MS and (units * 250 > MOST_RATE * ms or bool(re.search(SENTENCE_END, row["text"])))) or (ms >= TARGET_MS and bool(re.search(CLAUSE_END, row["text"])))
         )
-        last |= {"text": joined, "start_ms": start, "end_ms": max(start + 1, end), "n_words": last["n_words"] + 1, "_timed": last["_timed"] or timed, "_closed": closed}
+        last |= {"text": joined, "start_ms": start, "end_ms": max(start + 1, end), "n_words": last["n_words"] + 1, "_timed": last["_timed"] or timed, "_closed": closed, "_top": top}
 
     said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(group, "pos", "text", "start_ms", "end_ms")
-    rows = said.withColumns({"n_words": F.lit(0), "_closed": F.lit(False), "_timed": F.lit(False)})
-    return fold(rows, step, group, ("pos",), pause_ms - 1).select(group, "pos", "text", "start_ms", "end_ms", "n_words")
+    rows = said.withColumns({"n_words": F.lit(0), "_closed": F.lit(False), "_timed": F.lit(False), "_top": F.lit(0).cast("long")})
+    return fold(rows, step, group, order=("pos",), apart=pause_ms - 1).select(group, "pos", "text", "start_ms", "end_ms", "n_words")
 
 
 def _text_print(rows: DataFrame, name: str, group: str) -> DataFrame:
