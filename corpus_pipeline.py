@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Null and empty texts are clean, are in no class of copies and hold no benchmark window; they stay until mixing, which takes words and so leaves out
+documents without any. Ids may be null or repeat: stages go by id and text, and of rows equal in both one stays after the jaccard join. Very long texts are
+read whole by each stage. Further columns, whatever their names, come back as they are from all stages but the last. An empty table gives an empty result."""
 
 from __future__ import annotations
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.sources.files import kept
+
 
 def _order(group: str) -> Window:
     return Window.partitionBy(group).orderBy("pos")
@@ -206,27 +208,21 @@ def merge_segments(rows: DataFrame, gap_ms: int = 2000, most_ms: int = 15_000, l
 
 
 def split_at_largest_gaps(rows: DataFrame, most: int = 20, group: str = "media_id") -> DataFrame:
-    """rows with part: a run of more than ``most`` rows is halved at its largest
-    gap between the first and last quarter (of equals, the one nearest to the middle), again and again."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        start, end, parts, todo = pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), [0] * len(pdf), [(0, len(pdf))]
-        cuts = []
-        while todo:
-            a, b = todo.pop()
-            if b - a <= most:
-                continue
-            low, high = a + max(1, (b - a) // 4), b - max(1, (b - a) // 4)
-            cut = max(range(low, high + 1), key=lambda k: (start[k] - end[k - 1], -abs(k - (a + b) / 2), -k))
-            cuts.append(cut)
-            todo += [(a, cut), (cut, b)]
-        for cut in cuts:
-            for k in range(cut, len(pdf)):
-                parts[k] += 1
-        return pdf.assign(part=parts)
-
-    return rows.groupBy(group).applyInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, part int")
+    """rows with part (0, 1, ...): a run of more than ``most`` rows is cut at its largest gap (of equals, the one nearest to the middle, then the first), again
+    and again; a quarter of ``most`` rows, but 8 at most, stay on each side. All runs of all recordings are cut at once, a level at a time."""
+    side, order = max(1, min(most // 4, 8)), _order(group)
+    made = rows.select(group, "pos", F.row_number().over(order).alias("k"), (F.col("start_ms") - F.lag("end_ms").over(order)).alias("gap")).withColumn("first", F.lit(1))
+    while True:
+        made = kept(made)
+        long = made.groupBy(group, "first").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        if long.isEmpty():
+            break
+        i = F.col("k") - F.col("first")
+        able = made.join(long, [group, "first"]).where(F.when(F.col("n") - side > side, i.between(side, F.col("n") - side)).otherwise(i == most))
+        cut = able.groupBy(group, "first").agg(F.max_by("k", F.struct("gap", -F.abs(i - F.col("n") / 2), -i)).alias("cut"))
+        made = made.join(cut, [group, "first"], "left").select(group, "pos", "k", "gap", F.when(F.col("k") >= F.col("cut"), F.col("cut")).otherwise(F.col("first")).alias("first"))
+    part = F.dense_rank().over(Window.partitionBy(group).orderBy("first")) - 1
+    return rows.join(made.select(group, "pos", part.alias("part")), [group, "pos"])
 
 
 #: What ends a cue of words, in ms, reading units and units a second; ends of sentences and of clauses.

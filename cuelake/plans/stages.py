@@ -8,7 +8,6 @@ answer's text, or raises ValueError. Batches are of one recording and scene, so
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,19 +19,12 @@ from cuelake.functions import answers as S
 from cuelake.functions import similarity as M
 from cuelake.operators import rules as R
 from cuelake.operators import sequences as W
-from cuelake.sources.files import scratch
+from cuelake.sources.files import kept
 
 Model = Callable[[], Callable[[str, dict], str]]
 BATCH, ATTEMPTS = 10, 2
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """rows, written to the shared folder and read again."""
-    path = f"{scratch(rows.sparkSession)}/stage-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def ask(questions: DataFrame, model: Model, stage: str, strict: bool = False) -> DataFrame:
     """questions (with ``question``, JSON) and answer (null where the call failed). A strict question says so."""
 

@@ -103,9 +103,9 @@ def best_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("t25_t38_safe_name", r"""SELECT doc_id, CASE WHEN s = '' THEN 'media' ELSE s END AS name FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  left(text, 200), '[<>:"/\\|?*\x00-\x1f]+', '-', 'g'), '[\t\n\f\r \x0b]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 72), '[-.]+$', '') AS s FROM documents)""")
+  text, '[<>:"/\\|?*\x00-\x1f]+', '-', 'g'), '[\t\n\f\r \x0b]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 72), '[-.]+$', '') AS s FROM documents)""")
 def safe_name(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.safe_name(F.left("text", F.lit(200))).alias("name"))
+    return table(spark, d, "documents").select("doc_id", T.safe_name(F.col("text")).alias("name"))
 
 
 @query("t27_t32_t34_redact", r"""SELECT event_id, left(regexp_replace(regexp_replace(regexp_replace('token=' || event_id || ' at /home/u' || user_id || '/x.srt Bearer ' || event_type, '(?i)(api[_-]?key|token|secret|password|authorization)([\t\n\f\r ]*[=:][\t\n\f\r ]*)[^\t\n\f\r ]+', '\1\2[redacted]', 'g'),

@@ -200,7 +200,11 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
     return J.gaps(cues(spark, d), 400)
 
 
-@query("w03_split_at_gaps")
+@query("w03_split_at_gaps", f"""WITH RECURSIVE {CUES_SQL}, g AS (SELECT media_id, pos, start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY pos) AS gap FROM cues),
+s AS (SELECT media_id, 1::BIGINT AS a, max(pos)::BIGINT AS b FROM cues GROUP BY media_id
+  UNION ALL SELECT media_id, CASE h WHEN 0 THEN a ELSE cut END, CASE h WHEN 0 THEN cut - 1 ELSE b END FROM (
+    SELECT s.media_id, a, b, arg_max(g.pos, (gap, -abs(g.pos - a - (b - a + 1) / 2::DOUBLE), -g.pos)) AS cut FROM s JOIN g ON g.media_id = s.media_id AND g.pos - a BETWEEN 1 AND b - a WHERE b - a + 1 > 3 GROUP BY s.media_id, a, b), (VALUES (0), (1)) v(h))
+SELECT media_id, pos, part FROM g JOIN (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY a) - 1 AS part FROM s WHERE b - a + 1 <= 3) p USING (media_id) WHERE pos BETWEEN a AND b""")
 def split_at_gaps(spark: SparkSession, d: str) -> DataFrame:
     return W.split_at_largest_gaps(cues(spark, d), 3).select("media_id", "pos", "part")
 
@@ -238,12 +242,20 @@ def equal_runs(spark: SparkSession, d: str) -> DataFrame:
     return W.equal_runs(cues(spark, d), F.floor(F.col("turn") / 2))
 
 
-@query("w10_merge_segments")
+@query("w10_merge_segments", f"""WITH RECURSIVE {CUES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, pos) AS k FROM cues),
+f AS (SELECT media_id, k, 1 AS n, start_ms AS s, end_ms AS e, length(text) AS l FROM o WHERE k = 1
+  UNION ALL SELECT o.media_id, o.k, CASE WHEN joins THEN n ELSE n + 1 END, CASE WHEN joins THEN s ELSE o.start_ms END, CASE WHEN joins THEN greatest(e, o.end_ms) ELSE o.end_ms END, CASE WHEN joins THEN l + 1 + length(o.text) ELSE length(o.text) END
+  FROM (SELECT f.*, o.k AS next, o.start_ms - e <= 2000 AND o.end_ms - s <= 15000 AS joins FROM f JOIN o ON o.media_id = f.media_id AND o.k = f.k + 1) f JOIN o ON o.media_id = f.media_id AND o.k = f.next)
+SELECT media_id, n::BIGINT AS pos, arg_max(s, k) AS start_ms, arg_max(e, k) AS end_ms, arg_max(l, k) AS length FROM f GROUP BY media_id, n HAVING arg_max(e, k) - arg_max(s, k) >= 3000""")
 def merge_segments(spark: SparkSession, d: str) -> DataFrame:
     return W.merge_segments(cues(spark, d)).select("media_id", "pos", "start_ms", "end_ms", F.length("text").alias("length"))
 
 
-@query("w11_u13_speech_blocks")
+@query("w11_u13_speech_blocks", f"""WITH RECURSIVE {CUES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms) AS k FROM cues), t AS (SELECT media_id, max(end_ms) AS total FROM cues GROUP BY media_id),
+f AS (SELECT media_id, k, 0 AS n, start_ms AS s, end_ms AS e, end_ms - start_ms AS ms FROM o WHERE k = 1
+  UNION ALL SELECT media_id, next, n + closes::INT, CASE WHEN closes THEN a ELSE s END, CASE WHEN closes THEN b ELSE greatest(e, b) END, CASE WHEN closes THEN b - a ELSE ms + b - a END
+  FROM (SELECT f.*, o.k AS next, o.start_ms AS a, o.end_ms AS b, o.start_ms - e >= 8000 OR o.end_ms - s > 60000 OR ms + o.end_ms - o.start_ms > 60000 OR ms >= 45000 AS closes FROM f JOIN o ON o.media_id = f.media_id AND o.k = f.k + 1))
+SELECT media_id, n AS block, greatest(0, arg_max(s, k) - 800) AS start_ms, least(any_value(total), arg_max(e, k) + 800) AS end_ms, arg_max(ms, k) AS speech_ms FROM f JOIN t USING (media_id) GROUP BY media_id, n""")
 def speech_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d)
     return W.speech_blocks(rows.join(rows.groupBy("media_id").agg(F.max("end_ms").alias("total_ms")), "media_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import tempfile
+import uuid
 import wave
 import zipfile
 from collections.abc import Iterator
@@ -59,6 +60,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder and read again, so that loops do not run what came before anew."""
+    path = f"{scratch(rows.sparkSession)}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def only_media(listing: DataFrame, extensions: tuple[str, ...] = VIDEO + AUDIO) -> DataFrame:
     """The rows of a listing (path) that are media by their extension, whatever its case."""
     return listing.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
