@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Rows of a key list that may be broadcast; longer lists are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Rows that a Python worker gets at once.
+BATCH = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands rows to Python at most BATCH at a time, so that
+    neither side holds tens of MB of long texts; the session's setting comes back after."""
+    was = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH if int(was) <= 0 else min(BATCH, int(was))))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, was)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and
     survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

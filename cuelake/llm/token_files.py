@@ -8,7 +8,9 @@ documents: token access, counts and occurrences come from the one compressed
 file it is in. The files are Parquet with zstd, written by Spark, so that a lost
 executor's or a repeated task's output never counts twice.
 
-Null and empty texts give the end id alone. An empty table gives no shards.
+Null and empty texts give the end id alone. Ids may be null or repeat: each row is a document of its own, in the order above. A very long text is
+encoded whole and is never cut between shards, so that a shard is as long as its last text makes it. Other columns
+are not read, whatever their names. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import arrow_task
+from cuelake.llm.common import arrow_task, small_batches
 from cuelake.llm.wavelet import WaveletMatrix
 from cuelake.llm.words import SLICE, _buffers
 
@@ -264,7 +266,8 @@ def _arrow_schema() -> pa.Schema:
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shards to a folder; returns the folder's DataFrame."""
     made = shards(docs, vocabulary, end_id, shard_tokens)
-    made.write.option("compression", "zstd").parquet(path)
+    with small_batches(docs.sparkSession):
+        made.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(SHARD).parquet(path)
 
 
