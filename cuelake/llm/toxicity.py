@@ -153,8 +153,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, rows: int = TRAIN_ROWS) -> Model:
     """A model of labels.toxic, learned from documents where ``use`` (on _d, the id) holds."""
-    made = training_rows(docs, labels, use, rows).mapInArrow(arrow_task(_extract), "y int, h long, n long, at binary")
-    sample = materialize(made.dropDuplicates(["y", "h", "at"]), "toxicity-sample")
+    sample = materialize(training_rows(docs, labels, use, rows).mapInArrow(arrow_task(_extract), "y int, h long, n long, at binary"), "toxicity-sample")
+    same = ["y", "h", "n", F.xxhash64("at")]
+    if not sample.groupBy(*same).count().where("count > 1").isEmpty():
+        sample = materialize(sample.dropDuplicates(["y", "h", "at"]), "toxicity-sample")
     total = sample.agg(F.sum("n")).first()[0] or 0
     if total > TRAIN_FEATURES:
         sample = sample.where(F.pmod("h", F.lit(1 << 30)) < int(TRAIN_FEATURES / total * (1 << 30)))
