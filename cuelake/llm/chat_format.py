@@ -6,42 +6,53 @@ as they are. Masks are the spans of the assistant's contents in the rendered
 text, which training learns from.
 
 Turns are in order of their number (null last), then role and text. A row holds the turns of
-TURNS turn numbers: a longer dialogue comes in several parts, in order, so that no conversation
-is ever gathered as a whole. System messages are no perspective; nor are
+TURNS turn numbers, or of those without a number, and a piece of TURNS of them where
+numbers repeat: a longer dialogue comes in several parts and pieces, in order, so that no conversation
+is ever gathered as a whole, however long or hot. Participants are joined to parts, not to conversations. System messages are no perspective; nor are
 messages without a role (null or empty), which are named ``unknown``. Null texts are
-empty. A conversation with no participant gives no row. Messages that repeat are
-each rendered. A null conv_id is a conversation of its own. An empty table gives none.
+empty; what would open or close a message in a text or name is escaped, and a name is one line. Very long texts are rendered whole. A conversation with no participant gives no row. Messages that repeat are
+each rendered. A null conv_id is a conversation of its own. An empty table gives none; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURNS = 1024
 SYSTEM, NOBODY = "system", "unknown"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+MARK, ESCAPED = "<|im_", "<|_im_"
+
+
+def escaped(text: Column) -> Column:
+    """text without a message's marks."""
+    return F.replace(text, F.lit(MARK), F.lit(ESCAPED))
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """A row for each message and perspective: conv_id, perspective, part, turn, speaker, role, name, content."""
+    """A row for each message and perspective: conv_id, perspective, part, piece, turn, speaker, role, name, content."""
     speaker = F.when(F.coalesce("role", F.lit("")) == "", F.lit(NOBODY)).otherwise(F.col("role"))
-    rows = conversations.select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("content"))
-    able = rows.where(~F.col("speaker").isin(SYSTEM, NOBODY)).groupBy("conv_id").agg(F.array_sort(F.collect_set("speaker")).alias("who"))
-    able = able.withColumnRenamed("conv_id", "_conv")
-    rows = rows.join(able, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("perspective", F.explode("who"))
+    rows = conversations.select("conv_id", "turn", speaker.alias("speaker"), escaped(F.coalesce("text", F.lit(""))).alias("content")).withColumn("part", F.floor(F.col("turn") / TURNS).cast("long"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.asc_nulls_last("turn"), "speaker", "content"))
+    rows = rows.withColumn("piece", F.floor((place - 1) / TURNS).cast("long"))
+    able = rows.where(~F.col("speaker").isin(SYSTEM, NOBODY)).groupBy(F.col("conv_id").alias("_conv")).agg(F.array_sort(F.collect_set("speaker")).alias("who"))
+    parts = rows.select("conv_id", F.col("part").alias("_part"), F.col("piece").alias("_piece")).distinct()
+    who = parts.join(able, F.col("conv_id").eqNullSafe(F.col("_conv"))).select("_conv", "_part", "_piece", "who")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("part").eqNullSafe(F.col("_part")) & (F.col("piece") == F.col("_piece"))
+    rows = rows.join(who, same).withColumn("perspective", F.explode("who"))
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    rows = rows.withColumns({"role": role, "part": F.floor(F.col("turn") / TURNS).cast("long")})
-    return rows.select("conv_id", "perspective", "part", "turn", "speaker", "role", F.when(F.col("role") == "user", F.col("speaker")).alias("name"), "content")
+    name = escaped(F.regexp_replace("speaker", r"[\r\n]+", " "))
+    return rows.withColumn("role", role).select("conv_id", "perspective", "part", "piece", "turn", "speaker", "role", F.when(F.col("role") == "user", name).alias("name"), "content")
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
-    """conv_id, perspective, part, n_messages, n_masked (messages of the
+    """conv_id, perspective, part, piece, n_messages, n_masked (messages of the
     assistant), rendered, mask (spans ``from-to`` in characters, comma-joined)."""
     header = F.concat(F.lit(OPEN), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
     rows = messages(conversations).withColumns({"header": header, "own": F.col("role") == "assistant"})
     message = F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "content", "header", "own")
-    grouped = rows.groupBy("conv_id", "perspective", "part").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    grouped = rows.groupBy("conv_id", "perspective", "part", "piece").agg(F.array_sort(F.collect_list(message)).alias("m"))
     segments = F.transform("m", lambda x: F.concat(x["header"], x["content"], F.lit(CLOSE)))
 
     def step(acc, x):
@@ -53,6 +64,6 @@ def rotate(conversations: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
     spans = F.aggregate("m", start, step)["spans"]
     return grouped.select(
-        "conv_id", "perspective", "part", F.size("m").cast("long").alias("n_messages"), F.size(F.filter("m", lambda x: x["own"])).cast("long").alias("n_masked"),
+        "conv_id", "perspective", "part", "piece", F.size("m").cast("long").alias("n_messages"), F.size(F.filter("m", lambda x: x["own"])).cast("long").alias("n_masked"),
         F.array_join(segments, "").alias("rendered"), F.array_join(spans, ",").alias("mask"),
     )

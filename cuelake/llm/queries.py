@@ -125,21 +125,22 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH c AS (
-  SELECT conv_id, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS content FROM conversations),
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS LAST, speaker, content) - 1) // 1024 AS piece FROM (
+    SELECT conv_id, turn, turn // 1024 AS part, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker, replace(coalesce(text, ''), '<|im_', '<|_im_') AS content FROM conversations)),
 w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE speaker NOT IN ('system', 'unknown')),
 m AS (
-  SELECT c.conv_id, w.perspective, c.turn, c.turn // 1024 AS part, c.speaker, c.content,
+  SELECT c.conv_id, w.perspective, c.turn, c.part, c.piece, c.speaker, c.content,
          CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id),
-h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS header FROM m),
+h AS (SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || replace(regexp_replace(speaker, '[\r\n]+', ' ', 'g'), '<|im_', '<|_im_') ELSE '' END || chr(10) AS header FROM m),
 o AS (
   SELECT *, row_number() OVER v AS k,
          coalesce(sum(length(header) + length(content) + 11) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(header) AS begins
-  FROM h WINDOW v AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS LAST, speaker, content))
-SELECT conv_id, perspective, part, count(*) AS n_messages, count(*) FILTER (WHERE role = 'assistant') AS n_masked,
+  FROM h WINDOW v AS (PARTITION BY conv_id, perspective, part, piece ORDER BY turn NULLS LAST, speaker, content))
+SELECT conv_id, perspective, part, piece, count(*) AS n_messages, count(*) FILTER (WHERE role = 'assistant') AS n_masked,
        string_agg(header || content || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
        coalesce(string_agg(begins || '-' || (begins + length(content)), ',' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS mask
-FROM o GROUP BY conv_id, perspective, part
+FROM o GROUP BY conv_id, perspective, part, piece
 """
 
 
