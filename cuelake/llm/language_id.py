@@ -2,8 +2,8 @@
 
 The blended-spectrum presence kernel counts the n-grams (of 2 to 4 bytes of the lower-cased text,
 other ASCII than letters read as blanks) that two texts both have, whatever their number, and divides by the
-geometric mean of each text's own. LANDMARKS documents of the learning rows
-give the alphabet of n-grams and the Nyström map; one-versus-rest kernel ridge
+geometric mean of how many of the alphabet each has. LANDMARKS documents of the learning rows, dealt evenly over the languages and two of each at least,
+give the alphabet of n-grams (for each language those that most of its landmarks have) and the Nyström map; one-versus-rest kernel ridge
 regression is solved on that map for about TRAIN_ROWS learning rows at most, dealt evenly
 over the languages. A batch of texts is scored by two matrix products:
 presence by landmarks, and that by weights.
@@ -11,7 +11,8 @@ presence by landmarks, and that by weights.
 A whole text counts, of any length (long ones in pieces that overlap). A text
 that is null or has no letter is ``und`` with score 0; so is every text if there
 is nothing to learn from. Rows with a null or empty lang teach nothing. Documents
-that repeat are each predicted. Ties between languages go to the first by name.
+that repeat are each predicted. Ties between languages go to the first by name. An empty table gives an empty result;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from cuelake.llm.words import _buffers
 SIZES = (2, 3, 4)
 LANDMARKS = 128
 TRAIN_ROWS = 6_000
-#: n-grams of the landmarks that are kept, those in the most landmarks first.
-ALPHABET = 16_384
+#: n-grams of the landmarks that are kept: so many in all, or so many of each language if that is more.
+ALPHABET, OF_EACH = 16_384, 512
 RIDGE = 1e-3
 #: Texts in one matrix product, and bytes of text looked at together.
 ROWS, PIECE = 128, 1 << 20
@@ -107,11 +108,21 @@ def learns(doc_id: str = "doc_id", folds: int = 4, held: int = 2) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) != held
 
 
-def _alphabet(found: list[np.ndarray]) -> np.ndarray:
-    every, count = np.unique(np.concatenate(found), return_counts=True)
-    if (count > 1).any():
-        every, count = every[count > 1], count[count > 1]
-    every = every[np.lexsort((every, -count))][:ALPHABET]
+def _alphabet(found: list[np.ndarray], languages: list[str]) -> np.ndarray:
+    """n-grams of landmarks (each a sorted array) by language: those that most of its landmarks have, an equal share of each; an n-gram
+    of one landmark alone only where nothing else is there."""
+    share, kept, seen = max(OF_EACH, ALPHABET // len(set(languages))), [], []
+    for name in sorted(set(languages)):
+        every, count = np.unique(np.concatenate([x for x, own in zip(found, languages, strict=True) if own == name]), return_counts=True)
+        if (count > 1).any():
+            every, count = every[count > 1], count[count > 1]
+        first = np.lexsort((every, -count))[:share]
+        kept.append(every[first])
+        seen.append(count[first])
+    every, count = np.concatenate(kept), np.concatenate(seen)
+    every, at = np.unique(every, return_inverse=True)
+    count = np.bincount(at, count)
+    every = every[np.lexsort((every, -count))]
     # one n-gram for each slot of the lookup: the more common
     _, first = np.unique(slots(every), return_index=True)
     return np.sort(every[first])
@@ -129,9 +140,9 @@ def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, landmarks: int =
     picked = able.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= limit[F.col("lang")])
     sample = materialize(picked.select("text", "lang", F.xxhash64("doc_id", F.lit(1)).alias("h")), "language-sample")
 
-    each = -(-landmarks // len(counts))
+    each = max(2, -(-landmarks // len(counts)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
-    chosen = sample.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "lang").limit(max(landmarks, len(counts))).select("text")
+    chosen = sample.withColumn("rank", rank).where(F.col("rank") <= each).orderBy("rank", "lang").limit(max(landmarks, 2 * len(counts))).select("text", "lang")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +154,13 @@ def train(docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, landmarks: int =
                     piece = data[start : start + PIECE + SIZES[-1] - 1]
                     held = np.union1d(held, np.concatenate([codes(piece, n) for n in SIZES]))
                 made.append(held.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(made, pa.binary())], names=["lang", "codes"])
 
-    found = sorted((np.frombuffer(r["codes"], np.uint32) for r in chosen.mapInArrow(arrow_task(grams), "codes binary").collect()), key=lambda x: x.tobytes())
-    if not found:
+    got = sorted((r["lang"], bytes(r["codes"])) for r in chosen.mapInArrow(arrow_task(grams), "lang string, codes binary").collect())
+    if not got:
         return None
-    alphabet = _alphabet(found)
+    found = [np.frombuffer(x, np.uint32) for _, x in got]
+    alphabet = _alphabet(found, [lang for lang, _ in got])
     presence = np.stack([np.isin(alphabet, x) for x in found], 1).astype(np.uint8)
     model = Model(sorted(counts), alphabet, presence, np.zeros((len(found), len(counts))), np.zeros(len(counts)))
     shared = spark.sparkContext.broadcast(model)
