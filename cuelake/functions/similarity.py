@@ -19,21 +19,31 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def edit_counts(reference: list, candidate: list) -> tuple[int, int, int]:
-    """(substitutions, insertions, deletions) of a least-cost alignment."""
-    n = len(candidate)
-    cost = np.arange(n + 1)
-    subs, ins = np.zeros(n + 1, int), np.arange(n + 1)
+    """(substitutions, insertions, deletions) of a least-cost alignment; of equal costs a substitution, then a deletion, comes first. What both
+    begin and end with is left out of the table."""
+    a, b = 0, 0
+    while a < len(reference) and a < len(candidate) and reference[a] == candidate[a]:
+        a += 1
+    while b < len(reference) - a and b < len(candidate) - a and reference[-1 - b] == candidate[-1 - b]:
+        b += 1
+    reference, candidate = reference[a : len(reference) - b], candidate[a : len(candidate) - b]
+    row = [(j, 0, j) for j in range(len(candidate) + 1)]  # cost, substitutions, insertions
     for i, r in enumerate(reference, 1):
-        new, ns, ni = np.empty(n + 1, int), np.empty(n + 1, int), np.empty(n + 1, int)
-        new[0], ns[0], ni[0] = i, 0, 0
+        before, row = row, [(i, 0, 0)]
+        left = row[0]
         for j, c in enumerate(candidate, 1):
-            best = (cost[j - 1] + (r != c), 0)
-            best = min(best, (cost[j] + 1, 1), (new[j - 1] + 1, 2))
-            new[j] = best[0]
-            ns[j], ni[j] = ((subs[j - 1] + (r != c), ins[j - 1]), (subs[j], ins[j]), (ns[j - 1], ni[j - 1] + 1))[best[1]]
-        cost, subs, ins = new, ns, ni
-    s, i = int(subs[n]), int(ins[n])
-    return s, i, int(cost[n]) - s - i
+            d, s, n = before[j - 1]
+            best = (d, s, n) if r == c else (d + 1, s + 1, n)
+            if before[j][0] + 1 < best[0]:
+                d, s, n = before[j]
+                best = (d + 1, s, n)
+            if left[0] + 1 < best[0]:
+                d, s, n = left
+                best = (d + 1, s, n + 1)
+            row.append(best)
+            left = best
+    cost, s, n = row[-1]
+    return s, n, cost - s - n
 
 
 @F.pandas_udf(StructType([StructField("substitutions", IntegerType()), StructField("insertions", IntegerType()), StructField("deletions", IntegerType()), StructField("words", IntegerType())]))

@@ -152,9 +152,14 @@ def grouping_levels(samples: DataFrame, value: Column, tags: str = "tags", candi
 def term_consistency(source: DataFrame, target: DataFrame, terms: DataFrame, group: str = "media_id") -> DataFrame:
     """For each term (source_term, target_term): how often either track has it, and whether the target falls short."""
     n = lambda text, term: ((F.length(text) - F.length(F.replace(F.lower(text), F.lower(term), F.lit("")))) / F.length(term)).cast("long")
-    # terms are a glossary of a few dozen rows, capped where it is read
-    a = source.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("source_term"))).groupBy("source_term", "target_term").agg(F.sum(n(F.col("text"), F.col("source_term"))).alias("n_source"))
-    b = target.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("target_term"))).groupBy("source_term", "target_term").agg(F.sum(n(F.col("text"), F.col("target_term"))).alias("n_target"))
+
+    def counted(rows: DataFrame, name: str, out: str) -> DataFrame:
+        # a term is looked for in texts that have its first letter, so that texts and terms meet by an equality, whatever the size of the glossary
+        letters = rows.select("text", F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("letter"))
+        held = letters.join(terms.where(F.length(name) > 0).withColumn("letter", F.left(F.lower(name), F.lit(1))), "letter").where(F.contains(F.lower("text"), F.lower(name)))
+        return held.groupBy("source_term", "target_term").agg(F.sum(n(F.col("text"), F.col(name))).alias(out))
+
+    a, b = counted(source, "source_term", "n_source"), counted(target, "target_term", "n_target")
     out = terms.join(a, ["source_term", "target_term"], "left").join(b, ["source_term", "target_term"], "left").fillna(0, ["n_source", "n_target"])
     return out.withColumn("missing", F.greatest(F.lit(0).cast("long"), F.col("n_source") - F.col("n_target")))
 
