@@ -57,12 +57,6 @@ def late_columns(spark: SparkSession, d: str) -> DataFrame:
     return chosen.join(docs.select("doc_id", "text"), "doc_id")
 
 
-@query("s30_s31_s32_manifest", """SELECT 'unique' AS name, count(*) = count(DISTINCT doc_id) AS holds FROM documents UNION ALL SELECT 'groups', count(DISTINCT source) >= 3 FROM documents
-UNION ALL SELECT 'languages', bool_and(lang IN ('en', 'fr', 'de', 'es')) FROM documents UNION ALL SELECT 'exact', count(*) = 6 FROM documents""")
-def manifest(spark: SparkSession, d: str) -> DataFrame:
-    return C.checks(table(spark, d, "documents"), unique=F.count("*") == F.countDistinct("doc_id"), groups=F.countDistinct("source") >= 3, languages=F.bool_and(F.col("lang").isin("en", "fr", "de", "es")), exact=F.count("*") == 6)
-
-
 @query("k06_k07_json_report", """SELECT conv_id, '{"conv_id":' || conv_id || ',"n":' || count(*) || ',"roles":[' || string_agg('"' || role || '"', ',' ORDER BY turn) || ']}' AS document FROM conversations GROUP BY conv_id""")
 def json_report(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
@@ -103,18 +97,12 @@ def answer_shapes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.explode(N.entries(shape)).alias("id", "text"))
 
 
-@query("j14_a39_a42_campaign", "SELECT source, avg(n_chars) FILTER (WHERE lang = 'en') AS en, avg(n_chars) FILTER (WHERE lang = 'fr') AS fr, avg(n_chars) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY source")
+@query("j14_campaign", "SELECT source, avg(n_chars) FILTER (WHERE lang = 'en') AS en, avg(n_chars) FILTER (WHERE lang = 'fr') AS fr, avg(n_chars) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY source")
 def campaign(spark: SparkSession, d: str) -> DataFrame:
     """Samples by profile, as columns."""
     return table(spark, d, "documents").groupBy("source").pivot("lang", ["en", "fr", "de"]).agg(F.avg("n_chars"))
 
 
-@query("a33_a36_counts", f"{_C} SELECT media_id, count(*) AS planned, count(*) FILTER (WHERE pos % 3 = 0) AS executed, count(*) FILTER (WHERE pos % 6 = 0) AS accepted, count(*) FILTER (WHERE pos % 3 <> 0) AS skipped FROM cues GROUP BY media_id")
-def counts(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("pos")
-    return cues(spark, d).groupBy("media_id").agg(F.count("*").alias("planned"), F.count_if(p % 3 == 0).alias("executed"), F.count_if(p % 6 == 0).alias("accepted"), F.count_if(p % 3 != 0).alias("skipped"))
-
-
 @query("w22_w24_after_replace", f"""{_T}, m AS (SELECT media_id, start_ms, end_ms, role, pos FROM cues WHERE pos % 4 <> 0 UNION ALL SELECT media_id, start_ms, end_ms, role, pos FROM other WHERE pos % 4 = 0)
 SELECT media_id, count(*) FILTER (WHERE role = r AND start_ms - e <= 250) AS n_again FROM (SELECT *, lag(role) OVER w AS r, lag(end_ms) OVER w AS e FROM m WINDOW w AS (PARTITION BY media_id ORDER BY start_ms, end_ms, pos)) GROUP BY media_id""")
 def after_replace(spark: SparkSession, d: str) -> DataFrame:

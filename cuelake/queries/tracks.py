@@ -262,14 +262,6 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("kind", "language").agg(F.count("*").alias("n"))
 
 
-@query("a34_public_groups", "SELECT DISTINCT source, dense_rank() OVER (ORDER BY source) AS alias, count(*) OVER (PARTITION BY source) AS n FROM documents")
-def public_groups(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    counts = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    return counts.withColumn("alias", F.dense_rank().over(Window.orderBy("source")))  # a row for each source
-
-
 @query("a29_storage", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source")
 def storage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"))
