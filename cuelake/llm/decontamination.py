@@ -8,7 +8,8 @@ Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window
 is ``n`` consecutive words of an item; an item of fewer words, but not none,
 is one window. Null and empty texts have no words and no windows; items that
 repeat (same id, or same text) count once each by id; items without an id mark
-words but are not listed. Documents that repeat are each scanned and kept.
+words but are not listed. Documents that repeat are each scanned and kept; very long texts are scanned whole. Columns of
+docs may have any names and come back as they are. An empty table gives none; an empty benchmark hits nothing.
 
 The benchmark is broadcast in blocks of at most BLOCK windows: one scan of the
 documents per block, each adding its marks, so that a benchmark of any size is

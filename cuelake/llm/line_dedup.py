@@ -13,7 +13,8 @@ while all lists together are within LISTED.
 
 Null html has no lines. A page without a host (null or other urls) keeps all
 its lines. Pages that repeat count as often as they are there. Ids are only
-carried along. An empty table gives none.
+carried along. Lines on fewer than ``least`` pages stay, so that hosts of one or two pages lose none. Very long pages and lines are
+read whole; other columns are not read, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations

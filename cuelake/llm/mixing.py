@@ -12,8 +12,10 @@ one range of one source only, so that a source with a third of all rows is
 spread over all tasks. Budgets above the source's size repeat it by epochs;
 the document at the cut is taken in part.
 
-Null texts have size 0; ids and texts may be null or repeat (equal rows are
-taken in either order); a null source is a source; an empty table gives none.
+Null and empty texts have size 0; ids and texts may be null or repeat (rows that tie in key and size are
+taken in either order; all rows of one id lie in one range, so that an id, or null, that repeats by the million is one task's); a null source is a
+source. Very long texts count whole, and are cut at a word where the budget ends in them. Columns of docs may have any
+names and come back as they are. An empty table gives none. Sources are a short list: their targets are worked out in one task, a row each.
 """
 
 from __future__ import annotations

@@ -80,3 +80,22 @@ def test_stages_keep_the_columns(spark, sf_dir):
         docs = stage(spark, docs, path)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
     assert corpus_pipeline.tokens(spark, docs, path).count() == 0
+
+
+def test_rows_that_are_odd(spark, tmp_path):
+    """Null and repeated ids, repeated rows, very long texts and columns that clash with the stages' own."""
+    rng = random.Random(5)
+    long, other = sentence(rng, 30_000, 10**6), sentence(rng, 40, 10**6)
+    rows = [(None, other), (None, other), (None, sentence(rng, 40, 10**6)), (3, long), (3, long), (3, sentence(rng, 50, 10**6)), (4, None), (4, ""), (5, edited(rng, long, 5))]
+    rows = [(k, t, "en", "a", 0, 1.5, "x", 2) for k, t in rows]
+    spark.createDataFrame(rows, DOCS + ", score double, _h string, _size int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words in any of these texts at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns[-3:] == ["score", "_h", "_size"], name
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(left, key=repr) == sorted([(None, rows[0][1]), (None, rows[2][1]), (3, long), (3, rows[5][1]), (4, None), (4, "")], key=repr)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {None, 3} and all(r.n_tokens > 1 for r in got)
