@@ -175,3 +175,38 @@ def asr_mode(mode: Column, language: Column) -> Column:
 def ranged(value: Column, low: int, high: int, default: int) -> Column:
     """An integer within its range; the default if null or no number; clipped otherwise."""
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value.try_cast("int"), F.lit(default))))
+
+
+#: Statuses of runs that end them.
+ENDED = ("completed", "failed", "stale", "aborted_plan_changed")
+
+
+def worker_lost(records: DataFrame, lost: DataFrame) -> DataFrame:
+    """Run records (run_id, status) with status, failure_reason and worker_returncode after workers were lost (run_id, returncode: null is 1): a run that has not ended is stale; others stay."""
+    rows = records.join(lost.select("run_id", F.coalesce("returncode", F.lit(1)).cast("int").alias("_code")), "run_id", "left")
+    hit = F.col("_code").isNotNull() & ~F.coalesce(F.col("status").isin(*ENDED), F.lit(False))
+    return rows.select("run_id", F.when(hit, "stale").otherwise(F.col("status")).alias("status"), F.when(hit, "worker_process_not_alive").alias("failure_reason"), F.when(hit, F.col("_code")).alias("worker_returncode"))
+
+
+def run_tasks(planned: DataFrame, stages: Callable[[], dict[str, Callable[[str], str]]]) -> DataFrame:
+    """Planned tasks (task_id, first_stage, payload; null first_stage: nothing to do) run from their first stage on: task_id, status (completed or failed), ran (stages, comma-joined),
+    payload and error (stage: message). A task that fails leaves the others alone. ``stages`` makes, once for each task of Spark's, a function for each stage of CHAIN that takes and
+    gives the payload, or raises ValueError."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = stages()
+        for pdf in parts:
+            out = []
+            for task, first, payload in zip(pdf["task_id"], pdf["first_stage"], pdf["payload"], strict=True):
+                ran, error = [], None
+                for stage in CHAIN[CHAIN.index(first) :] if first else ():
+                    try:
+                        payload = made[stage](payload) if stage in made else payload
+                        ran.append(stage)
+                    except ValueError as e:
+                        error = f"{stage}: {e}"
+                        break
+                out.append((task, "failed" if error else "completed", ",".join(ran), payload, error))
+            yield pd.DataFrame(out, columns=["task_id", "status", "ran", "payload", "error"])
+
+    return planned.select("task_id", "first_stage", "payload").mapInPandas(run, f"task_id {dict(planned.dtypes)['task_id']}, status string, ran string, payload string, error string")

@@ -121,14 +121,31 @@ def rebased(spark: SparkSession, d: str) -> DataFrame:
     return V.rebased(rows.select("media_id", "pos", "start_ms", "end_ms"), windows)
 
 
-@query("r05_r12_r13_isolated", "SELECT conv_id AS key, CASE WHEN count(*) > 7 THEN 'review: too many' END AS error FROM conversations GROUP BY conv_id")
-def isolated(spark: SparkSession, d: str) -> DataFrame:
-    """A stage that fails for one batch leaves the others alone."""
-
-    def review(texts: list[str], now: list[str]) -> list[str]:
-        if len(texts) > 7:
-            raise ValueError("too many")
-        return now
-
-    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.collect_list("role").alias("texts"))
-    return C.staged(rows, {"draft": lambda texts, now: [t.upper() for t in texts], "review": review}).select("key", "error")
+@query("r05_worker_lost", """WITH r AS (SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'aborted_plan_changed' END AS status, o_orderkey % 3 = 0 AND o_orderstatus = 'O' AS hit FROM orders)
+SELECT run_id, CASE WHEN hit THEN 'stale' ELSE status END AS status, CASE WHEN hit THEN 'worker_process_not_alive' END AS failure_reason, CASE WHEN hit THEN CASE run_id % 5 WHEN 0 THEN 1 ELSE run_id % 5 END END AS worker_returncode FROM r""")
+def worker_lost(spark: SparkSession, d: str) -> DataFrame:
+    orders, k = table(spark, d, "orders"), F.col("o_orderkey")
+    records = orders.select(k.alias("run_id"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("aborted_plan_changed").alias("status"))
+    return C.worker_lost(records, orders.where(k % 3 == 0).select(k.alias("run_id"), F.when(k % 5 != 0, k % 5).alias("returncode")))
+
+
+@query("r12_r13_run_tasks", """WITH p AS (SELECT p_partkey AS task_id, [NULL, 'asr', 'input', 'input'][p_partkey % 4 + 1] AS first_stage FROM part)
+SELECT task_id, CASE WHEN first_stage IS NOT NULL AND task_id % 10 = 7 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN first_stage IS NULL THEN '' WHEN task_id % 10 = 7 THEN CASE first_stage WHEN 'asr' THEN 'asr' ELSE 'input,audio,asr' END WHEN first_stage = 'asr' THEN 'asr,translation,quality,final' ELSE 'input,audio,asr,translation,quality,final' END AS ran,
+  'm' || task_id || CASE WHEN first_stage IS NULL THEN '' WHEN task_id % 10 = 7 THEN '.a' ELSE '.a.t' END AS payload, CASE WHEN first_stage IS NOT NULL AND task_id % 10 = 7 THEN 'translation: no answer' END AS error FROM p""")
+def run_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """A quarter of the files complete, a quarter of an older model, the rest changed or new; the translation of a tenth fails."""
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("fingerprint"))
+    config, k = {"asr": "small"}, F.col("task_id") % 4
+    states = C.signatures(files.where(k == 0), config).unionByName(C.signatures(files.where(k == 1), {"asr": "tiny"})).unionByName(C.signatures(files.where(k == 2).withColumn("fingerprint", F.upper("fingerprint")), config))
+    planned = C.plan(C.signatures(files, config), states.withColumn("status", F.lit("completed")))
+
+    def stages():
+        def translation(payload: str) -> str:
+            if payload.split(".")[0].endswith("7"):
+                raise ValueError("no answer")
+            return payload + ".t"
+
+        return {"asr": lambda payload: payload + ".a", "translation": translation}
+
+    first = F.when(F.col("category") != "skip", F.col("first_stage"))
+    return C.run_tasks(planned.select("task_id", first.alias("first_stage"), F.concat(F.lit("m"), F.col("task_id").cast("string")).alias("payload")), stages)

@@ -390,12 +390,12 @@ def translate(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("key").alias("media_id"), "origin", F.array_join("translations", "|").alias("translations"))
 
 
-@query("u12_request_body", "SELECT conv_id, count(*) AS n, bool_and(turn >= 0) AS named FROM conversations GROUP BY conv_id")
+@query("u12_request_body", """SELECT conv_id, '{"model":"stub","temperature":0.2,"messages":[{"role":"system","content":"translate"},{"role":"user","content":"[' || string_agg('\\"' || role || '\\"', ',' ORDER BY role) || ']"}]}' AS body FROM conversations GROUP BY conv_id""")
 def request_body(spark: SparkSession, d: str) -> DataFrame:
     from cuelake.functions.structured import request_body as body
 
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("role")).alias("texts"))
-    return rows.select("conv_id", "n", (F.get_json_object(body("stub", F.lit("translate"), F.col("texts")), "$.model") == "stub").alias("named"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("role")).alias("texts"))
+    return rows.select("conv_id", body("stub", F.lit("translate"), F.col("texts")).alias("body"))
 
 
 @query("f32_immutable", f"{_C} SELECT media_id, pos, start_ms, 'changed' AS problem FROM cues WHERE pos % 6 = 0")
