@@ -6,7 +6,8 @@ part. Each vector is list-decoded to all directions that exceed its cap, which i
 set so that it has CAPS of them (those of the largest inner products; a product's best sums lie among the
 best words of its parts, so no list of all directions is ever made). Vectors of a label
 that share a direction meet, and their cosines are computed in double
-precision. The code has more words where there are more vectors.
+precision. The code has more words where there are more vectors, so that few vectors share a direction but those that
+are near; directions that one vector alone has go before vectors are sent.
 
 Equal vectors become one node first. A direction with many vectors is cut in
 blocks, and pairs of blocks meet in tasks. A pair counts at the first direction that both have.
@@ -15,7 +16,7 @@ representative of those it reaches, never the pairs.
 
 Vectors that are null, zero, or hold null or non-finite components, and those
 without a label, link with nothing; vectors of different length neither. Ids
-may be null or repeat: rows are told apart by label and vector, each counts as a
+may be null or repeat, and ties do: rows are told apart by label and vector, each counts as a
 vector of its own, and a null id is no component's id while another is there. An empty
 table gives an empty result; other columns are not read.
 """
@@ -33,14 +34,15 @@ from cuelake.llm.common import arrow_task, connected_components, materialize
 
 COSINE = 0.98
 BLOCKS = 2
-#: Directions of a vector. At cosine 0.98 and 64 dimensions, none of 20,000 pairs shared no direction with 16.
-CAPS = 24
+#: Directions of a vector. Two vectors at cosine 0.98 share none by chance alone: none of 2,000 pairs with 64 to 4,096 words in 32 to 256
+#: dimensions, and fewer than one in 1,000 in 16 (with 24 directions, one was met in 16 dimensions).
+CAPS = 32
 #: Vectors that meet in one task.
 TOGETHER = 1024
-#: Code words of a part are doubled until a direction has this many vectors on average.
-FILL = 4096
-#: Directions cut in blocks that are sent to all tasks; more are joined by shuffle.
-CUT_LIMIT = 500_000
+#: Code words of a part are doubled until a direction has this many vectors on average, but are no more than MOST_WORDS.
+FILL, MOST_WORDS = 512, 4096
+#: Directions with at most so many vectors are compared many at once.
+FEW = 64
 
 
 def code_words(dim: int, words: int, seed: int = 20) -> list[np.ndarray]:
@@ -56,7 +58,7 @@ def code_words(dim: int, words: int, seed: int = 20) -> list[np.ndarray]:
 def decode(x: np.ndarray, code: list[np.ndarray], caps: int = CAPS) -> np.ndarray:
     """The ``caps`` directions of the largest inner products with each row of x, in order of their numbers."""
     rows, at = np.arange(len(x))[:, None], 0
-    sums, names = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    sums, names = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int32)
     for c in code:
         inner = x[:, at : at + c.shape[1]] @ c.T
         at += c.shape[1]
@@ -103,11 +105,11 @@ def _filters(nodes: DataFrame, words: int, kind: type) -> DataFrame:
                     for r, f, v in zip(rows, decode(unit(x), code), x, strict=True):
                         found[r], raw[r] = f, v.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("label"), pa.array(dims, pa.int32()), batch.column("copies"), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                [batch.column("node"), batch.column("label"), pa.array(dims, pa.int32()), batch.column("copies"), pa.array(raw, pa.binary()), pa.array(found, pa.list_(pa.int32()))],
                 names=["node", "label", "dim", "copies", "vector", "filters"],
             )
 
-    return nodes.select("node", "label", "copies", "embedding").mapInArrow(arrow_task(run), "node long, label long, dim int, copies long, vector binary, filters array<long>")
+    return nodes.select("node", "label", "copies", "embedding").mapInArrow(arrow_task(run), "node long, label long, dim int, copies long, vector binary, filters array<int>")
 
 
 def _meet(x: np.ndarray, filters: np.ndarray, own: int, node: np.ndarray, copies: np.ndarray, block: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
@@ -148,27 +150,76 @@ def _meet(x: np.ndarray, filters: np.ndarray, own: int, node: np.ndarray, copies
     return node[at], n[at].astype(np.int64), node[group[at]]
 
 
-def _links(spread: DataFrame, kind: type, cosine: float) -> DataFrame:
-    """a (node), b (a node it reaches), n (vectors it links with), for each direction."""
+def _first_shared(f: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Whether rows i and j of f (their directions, in order) share none before ``own``."""
+    out = np.ones(len(i), bool)
+    for k in range(0, len(i), 4096):
+        p = slice(k, k + 4096)
+        a, b = f[i[p]], f[j[p]]
+        same = (a[:, :, None] == b[:, None, :]).any(2)
+        out[p] = a[np.arange(len(a)), same.argmax(1)] == own[p]
+    return out
+
 
-    def group(t: pa.Table) -> tuple[np.ndarray, ...] | None:
-        if t.num_rows < 2:
-            return None
-        vectors = t["vector"].combine_chunks()
-        x = unit(np.frombuffer(b"".join(vectors.to_pylist()), kind).reshape(t.num_rows, -1))
-        filters = np.array(t["filters"].to_pylist(), np.int64)
-        return _meet(x, filters, t["filter"][0].as_py(), t["node"].to_numpy(), t["copies"].to_numpy(), t["block"].to_numpy(), cosine)
+def _meet_few(x: np.ndarray, filters: np.ndarray, own: np.ndarray, node: np.ndarray, copies: np.ndarray, block: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float) -> tuple[np.ndarray, ...]:
+    """(node, vectors linked with, node) of the linked pairs of many small groups, both ways round."""
+    found_i, found_j = [], []
+    x = np.concatenate([x, np.zeros((1, x.shape[1]))])  # the last row fills groups up
+    width = 2
+    while width <= FEW:
+        g = np.flatnonzero((sizes <= width) & (sizes > width // 2)) if width > 2 else np.flatnonzero(sizes == 2)
+        step = max(1, (1 << 21) // (width * max(width, x.shape[1])))
+        for k in range(0, len(g), step):
+            some = g[k : k + step]
+            at = starts[some, None] + np.arange(width)
+            at[np.arange(width) >= sizes[some, None]] = len(x) - 1
+            v = x[at]
+            hit = np.triu(v @ v.transpose(0, 2, 1) >= cosine, 1)
+            q, a, b = np.nonzero(hit)
+            found_i.append(at[q, a])
+            found_j.append(at[q, b])
+        width *= 2
+    i, j = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (found_i, found_j))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    two = np.minimum.reduceat(block, starts) != np.maximum.reduceat(block, starts)  # two blocks: pairs inside one meet elsewhere
+    ok = (node[i] != node[j]) & (~two[group[i]] | (block[i] != block[j]))
+    i, j = i[ok], j[ok]
+    ok = _first_shared(filters, i, j, own[i])
+    i, j = i[ok], j[ok]
+    return np.concatenate([node[i], node[j]]), np.concatenate([copies[j], copies[i]]), np.concatenate([node[j], node[i]])
+
+
+def _links(spread: DataFrame, kind: type, cosine: float) -> DataFrame:
+    """a (node), b (a node it reaches), n (vectors it links with), for each direction; of large ones one row a node, of small ones one a pair, both ways round."""
+
+    def arrays(t: pa.Table) -> list[np.ndarray]:
+        x = unit(np.frombuffer(b"".join(t["vector"].combine_chunks().to_pylist()), kind).reshape(t.num_rows, -1))
+        filters = t["filters"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return [x, filters, *(t[c].to_numpy() for c in ("filter", "node", "copies", "block"))]
+
+    def found(t: pa.Table, starts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        sizes, out = np.diff(starts), []
+        for k in np.flatnonzero(sizes > FEW):
+            x, filters, own, node, copies, block = arrays(t.slice(int(starts[k]), int(sizes[k])))
+            out.append(_meet(x, filters, int(own[0]), node, copies, block, cosine))
+        few = (sizes > 1) & (sizes <= FEW)
+        dims = t["dim"].to_numpy()[starts[:-1]]
+        for dim in np.unique(dims[few]).tolist():
+            g = np.flatnonzero(few & (dims == dim))
+            rows = np.repeat(starts[g] - np.concatenate([[0], np.cumsum(sizes[g])[:-1]]), sizes[g]) + np.arange(sizes[g].sum())
+            out.append(_meet_few(*arrays(t.take(pa.array(rows))), np.cumsum(sizes[g]) - sizes[g], sizes[g], cosine))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-            found = [f for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a > 1 and (f := group(t.slice(a, b - a))) is not None]
-            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 2, 1)]
+            made = found(t, starts)
+            cols = [np.concatenate([f[k] for f in made]) if made else np.zeros(0, np.int64) for k in (0, 2, 1)]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
 
         held: pa.Table | None = None
         for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = pa.Table.from_batches([batch.slice(k, 2048)])
+            for k in range(0, batch.num_rows, 4096):
+                part = pa.Table.from_batches([batch.slice(k, 4096)])
                 held = (part if held is None else pa.concat_tables([held, part])).combine_chunks()
                 starts = _starts(held)
                 if len(starts) > 1:
@@ -192,12 +243,13 @@ def _starts(t: pa.Table) -> np.ndarray:
 
 
 def _spread(made: DataFrame) -> DataFrame:
-    """A row for each node, direction and pair of blocks of the direction."""
-    sizes = made.select("label", "dim", F.explode("filters").alias("filter")).groupBy("label", "dim", "filter").agg(F.count("*").alias("c"))
-    cut = materialize(sizes.where(F.col("c") > TOGETHER).select("label", "dim", "filter", F.ceil(F.col("c") / TOGETHER).cast("long").alias("blocks")), "cap-filters-cut")
-    cut = F.broadcast(cut) if cut.count() <= CUT_LIMIT else cut
-    rows = made.withColumn("filter", F.explode("filters")).join(cut, ["label", "dim", "filter"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    """A row for each node, direction that others have too, and pair of blocks of the direction. Directions are counted without vectors."""
+    keys = ["label", "dim", "filter"]
+    thin = made.select("node", "label", "dim", F.explode("filters").alias("filter"))
+    shared = thin.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(shared.select(*keys, F.ceil(F.col("c") / TOGETHER).cast("long").alias("blocks")), "cap-filters-shared")
+    met = thin.join(shared, keys).select("node", "filter", "blocks")
+    rows = made.join(met, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least("block", k) * F.col("blocks") + F.greatest("block", k))
     return rows.withColumn("pair", F.explode(pair))
 
@@ -211,7 +263,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, words: int |
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "cap-filters-nodes")
     if words is None:
         words, n = 64, nodes.count()
-        while n * CAPS / words**BLOCKS > FILL:
+        while n * CAPS / words**BLOCKS > FILL and words < MOST_WORDS:
             words *= 2
     made = materialize(_filters(nodes, words, kind), "cap-filters")
     links = materialize(_links(_spread(made), kind, cosine), "cap-filters-links")
