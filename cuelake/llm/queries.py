@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, token_files, toxicity
+from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, substring_dedup, token_files, toxicity
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -197,6 +197,24 @@ k AS (
 SELECT r.page_id, r.host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(text, '') AS text FROM r LEFT JOIN k USING (id)
 """
 
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+v AS (SELECT k, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS win FROM (SELECT k, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT win, min(doc_id) AS lo FROM v GROUP BY win HAVING count(*) > 1),
+r AS (SELECT DISTINCT k, unnest(generate_series(p, p + 49)) AS p FROM v JOIN f USING (win) WHERE lo < doc_id),
+g AS (SELECT k, list(p) AS gone FROM r GROUP BY k),
+e AS (
+  SELECT k, string_agg(x, ' ' ORDER BY p) AS kept
+  FROM (SELECT k, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM d) a ANTI JOIN r USING (k, p) GROUP BY k)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (k) LEFT JOIN e USING (k)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cap_filters": op1_cap_filters,
     "op2_mix_sources": op2_mix_sources,
@@ -208,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -216,4 +235,5 @@ SQL: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op13_substring_dedup": OP13_SQL,
 }

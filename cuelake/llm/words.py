@@ -32,6 +32,8 @@ def _lookup(separators: list[int]) -> np.ndarray:
 #: White space separates: [^\x20\x09-\x0D]+ (a NUL byte is a letter there, written as the free 0x20).
 SPACED = _lookup([0x20, *range(0x09, 0x0E)])
 SPACED[0] = 0x20
+#: The same words, not lower-cased.
+UNCHANGED = np.where((np.arange(256) >= 0x41) & (np.arange(256) <= 0x5A), np.arange(256), SPACED).astype(np.uint8)
 #: Letters a-z, digits and all non-ASCII bytes: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.
 ALNUM = _lookup([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
