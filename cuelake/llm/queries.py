@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, substring_dedup, token_files, toxicity
+from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, spelling, substring_dedup, token_files, toxicity
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -198,6 +198,43 @@ SELECT r.page_id, r.host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: The hash is the CRC-32 of IEEE 802.3, a byte at a time by its table; near words share a text with one code point left open (replaced) or taken out (deleted).
+OP11_SQL = r"""
+WITH RECURSIVE c AS (SELECT list(v ORDER BY k) AS t FROM (
+  SELECT k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384::BIGINT, x >> 1) ELSE x >> 1 END) AS v FROM range(256) r(k))),
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]{6,}')) AS run
+  FROM documents),
+u AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS x FROM r GROUP BY id, run),
+h AS (
+  SELECT run, k, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1]))) AS h
+  FROM u, c),
+w AS (
+  SELECT word, sum(k)::BIGINT AS n
+  FROM (SELECT k, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+o AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS pat, left(word, i - 1) || substr(word, i + 1) AS del FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w)),
+d AS (SELECT DISTINCT word, n, del FROM o),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM o a JOIN o b ON a.pat = b.pat AND a.word <> b.word
+  UNION ALL SELECT d.word, w.word, w.n FROM d JOIN w ON d.del = w.word
+  UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON d.del = w.word),
+b AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n FROM p GROUP BY word),
+m AS (SELECT p.word, min(near) AS near FROM p JOIN b ON p.word = b.word AND near_n = best_n GROUP BY p.word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * n THEN near END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM w LEFT JOIN b USING (word) LEFT JOIN m USING (word)),
+g(word, last) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON g.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.last AS root, f.n, f.n_near, f.form_n FROM f JOIN g USING (word) JOIN f e ON e.word = g.last WHERE e.form IS NULL
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
@@ -226,6 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
@@ -235,5 +273,6 @@ SQL: dict[str, str] = {
     "op7_chat_format": OP7_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op13_substring_dedup": OP13_SQL,
 }
