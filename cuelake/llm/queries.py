@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, spelling, substring_dedup, token_files, toxicity
+from cuelake.llm import cap_filters, chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, spelling, substring_dedup, token_files, toxicity, turn_repair
 from cuelake.llm.common import shared_dir, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -235,6 +235,10 @@ SELECT f.word, f.form, g.last AS root, f.n, f.n_near, f.form_n FROM f JOIN g USI
 """
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
@@ -264,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_turn_repair": op12_turn_repair,
     "op13_substring_dedup": op13_substring_dedup,
 }
 
