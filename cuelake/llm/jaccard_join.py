@@ -152,6 +152,13 @@ def _first(h: np.ndarray, num: int, den: int) -> np.ndarray:
     return h[: max(int(np.searchsorted(h, _cut(num, den))), min(len(h), 2 * _prefix(len(h), num, den)))]
 
 
+def _decisive(h: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of a sorted set the shingles that decide its prefix: those below the cut, which come before
+    all others, or the whole set if they are fewer than a prefix takes."""
+    below = int(np.searchsorted(h, _cut(num, den)))
+    return h[:below] if below >= _prefix(len(h), num, den) else h
+
+
 def _common(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """token, c: the common shingles among those that may be in prefixes, and in how many nodes each is."""
 
@@ -163,10 +170,10 @@ def _common(nodes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Da
 
 
 def _marked(nodes: DataFrame, docs: DataFrame, common: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """nodes with hot, cuts: the common shingles that each has (in order) and their counts. No more than may be in its prefix."""
+    """nodes with hot, cuts: the common shingles among those that decide each set's prefix (in order) and their counts."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        sets = [_first(h, num, den) for h in _sets(batch.column("text"), n)]
+        sets = [_decisive(h, num, den) for h in _sets(batch.column("text"), n)]
         return {"node": np.repeat(batch.column("node").to_numpy(), [len(h) for h in sets]), "token": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)}
 
     held = _map(_by_key(docs, nodes.select("node", "_id", "_h")), "node long, token long", make).join(common, "token")

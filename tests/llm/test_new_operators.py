@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("cuelake.llm.queries")
 
-from cuelake.llm import spelling, substring_dedup, turn_repair  # noqa: E402
+from cuelake.llm import jaccard_join, spelling, substring_dedup, turn_repair  # noqa: E402
 
 # operator 11
 
@@ -268,3 +268,49 @@ def test_matching_statistics():
     text = "".join(rng.choice("abcd") for _ in range(300))
     want = [max(n for n in range(i + 1) if n == 0 or any(text[i - n : i] in w for w in known)) for i in range(1, len(text) + 1)]
     assert automaton.matching([ord(c) for c in text]) == want
+
+# operator 8: one order of shingles, however they are sent
+
+
+def template_rows(rng, notes, ends):
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    template = say(60).split()
+    rows = [" ".join(template[: rng.choice([10, 20, 30, 40])]) + " " + say(rng.choice([1, 2, 3, 5])) for _ in range(notes)]
+    rows += [say(rng.choice([1, 2, 3])) + " " + " ".join(template[-rng.choice([10, 20, 30, 40]) :]) for _ in range(ends)]
+    return rows + [r + " " + say(1) for r in rows[::3]]
+
+
+def brute_jaccard_classes(texts, n=4):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))})
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            a, b = label[i], label[j]
+            label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("sent", [0, jaccard_join.COMMON_SENT])
+def test_shared_templates_lose_no_link(spark, monkeypatch, sent):
+    monkeypatch.setattr(jaccard_join, "COMMON_SENT", sent)
+    rng = random.Random(17)
+    texts = [t for k in range(6) for t in template_rows(rng, 40 + 5 * k, 40)]
+    got = jaccard_join.jaccard_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == brute_jaccard_classes(texts)
+
+
+def test_prefixes_are_the_same_by_broadcast_and_by_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 4)
+    texts = [t for seed in range(300) for t in template_rows(random.Random(seed), 8, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = jaccard_join.set_signatures(docs).withColumn("node", jaccard_join.F.col("doc_id"))
+    found = []
+    for sent in (0, jaccard_join.COMMON_SENT):
+        monkeypatch.setattr(jaccard_join, "COMMON_SENT", sent)
+        rows = jaccard_join._prefixes(nodes, docs, 4, 85, 100).collect()
+        found.append({r.node: (r.tokens, r.blocks, r.hot) for r in rows})
+    assert len(found[0]) == len(texts) and found[0] == found[1]
+    assert any(hot for *_, hot in found[0].values())
