@@ -13,18 +13,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cuelake.functions.text import redact
 
 SCHEMA = "timestamp timestamp, run_id string, task_id string, stage string, event string, status string, duration_seconds double, summary string"
+#: Times of JSON lines, to the microsecond.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 #: Stages in order; fixed values.
 STAGES = ("pending", "extracting", "transcribing", "translating", "checking", "completed", "failed")
 
 
 def write_events(events: DataFrame, path: str) -> None:
     """Appends events as JSON lines, free text masked."""
-    events.withColumn("summary", redact(F.col("summary"))).write.mode("append").json(path)
+    events.withColumn("summary", redact(F.col("summary"))).write.mode("append").json(path, timestampFormat=TIME_FORMAT)
 
 
-def read_events(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
-    """The stream of events in a folder of JSON lines."""
-    return spark.readStream.schema(SCHEMA).json(path).withWatermark("timestamp", late)
+def read_events(spark: SparkSession, path: str, late: str = "1 hour", files_at_once: int = 1000) -> DataFrame:
+    """The stream of events in a folder of JSON lines, so many files a batch, the oldest first."""
+    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_at_once).json(path, timestampFormat=TIME_FORMAT)
+    return rows.withWatermark("timestamp", late)
 
 
 def stage_counts(events: DataFrame, every: str = "1 hour") -> DataFrame:
