@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 import pandas as pd
@@ -119,27 +118,6 @@ def corpus_rates(errors: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("words") > 0, F.col("errors") / F.col("words")))
 
 
-def paired_bootstrap(clips: DataFrame, seed: str, resamples: int = 1000) -> DataFrame:
-    """clips (unit, left_errors, right_errors, words) to mean_delta, low, high (95 %), n_won, n_lost, n_tied.
-
-    A Poisson bootstrap: in each resample a unit counts 0, 1, 2, ... times by a
-    hash of seed, resample and unit, so that reruns agree, units need no
-    numbering, and sums combine before the shuffle."""
-    units = clips.groupBy("unit").agg(F.sum("left_errors").alias("l"), F.sum("right_errors").alias("r"), F.sum("words").alias("w"))
-    drawn = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "b", "unit"), F.lit(1 << 30)) / float(1 << 30)
-    times, below, chance = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 9):
-        below += chance
-        times, chance = times + (u >= below).cast("int"), chance / k
-    drawn = drawn.withColumn("t", times)
-    each = drawn.groupBy("b").agg((F.sum(F.col("l") * F.col("t")) / F.sum(F.col("w") * F.col("t")) - F.sum(F.col("r") * F.col("t")) / F.sum(F.col("w") * F.col("t"))).alias("d"))
-    spread = each.agg(F.avg("d").alias("mean_delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
-    more = F.col("r") - F.col("l")
-    won = units.agg(F.count_if(more < 0).alias("n_won"), F.count_if(more > 0).alias("n_lost"), F.count_if(more == 0).alias("n_tied"))
-    return spread.crossJoin(won)  # two tables of one row
-
-
 def grouping_levels(samples: DataFrame, value: Column, tags: str = "tags", candidate: str = "candidate") -> DataFrame:
     """Means over all samples, by tag (a sample may have several) and by candidate."""
     mean, n = F.avg(value).alias("mean"), F.count("*").alias("n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.bridge import CUES_SQL, OTHER_SQL, cues, other_track, table
+from cuelake.operators import bootstrap as B
 from cuelake.operators import intervals as J
 from cuelake.operators import metrics as A
 from cuelake.operators import review as V
@@ -163,10 +164,29 @@ def corpus_rates(spark: SparkSession, d: str) -> DataFrame:
     return A.corpus_rates(rows, "role")
 
 
+def _spelt_units(spark: SparkSession, d: str) -> DataFrame:
+    """Cues as units of two transcripts: in the left one words of over eight letters are wrong, in the right one those that end in s."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = cues(spark, d).select("media_id", "pos", words.alias("w"))
+    zero, n = F.lit(0), F.size("w")
+    left = rows.select("media_id", "pos", F.size(F.filter("w", lambda x: F.length(x) > 8)).alias("substitutions"), zero.alias("insertions"), zero.alias("deletions"), n.alias("words"))
+    right = rows.select("media_id", "pos", zero.alias("substitutions"), F.size(F.filter("w", lambda x: F.endswith(x, F.lit("s")))).alias("insertions"), zero.alias("deletions"), n.alias("words"))
+    return B.paired_units(left, right, ["media_id", "pos"])
+
+
 @query("a27_paired_bootstrap")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    rows = cues(spark, d).select(F.col("media_id").alias("unit"), (F.col("pos") % 4).alias("left_errors"), (F.col("pos") % 3).alias("right_errors"), F.length("text").alias("words"))
-    return A.paired_bootstrap(rows, "cues", 200)
+    return B.paired_bootstrap(_spelt_units(spark, d), "cues")
+
+
+@query("a27_bootstrap_counts", f"""{_C}, w AS (SELECT regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM cues),
+u AS (SELECT len(list_filter(w, lambda x: length(x) > 8)) AS l, len(list_filter(w, lambda x: ends_with(x, 's'))) AS r FROM w)
+SELECT 10000::BIGINT AS resamples, count(*) AS least_drawn, count(*) AS most_drawn, count(*) FILTER (WHERE l > r) AS right_won, count(*) FILTER (WHERE l < r) AS left_won, count(*) FILTER (WHERE l = r) AS ties FROM u""")
+def bootstrap_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Each resample draws as many units as there are, over all partitions."""
+    units = _spelt_units(spark, d)
+    drawn = B.resampled(units, "cues", 10_000).agg(F.count("*").alias("resamples"), F.min("drawn").alias("least_drawn"), F.max("drawn").alias("most_drawn"))
+    return drawn.crossJoin(B.paired_bootstrap(units, "cues", 1).select("right_won", "left_won", "ties"))  # two tables of one row
 
 
 @query("a17_a18_grouping_levels", f"""{_C} SELECT 'all' AS level, '' AS name, avg(length(text)) AS mean, count(*) AS n FROM cues UNION ALL SELECT 'tag', unnest([role, 'half' || pos % 2]), avg(length(text)), count(*) FROM cues GROUP BY ALL
