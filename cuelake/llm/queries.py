@@ -202,18 +202,25 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+_CRC_TABLE = """c AS (SELECT list(v ORDER BY k) AS t FROM (
+  SELECT k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384::BIGINT, x >> 1) ELSE x >> 1 END) AS v FROM range(256) r(k)))"""
+
+
+def _crc(hex_text: str) -> str:
+    """The CRC-32 of bytes in hexadecimal, with the table t of c."""
+    bytes_ = f"list_transform(range(length({hex_text}) // 2), lambda i: ('0x' || substr({hex_text}, (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1])))"
+
+
 #: The hash is the CRC-32 of IEEE 802.3, a byte at a time by its table; near words share a text with one code point left open (replaced) or taken out (deleted).
-OP11_SQL = r"""
-WITH RECURSIVE c AS (SELECT list(v ORDER BY k) AS t FROM (
-  SELECT k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384::BIGINT, x >> 1) ELSE x >> 1 END) AS v FROM range(256) r(k))),
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
 r AS (
-  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]{6,}')) AS run
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{6,}}')) AS run
   FROM documents),
 u AS (SELECT id, run, count(*) AS k, hex(encode(id || ':' || run)) AS x FROM r GROUP BY id, run),
 h AS (
-  SELECT run, k, xor(4294967295::BIGINT, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)),
-    lambda s, b: xor(s >> 8, t[xor(s & 255, b) + 1]))) AS h
+  SELECT run, k, {_crc('x')} AS h
   FROM u, c),
 w AS (
   SELECT word, sum(k)::BIGINT AS n
@@ -239,6 +246,64 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def _edit(path: str, cost: object, letters: str) -> str:
+    """A path (12 digits of cost, then its edits) with one edit more; the least text is the cheapest path."""
+    return f"(lpad((left({path}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({path}, 13) || '{letters}')"
+
+
+def _inserted(prefix: str = "s") -> str:
+    s0, s1, s2, s3 = (f"{prefix}{k}" for k in range(4))
+    u = ", ".join([s2, *[_edit(x, 3, "I") for x in (s0, s1, s3)]])
+    a = ", ".join([s3, *[_edit(x, 6, "II") for x in (s0, s1)], _edit(s2, 3, "I")])
+    return f"{s0} AS t0, {s1} AS t1, least({u}) AS t2, least({a}) AS t3"
+
+
+def _turned() -> str:
+    """States after a turn: deleted, kept, or given another role."""
+    kept = lambda source, initial: f"CASE WHEN NOT must_go AND initial = '{initial}' THEN {_edit(source, 'more', 'K')} END"
+    other = lambda source: f"CASE WHEN NOT must_go THEN {_edit(source, '3 + more', 'R')} END"
+    gone = [_edit(f"t{k}", 4, "D") for k in range(4)]
+    u = ", ".join([gone[2], *[f(x) for x in ("t0", "t1", "t3") for f in (lambda x: kept(x, "u"), other)]])
+    return f"{gone[0]} AS s0, least({gone[1]}, {kept('t0', 's')}) AS s1, least({u}) AS s2, least({gone[3]}, {kept('t2', 'a')}, {other('t2')}) AS s3"
+
+
+#: Turns one after the other, with the cheapest path to each of the four states.
+OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+n AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+h AS (SELECT s, {_crc('x')} % 20 AS h FROM (SELECT s, hex(encode(s)) AS x FROM n), c),
+d AS (
+  SELECT coalesce(conv_id::VARCHAR, '') AS conv, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS twice
+  FROM conversations JOIN h ON s = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again FROM (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, twice) AS i FROM d)),
+f AS (
+  SELECT *, blank OR again AS must_go, NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated, CASE WHEN NOT blank AND NOT again AND cut THEN 3 ELSE 0 END AS more,
+         lag(initial) OVER (PARTITION BY conv ORDER BY i) || initial AS step
+  FROM (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT contains('.!?', regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1)) AS cut, left(role, 1) AS initial FROM o)),
+g(conv, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv, 0::BIGINT, '000000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM f
+  UNION ALL SELECT conv, i, {_turned()} FROM (SELECT g.conv, f.i, f.initial, f.must_go, f.more, {_inserted()} FROM g JOIN f ON g.conv = f.conv AND f.i = g.i + 1)),
+b AS (SELECT conv, left(p, 12)::BIGINT AS cost, substr(p, 13) AS audit FROM (SELECT conv, least(t0, t3) AS p FROM (SELECT conv, {_inserted()} FROM g QUALIFY row_number() OVER (PARTITION BY conv ORDER BY i DESC) = 1))),
+l AS (SELECT conv, generate_subscripts(x, 1) AS l, unnest(x) AS e FROM (SELECT conv, string_split(audit, '') AS x FROM b WHERE audit <> '')),
+m AS (
+  SELECT *, sum((e <> 'I')::INT) OVER (PARTITION BY conv ORDER BY l) AS i, sum((e <> 'D')::INT) OVER (PARTITION BY conv ORDER BY l) - 1 AS k, sum((e <> 'D')::INT) OVER (PARTITION BY conv) % 2 AS odd FROM l),
+r AS (
+  SELECT m.conv, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY l) AS lines
+  FROM m LEFT JOIN f ON f.conv = m.conv AND f.i = m.i WHERE e <> 'D' GROUP BY m.conv),
+a AS (
+  SELECT conv, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+         count(*) FILTER (WHERE step IS NOT NULL AND step NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv)
+SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS conv FROM conversations) q LEFT JOIN a USING (conv) LEFT JOIN b USING (conv) LEFT JOIN r USING (conv)
+"""
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_report(table(spark, sf_dir, "documents"))
 
@@ -279,5 +344,6 @@ SQL: dict[str, str] = {
     "op9_decontaminate": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_turn_repair": OP12_SQL,
     "op13_substring_dedup": OP13_SQL,
 }
