@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,32 +18,84 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
+#: Columns of the table between two that are kept.
+_KEPT = 256
+
+
+def _column_deltas(masks: dict, rows: int, up: int, down: int, columns: Sequence) -> Iterator[tuple[int, int]]:
+    """For each column of the table of edit distances the rows, as bits, where the distance is one more, and one less, than in the row above."""
+    full = (1 << rows) - 1
+    for c in columns:
+        same = masks.get(c, 0)
+        level = (((same & up) + up) ^ up) | same
+        right_more, right_less = down | (full & ~(level | up)), up & level
+        right_more, right_less = ((right_more << 1) | 1) & full, (right_less << 1) & full
+        up, down = right_less | (full & ~(same | down | right_more)), right_more & (same | down)
+        yield up, down
+
+
+def _masks(items: Sequence) -> dict:
+    out: dict = {}
+    for k, x in enumerate(items):
+        out[x] = out.get(x, 0) | 1 << k
+    return out
+
+
+def edit_distance_of(a: Sequence, b: Sequence) -> int:
+    """Edit distance of two sequences, all rows of a column of its table at once: bits of one long number."""
+    if len(a) < len(b):
+        a, b = b, a
+    up, down = (1 << len(a)) - 1, 0
+    for up, down in _column_deltas(_masks(a), len(a), up, down, b):  # noqa: B007
+        pass
+    return len(b) + up.bit_count() - down.bit_count()
+
+
 def edit_counts(reference: list, candidate: list) -> tuple[int, int, int]:
     """(substitutions, insertions, deletions) of a least-cost alignment; of equal costs a substitution, then a deletion, comes first. What both
-    begin and end with is left out of the table."""
+    begin and end with is left out of the table. The way back needs a column's bits; each _KEPT-th is kept, those between are made again."""
     a, b = 0, 0
     while a < len(reference) and a < len(candidate) and reference[a] == candidate[a]:
         a += 1
     while b < len(reference) - a and b < len(candidate) - a and reference[-1 - b] == candidate[-1 - b]:
         b += 1
     reference, candidate = reference[a : len(reference) - b], candidate[a : len(candidate) - b]
-    row = [(j, 0, j) for j in range(len(candidate) + 1)]  # cost, substitutions, insertions
-    for i, r in enumerate(reference, 1):
-        before, row = row, [(i, 0, 0)]
-        left = row[0]
-        for j, c in enumerate(candidate, 1):
-            d, s, n = before[j - 1]
-            best = (d, s, n) if r == c else (d + 1, s + 1, n)
-            if before[j][0] + 1 < best[0]:
-                d, s, n = before[j]
-                best = (d + 1, s, n)
-            if left[0] + 1 < best[0]:
-                d, s, n = left
-                best = (d + 1, s, n + 1)
-            row.append(best)
-            left = best
-    cost, s, n = row[-1]
-    return s, n, cost - s - n
+    i, j = len(reference), len(candidate)
+    masks, state = _masks(reference), ((1 << i) - 1, 0)
+    kept = [state]
+    for k, state in enumerate(_column_deltas(masks, i, *state, candidate), 1):
+        if k % _KEPT == 0:
+            kept.append(state)
+    cost = j + state[0].bit_count() - state[1].bit_count()
+    s = n = d = 0
+    block, columns = -1, []
+    while i and j:
+        if reference[i - 1] == candidate[j - 1]:
+            i, j = i - 1, j - 1
+            continue
+        if (j - 1) // _KEPT != block:
+            block = (j - 1) // _KEPT
+            columns = [kept[block], *_column_deltas(masks, len(reference), *kept[block], candidate[block * _KEPT : (block + 1) * _KEPT])]
+        (up, down), above = columns[j - 1 - block * _KEPT], (1 << (i - 1)) - 1
+        if j - 1 + (up & above).bit_count() - (down & above).bit_count() + 1 == cost:
+            s, i, j = s + 1, i - 1, j - 1
+        elif columns[j - block * _KEPT][0] >> (i - 1) & 1:
+            d, i = d + 1, i - 1
+        else:
+            n, j = n + 1, j - 1
+        cost -= 1
+    return s, n + j, d + i
+
+
+@F.pandas_udf(IntegerType())
+def _long_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance_of(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def edit_distance(a: Column, b: Column, short: int = 128) -> Column:
+    """Edit distance in code points: of short texts in the plan itself, of long ones by bits, whatever their length."""
+    small = (F.length(a) <= short) & (F.length(b) <= short)
+    return F.when(small, F.levenshtein(a, b)).otherwise(_long_edit_distance(F.when(~small, a), F.when(~small, b)))
 
 
 @F.pandas_udf(StructType([StructField("substitutions", IntegerType()), StructField("insertions", IntegerType()), StructField("deletions", IntegerType()), StructField("words", IntegerType())]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import similarity as S
 from cuelake.functions import text as T
 from cuelake.operators import intervals as J
+from cuelake.operators.terms import count_terms
 
 #: Captions so stable count; ratios of lengths outside these are odd; a disagreement to look at; a run's least likeness.
 STABLE, RATIOS, DOUBT, LIKE = 0.75, (0.2, 4.0), 0.45, 0.78
@@ -59,8 +60,9 @@ def recognition_signals(captions: DataFrame, heard: DataFrame, latin: str, toler
     steady = left.where((F.col("stability") >= stable) & (F.col("plain") != ""))
     by = [group, "part"]
     each = _texts(steady, "said", by).join(_texts(right, "heard", by), by, "left").join(_union_ms(steady, "ms", by), by, "left").withColumn("heard", F.coalesce("heard", F.lit("")))
+    each = each.withColumn("edits", S.edit_distance(F.col("said"), F.col("heard")))
     sums = each.groupBy(group).agg(
-        F.sum("ms").alias("stable_ms"), F.sum(F.levenshtein("said", "heard")).alias("edits"), F.sum(F.length("said")).alias("reference_characters"), F.sum(F.when(F.col("heard") == "", F.col("ms")).otherwise(0)).alias("missing_ms"),
+        F.sum("ms").alias("stable_ms"), F.sum("edits").alias("edits"), F.sum(F.length("said")).alias("reference_characters"), F.sum(F.when(F.col("heard") == "", F.col("ms")).otherwise(0)).alias("missing_ms"),
     )
     lone = right.where("plain <> ''").join(left.select(*by).distinct(), by, "left_anti")
     order = Window.partitionBy(group).orderBy("pos")
@@ -92,8 +94,9 @@ def translation_rows(captions: DataFrame, source: DataFrame, translation: DataFr
     a, b, c = (F.length(T.word_characters(F.col(x))) for x in ("source", "translation", "target"))
     odd = (a > 0) & (b > 0) & ~(b / a).between(*RATIOS)
     issues = F.concat(blocking(F.col("source"), F.col("translation")), F.array_compact(F.array(F.when((F.col("target") != "") & (b == 0), "ocr_target_without_translation"), F.when(odd, "abnormal_length_ratio"))))
-    edits = F.levenshtein(T.word_characters(F.col("target")), T.word_characters(F.col("translation")))
-    rows = rows.withColumns({"issues": F.array_join(F.array_distinct(issues), ","), "disagreement": F.when(c > 0, S.safe_rate(edits, c)), "edits": F.when(c > 0, edits), "characters": F.when(c > 0, c)})
+    edits = F.col("_edits")
+    rows = rows.withColumn("_edits", S.edit_distance(T.word_characters(F.col("target")), T.word_characters(F.col("translation"))))
+    rows = rows.withColumns({"issues": F.array_join(F.array_distinct(issues), ","), "disagreement": F.when(c > 0, S.safe_rate(edits, c)), "edits": F.when(c > 0, edits), "characters": F.when(c > 0, c)}).drop("_edits")
     return rows.withColumn("needs_review", (F.col("issues") != "") | F.coalesce(F.col("disagreement") >= DOUBT, F.lit(False)))
 
 
@@ -137,8 +140,8 @@ def temporal_stability(observations: DataFrame, by: list[str], like: float = LIK
 
 def terms_near(cues: DataFrame, windows: DataFrame, glossary: DataFrame, around: int = 2, most: int = 32, group: str = "media_id") -> DataFrame:
     """group, pos (of the window), terms: sources and aliases of glossary rows (source, aliases) of which the cues of the window, or ``around`` before and
-    after it, hold one, in the glossary's order (``place``), each once whatever its case, at most ``most``. Each text is compared with each
-    name once, whatever the number of windows; the glossary is a table as any other."""
+    after it, hold one, in the glossary's order (``place``), each once whatever its case, at most ``most``. Each text is passed once for all
+    names, whatever the number of windows."""
     order = Window.partitionBy(group).orderBy("pos")
     numbered = cues.select(group, "pos", F.lower("text").alias("said")).withColumn("k", F.row_number().over(order).cast("long"))
     inside = J.overlap_pairs(windows.select(group, "pos", "start_ms", "end_ms"), cues.select(group, "pos", "start_ms", "end_ms"), 0, group)
@@ -146,9 +149,7 @@ def terms_near(cues: DataFrame, windows: DataFrame, glossary: DataFrame, around:
     wide = wide.select(group, "w", F.explode(F.sequence(F.col("k") - around, F.col("k") + around)).alias("k")).distinct()
     names = glossary.select("place", F.posexplode(F.array_compact(F.concat(F.array("source"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("k2", "name"))
     names = names.withColumn("name", F.trim("name")).where("name <> ''").withColumn("low", F.lower("name"))
-    # a name is looked for in texts that have its first letter, so that names and texts meet by an equality
-    grams = numbered.select(group, "k", "said", F.explode(F.array_distinct(F.split("said", ""))).alias("letter"))
-    held = grams.join(names.select("place", "low", F.left("low", F.lit(1)).alias("letter")), "letter").where(F.contains("said", "low")).select(group, "k", "place").distinct()
+    held = count_terms(numbered, [group, "k"], "said", names.select("low")).join(names.select("place", "low"), "low").select(group, "k", "place").distinct()
     hits = wide.join(held, [group, "k"]).select(group, "w", "place").distinct().join(names, "place")
     first = hits.groupBy(group, "w", "low").agg(F.min(F.struct("place", "k2", "name")).alias("b"))
     ordered = F.transform(F.array_sort(F.collect_list("b")), lambda x: x["name"])

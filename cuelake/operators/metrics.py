@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql.types import StringType
 from cuelake.functions import similarity as S
 from cuelake.functions import text as T
 from cuelake.operators.intervals import overlap_pairs
+from cuelake.operators.terms import count_terms
 
 
 def window_quality(cues: DataFrame, windows: DataFrame, group: str = "media_id") -> DataFrame:
@@ -127,18 +131,17 @@ def grouping_levels(samples: DataFrame, value: Column, tags: str = "tags", candi
     return whole.unionByName(by_tag).unionByName(by_candidate)
 
 
-def term_consistency(source: DataFrame, target: DataFrame, terms: DataFrame, group: str = "media_id") -> DataFrame:
-    """For each term (source_term, target_term): how often either track has it, and whether the target falls short."""
-    n = lambda text, term: ((F.length(text) - F.length(F.replace(F.lower(text), F.lower(term), F.lit("")))) / F.length(term)).cast("long")
+def term_consistency(source: DataFrame, target: DataFrame, terms: DataFrame) -> DataFrame:
+    """For each term (source_term, target_term): how often either track has it, whatever its case, and how far the target falls short."""
 
     def counted(rows: DataFrame, name: str, out: str) -> DataFrame:
-        # a term is looked for in texts that have its first letter, so that texts and terms meet by an equality, whatever the size of the glossary
-        letters = rows.select("text", F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("letter"))
-        held = letters.join(terms.where(F.length(name) > 0).withColumn("letter", F.left(F.lower(name), F.lit(1))), "letter").where(F.contains(F.lower("text"), F.lower(name)))
-        return held.groupBy("source_term", "target_term").agg(F.sum(n(F.col("text"), F.col(name))).alias(out))
+        low = F.lower(name)
+        found = count_terms(rows.select(F.lower("text").alias("said")), [], "said", terms.select(low.alias("low")))
+        return found.groupBy(F.col("low").alias(name + "_low")).agg(F.sum("n").alias(out))
 
     a, b = counted(source, "source_term", "n_source"), counted(target, "target_term", "n_target")
-    out = terms.join(a, ["source_term", "target_term"], "left").join(b, ["source_term", "target_term"], "left").fillna(0, ["n_source", "n_target"])
+    out = terms.withColumns({"source_term_low": F.lower("source_term"), "target_term_low": F.lower("target_term")}).join(a, "source_term_low", "left").join(b, "target_term_low", "left")
+    out = out.drop("source_term_low", "target_term_low").fillna(0, ["n_source", "n_target"])
     return out.withColumn("missing", F.greatest(F.lit(0).cast("long"), F.col("n_source") - F.col("n_target")))
 
 
@@ -148,19 +151,75 @@ def plain_caption(text: pd.Series) -> pd.Series:
     return text.map(lambda x: re.sub(r"[^\w\u3400-\u9fff]+", "", x.casefold()) if x is not None else None)
 
 
-def consensus(rows: DataFrame, group: list[str], block: int = 64) -> DataFrame:
+def medoid(texts: list[str], weights: list[int], first: list[int]) -> tuple[int, float, int]:
+    """(place, sum of likeness to all, pairs compared) of the text most like all of them by their weights, of equally alike ones the longest, then the first.
+
+    No pair is more alike than the characters that both have, whatever their order. Texts are looked at by what they can reach at
+    most, and each is left as soon as it cannot reach the best one any more."""
+    alphabet = {c: k for k, c in enumerate(sorted({c for t in texts for c in t}))}
+    counts = np.zeros((len(texts), max(1, len(alphabet))), np.int32)
+    for k, t in enumerate(texts):
+        for c, n in Counter(t).items():
+            counts[k, alphabet[c]] = n
+    length, w = counts.sum(1), np.array(weights, float)
+
+    def most(k: int) -> np.ndarray:
+        both = length + length[k]
+        return w * np.where(both > 0, 2.0 * np.minimum(counts, counts[k]).sum(1) / np.maximum(both, 1), 0.0)
+
+    reach = np.array([most(k).sum() for k in range(len(texts))])
+    matchers: dict[int, SequenceMatcher] = {}
+    best, compared = None, 0
+    for k in np.argsort(-reach, kind="stable").tolist():
+        if best and reach[k] < best[0][0] - 1e-8:
+            break
+        bounds, left = most(k), float(reach[k])
+        for j in np.argsort(-bounds, kind="stable").tolist():
+            if j == k or not bounds[j]:
+                continue  # alike as can be, or not at all
+            if j not in matchers:
+                matchers[j] = SequenceMatcher(None, "", texts[j], autojunk=False)
+            matchers[j].set_seq1(texts[k])
+            compared += 1
+            left -= bounds[j] - weights[j] * matchers[j].ratio()
+            if best and left < best[0][0] - 1e-8:
+                break
+        else:
+            rank = (round(left, 9), len(texts[k]), -first[k])
+            if best is None or rank > best[0]:
+                best = rank, k
+    return best[1], best[0][0], compared
+
+
+def _medoids(each: DataFrame, group: list[str]) -> DataFrame:
+    """group, first, plain, total of each group's medoid; a group is of one task."""
+    keys = ", ".join(f"`{g}` {each.schema[g].dataType.simpleString()}" for g in group)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        at, total, _ = medoid(rows["plain"].tolist(), rows["w"].tolist(), rows["pos"].tolist())
+        return pd.DataFrame([(*key, rows["pos"].iloc[at], rows["text"].iloc[at], rows["plain"].iloc[at], total)], columns=[*group, "pos", "text", "plain", "total"])
+
+    flat = each.select(*group, "plain", "w", F.col("first.pos").alias("pos"), F.col("first.text").alias("text"))
+    return flat.groupBy(*group).applyInPandas(run, f"{keys}, pos long, text string, plain string, total double")
+
+
+def consensus(rows: DataFrame, group: list[str], block: int = 64, whole: int = 2048) -> DataFrame:
     """group, text, stability, n: of each group's texts the one most like all
     of them (then the longest, then the first by pos), and its mean similarity to those that say something; 0.5 for one alone.
 
-    Whole texts; equal ones are compared once and count as often as they come. The pairs of a group are dealt out, ``block`` texts against all at a time."""
-    said = rows.select(*group, "pos", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''").withColumn("plain", plain_caption("text"))
+    Whole texts; equal ones are compared once and count as often as they come. Groups of up to ``whole`` different texts are
+    searched with bounds; the pairs of larger ones are dealt out, ``block`` texts against all at a time."""
+    said = rows.select(*group, F.col("pos").cast("long").alias("pos"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''").withColumn("plain", plain_caption("text"))
     each = said.groupBy(*group, "plain").agg(F.count("*").alias("w"), F.min(F.struct("pos", "text")).alias("first"))
-    sizes = each.groupBy(*group).agg(F.sum(F.when(F.col("plain") != "", F.col("w")).otherwise(0)).alias("n"), F.ceil(F.count("*") / block).alias("blocks"))
+    sizes = each.groupBy(*group).agg(F.sum(F.when(F.col("plain") != "", F.col("w")).otherwise(0)).alias("n"), F.ceil(F.count("*") / block).alias("blocks"), (F.count("*") > whole).alias("large"))
     each = each.join(sizes, group)
-    left = each.withColumn("part", F.pmod(F.xxhash64("plain"), F.col("blocks")))
-    right = each.select(*group, F.col("plain").alias("other"), F.col("w").alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    found = _medoids(each.where("not large"), group)
+    left = each.where("large").withColumn("part", F.pmod(F.xxhash64("plain"), F.col("blocks")))
+    right = each.where("large").select(*group, F.col("plain").alias("other"), F.col("w").alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
     both = left.join(right, [*group, "part"]).withColumn("r", S.matching_ratio("plain", "other"))
-    sums = both.groupBy(*group, "plain", "first", "n").agg(F.round(F.sum(F.col("times") * F.col("r")), 9).alias("total"))
-    best = sums.groupBy(*group).agg(F.max_by(F.struct("first", "plain", "total", "n"), F.struct("total", F.length("plain"), -F.col("first.pos"))).alias("b"))
-    stability = F.when(F.col("b.plain") != "", F.when(F.col("b.n") == 1, 0.5).otherwise(F.round(F.col("b.total") / F.col("b.n"), 6)))
-    return best.select(*group, F.col("b.first.text").alias("text"), stability.alias("stability"), F.col("b.n").alias("n"))
+    sums = both.groupBy(*group, "plain", "first").agg(F.round(F.sum(F.col("times") * F.col("r")), 9).alias("total"))
+    best = sums.groupBy(*group).agg(F.max_by(F.struct("first", "plain", "total"), F.struct("total", F.length("plain"), -F.col("first.pos"))).alias("b"))
+    found = found.unionByName(best.select(*group, "b.first.pos", "b.first.text", "b.plain", "b.total")).join(sizes.select(*group, "n"), group)
+    stability = F.when(F.col("plain") != "", F.when(F.col("n") == 1, 0.5).otherwise(F.round(F.col("total") / F.col("n"), 6)))
+    return found.select(*group, "text", stability.alias("stability"), "n")

@@ -11,7 +11,7 @@ from cuelake.functions import text as T
 from cuelake.operators import review as V
 from cuelake.plans import planning as C
 from cuelake.queries.registry import query
-from cuelake.sources import files, subtitles
+from cuelake.sources import files, late, subtitles
 
 _C = f"WITH {CUES_SQL} "
 _T = f"WITH {CUES_SQL}, {OTHER_SQL} "
@@ -52,9 +52,13 @@ def bilingual_targets(spark: SparkSession, d: str) -> DataFrame:
 @query("s20_s21_late_columns", "SELECT doc_id, source, text FROM documents WHERE n_chars < 400")
 def late_columns(spark: SparkSession, d: str) -> DataFrame:
     """Metadata alone decides; texts are read for the rows chosen."""
-    docs = table(spark, d, "documents")
-    chosen = docs.select("doc_id", "source", "n_chars").where("n_chars < 400").drop("n_chars")
-    return chosen.join(docs.select("doc_id", "text"), "doc_id")
+    return late.read_late(spark, f"{d}/documents.parquet", ["doc_id", "source", "n_chars"], ["text"], F.col("n_chars") < 400, "doc_id").select("doc_id", "source", "text")
+
+
+@query("s20_row_addresses", "SELECT doc_id, row_index, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER () - 1 AS row_index FROM documents) WHERE n_chars < 400")
+def row_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Light columns with each row's place in its file; texts are not read."""
+    return late.addressed(spark, f"{d}/documents.parquet", ["doc_id", "n_chars"]).where("n_chars < 400").select("doc_id", "row_index", "n_chars")
 
 
 @query("k06_k07_json_report", """SELECT conv_id, '{"conv_id":' || conv_id || ',"n":' || count(*) || ',"roles":[' || string_agg('"' || role || '"', ',' ORDER BY turn) || ']}' AS document FROM conversations GROUP BY conv_id""")

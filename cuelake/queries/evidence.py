@@ -13,16 +13,21 @@ from cuelake.queries.registry import query
 
 _WORD = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
-#: Captions, what is heard (a fifth lacks, a seventh is cut, times are later) and two translations (in words the other way round), in ASCII, since
-#: the engine of the SQL counts edits by bytes.
-_TRACKS = r"""plain AS (SELECT media_id, pos, start_ms, end_ms, silence_milli, regexp_replace(text, '[^\x00-\x7F]+', '', 'g') AS text FROM cues),
+#: Captions, what is heard (a fifth lacks, a seventh is cut, times are later) and two translations (in words the other way round). The engine of the
+#: SQL counts edits by bytes and has no capital of ß: there, letters of plain texts that are not ASCII become capitals, one byte each.
+_TRACKS = r"""plain AS (SELECT media_id, pos, start_ms, end_ms, silence_milli, text FROM cues),
 captions AS (SELECT media_id, pos, start_ms, end_ms, text, silence_milli / 1000::DOUBLE AS stability, CASE WHEN pos % 3 = 0 THEN NULL ELSE substr(text, 4) END AS target FROM plain),
 heard AS (SELECT media_id, pos, start_ms + (media_id % 3) * 400 + 900 AS start_ms, end_ms + (media_id % 3) * 400 + 900 AS end_ms, CASE WHEN pos % 7 = 0 THEN substr(text, 1, 9) WHEN pos % 6 = 0 THEN '?!' ELSE text END AS text FROM plain WHERE (media_id + pos) % 5 <> 0),
-base AS (SELECT media_id, pos, start_ms, end_ms, CASE WHEN pos % 4 = 0 THEN ' ' WHEN pos % 4 = 1 THEN text ELSE upper(substr(text, 6)) END AS text FROM plain WHERE pos % 9 <> 0)"""
+base AS (SELECT media_id, pos, start_ms, end_ms, CASE WHEN pos % 4 = 0 THEN ' ' WHEN pos % 4 = 1 THEN text ELSE upper(replace(substr(text, 6), 'ß', 'ss')) END AS text FROM plain WHERE pos % 9 <> 0)"""
+
+
+def _edits(a: str, b: str) -> str:
+    one_byte = "translate({0}, 'äçèéêíñóöü', 'ABCDEFGHIJ')"
+    return f"levenshtein({one_byte.format(a)}, {one_byte.format(b)})"
 
 
 def tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = cues(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]+", ""))
+    rows = cues(spark, d)
     p, late = F.col("pos"), (F.col("media_id") % 3) * 400 + 900
     captions = rows.select("media_id", "pos", "start_ms", "end_ms", "text", (F.col("silence_milli") / 1000).alias("stability"), F.when(p % 3 != 0, F.expr("substr(text, 4)")).alias("target"))
     text = F.when(p % 7 == 0, F.left("text", F.lit(9))).when(p % 6 == 0, "?!").otherwise(F.col("text"))
@@ -57,7 +62,7 @@ r AS (SELECT c.*, {_WORD.format('coalesce(text, $$$$)')} AS p, part FROM heard c
 steady AS (SELECT * FROM l WHERE stability >= 0.75 AND p <> ''), {_length('steady_ms', 'steady', 'media_id, part')}, {_length('caption_ms', "(SELECT * FROM l WHERE p <> '')", 'media_id')},
 {_length('lone_ms', "(SELECT * FROM r WHERE p <> '' AND NOT EXISTS (SELECT 1 FROM l WHERE l.media_id = r.media_id AND l.part = r.part))", 'media_id')}, {_length('heard_ms', 'r', 'media_id')},
 said AS (SELECT media_id, part, string_agg(p, '' ORDER BY pos) AS a FROM steady GROUP BY ALL), told AS (SELECT media_id, part, string_agg(p, '' ORDER BY pos) AS b FROM r GROUP BY ALL),
-s AS (SELECT media_id, sum(ms) AS stable_ms, sum(levenshtein(a, coalesce(b, ''))) AS edits, sum(length(a))::BIGINT AS reference_characters, sum(CASE WHEN coalesce(b, '') = '' THEN ms ELSE 0 END) AS missing_ms
+s AS (SELECT media_id, sum(ms) AS stable_ms, sum({_edits('a', "coalesce(b, '')")}) AS edits, sum(length(a))::BIGINT AS reference_characters, sum(CASE WHEN coalesce(b, '') = '' THEN ms ELSE 0 END) AS missing_ms
   FROM said LEFT JOIN told USING (media_id, part) JOIN steady_ms USING (media_id, part) GROUP BY media_id),
 t AS (SELECT media_id, {_rate('count(*) FILTER (WHERE again)', 'count(*)')} AS repeated, {_rate("count(*) FILTER (WHERE p <> '' AND NOT regexp_matches(text, '[A-Za-z]'))", "count(*) FILTER (WHERE p <> '')")} AS anomalous
   FROM (SELECT *, p <> '' AND p = lag(p) OVER (PARTITION BY media_id ORDER BY pos) AS again FROM r) GROUP BY media_id)
@@ -81,7 +86,7 @@ j AS (SELECT c.media_id, c.pos, coalesce(target, '') AS target, coalesce(sa.x, '
   JOIN pt ON pt.side = 'l' AND pt.media_id = c.media_id AND pt.pos = c.pos LEFT JOIN ta ON ta.media_id = c.media_id AND ta.part = pt.part),
 w AS (SELECT *, {_WORD.format('source')} AS a, {_WORD.format('translation')} AS b, {_WORD.format('target')} AS c FROM j),
 k AS (SELECT *, array_to_string(list_filter([CASE WHEN trim(translation) = '' THEN 'empty' END, CASE WHEN a = b AND length(a) >= 4 THEN 'identical' END, CASE WHEN target <> '' AND b = '' THEN 'ocr_target_without_translation' END,
-  CASE WHEN a <> '' AND b <> '' AND NOT length(b)::DOUBLE / length(a) BETWEEN 0.2 AND 4 THEN 'abnormal_length_ratio' END], lambda x: x IS NOT NULL), ',') AS issues, CASE WHEN c <> '' THEN round(levenshtein(c, b)::DOUBLE / length(c), 6) END AS disagreement FROM w),
+  CASE WHEN a <> '' AND b <> '' AND NOT length(b)::DOUBLE / length(a) BETWEEN 0.2 AND 4 THEN 'abnormal_length_ratio' END], lambda x: x IS NOT NULL), ',') AS issues, CASE WHEN c <> '' THEN round({_edits('c', 'b')}::DOUBLE / length(c), 6) END AS disagreement FROM w),
 details AS (SELECT *, issues <> '' OR coalesce(disagreement >= 0.45, false) AS needs_review FROM k)"""
 
 
@@ -90,14 +95,14 @@ def details(spark: SparkSession, d: str) -> DataFrame:
     return E.translation_rows(captions, heard, base, blocking)
 
 
-@query("j15_translation_signals", f"""{_ROWS} SELECT media_id, CASE WHEN sum(length(c)) > 0 THEN round(sum(CASE WHEN c <> '' THEN levenshtein(c, b) END)::DOUBLE / sum(length(c)), 6) END AS disagreement, sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END)::BIGINT AS n_issues,
+@query("j15_translation_signals", f"""{_ROWS} SELECT media_id, CASE WHEN sum(length(c)) > 0 THEN round(sum(CASE WHEN c <> '' THEN {_edits('c', 'b')} END)::DOUBLE / sum(length(c)), 6) END AS disagreement, sum(CASE WHEN issues = '' THEN 0 ELSE len(string_split(issues, ',')) END)::BIGINT AS n_issues,
   count(*) FILTER (WHERE contains(issues, 'abnormal_length_ratio')) AS n_abnormal, count(disagreement) AS n_comparable, count(*) FILTER (WHERE needs_review) AS n_review FROM details GROUP BY media_id""")
 def translation_signals(spark: SparkSession, d: str) -> DataFrame:
     return E.translation_signals(details(spark, d))
 
 
 @query("j29_review_items", f"""{_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pos) AS place FROM details WHERE needs_review)
-SELECT media_id, place, pos, 'source: ' || source || chr(10) || 'burned: ' || target || chr(10) || 'baseline: ' || translation || chr(10) || 'one: ' || p.text || CASE WHEN pos % 2 = 0 THEN chr(10) || 'two: ' || upper(p.text) ELSE '' END AS lines FROM n JOIN plain p USING (media_id, pos) WHERE place <= 20""")
+SELECT media_id, place, pos, 'source: ' || source || chr(10) || 'burned: ' || target || chr(10) || 'baseline: ' || translation || chr(10) || 'one: ' || p.text || CASE WHEN pos % 2 = 0 THEN chr(10) || 'two: ' || upper(replace(p.text, 'ß', 'ss')) ELSE '' END AS lines FROM n JOIN plain p USING (media_id, pos) WHERE place <= 20""")
 def review_items(spark: SparkSession, d: str) -> DataFrame:
     """Twenty of a recording at most: the report's size."""
     captions, *_ = tracks(spark, d)
@@ -106,7 +111,7 @@ def review_items(spark: SparkSession, d: str) -> DataFrame:
     return E.review_items(details(spark, d), one.unionByName(two))
 
 
-@query("u16_judged", f"""{_ROWS}, q AS (SELECT sha256(media_id || '/' || pos) AS key, translation AS a, upper(target) AS b, media_id * 100000 + pos AS place, pos FROM details WHERE needs_review AND translation <> upper(target)),
+@query("u16_judged", f"""{_ROWS}, q AS (SELECT sha256(media_id || '/' || pos) AS key, translation AS a, upper(replace(target, 'ß', 'ss')) AS b, media_id * 100000 + pos AS place, pos FROM details WHERE needs_review AND translation <> upper(replace(target, 'ß', 'ss'))),
 c AS (SELECT key, 'TIE' AS preference FROM q WHERE pos % 5 = 0), o AS (SELECT key, row_number() OVER (ORDER BY place, key) AS n FROM q ANTI JOIN c USING (key))
 SELECT key, CASE WHEN c.key IS NOT NULL THEN c.preference WHEN o.n <= 40 THEN CASE WHEN length(a) > length(b) THEN 'A' WHEN length(b) > length(a) THEN 'B' ELSE 'TIE' END END AS preference,
   CASE WHEN c.key IS NOT NULL THEN 'cache' WHEN o.n <= 40 THEN 'judge' ELSE 'over budget' END AS origin FROM q LEFT JOIN c USING (key) LEFT JOIN o USING (key)""")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import uuid
 import wave
-import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from pyspark.sql.types import BinaryType
 from cuelake.bridge import table
 from cuelake.functions import text as T
 from cuelake.queries.registry import query
-from cuelake.sources import files
+from cuelake.sources import archives, files
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -49,57 +48,53 @@ def tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 @F.pandas_udf(BinaryType())
-def clip_archive(names: pd.Series, seconds: pd.Series, texts: pd.Series) -> pd.Series:
-    """A ZIP of 8 kHz PCM clips (each sample a quarter of full scale, in turns up and down) and their transcripts, from arrays of equal length."""
-    out = []
-    for stems, lengths, said in zip(names, seconds, texts, strict=True):
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for stem, n, text in zip(stems, lengths, said, strict=True):
-                raw = io.BytesIO()
-                with wave.open(raw, "wb") as w:
-                    w.setnchannels(1)
-                    w.setsampwidth(2)
-                    w.setframerate(8000)
-                    w.writeframes((8192).to_bytes(2, "little", signed=True) * (4000 * n) + (-8192).to_bytes(2, "little", signed=True) * (4000 * n))
-                z.writestr(f"{stem}.wav", raw.getvalue())
-                z.writestr(f"{stem.upper()}.TXT" if n % 2 else f"{stem}.txt", text.encode("utf-8-sig"))
-        out.append(held.getvalue())
-    return pd.Series(out)
-
-
-def archives(spark: SparkSession, d: str) -> DataFrame:
-    """An archive for each nation, with a clip for each of its suppliers."""
-    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), F.concat(F.lit("set/"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string")).alias("stem"), (F.col("s_suppkey") % 7 + 1).cast("int").alias("seconds"), F.when(F.col("s_suppkey") % 4 == 0, " ").otherwise(F.col("s_name")).alias("text"))
-    packed = rows.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("stem", "seconds", "text"))).alias("c"))
-    return packed.select(F.concat(F.lit("a"), F.col("n").cast("string"), F.lit(".zip")).alias("path"), clip_archive("c.stem", "c.seconds", "c.text").alias("content"))
+def tone(seconds: pd.Series) -> pd.Series:
+    """A WAV file of so many seconds at a quarter of the full level."""
+
+    def one(n: int) -> bytes:
+        raw = io.BytesIO()
+        with wave.open(raw, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(8000)
+            w.writeframes((8192).to_bytes(2, "little", signed=True) * (4000 * n) + (-8192).to_bytes(2, "little", signed=True) * (4000 * n))
+        return raw.getvalue()
+
+    return seconds.map(one)
+
+
+def clip_archives(spark: SparkSession, d: str) -> str:
+    """A folder with an archive for each nation, with a clip and a text for each of its suppliers."""
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("a"), F.col("s_nationkey").cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("set/"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string")).alias("stem"), (F.col("s_suppkey") % 7 + 1).cast("int").alias("seconds"), F.when(F.col("s_suppkey") % 4 == 0, " ").otherwise(F.col("s_name")).alias("text"))
+    sound = rows.select("archive", F.concat("stem", F.lit(".wav")).alias("member"), tone("seconds").alias("content"))
+    name = F.when(F.col("seconds") % 2 == 1, F.concat(F.upper("stem"), F.lit(".TXT"))).otherwise(F.concat("stem", F.lit(".txt")))
+    said = rows.select("archive", name.alias("member"), files.encoded("text", F.lit("utf-8-sig")).alias("content"))
+    path = _folder(spark, "clips")
+    archives.write_archives(sound.unionByName(said), path)
+    return path
 
 
 @query("s18_s22_s23_clips", "SELECT 'set/' || s_nationkey || '/s' || s_suppkey || '.wav' AS audio, s_name AS transcript, 'set/' || s_nationkey AS \"group\", (s_suppkey % 7 + 1)::DOUBLE AS seconds, 0.25::DOUBLE AS rms, 1 AS words FROM supplier WHERE s_suppkey % 7 + 1 >= 3 AND s_suppkey % 4 <> 0")
 def archive_clips(spark: SparkSession, d: str) -> DataFrame:
-    return files.clip_candidates(files.archive_members(archives(spark, d))).drop("sha256")
+    path = clip_archives(spark, d)
+    return files.clip_candidates(archives.read_archives(spark, path, ".wav"), archives.read_archives(spark, path, ".txt")).drop("sha256")
 
 
-@F.pandas_udf(BinaryType())
-def text_archive(names: pd.Series, texts: pd.Series) -> pd.Series:
-    out = []
-    for members, said in zip(names, texts, strict=True):
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for name, text in zip(members, said, strict=True):
-                z.writestr(name, text)
-        out.append(held.getvalue())
-    return pd.Series(out)
+@query("s18_members", "SELECT 'a' || s_nationkey || '.zip' AS archive, 'set/' || s_nationkey || '/s' || s_suppkey || '.wav' AS member, 44 + 16000 * (s_suppkey % 7 + 1) AS size FROM supplier WHERE s_nationkey IN (3, 11, 20) AND 44 + 16000 * (s_suppkey % 7 + 1) > 50000")
+def archive_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Members of some archives by name and size; nothing is unpacked."""
+    rows = archives.read_archives(spark, clip_archives(spark, d), content=False, split_bytes=1 << 16)
+    return rows.where(F.col("archive").isin("a3.zip", "a11.zip", "a20.zip") & F.col("member").endswith(".wav") & (F.col("size") > 50_000)).select("archive", "member", "size")
 
 
 @query("s26_subtitles_of_archives", "SELECT 'r' || n_regionkey || '.zip' AS archive, 'sub/' || n_name || '.srt' AS member, 'é ' || n_name AS text FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey % 4 <> 1")
 def subtitles_of_archives(spark: SparkSession, d: str) -> DataFrame:
     """The .srt members of archives, without those that are there already (a quarter)."""
-    nation = table(spark, d, "nation").withColumn("said", F.concat(F.lit("é "), "n_name")).withColumn("name", F.concat(F.lit("sub/"), "n_name", F.when(F.col("n_nationkey") % 3 == 0, ".txt").otherwise(".srt")))
-    packed = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("name", "said"))).alias("c"))
-    zips = packed.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".zip")).alias("path"), text_archive("c.name", "c.said").alias("content"))
-    present = nation.where("n_nationkey % 4 = 1").select(F.col("name").alias("member"))
-    return files.archive_subtitles(zips, present).select("archive", "member", files.decoded("content").alias("text"))
+    nation = table(spark, d, "nation").withColumn("member", F.concat(F.lit("sub/"), "n_name", F.when(F.col("n_nationkey") % 3 == 0, ".txt").otherwise(".srt")))
+    packed = nation.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".zip")).alias("archive"), "member", F.concat(F.lit("é "), "n_name").cast("binary").alias("content"))
+    path = _folder(spark, "subtitles")
+    archives.write_archives(packed, path)
+    return files.subtitles_to_add(archives.read_archives(spark, path, ".srt"), nation.where("n_nationkey % 4 = 1")).select("archive", "member", files.decoded("content").alias("text"))
 
 
 @query("s14_media_files", "SELECT extension, count(*) AS n FROM (SELECT ['mp4', 'mkv', 'wmv', 'opus', NULL, NULL][p_partkey % 6 + 1] AS extension FROM part) WHERE extension IS NOT NULL GROUP BY extension")

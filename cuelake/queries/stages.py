@@ -79,7 +79,7 @@ s AS (SELECT *, b IS NOT NULL AND length(b) > 34 AND pos % 4 <> 1 AS cut FROM t)
 z AS (SELECT *, CASE WHEN cut THEN trim(left(b, 34)) ELSE b END AS final FROM s)"""
 
 
-@query("u03_u04_u07_u08_u09_u10_u17_reviewed", f"""WITH {CUES_SQL}, {_REVIEWED} SELECT media_id, pos, coalesce(final, text) AS translation, CASE WHEN cut THEN 'shortening' WHEN mended THEN 'repair' WHEN a IS NULL THEN 'source' ELSE 'initial' END AS origin,
+@query("u03_u04_u07_u08_u09_u10_reviewed", f"""WITH {CUES_SQL}, {_REVIEWED} SELECT media_id, pos, coalesce(final, text) AS translation, CASE WHEN cut THEN 'shortening' WHEN mended THEN 'repair' WHEN a IS NULL THEN 'source' ELSE 'initial' END AS origin,
   CASE WHEN final IS NULL THEN 'empty' WHEN regexp_replace(lower(final), '[^a-z]', '', 'g') = regexp_replace(lower(text), '[^a-z]', '', 'g') AND length(regexp_replace(lower(text), '[^a-z]', '', 'g')) >= 4 THEN 'identical' ELSE '' END AS blocking, length(coalesce(final, text)) > 34 AS over_budget FROM z""")
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
     return P.reviewed(short(spark, d), stand_in, F.lit(34), {"han": r"[\x{4e00}-\x{9fff}]"})[0]

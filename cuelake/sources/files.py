@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import io
-import tarfile
 import tempfile
 import uuid
 import wave
-import zipfile
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -84,9 +81,9 @@ def best_answers(found: DataFrame, most: int, key: str) -> DataFrame:
     return found.where(~by_machine).orderBy(F.desc("rating"), key).limit(most)
 
 
-def archive_subtitles(archives: DataFrame, present: DataFrame) -> DataFrame:
-    """archive, member, content of the .srt members of archives, without those that are there already (member)."""
-    return archive_members(archives).where(F.lower("member").endswith(".srt")).join(present.select("member").distinct(), "member", "left_anti")
+def subtitles_to_add(members: DataFrame, present: DataFrame) -> DataFrame:
+    """The .srt members (archive, member, content) that are not there already (member)."""
+    return members.where(F.lower("member").endswith(".srt")).join(present.select("member").distinct(), "member", "left_anti").select("archive", "member", "content")
 
 
 def unsafe(name: str) -> bool:
@@ -95,28 +92,6 @@ def unsafe(name: str) -> bool:
     return name.startswith(("/", "\\")) or ".." in parts or (len(parts[0]) == 2 and parts[0][1] == ":")
 
 
-def archive_members(archives: DataFrame) -> DataFrame:
-    """archives (path, content) of ZIP or TAR to archive, member, content; unsafe names fail."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                stream = io.BytesIO(content)
-                if zipfile.is_zipfile(stream):
-                    with zipfile.ZipFile(stream) as z:
-                        found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-                else:
-                    stream.seek(0)
-                    with tarfile.open(fileobj=stream) as t:
-                        found = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-                if bad := [n for n, _ in found if unsafe(n)]:
-                    raise ValueError(f"unsafe member {bad[0]} in {path}")
-                for name, data in found:
-                    yield pd.DataFrame({"archive": [path], "member": [name], "content": [data]})
-
-    return archives.select("path", "content").mapInPandas(run, "archive string, member string, content binary")
-
-
 @F.pandas_udf(StructType([StructField("seconds", DoubleType()), StructField("rms", DoubleType())]))
 def wave_metrics(content: pd.Series) -> pd.DataFrame:
     """Duration and root mean square (0 to 1) of PCM WAV files; null for anything else."""
@@ -202,17 +177,16 @@ def fingerprint(content: Column) -> Column:
     return F.sha2(F.when(F.octet_length(content) <= 2 * PIECE, content).otherwise(ends), 256)
 
 
-def clip_candidates(members: DataFrame, least: float = 3.0, most: float = 15.0) -> DataFrame:
-    """Members .wav with the .txt of the same stem: audio, transcript, group (its
-    folder), seconds, rms, words, sha256; clips of ``least`` to ``most`` seconds with a word."""
+def clip_candidates(audio: DataFrame, texts: DataFrame, least: float = 3.0, most: float = 15.0) -> DataFrame:
+    """Members .wav with the .txt of the same stem in the same archive: audio, transcript, group (its
+    folder), seconds, rms, words, sha256; clips of ``least`` to ``most`` seconds with a word. Contents are measured before they meet and do not travel."""
     stem = F.lower(F.regexp_replace("member", r"\.[^./]*$", ""))
-    rows = members.withColumn("stem", stem)
-    audio = rows.where(F.lower("member").endswith(".wav")).select("archive", "stem", F.col("member").alias("audio"), "content")
-    text = rows.where(F.lower("member").endswith(".txt")).select("archive", "stem", F.trim(decoded_transcript("content")).alias("transcript"))
-    out = audio.join(text, ["archive", "stem"]).withColumn("m", wave_metrics("content"))
+    sound = audio.where(F.lower("member").endswith(".wav")).select("archive", stem.alias("stem"), F.col("member").alias("audio"), wave_metrics("content").alias("m"), F.sha2("content", 256).alias("sha256"))
+    text = texts.where(F.lower("member").endswith(".txt")).select("archive", stem.alias("stem"), F.trim(decoded_transcript("content")).alias("transcript"))
     words = F.size(F.filter(F.split("transcript", r"\s+"), lambda x: x != ""))
-    out = out.select("audio", "transcript", F.regexp_extract("audio", r"^(.*)/[^/]*$", 1).alias("group"), "m.seconds", "m.rms", words.alias("words"), F.sha2("content", 256).alias("sha256"))
-    return out.where(f"seconds between {least} and {most} and words >= 1")
+    out = sound.where(f"m.seconds between {least} and {most}").join(text, ["archive", "stem"])
+    out = out.select("audio", "transcript", F.regexp_extract("audio", r"^(.*)/[^/]*$", 1).alias("group"), "m.seconds", "m.rms", words.alias("words"), "sha256")
+    return out.where("words >= 1")
 
 
 def write_table(rows: DataFrame, path: str, separator: str = ",") -> None:
