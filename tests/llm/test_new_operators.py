@@ -13,7 +13,7 @@ import pytest
 
 pytest.importorskip("cuelake.llm.queries")
 
-from cuelake.llm import jaccard_join, spelling, substring_dedup, turn_repair  # noqa: E402
+from cuelake.llm import chat_format, jaccard_join, spelling, substring_dedup, turn_repair  # noqa: E402
 
 # operator 11
 
@@ -314,3 +314,40 @@ def test_prefixes_are_the_same_by_broadcast_and_by_join(spark, monkeypatch):
         found.append({r.node: (r.tokens, r.blocks, r.hot) for r in rows})
     assert len(found[0]) == len(texts) and found[0] == found[1]
     assert any(hot for *_, hot in found[0].values())
+
+
+# operator 7: crowded parts
+
+
+def brute_chat(rows, turns):
+    out = {}
+    by = defaultdict(list)
+    for conv, turn, role, text in rows:
+        by[conv, None if turn is None else turn // turns].append((turn is None, turn or 0, role or "unknown", (text or "").replace("<|im_", "<|_im_")))
+    people = defaultdict(set)
+    for (conv, _), found in by.items():
+        people[conv] |= {r[2] for r in found} - {"system", "unknown"}
+    for (conv, part), found in by.items():
+        found.sort(key=lambda r: (r[0], r[1], r[2].encode(), r[3].encode()))
+        for piece in range(0, len(found), turns):
+            for who in people[conv]:
+                rendered, spans = "", []
+                for _, _, speaker, content in found[piece : piece + turns]:
+                    role = "system" if speaker == "system" else "assistant" if speaker == who else f"user name={speaker}"
+                    rendered += f"<|im_start|>{role}\n"
+                    spans += [f"{len(rendered)}-{len(rendered) + len(content)}"] if speaker == who else []
+                    rendered += f"{content}<|im_end|>\n"
+                out[conv, part, piece // turns, who] = (len(found[piece : piece + turns]), len(spans), rendered, ",".join(spans))
+    return out
+
+
+@pytest.mark.parametrize("sent", [chat_format.BROADCAST_KEYS, 0])
+def test_chat_agrees_with_brute_force_where_turns_are_missing_or_repeat(spark, monkeypatch, sent):
+    monkeypatch.setattr(chat_format, "TURNS", 16)
+    monkeypatch.setattr(chat_format, "BROADCAST_KEYS", sent)
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, 3, rng.randrange(60)]), rng.choice(["ann", "bob", "system", None, "cy"]), rng.choice(["same", f"t{k}", "é" * 5, None])) for k in range(900)]
+    rows += [(5, None, "ann", "again")] * 1100 + [(6, 1, "bob", "x" * 50_000), (7, 2, None, "nobody")]
+    got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.part, r.piece, r.perspective): (r.n_messages, r.n_masked, r.rendered, r.mask) for r in got} == brute_chat(rows, 16)
+    assert len(got) == len(brute_chat(rows, 16))
