@@ -76,23 +76,38 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/thousand/hundred/id.txt; each that states a licence speaks for its directory. Single lines are compared, as by the SQL."""
+    """Documents as files source/thousand/hundred/id.txt; of those that speak of a licence, each fourth is the LICENSE or COPYING file of an upper folder. Lines, blocks, headers and whole licence files are compared."""
     k = F.col("doc_id")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(k / 1000).cast("string"), F.floor(k / 100).cast("string"), F.concat(k.cast("string"), F.lit(".txt")))
-    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return license_scan.scan(files, license_scan.TEMPLATES, every_file_speaks=True, blocks=False)
+    top = F.coalesce("source", F.lit("none"))
+    middle = F.concat_ws("/", top, F.floor(k / 1000).cast("string"))
+    chosen = F.coalesce(F.col("text").rlike(license_scan.KEYWORDS), F.lit(False)) & (k % 4 == 0)
+    name = k.cast("string")
+    path = (
+        F.when(chosen & (k % 8 == 0), F.concat(middle, F.lit("/LICENSE."), name)).when(chosen, F.concat(top, F.lit("/COPYING."), name))
+        .otherwise(F.concat_ws("/", middle, F.floor(k / 100).cast("string"), F.concat(name, F.lit(".txt"))))
+    )
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
 
 
 def _license_sql() -> str:
-    quoted = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(license_scan.TEMPLATES))
+    quoted = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(license_scan.NOTICES))
+    mark, bare = (x.replace("'", "''") for x in (license_scan.MARK, license_scan.BARE))
     return rf"""
-WITH f AS (
-  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR) AS dir,
-         concat_ws('/', coalesce(source, 'none'), (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR, doc_id::VARCHAR || '.txt') AS path
-  FROM documents),
-p AS (SELECT row_number() OVER () AS id, * FROM (
-  SELECT DISTINCT path, doc_id, line FROM (SELECT path, doc_id, unnest(string_split(text, chr(10))) AS line FROM f)
-  WHERE regexp_matches(line, '{license_scan.KEYWORDS}'))),
+WITH g AS (
+  SELECT doc_id, text, coalesce(source, 'none') AS top, coalesce(source, 'none') || '/' || (doc_id // 1000) AS middle, coalesce(regexp_matches(text, '{license_scan.KEYWORDS}'), false) AS speaks FROM documents),
+f AS (
+  SELECT doc_id, text, speaks, CASE WHEN speaks AND doc_id % 8 = 0 THEN middle WHEN speaks AND doc_id % 4 = 0 THEN top ELSE middle || '/' || (doc_id // 100) END AS dir,
+         CASE WHEN speaks AND doc_id % 8 = 0 THEN 'LICENSE.' || doc_id WHEN speaks AND doc_id % 4 = 0 THEN 'COPYING.' || doc_id ELSE doc_id || '.txt' END AS name FROM g),
+e AS (SELECT *, dir || '/' || name AS path, regexp_matches(name, '{license_scan.LICENSE_FILE}') AS is_license FROM f),
+r AS (SELECT path, is_license, string_split(text, chr(10)) AS raw FROM e WHERE text IS NOT NULL AND (is_license OR speaks)),
+q AS (
+  SELECT path, is_license, list_transform(raw, lambda x: regexp_replace(x, '{bare}', '', 'g')) AS plain,
+         coalesce(list_position(list_transform(raw, lambda x: regexp_matches(x, '{mark}') OR regexp_matches(x, '^\s*$')), false), 0) AS code FROM r),
+y AS (
+  SELECT path, is_license, list_concat(list_concat(plain, string_split_regex(array_to_string(plain, chr(10)), '
+{{2,}}')), list_concat(
+    [array_to_string(CASE WHEN code > 0 THEN plain[:code - 1] ELSE plain END, chr(10))], CASE WHEN is_license THEN [array_to_string(plain, chr(10))] ELSE [] END)) AS every FROM q),
+p AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT path, line FROM (SELECT path, is_license, unnest(every) AS line FROM y) WHERE is_license OR regexp_matches(line, '{license_scan.KEYWORDS}'))),
 tf AS (
   SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(line), '{license_scan.TERM}')) AS term FROM p) GROUP BY ALL),
 n AS (SELECT count(DISTINCT id)::DOUBLE AS n FROM tf),
@@ -108,14 +123,14 @@ o AS (
   SELECT path, license, score FROM s JOIN p USING (id) WHERE score >= {license_scan.LEAST}
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
 d AS (
-  SELECT dir, license FROM o JOIN f USING (path)
+  SELECT dir, license FROM o JOIN e USING (path) WHERE is_license
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, license) = 1),
 u AS (
-  SELECT x.dir, d.dir AS up, d.license FROM (SELECT DISTINCT dir FROM f) x JOIN d ON x.dir = d.dir OR starts_with(x.dir, d.dir || '/')
+  SELECT x.dir, d.dir AS up, d.license FROM (SELECT DISTINCT dir FROM e) x JOIN d ON x.dir = d.dir OR starts_with(x.dir, d.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY x.dir ORDER BY length(d.dir) DESC) = 1)
-SELECT f.doc_id, f.path, coalesce(o.license, u.license) AS license, o.score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN u.license IS NOT NULL THEN 'inherited' END AS origin,
+SELECT e.doc_id, e.path, coalesce(o.license, u.license) AS license, o.score, CASE WHEN o.license IS NOT NULL THEN 'own' WHEN u.license IS NOT NULL THEN 'inherited' END AS origin,
        CASE WHEN o.license IS NULL THEN u.up END AS inherited_from
-FROM f LEFT JOIN o USING (path) LEFT JOIN u ON f.dir = u.dir
+FROM e LEFT JOIN o USING (path) LEFT JOIN u ON e.dir = u.dir
 """
 
 
