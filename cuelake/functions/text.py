@@ -186,6 +186,31 @@ def wrapped(text: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([_wrapped(t, int(w)) for t, w in zip(text, width, strict=True)])
 
 
+#: Marks of Latin texts and their full-width forms; marks after which a line may end.
+HALF_WIDTH, FULL_WIDTH, ENDS = ",.!?;:", "，。！？；：", "，。！？；：、"
+
+
+def _formatted(text: str, width: int) -> str:
+    t = re.sub(r"\s*\n\s*", "", re.sub(r"[ \t\u3000]+", " ", text).strip())
+    if re.search(r"[\u3400-\u9fff]", t):
+        t = t.translate(str.maketrans(HALF_WIDTH, FULL_WIDTH))
+    t = re.sub(f"([{ENDS}])\\1+", r"\1", t)
+    lines, at = [], 0
+    while 0 < width < len(t) - at:
+        last = max(t.rfind(mark, at, at + width + 1) for mark in ENDS)
+        size = last + 1 - at if last + 1 - at >= max(4, width // 2) else width
+        lines.append(t[at : at + size])
+        at += size
+    return "\n".join([*lines, t[at:]] if at < len(t) or not lines else lines)
+
+
+@F.pandas_udf(StringType())
+def formatted(text: pd.Series, width: pd.Series) -> pd.Series:
+    """One line of text in lines of at most ``width`` characters, that end at the last full-width mark if one is in their second half; marks are
+    full-width beside Han characters and not repeated. Null texts are empty; no width leaves one line."""
+    return pd.Series([_formatted(t or "", int(w)) for t, w in zip(text, width, strict=True)])
+
+
 def language_of_path(path: Column) -> Column:
     """A language code between dots or hyphens at a file name's end; null if none."""
     code = F.regexp_extract(path, r"[._-]([a-z]{2,3}(?:-[A-Za-z]{2,4})?)\.[A-Za-z0-9]+$", 1)

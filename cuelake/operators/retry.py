@@ -5,6 +5,9 @@ window over its recording's cues stays a small multiple of the cues. Recordings
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from cuelake.functions import text as T
 from cuelake.operators import intervals as J
 from cuelake.operators import review as V
 from cuelake.operators import rules as R
+from cuelake.sources.files import kept
 
 #: Padding, joining and length of windows in ms, how many are tried, of which share of the recording, and the least gain.
 PAD_MS, MERGE_MS, MOST_MS, MOST_WINDOWS, SHARE, LEAST_GAIN = 1250, 250, 30_000, 20, 0.1, 0.2
@@ -115,3 +119,49 @@ def report(planned: DataFrame, decided: DataFrame, group: str = "media_id") -> D
     return rows.groupBy(group).agg(
         F.count("*").alias("n_planned"), F.count_if("taken").alias("n_executed"), F.count_if("ok").alias("n_accepted"), F.count_if(F.col("taken") & ~F.col("ok")).alias("n_rejected"), F.count_if(~F.col("taken")).alias("n_skipped"),
     )
+
+
+CANDIDATE = "start_ms long, end_ms long, text string, logprob_milli long, compression_milli long, silence_milli long"
+
+
+def redecoded(windows: DataFrame, decode: Callable[[], Callable[[dict], list[dict]]], group: str = "media_id") -> DataFrame:
+    """group, pos, and CANDIDATE: cues of windows (group, pos, start_ms, end_ms, and what else decode is given) that were decoded again.
+
+    decode makes the model once for each task; it gives cues (dicts of CANDIDATE) for a window (a dict), or raises ValueError, which leaves the window without any. Times that
+    count from the window's start are moved there; cues that do not touch the window go. pos numbers a recording's new cues in order of time."""
+    names = [c.split()[0] for c in CANDIDATE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        say = decode()
+        for pdf in batches:
+            out = []
+            for window in pdf.to_dict("records"):
+                low, high = int(window["start_ms"]), int(window["end_ms"])
+                try:
+                    found = say(window)
+                except ValueError:
+                    found = []
+                if found:
+                    local = max(c["end_ms"] for c in found) <= high - low + 2000 and min(c["start_ms"] for c in found) < max(500, low - 100)
+                    for c in found:
+                        moved = c["start_ms"] + (low if local else 0)
+                        start, end = max(0, moved), max(moved + 1, c["end_ms"] + (low if local else 0))
+                        if start < high and end > low:
+                            out.append((window[group], *[(c | {"start_ms": start, "end_ms": end}).get(n) for n in names]))
+            yield pd.DataFrame(out, columns=[group, *names]).astype({n: "Int64" for n in names if n != "text"})
+
+    made = windows.mapInPandas(run, f"`{group}` {windows.schema[group].dataType.simpleString()}, {CANDIDATE}")
+    return made.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy("start_ms", "end_ms", "text")).cast("long"))
+
+
+def controlled(baseline: DataFrame, decode: Callable[[], Callable[[dict], list[dict]]], mode: str = "dry_run", group: str = "media_id") -> tuple[DataFrame, DataFrame]:
+    """(windows, cues) of a controlled retry of baseline. windows: group, pos, start_ms, end_ms, n_suspicious, taken, accepted, reasons, score; only ``apply`` accepts any, other modes say
+    dry_run beside the reasons; windows that the budget left out are skipped; ``off`` plans none. cues: what was decoded."""
+    planned = kept(plan_windows(baseline, group=group).where(F.lit(mode != "off")))
+    windows = planned.where("taken").select(group, "pos", "start_ms", "end_ms")
+    made = kept(redecoded(windows, decode, group))
+    rows = planned.join(decide(baseline, made, windows, group=group), [group, "pos"], "left")
+    dry = F.lit(mode != "apply")
+    reasons = F.when(~F.col("taken"), "skipped").when(dry, F.concat("reasons", F.lit(",dry_run"))).otherwise(F.col("reasons"))
+    accepted = F.coalesce("accepted", F.lit(False)) & F.col("taken") & ~dry
+    return rows.select(group, "pos", "start_ms", "end_ms", "n_suspicious", "taken", accepted.alias("accepted"), reasons.alias("reasons"), "score"), made

@@ -92,21 +92,6 @@ def first_by_group(rows: DataFrame, group: list[str], order: list[Column], most:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("place") <= most)
 
 
-def rejections(baseline: dict[str, Column], candidate: dict[str, Column]) -> Column:
-    """Codes against a candidate window: no_cues, loses_text, less_coverage, more_overlaps, more_repeats, lower_confidence."""
-    b, c = baseline, candidate
-    return F.array_compact(F.array(
-        F.when(c["n"] == 0, "no_cues"), F.when(c["characters"] * 2 < b["characters"], "loses_text"), F.when(c["covered_ms"] * 10 < b["covered_ms"] * 8, "less_coverage"),
-        F.when(c["n_overlap"] > b["n_overlap"], "more_overlaps"), F.when(c["n_again"] > b["n_again"], "more_repeats"), F.when(c["mean_logprob"] < b["mean_logprob"] - 100, "lower_confidence"),
-    ))
-
-
-def improvement(baseline: dict[str, Column], candidate: dict[str, Column]) -> Column:
-    """Weighted gain of a candidate: confidence, compression and repeats."""
-    b, c = baseline, candidate
-    return (c["mean_logprob"] - b["mean_logprob"]) / 1000 * 0.5 + (b["most_compression"] - c["most_compression"]) / 1000 * 0.3 + (b["n_again"] - c["n_again"]) * 0.2
-
-
 def running_offsets(clips: DataFrame, silence_ms: int, group: str = "media_id") -> DataFrame:
     """Clips put one after the other with silence between: start_ms and end_ms in the bundle."""
     length = F.col("end_ms") - F.col("start_ms")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.functions import text as T
+
 #: Stages whose signatures depend on those before; fixed values.
 CHAIN = ("input", "audio", "asr", "translation", "quality", "final")
 
@@ -89,6 +91,47 @@ def pair_by_stem(files: DataFrame) -> DataFrame:
     return rows.groupBy("base").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"))
 
 
+#: Words of file names that tell a genre, in order.
+GENRES = {
+    "drama": ("drama",), "action": ("action", "adventure"), "comedy": ("comedy", "funny"), "animation": ("animation", "anime", "cartoon"), "horror": ("horror", "thriller", "scary"),
+    "scifi": ("sci.fi", "science", "fiction", "space"), "romance": ("romance", "romantic", "love"), "documentary": ("documentary", "doc"),
+}
+_SUFFIX = r"(?i)\.([a-z]{2,6})\.(srt|ass|ssa|sub)$"
+
+
+def collected(files: DataFrame, languages: dict[str, str], wanted: list[str], genre: str = "unknown") -> DataFrame:
+    """A row for each translated subtitle file of files (path): base, name, language (a value of languages, by suffix), genre (by its name, or the given one), place
+    (language/genre/name), taken (its language is among the wanted, if any; of files with one place the first), sources (names of the same base in the source's language, comma-joined).
+    Files that are neither subtitles nor of a known language are left out."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    rows = files.select("path", name.alias("name")).where(F.col("name").rlike(r"(?i)\.(srt|ass|ssa|sub)$"))
+    known = F.create_map(*[F.lit(x) for pair in languages.items() for x in pair])
+    rows = rows.withColumns({"base": F.regexp_replace("name", _SUFFIX, ""), "is_source": T.is_source_language(F.col("name")), "language": known[F.lower(F.regexp_extract("name", _SUFFIX, 1))]})
+    low, found = F.lower("name"), F.lit(None).cast("string")
+    for g, words in GENRES.items():
+        for w in words:
+            found = F.coalesce(found, F.when(F.contains(low, F.lit(w)), g))
+    targets = rows.where("not is_source and language is not null").withColumn("genre", F.coalesce(found, F.lit(genre)))
+    targets = targets.withColumn("place", F.concat_ws("/", "language", "genre", "name"))
+    first = F.row_number().over(Window.partitionBy("place").orderBy("path")) == 1
+    taken = first & (F.col("language").isin(*[w.lower() for w in wanted]) if wanted else F.lit(True))
+    sources = rows.where("is_source").groupBy("base").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("sources"))
+    return targets.withColumn("taken", taken).join(sources, "base", "left").select("path", "base", "name", "language", "genre", "place", "taken", "sources")
+
+
+def by_language(rows: DataFrame) -> DataFrame:
+    """language, genre, n, n_taken, n_paired, n_skipped of collected files."""
+    return rows.groupBy("language", "genre").agg(
+        F.count("*").alias("n"), F.count_if("taken").alias("n_taken"), F.count_if(F.col("taken") & F.col("sources").isNotNull()).alias("n_paired"), F.count_if(~F.col("taken")).alias("n_skipped")
+    )
+
+
+def altered(before: DataFrame, after: DataFrame, fixed: list[str]) -> DataFrame:
+    """Rows of fixed columns that only one side has, as often as it has more of them, with side (before or after): none if nothing was altered."""
+    a, b = before.select(*fixed), after.select(*fixed)
+    return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
+
+
 def translate(batches: DataFrame, translator: Callable[[], Callable[[list[str]], list[str]]], cache: DataFrame, retries: int = 2) -> DataFrame:
     """batches (key, texts array) with translations: what the cache (key,
     translations) has is not asked again; a batch that fails is halved, and a
@@ -133,50 +176,6 @@ def best_terms(terms: DataFrame) -> DataFrame:
     return usable.groupBy(F.lower(F.trim("source")).alias("source")).agg(best.alias("b")).select("source", "b.target", "b.origin")
 
 
-def staged(batches: DataFrame, stages: dict[str, Callable[[list[str], list[str]], list[str]]]) -> DataFrame:
-    """batches (key, texts) through stages in order (such as draft, review,
-    final), each given the texts and what the stage before made; a column of
-    arrays for each. A batch whose stage fails keeps what the stage before made, with its error."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            out: dict[str, list] = {name: [] for name in stages} | {"error": []}
-            for texts in pdf["texts"]:
-                now, error = list(texts), None
-                for name, stage in stages.items():
-                    try:
-                        made = stage(list(texts), now)
-                        if len(made) != len(now):
-                            raise ValueError("another number of texts")
-                        now = made
-                    except ValueError as e:
-                        error = error or f"{name}: {e}"
-                    out[name].append(now)
-                out["error"].append(error)
-            yield pd.DataFrame({"key": pdf["key"], **out})
-
-    schema = f"key {dict(batches.dtypes)['key']}, {', '.join(f'`{n}` array<string>' for n in stages)}, error string"
-    return batches.select("key", "texts").mapInPandas(run, schema)
-
-
-def checks(rows: DataFrame, **conditions: Column) -> DataFrame:
-    """name, holds: aggregate conditions over a table, one row each."""
-    made = rows.agg(*[c.alias(n) for n, c in conditions.items()])
-    return made.select(F.explode(F.create_map(*[x for n in conditions for x in (F.lit(n), F.col(n))])).alias("name", "holds"))
-
-
-def asr_mode(mode: Column, language: Column) -> Column:
-    """A request's mode: ``multilingual`` excludes a fixed language; ``auto`` has none; otherwise fixed."""
-    m = F.lower(F.trim(F.coalesce(mode, F.lit("auto"))))
-    set_ = F.coalesce(language, F.lit("")) != ""
-    return F.when((m == "multilingual") & set_, "conflict").when(m == "multilingual", "multilingual").when(set_, "fixed").otherwise("auto")
-
-
-def ranged(value: Column, low: int, high: int, default: int) -> Column:
-    """An integer within its range; the default if null or no number; clipped otherwise."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(value.try_cast("int"), F.lit(default))))
-
-
 #: Statuses of runs that end them.
 ENDED = ("completed", "failed", "stale", "aborted_plan_changed")
 

@@ -114,3 +114,40 @@ FROM planned p LEFT JOIN decided d ON p.media_id = d.media_id AND p.pos = d.pos
 def retry_counts(spark: SparkSession, d: str) -> DataFrame:
     base, other, planned, windows = retried(spark, d)
     return P.report(planned, P.decide(base, other, windows))
+
+
+#: What the stand-in hears in a window: two halves; nothing where the window's number is divisible by three, and absolute times where it leaves one by four.
+_AGAIN = """heard AS (
+  SELECT media_id, pos, start_ms AS low, end_ms AS high, CASE WHEN pos % 4 = 1 THEN start_ms ELSE 0 END + k * ((end_ms - start_ms) // 2) AS s, CASE WHEN pos % 4 = 1 THEN start_ms ELSE 0 END + (k + 1) * ((end_ms - start_ms) // 2) AS e, k
+  FROM (SELECT *, unnest([0, 1]) AS k FROM planned WHERE taken AND pos % 3 <> 0)),
+moved AS (SELECT *, CASE WHEN max(e) OVER w <= high - low + 2000 AND min(s) OVER w < greatest(500, low - 100) THEN low ELSE 0 END AS shift FROM heard WINDOW w AS (PARTITION BY media_id, pos)),
+candidate AS (
+  SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, text) AS pos, text, start_ms, end_ms, -100 AS logprob_milli, 900 AS compression_milli, 0 AS silence_milli
+  FROM (SELECT media_id, low, high, greatest(0, s + shift) AS start_ms, greatest(s + shift + 1, e + shift) AS end_ms, 'what was said in part ' || k || ' of window ' || pos AS text FROM moved) WHERE start_ms < high AND end_ms > low)"""
+
+
+def listener():
+    """A stand-in for recognition."""
+
+    def hear(window: dict) -> list[dict]:
+        pos, low, half = window["pos"], window["start_ms"], (window["end_ms"] - window["start_ms"]) // 2
+        if pos % 3 == 0:
+            raise ValueError("nothing heard")
+        at = low if pos % 4 == 1 else 0
+        return [{"start_ms": at + k * half, "end_ms": at + (k + 1) * half, "text": f"what was said in part {k} of window {pos}", "logprob_milli": -100, "compression_milli": 900, "silence_milli": 0} for k in (0, 1)]
+
+    return hear
+
+
+_REPORT = "SELECT p.media_id, p.pos, p.start_ms, p.end_ms, p.n_suspicious, p.taken, {accepted} AS accepted, CASE WHEN NOT p.taken THEN 'skipped' ELSE reasons{dry} END AS reasons, d.score FROM planned p LEFT JOIN decided d ON p.media_id = d.media_id AND p.pos = d.pos"
+
+
+@query("w24_retry_applied", f"{_PLAN}, {_AGAIN}, {_AFTER}, {_DECIDED} {_REPORT.format(accepted='coalesce(accepted, false) AND p.taken', dry='')}")
+def retry_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Windows decoded again, and what is decided of each."""
+    return P.controlled(cues(spark, d), listener, "apply")[0]
+
+
+@query("w24_retry_dry_run", f"{_PLAN}, {_AGAIN}, {_AFTER}, {_DECIDED} {_REPORT.format(accepted='false', dry=f" || ',dry_run'")}")
+def retry_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    return P.controlled(cues(spark, d), listener, "dry_run")[0]

@@ -220,3 +220,32 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 def confidence(spark: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("event_id") % 5 == 0, F.lit(" High ")).otherwise(((F.col("event_id") % 100) / 100).cast("string"))
     return table(spark, d, "events").select("event_id", N.confidence(value).alias("confidence"))
+
+
+@query("m02_ratio_of_cues", f"WITH {CUES_SQL} SELECT media_id, pos, CASE WHEN length(text) = 0 THEN 0 ELSE round(2.0::DOUBLE * length(text) / (2 * length(text) + length(role) + 1), 6) END AS ratio FROM cues")
+def ratio_of_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts against themselves with a word more: all of the shorter one matches."""
+    return cues(spark, d).select("media_id", "pos", F.round(S.matching_ratio("text", F.concat("text", F.lit(" "), "role")), 6).alias("ratio"))
+
+
+@query("m04_j12_errors_of_cues", rf"""WITH {CUES_SQL}, w AS (SELECT media_id, pos, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM cues)
+SELECT media_id, pos, CASE WHEN pos % 3 = 0 THEN len(list_filter(w, lambda x: length(x) > 8)) ELSE 0 END AS substitutions, CASE WHEN pos % 3 = 1 THEN 2 ELSE 0 END AS insertions, CASE WHEN pos % 3 = 2 THEN len(list_filter(w, lambda x: length(x) = 3)) ELSE 0 END AS deletions, len(w) AS words FROM w""")
+def errors_of_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Cues of which long words are others, two words come more, or words of three letters lack."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    heard = F.when(F.col("pos") % 3 == 0, F.transform("w", lambda x: F.when(F.length(x) > 8, "|||").otherwise(x))).when(F.col("pos") % 3 == 1, F.concat("w", F.array(F.lit("|"), F.lit("||")))).otherwise(F.filter("w", lambda x: F.length(x) != 3))
+    return cues(spark, d).select("media_id", "pos", words.alias("w")).select("media_id", "pos", S.word_errors(F.array_join("w", " "), F.array_join(heard, " ")).alias("e")).select("media_id", "pos", "e.*")
+
+
+@query("t23_formatted_cues", rf"""WITH RECURSIVE {CUES_SQL},
+v AS (SELECT media_id, pos, regexp_replace(regexp_replace(trim(regexp_replace(text || CASE WHEN pos % 2 = 0 THEN '。。你好, ' || role ELSE '' END, '[ \t]+', ' ', 'g'), ' ' || chr(10)), '\s*\n\s*', '', 'g'), '$^', '') AS t, pos % 2 = 0 AS han FROM cues),
+m AS (SELECT media_id, pos, {"".join("regexp_replace(" for _ in "，。！？；：、")}CASE WHEN han THEN translate(t, ',.!?;:', '，。！？；：') ELSE t END{"".join(f", '{x}+', '{x}', 'g')" for x in "，。！？；：、")} AS t FROM v),
+s AS (
+  SELECT media_id, pos, '' AS done, t AS rest, 0 AS n FROM m
+  UNION ALL SELECT media_id, pos, done || CASE WHEN n > 0 THEN chr(10) ELSE '' END || left(rest, k), substr(rest, k + 1), n + 1
+  FROM (SELECT *, CASE WHEN length(regexp_extract(left(rest, 19), '^(.*[，。！？；：、])', 1)) >= 9 THEN length(regexp_extract(left(rest, 19), '^(.*[，。！？；：、])', 1)) ELSE 18 END AS k FROM s WHERE length(rest) > 18))
+SELECT media_id, pos, done || CASE WHEN n > 0 AND rest <> '' THEN chr(10) ELSE '' END || rest AS text FROM s WHERE length(rest) <= 18""")
+def formatted_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts in lines of eighteen characters; half of them have Han characters."""
+    text = F.concat("text", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("。。你好, "), "role")).otherwise(""))
+    return cues(spark, d).select("media_id", "pos", T.formatted(text, F.lit(18)).alias("text"))

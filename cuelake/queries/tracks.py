@@ -425,6 +425,35 @@ def immutable(spark: SparkSession, d: str) -> DataFrame:
     return rows.exceptAll(changed).withColumn("problem", F.lit("changed"))
 
 
+@query("f32_altered", f"""{_C} SELECT media_id, pos, start_ms, text, 'before' AS side FROM cues WHERE length(text) % 5 = 0 AND pos <> 2 UNION ALL SELECT media_id, pos, start_ms, replace(text, chr(10), ' ') || '.', 'after' FROM cues WHERE length(text) % 5 = 0
+UNION ALL SELECT media_id, pos, start_ms, text, 'after' FROM cues WHERE pos = 2 AND length(text) % 5 <> 0""")
+def altered(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a stage was to leave alone: a fifth of the texts changed, and a recording's second cue there twice."""
+    rows = cues(spark, d)
+    text = F.when(F.length("text") % 5 == 0, F.concat(F.translate("text", "\n", " "), F.lit("."))).otherwise(F.col("text"))
+    after = rows.withColumn("text", text).unionByName(rows.where("pos = 2"))
+    return C.altered(rows, after, ["media_id", "pos", "start_ms", "text"])
+
+
+_LANGUAGES = {"fr": "french", "de": "german", "es": "spanish", "zh": "chinese"}
+
+
+@query("s37_collected", r"""WITH f AS (SELECT doc_id, 'films/' || source || '/' || CASE doc_id % 7 WHEN 0 THEN 'Space Love ' WHEN 1 THEN 'My Doc ' ELSE 'Film ' END || doc_id // 3 || '.' || CASE WHEN doc_id % 11 = 0 THEN 'EN' ELSE coalesce(lang, 'xx') END || CASE WHEN doc_id % 13 = 0 THEN '.txt' ELSE '.srt' END AS path FROM documents),
+n AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name FROM f WHERE path LIKE '%.srt'),
+r AS (SELECT *, regexp_replace(name, '(?i)\.([a-z]{2,6})\.(srt|ass|ssa|sub)$', '') AS base, lower(regexp_extract(name, '(?i)\.([a-z]{2,6})\.srt$', 1)) AS code FROM n),
+t AS (SELECT path, base, name, CASE code WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' WHEN 'zh' THEN 'chinese' END AS language, CASE WHEN contains(lower(name), 'space') THEN 'scifi' WHEN contains(lower(name), 'love') THEN 'romance' WHEN contains(lower(name), 'doc') THEN 'documentary' ELSE 'drama' END AS genre FROM r WHERE code IN ('fr', 'de', 'es', 'zh')),
+p AS (SELECT *, language || '/' || genre || '/' || name AS place FROM t),
+s AS (SELECT base, string_agg(DISTINCT name, ',' ORDER BY name) AS sources FROM r WHERE code = 'en' GROUP BY base)
+SELECT path, p.base, name, language, genre, place, row_number() OVER (PARTITION BY place ORDER BY path) = 1 AND language IN ('french', 'spanish') AS taken, sources FROM p LEFT JOIN s USING (base)""")
+def collected(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as subtitle files, with their languages as suffixes."""
+    k = F.col("doc_id")
+    title = F.when(k % 7 == 0, "Space Love ").when(k % 7 == 1, "My Doc ").otherwise("Film ")
+    code = F.when(k % 11 == 0, "EN").otherwise(F.coalesce("lang", F.lit("xx")))
+    path = F.concat(F.lit("films/"), "source", F.lit("/"), title, F.floor(k / 3).cast("string"), F.lit("."), code, F.when(k % 13 == 0, ".txt").otherwise(".srt"))
+    return C.collected(table(spark, d, "documents").select(path.alias("path")), _LANGUAGES, ["French", "spanish"], "drama")
+
+
 @query("a24_a25_consensus")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
     """Of all texts of a scene, whole, the one most like the others."""
