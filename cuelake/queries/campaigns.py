@@ -118,3 +118,21 @@ SELECT media_id, count(*) AS source_cues, count(*) FILTER (WHERE new) AS cues, c
   count(*) FILTER (WHERE origin = 'incomplete') AS n_incomplete, sum(codes)::BIGINT AS n_blocking, count(*) FILTER (WHERE was <> '' AND b = was) AS n_repeated FROM n GROUP BY media_id""")
 def cleaning_summary(spark: SparkSession, d: str) -> DataFrame:
     return L.summary(_cleaned(spark, d), {"han": r"[\x{4e00}-\x{9fff}]"})
+
+
+@query("k25_burned_captions")
+def burned_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Three frames of each cue, as they might be read: whole texts, with a letter wrong in one of three, and the role below; no target in each fifth frame, nothing at all in each eleventh."""
+    from cuelake.plans import burned
+
+    rows = cues(spark, d).where("end_ms > start_ms")
+    k = F.col("k")
+    frames = rows.select("media_id", F.col("pos").alias("cue"), "start_ms", "end_ms", "text", "role", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    frame = F.col("cue") * 3 + k
+    read = F.when(frame % 11 == 0, "").when(k == 1, F.concat(F.lit("~q"), F.substring("text", 3, 1_000_000_000))).otherwise(F.col("text"))
+    box = F.struct(*[F.lit(float(v)).alias(n) for n, v in (("left", 1), ("top", 2), ("width", 30), ("height", 4))])
+    frames = frames.select(
+        "media_id", "cue", frame.alias("frame"), (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * (2 * k + 1) / 6)).cast("long").alias("at_ms"), read.alias("source"),
+        F.when((frame % 5 != 0) & (frame % 11 != 0), F.concat("role", F.lit(" "), (F.col("cue") % 4).cast("string"))).alias("target"), F.when(frame % 7 != 0, box).alias("source_box"), box.alias("target_box"),
+    )
+    return burned.extracted(rows.select("media_id", "pos", "start_ms", "end_ms"), frames)

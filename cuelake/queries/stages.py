@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cuelake.bridge import CUES_SQL, cues
 from cuelake.functions.answers import EQUIVALENCE, PROOF
 from cuelake.plans import stages as P
+from cuelake.plans.strategy import second
 from cuelake.queries.registry import query
 
 #: Cues with short texts: the role and the first 24 characters, and "zz" in each 13th.
@@ -88,3 +89,94 @@ def reviewed(spark: SparkSession, d: str) -> DataFrame:
 @query("u03_u04_consistency", f"WITH {CUES_SQL}, {_REVIEWED} SELECT media_id, pos, 'person' AS type, 'named otherwise' AS detail FROM z WHERE final IS NOT NULL AND pos % 17 = 3")
 def consistency(spark: SparkSession, d: str) -> DataFrame:
     return P.reviewed(short(spark, d), stand_in, F.lit(34), {"han": r"[\x{4e00}-\x{9fff}]"})[1]
+
+
+#: Cues with whole texts in one line, behind their role; "zz" in each 13th, and a quarter without their last full stops.
+_WHOLE = r"""whole AS (SELECT media_id, pos, start_ms, end_ms, CASE WHEN pos % 4 = 1 THEN regexp_replace(t, '[.!?]+$', '') ELSE t END AS text FROM (
+  SELECT *, role || CASE WHEN pos % 13 = 0 THEN ' zz ' ELSE ' ' END || trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM cues))"""
+
+
+def whole(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("pos")
+    text = F.concat("role", F.when(p % 13 == 0, " zz ").otherwise(" "), F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    text = F.when(p % 4 == 1, F.regexp_replace(text, r"[.!?]+$", "")).otherwise(text)
+    return cues(spark, d).select("media_id", "pos", "start_ms", "end_ms", text.alias("text"))
+
+
+def second_stand_in() -> Callable[[str, dict], str]:
+    """The first cue of a scene that names a role gives a term; translations carry terms; a judge likes longer mends and shorter texts."""
+
+    def say(stage: str, q: dict) -> str:
+        items = q.get("items", [])
+        if stage == "initial" and any("zz" in x["text"] for x in items):
+            raise ValueError("no answer")
+        if stage in ("initial", "repair", "shortening") and items[0]["id"] % 7 == 0 and not q.get("strict"):
+            return "not json"
+        new = {
+            "initial": lambda x: f"la {x['text']}" + "".join(f" [{t['target']}]" for t in x["terms"]), "repair": lambda x: f"{x['text']} MENDED NOW" if x["id"] % 5 else "-", "shortening": lambda x: x["now"][: x["most"]],
+        }.get(stage)
+        if new:
+            return json.dumps({"items": [{"id": x["id"], "translation": new(x)} for x in items]})
+        if stage == "survey":
+            terms = []
+            for word in ("user", "assistant"):
+                if at := next((x["id"] for x in items if word in x["text"].lower()), None):
+                    target, sure = (f"T{at % 3}", "low" if at % 2 else "high") if word == "user" else ("A", "medium")
+                    terms.append({"source": word.title(), "target": target, "type": "person", "confidence": sure, "evidence_ids": [at]})
+            return json.dumps({"video_summary": "talk", "typed_glossary": terms})
+        if stage in ("review", "cross_line"):
+            kind, step, at = ("missing", 10, 4) if stage == "review" else ("continuity", 3, 0)
+            sure = lambda k: ("high" if k % 20 == 4 else "medium") if stage == "review" else "low" if k % 2 else "high"
+            return json.dumps({"issues": [{"id": x["id"], "type": kind, "confidence": sure(x["id"]), "detail": "d"} for x in items if x["id"] % step == at]})
+        if stage == "variants":
+            return json.dumps({"groups": [{"term_type": g["type"], "classification": "definite_error" if len(g["variants"]) == 2 else "acceptable_variant", "variants": [{"ids": v["ids"]} for v in g["variants"]]} for g in q["groups"]]})
+        longer = "A" if len(q["A"]) > len(q["B"]) else "B"
+        flags = dict.fromkeys((*EQUIVALENCE, *PROOF), True)
+        if stage == "shortening_judge":
+            return json.dumps({"id": q["id"], "choice": "B" if longer == "A" else "A", "confidence": "high"} | flags | {"logic": q["id"] % 4 != 1})
+        return json.dumps({"id": q["id"], "choice": longer, "confidence": "low" if q["id"] % 6 == 5 else "high"} | flags)
+
+    return say
+
+
+_SECOND = rf"""{_WHOLE},
+scened AS (SELECT *, sum(new) OVER (PARTITION BY media_id ORDER BY pos) AS scene FROM (SELECT *, CASE WHEN start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY pos) < 30000 THEN 0 ELSE 1 END AS new, contains(text, 'zz') AS zz,
+  NOT regexp_matches(lag(text) OVER (PARTITION BY media_id ORDER BY pos), '[.!?…。！？]["''”’)]*[\t\n\f\r ]*$') AND regexp_matches(text, '^[\t\n\f\r ]*\p{{Ll}}') AS runs_on FROM whole)),
+named AS (SELECT media_id, scene, min(pos) FILTER (WHERE contains(lower(text), 'user')) AS u, min(pos) FILTER (WHERE contains(lower(text), 'assistant')) AS a FROM scened GROUP BY ALL),
+forms AS (
+  SELECT media_id, 'user' AS low, 'T' || u % 3 AS target, min(CASE WHEN u % 2 = 0 THEN 1 ELSE 3 END) AS rank, list(u) AS ids FROM named WHERE u IS NOT NULL GROUP BY media_id, u % 3
+  UNION ALL SELECT media_id, 'assistant', 'A', 2, list(a) FROM named WHERE a IS NOT NULL GROUP BY media_id),
+canon AS (SELECT media_id, low, first(target ORDER BY rank, len(ids) DESC, target) AS target FROM forms GROUP BY ALL),
+carried AS (SELECT media_id, pos, string_agg(' [' || target || ']', '' ORDER BY low) AS carried FROM scened JOIN canon USING (media_id) WHERE contains(lower(text), low) GROUP BY ALL),
+first AS (SELECT s.*, CASE WHEN NOT zz THEN trim('la ' || text || coalesce(carried, '')) END AS a FROM scened s LEFT JOIN carried USING (media_id, pos)),
+across AS (SELECT DISTINCT media_id, unnest([pos - 1, pos]) AS pos FROM first WHERE runs_on),
+issues AS (
+  SELECT media_id, pos, 'issue' AS origin, 'missing' AS type, CASE WHEN pos % 20 = 4 THEN 0 ELSE 1 END AS priority FROM first WHERE a IS NOT NULL AND pos % 10 = 4
+  UNION ALL SELECT media_id, pos, 'cross_line', 'continuity', 0 FROM first JOIN across USING (media_id, pos) WHERE a IS NOT NULL AND pos % 6 = 0),
+covered AS (SELECT DISTINCT f.media_id, f.pos FROM first f JOIN issues i ON i.media_id = f.media_id AND abs(i.pos - f.pos) <= 1),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY media_id ORDER BY pos) AS island FROM covered),
+windows AS (SELECT c.media_id, island, min(c.pos) AS first_pos, count(DISTINCT c.pos) AS n, min(priority) AS priority FROM islands c LEFT JOIN issues i ON i.media_id = c.media_id AND i.pos = c.pos GROUP BY c.media_id, island),
+budget AS (SELECT *, sum(n) OVER (PARTITION BY media_id ORDER BY priority, first_pos ROWS UNBOUNDED PRECEDING) <= 20 AS taken FROM windows),
+mended AS (
+  SELECT f.*, coalesce(taken, false) AND a IS NOT NULL AND f.pos % 5 <> 0 AND f.pos % 6 <> 5 AND length(text) + 11 > length(a) AS mended
+  FROM first f LEFT JOIN islands i ON i.media_id = f.media_id AND i.pos = f.pos LEFT JOIN budget b ON b.media_id = i.media_id AND b.island = i.island),
+b AS (SELECT *, CASE WHEN mended THEN text || ' MENDED NOW' ELSE a END AS b FROM mended),
+z AS (SELECT *, length(b) > 200 AND pos % 4 <> 1 AS cut, CASE WHEN length(b) > 200 AND pos % 4 <> 1 THEN trim(left(b, 200)) ELSE b END AS final FROM b)"""
+
+
+def _second(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return second(whole(spark, d), second_stand_in, 200, 20, {"han": r"[\x{4e00}-\x{9fff}]"})
+
+
+@query("u04_second_strategy", f"""WITH {CUES_SQL}, {_SECOND} SELECT media_id, pos, coalesce(final, text) AS translation, CASE WHEN coalesce(cut, false) THEN 'shortening' WHEN mended THEN 'repair' WHEN a IS NULL THEN 'source' ELSE 'initial' END AS origin,
+  length(coalesce(final, text)) > 200 AS over_budget FROM z""")
+def second_strategy(spark: SparkSession, d: str) -> DataFrame:
+    return _second(spark, d)[0]
+
+
+@query("u04_n19_second_review", f"""WITH {CUES_SQL}, {_SECOND}
+SELECT media_id, pos, origin AS category, type AS reason FROM issues JOIN z USING (media_id, pos) WHERE NOT mended AND NOT coalesce(cut, false)
+UNION ALL SELECT media_id, pos, 'unresolved_budget', 'shortening_not_proven' FROM z WHERE length(coalesce(final, text)) > 200
+UNION ALL SELECT DISTINCT media_id, unnest(ids), 'variant', 'definite_error' FROM forms WHERE (media_id, low) IN (SELECT (media_id, low) FROM forms GROUP BY media_id, low HAVING count(*) = 2)""")
+def second_review(spark: SparkSession, d: str) -> DataFrame:
+    return _second(spark, d)[1]
