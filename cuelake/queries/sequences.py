@@ -75,6 +75,34 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return R.near_duplicates(cues(spark, d).withColumn("text", F.concat(F.lit("The very same sentence again "), (F.floor(F.col("pos") / 2) % 10).cast("string"))))
 
 
+#: Each third cue says again what the one before said, with blanks behind it, or a letter more where the recording's number is even.
+_ECHOED = """echoed AS (SELECT media_id, pos, start_ms, end_ms, CASE WHEN pos % 3 = 2 THEN lag(text) OVER (PARTITION BY media_id ORDER BY pos) || CASE WHEN media_id % 2 = 0 THEN 'x' ELSE '  ' END ELSE text END AS text FROM cues)"""
+
+
+def echoed(spark: SparkSession, d: str) -> DataFrame:
+    rows = cues(spark, d)
+    before = F.lag("text").over(Window.partitionBy("media_id").orderBy("pos"))
+    return rows.withColumn("text", F.when(F.col("pos") % 3 == 2, F.concat(before, F.when(F.col("media_id") % 2 == 0, "x").otherwise("  "))).otherwise(F.col("text")))
+
+
+@query("f09_duplicate_runs_of_cues", f"{_C[:-1]}, {_ECHOED} {_ISSUE['runs'].replace('FROM cues', 'FROM echoed')}")
+def duplicate_runs_of_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, some of them said again."""
+    return R.duplicate_runs(echoed(spark, d))
+
+
+_LETTERS = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+@query("f09_near_duplicates_of_cues", f"""{_C[:-1]}, {_ECHOED},
+n AS (SELECT *, {_LETTERS.format('text')} AS b, {_LETTERS.format('was')} AS a FROM (SELECT *, lag(text) OVER (PARTITION BY media_id ORDER BY pos) AS was FROM echoed)),
+r AS (SELECT media_id, pos, CASE WHEN starts_with(b, a) THEN round(2.0::DOUBLE * length(a) / (length(a) + length(b)), 4) ELSE 0 END AS ratio FROM n WHERE length(a) >= 8 AND length(b) >= 8 AND trim(was) <> trim(text))
+SELECT media_id, pos, 'near_duplicate' AS type, 'info' AS severity, ratio::VARCHAR AS detail FROM r WHERE ratio >= 0.92""")
+def near_duplicates_of_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, some of them said again with a letter more; others are not alike."""
+    return R.near_duplicates(echoed(spark, d))
+
+
 @query("f10_broken_time", f"WITH {CUES_SQL}, b AS (SELECT media_id, pos, start_ms, CASE WHEN pos % 7 = 0 THEN start_ms ELSE end_ms END AS end_ms FROM cues) SELECT media_id, pos, 'broken_timestamp' AS type, 'error' AS severity, start_ms || '-' || end_ms AS detail FROM b WHERE start_ms >= end_ms")
 def broken_time(spark: SparkSession, d: str) -> DataFrame:
     rows = cues(spark, d).withColumn("end_ms", F.when(F.col("pos") % 7 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))

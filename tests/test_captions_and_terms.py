@@ -109,3 +109,32 @@ def test_times_where_another_frame_helps(spark):
     frames = [(1, 1, 0, 0, "a", "x", None, None), (1, 1, 1, 600, "b", "x", None, None), (1, 1, 2, 900, "c", "x", None, None), (1, 1, 3, 2000, "C!", "x", None, None), (1, 2, 4, 3000, "d", None, None, None), (1, 2, 5, 4001, None, None, None, None)]
     got = burned.refinements(spark.createDataFrame(frames, FRAMES)).collect()
     assert sorted((r.cue, r.at_ms) for r in got) == [(1, 300), (2, 3500)]
+
+
+# the second review strategy
+
+
+def test_forms_of_terms_are_clustered(spark):
+    from cuelake.plans import strategy
+
+    rows = [
+        (1, "ann", "Ann", "Anna", "person", "low", [1, 2, 3]), (1, "ann", "ann", "Anne", "person", "high", [9]), (1, "annie", "Annie", "Anne", "person", "medium", [9, 10]), (1, "bob", "Bob", "Bob", "person", "high", [4]),
+        (1, "rob", "Rob", "Bob", "person", "high", [5]), (2, "ann", "Ann", "Ana", "person", "high", [1]),
+    ]
+    terms = spark.createDataFrame(rows, "media_id long, low string, source string, target string, type string, confidence string, evidence array<long>")
+    got = strategy.clustered(terms).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.media_id, r.cluster), set()).add((r.low, r.target, r.canonical))
+    assert sorted(map(sorted, by.values())) == [
+        [("ann", "Ana", "Ana")], [("ann", "Anna", "Anne"), ("ann", "Anne", "Anne"), ("annie", "Anne", "Anne")], [("bob", "Bob", "Bob")], [("rob", "Bob", "Bob")],
+    ]
+    assert strategy.clustered(terms.limit(0)).count() == 0
+
+
+def test_windows_share_a_budget(spark):
+    from cuelake.plans import strategy
+
+    rows = [(1, 1, 3, 1), (1, 5, 6, 0), (1, 9, 9, 0), (1, 12, 20, 1), (2, 1, 9, 0)]
+    got = strategy.within_budget(spark.createDataFrame(rows, "media_id long, first_pos long, last_pos long, priority int"), 6).collect()
+    assert {(r.media_id, r.first_pos): r.taken for r in got} == {(1, 5): True, (1, 9): True, (1, 1): True, (1, 12): False, (2, 1): False}
