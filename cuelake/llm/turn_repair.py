@@ -5,7 +5,7 @@ repeated turns), and empty ones inserted anywhere (I, 3); a truncated turn that
 cheapest edits are sought that leave role initials ``(s?(ua)+)?``, of equally cheap
 ones those whose initials, in order, are ASCII-least.
 
-1. Rows that are equal become one with a count, so that no row repeats by the million.
+1. Rows that are equal become one with a count, so that no row repeats by the million; they are found by hashes, without their texts.
 2. Rows are range-sorted by (conversation, turn, role, text): a long conversation is spread over many tasks.
 3. Each task folds its rows to *pieces* of at most ``PIECE`` rows or ``PIECE_CHARS`` code points of a conversation. A turn is a
    4x4 matrix: entry (i, j) is the cheapest (cost, edits) that leads from state i to
@@ -13,7 +13,7 @@ ones those whose initials, in order, are ASCII-least.
 4. Products are associative, so pieces are multiplied ``FAN`` at a time, level by level, until one matrix is left of each conversation.
    The cheapest entry from the start to an accepting state, with insertions after the last turn, is the answer.
 5. The edits are cut along the pieces again, each piece writes its repaired texts, and the
-   hash runs over these in order, a piece at a time.
+   hash runs over these in order, a piece at a time; a conversation of one piece is hashed in place.
 
 (cost, edits) with the lesser of pairs as sum and (addition, joining) as product is a semiring here: joining keeps the
 order, since of two lists of edits of one cost neither begins with the other (all have a letter other than I for
@@ -39,9 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from cuelake.llm.common import BATCH, arrow_task, materialize
+from cuelake.llm.common import BATCH, BROADCAST_KEYS, arrow_task, materialize
 
 PIECE, PIECE_CHARS, FAN = 1024, 1 << 20, 64
+#: Edits of all pieces (a byte each) that are sent to all tasks; more are joined by shuffle.
+SENT_EDITS = 64 << 20
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 NAMES = {"u": "user", "a": "assistant"}
 BLANK = r"[\x20\x09-\x0D]"
@@ -134,15 +136,28 @@ def damaged(rows: DataFrame) -> DataFrame:
     )
 
 
+def _sent(rows: DataFrame, name: str) -> DataFrame:
+    """rows without texts, written; sent to all tasks while they are few, joined by shuffle beyond."""
+    rows = materialize(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+
 def _ordered(rows: DataFrame) -> DataFrame:
-    """rows (conv_id, turn, role, text, n), equal ones as one, with again (a row before has its role and text)."""
-    equal = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n")).withColumn("said", F.md5(F.concat("role", F.lit("\n"), "text")))
-    equal = materialize(equal, "turn-rows")
+    """rows (conv_id, turn, role, text, n), equal ones as one, with again (a row before has its role and text). Both are found by 128-bit hashes; texts are only
+    shuffled of rows that there are several of."""
+    keyed = rows.withColumn("said", F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"))))
+    stats = materialize(keyed.groupBy("conv_id", "turn", "said").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "turn-said")
     # of what is said on several turns, the first one; nulls are before all others
-    said = equal.groupBy("conv_id", "said").agg(F.min("turn").alias("first"), F.max(F.col("turn").isNull()).alias("early"), F.count("*").alias("k")).where("k > 1")
-    said = said.select(F.col("conv_id").alias("c"), F.col("said").alias("s"), F.when(~F.col("early"), F.col("first")).alias("first"))
-    joined = equal.join(said, equal["conv_id"].eqNullSafe(said["c"]) & (equal["said"] == said["s"]), "left")
-    return joined.select("conv_id", "turn", "role", "text", "n", (F.col("s").isNotNull() & ~F.col("turn").eqNullSafe(F.col("first"))).alias("again"))
+    first = stats.groupBy("conv_id", "said").agg(F.min("turn").alias("first"), F.max(F.col("turn").isNull()).alias("early"), F.count("*").alias("k")).where("k > 1")
+    first = _sent(first.select(F.col("conv_id").alias("c"), F.col("said").alias("s"), F.when(~F.col("early"), F.col("first")).alias("first")), "turn-first")
+    joined = keyed.join(first, keyed["conv_id"].eqNullSafe(first["c"]) & (keyed["said"] == first["s"]), "left")
+    joined = joined.select("conv_id", "turn", "role", "text", "n", "said", (F.col("s").isNotNull() & ~F.col("turn").eqNullSafe(F.col("first"))).alias("again"))
+    several = _sent(stats.where("rows > 1").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("said").alias("s"), F.col("n").alias("all")), "turn-several")
+    if several.isEmpty():
+        return joined.drop("said")
+    same = joined["conv_id"].eqNullSafe(several["c"]) & joined["turn"].eqNullSafe(several["t"]) & (joined["said"] == several["s"])
+    once = joined.join(several, same).withColumn("n", F.col("all")).select(*joined.columns).dropDuplicates(["conv_id", "turn", "said"])
+    return joined.join(several, same, "left_anti").unionByName(once).drop("said")
 
 
 #: What the pieces of a conversation, or several of them joined, are known by.
@@ -306,6 +321,9 @@ def repaired_turns(roles: list[str], texts: list[str], times: list[int], edits:
         done += 1
 
 
+_REPAIRED = ("roles", "texts", "times", "edits", "done", "system")
+
+
 def _texts(pieces: DataFrame) -> DataFrame:
     """conv_id, part, piece, lines (repaired role:text, newline-joined) of pieces with edits, done, system."""
     id_type = pieces.schema["conv_id"].dataType.simpleString()
@@ -313,7 +331,7 @@ def _texts(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("roles", "texts", "times", "edits", "done", "system")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in _REPAIRED), strict=True):
                 found = [f"{r}:{t}" for r, t in repaired_turns(*row)]
                 lines.append("\n".join(found) if found else None)
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), batch.column("piece"), pa.array(lines, pa.string())], names=["conv_id", "part", "piece", "lines"])
@@ -321,10 +339,16 @@ def _texts(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(arrow_task(run), f"conv_id {id_type}, part int, piece int, lines string")
 
 
-def _hashes(lines: DataFrame) -> DataFrame:
-    """conv_id, repaired_sha256: the pieces of a conversation in order, one at a time."""
-    id_type = lines.schema["conv_id"].dataType.simpleString()
-    sorted_ = lines.where("lines is not null").repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
+def _hashes(pieces: DataFrame) -> DataFrame:
+    """c (conv_id), repaired_sha256 of pieces with edits, done, system, alone (the only one of its conversation). What is in one piece is hashed where it is; of the
+    others, the repaired texts run through the hash in order, one piece at a time."""
+    id_type = pieces.schema["conv_id"].dataType.simpleString()
+    schema = f"c {id_type}, repaired_sha256 string"
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [hashlib.sha256("\n".join(f"{r}:{t}" for r, t in repaired_turns(*row)).encode()).hexdigest() for row in zip(*(batch.column(c).to_pylist() for c in _REPAIRED), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(made, pa.string())], names=["c", "repaired_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = None
@@ -350,13 +374,15 @@ def _hashes(lines: DataFrame) -> DataFrame:
         if out:
             yield made()
 
-    return sorted_.mapInArrow(arrow_task(run), f"c {id_type}, repaired_sha256 string")
+    lines = _texts(pieces.where("not alone").drop("alone")).where("lines is not null")
+    several = lines.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece").mapInArrow(arrow_task(run), schema)
+    return pieces.where("alone").select("conv_id", *_REPAIRED).mapInArrow(arrow_task(alone), schema).unionByName(several)
 
 
 def repair(rows: DataFrame, piece: int = PIECE, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """Of conversations (conv_id, turn, role, text, n times): one row per conversation with its faults, cost, audit;
-    and conv_id, part, piece, lines: the repaired turns by piece."""
-    pieces = materialize(_pieces(materialize(_ordered(rows), "turn-ordered"), piece), "turn-pieces")
+    """Of conversations (conv_id, turn, role, text, n times): one row per conversation with its faults, cost, audit; and its pieces (conv_id, part, piece, roles, texts, times of each
+    row) with what repairs them: edits, done (turns before), system, alone (the only piece). ``repaired_turns`` gives a piece's turns."""
+    pieces = materialize(_pieces(_ordered(rows), piece), "turn-pieces")
     # a piece's number in its conversation: those of other parts before it, and those before it in its own part
     spread = pieces.groupBy("conv_id", "part").agg(F.min("piece").alias("least"), F.count("*").alias("of"))
     of_one = Window.partitionBy("conv_id")
@@ -368,11 +394,13 @@ def repair(rows: DataFrame, piece: int = PIECE, fan: int = FAN) -> tuple[DataFra
 
     listed = pieces.groupBy(F.col("conv_id").alias("c")).agg(F.collect_list(F.struct("part", "piece", "rows")).alias("listed"))
     cut = found.join(listed, found["conv_id"].eqNullSafe(listed["c"])).select(
-        "c", (F.length(F.replace("audit", F.lit("D"), F.lit(""))) % 2).alias("odd"), F.explode(_slices("audit", "listed")).alias("s")
+        "c", (F.length(F.replace("audit", F.lit("D"), F.lit(""))) % 2 == 1).alias("system"), (F.size("listed") == 1).alias("alone"), F.explode(_slices("audit", "listed")).alias("s")
     )
-    cut = cut.select("c", (F.col("odd") == 1).alias("system"), F.col("s.part").alias("p"), F.col("s.piece").alias("q"), "s.done", "s.edits")
+    cut = materialize(cut.select("c", "system", "alone", F.col("s.part").alias("p"), F.col("s.piece").alias("q"), "s.done", "s.edits"), "turn-edits")
+    size = cut.agg(F.count("*"), F.sum(F.length("edits"))).first()
+    cut = F.broadcast(cut) if size[0] <= BROADCAST_KEYS and (size[1] or 0) <= SENT_EDITS else cut
     with_edits = pieces.drop("edits").join(cut, pieces["conv_id"].eqNullSafe(cut["c"]) & (pieces["part"] == cut["p"]) & (pieces["piece"] == cut["q"]))
-    return found, _texts(with_edits.select("conv_id", "part", "piece", "roles", "texts", "times", "edits", "done", "system"))
+    return found, with_edits.select("conv_id", "part", "piece", *_REPAIRED, "alone")
 
 
 def _or_none(name: str) -> Column:
@@ -381,11 +409,11 @@ def _or_none(name: str) -> Column:
 
 def repair_report(conversations: DataFrame, piece: int = PIECE, fan: int = FAN) -> DataFrame:
     """One row per conversation of conversations (conv_id, turn, role, text), damaged first: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
-    found, lines = repair(damaged(conversations.select("conv_id", "turn", "role", "text")), piece, fan)
+    found, pieces = repair(damaged(conversations.select("conv_id", "turn", "role", "text")), piece, fan)
     gaps = F.coalesce(F.col("most_turn") - F.col("least_turn") + 1 - F.col("turns"), F.lit(0).cast("long"))
     found = found.select(F.col("conv_id").alias("f"), gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     ids = conversations.groupBy("conv_id").agg(F.lit(1).alias("_"))
-    hashes = _hashes(lines)
+    hashes = _hashes(pieces)
     out = ids.join(found, ids["conv_id"].eqNullSafe(found["f"]), "left").join(hashes, ids["conv_id"].eqNullSafe(hashes["c"]), "left")
     empty = hashlib.sha256().hexdigest()
     return out.select(

@@ -178,8 +178,9 @@ def some_turns(rng, conv, n):
     return [(conv, rng.choice([t, t, t, None, rng.randrange(n)]), rng.choice(["user", "assistant", "system", "tool", "user", "assistant", None, "", "User"]), rng.choice(texts) if rng.random() < 0.5 else f"t{t}.") for t in range(n)]
 
 
-@pytest.mark.parametrize("piece,fan", [(turn_repair.PIECE, turn_repair.FAN), (3, 2)])
-def test_repairs_agree_with_brute_force(spark, piece, fan):
+@pytest.mark.parametrize("piece,fan,sent", [(turn_repair.PIECE, turn_repair.FAN, turn_repair.BROADCAST_KEYS), (3, 2, 0)])
+def test_repairs_agree_with_brute_force(spark, monkeypatch, piece, fan, sent):
+    monkeypatch.setattr(turn_repair, "BROADCAST_KEYS", sent)
     rng = random.Random(12)
     rows = [r for conv in range(150) for r in some_turns(rng, conv if conv else None, rng.choice([1, 2, 3, 5, 8, 30]))]
     rows += [(500, k, "user" if k % 2 else "assistant", f"{k}.") for k in range(400)]  # one long conversation
