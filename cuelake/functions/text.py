@@ -155,11 +155,16 @@ def distinct_terms(text: Column, limit: int = 512) -> Column:
 
 def repeated_phrase(text: Column) -> Column:
     """A phrase of three to five words comes twice in a row."""
-    w = F.filter(F.split(fold(text), r"\s+"), lambda x: x != "")
-    def at(n: int) -> Column:
-        places = F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.exists(places, lambda i: F.slice(w, i, F.lit(n)) == F.slice(w, i + n, F.lit(n)))
-    return at(3) | at(4) | at(5)
+    words = F.filter(F.split(fold(text), r"\s+"), lambda x: x != "")
+
+    def at(w: Column, n: int) -> Column:
+        # n words in a row that are each the same as the n-th after them
+        size = F.size(w)
+        same = F.zip_with(F.slice(w, F.lit(1), F.greatest(size - n, F.lit(0))), F.slice(w, F.lit(n + 1), F.greatest(size - n, F.lit(0))), lambda x, y: x == y)
+        return F.aggregate(same, F.lit(0), lambda run, x: F.when(run == n, n).when(x, run + 1).otherwise(0)) == n
+
+    # the words are made once, as the element of an array
+    return F.coalesce(F.exists(F.array(words), lambda w: at(w, 3) | at(w, 4) | at(w, 5)), F.lit(False))
 
 
 def _wrapped(text: str | None, width: int) -> str | None:
