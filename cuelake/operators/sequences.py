@@ -8,12 +8,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.functions.similarity import likeness
 from cuelake.sources.files import kept
 
 
@@ -162,7 +162,7 @@ def fold(rows: DataFrame, step: Callable[[list[dict], dict], None], group: str =
 
 def _ratio(a: str, b: str) -> float:
     plain = ["".join(c for c in x.lower() if c.isalnum()) for x in (a or "", b or "")]
-    return SequenceMatcher(None, *plain, autojunk=False).ratio() if all(plain) else 0.0
+    return likeness(*plain) if all(plain) else 0.0
 
 
 def drop_boundary_duplicates(rows: DataFrame, similarity: float = 0.9, slack_ms: int = 250, group: str = "media_id") -> DataFrame:

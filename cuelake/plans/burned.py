@@ -6,12 +6,12 @@ null or empty: nothing), source_box and target_box (struct left, top, width, hei
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.functions.similarity import alike
 from cuelake.operators import evidence as E
 from cuelake.operators.metrics import consensus, plain_caption
 from cuelake.sources.files import kept
@@ -30,7 +30,7 @@ def pieces(cues: DataFrame, frames: DataFrame, group: str = "media_id") -> DataF
 
 
 def _alike(a: str, b: str) -> bool:
-    return bool(a) and bool(b) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= LIKE
+    return bool(a) and bool(b) and alike(a, b, LIKE)
 
 
 def captions_of(rows: DataFrame, group: str = "media_id") -> DataFrame:
@@ -47,7 +47,7 @@ def captions_of(rows: DataFrame, group: str = "media_id") -> DataFrame:
             for g, s, t in pdf[[group, "_s", "_t"]].itertuples(index=False):
                 if g != now:
                     now, source, target, caption = g, s, t, 0
-                elif (s, t) != (source, target) and not (_alike(source, s) and _alike(target, t)):
+                elif (s, t) != (source, target) and not (_alike(target, t) and _alike(source, s)):
                     source, target, caption = s, t, caption + 1
                 out.append(caption)
             yield pdf.drop(columns=["_s", "_t"]).assign(caption=out)
