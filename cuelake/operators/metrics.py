@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from cuelake.functions import similarity as S
 from cuelake.functions import text as T
@@ -168,7 +169,6 @@ def medoid(texts: list[str], weights: list[int], first: list[int]) -> tuple[int,
         return w * np.where(both > 0, 2.0 * np.minimum(counts, counts[k]).sum(1) / np.maximum(both, 1), 0.0)
 
     reach = np.array([most(k).sum() for k in range(len(texts))])
-    matchers: dict[int, SequenceMatcher] = {}
     best, compared = None, 0
     for k in np.argsort(-reach, kind="stable").tolist():
         if best and reach[k] < best[0][0] - 1e-8:
@@ -177,11 +177,8 @@ def medoid(texts: list[str], weights: list[int], first: list[int]) -> tuple[int,
         for j in np.argsort(-bounds, kind="stable").tolist():
             if j == k or not bounds[j]:
                 continue  # alike as can be, or not at all
-            if j not in matchers:
-                matchers[j] = SequenceMatcher(None, "", texts[j], autojunk=False)
-            matchers[j].set_seq1(texts[k])
             compared += 1
-            left -= bounds[j] - weights[j] * matchers[j].ratio()
+            left -= bounds[j] - weights[j] * S.likeness(texts[k], texts[j])
             if best and left < best[0][0] - 1e-8:
                 break
         else:
@@ -192,16 +189,33 @@ def medoid(texts: list[str], weights: list[int], first: list[int]) -> tuple[int,
 
 
 def _medoids(each: DataFrame, group: list[str]) -> DataFrame:
-    """group, first, plain, total of each group's medoid; a group is of one task."""
-    keys = ", ".join(f"`{g}` {each.schema[g].dataType.simpleString()}" for g in group)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        at, total, _ = medoid(rows["plain"].tolist(), rows["w"].tolist(), rows["pos"].tolist())
-        return pd.DataFrame([(*key, rows["pos"].iloc[at], rows["text"].iloc[at], rows["plain"].iloc[at], total)], columns=[*group, "pos", "text", "plain", "total"])
-
+    """group, pos, text, plain, total of each group's medoid; groups come one after the other, and one is held at a time."""
     flat = each.select(*group, "plain", "w", F.col("first.pos").alias("pos"), F.col("first.text").alias("text"))
-    return flat.groupBy(*group).applyInPandas(run, f"{keys}, pos long, text string, plain string, total double")
+    kind = StructType([*[each.schema[g] for g in group], StructField("pos", LongType()), StructField("text", StringType()), StructField("plain", StringType()), StructField("total", DoubleType())])
+
+    def best(key: tuple, rows: list[tuple]) -> tuple:
+        plain, weights, places, texts = zip(*rows, strict=True)
+        at, total, _ = medoid(list(plain), list(weights), list(places)) if len(rows) > 1 else (0, float(weights[0] if plain[0] else 0), 0)
+        return (*key, places[at], texts[at], plain[at], total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, kinds = None, [], None
+        listed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=kind.names)
+        for batch in batches:
+            out = []
+            kinds = [*[f.type for f in list(batch.schema)[: len(group)]], pa.int64(), pa.string(), pa.string(), pa.float64()]
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and row[: len(group)] != key:
+                    out.append(best(key, held))
+                    held = []
+                key = row[: len(group)]
+                held.append(row[len(group) :])
+            if out:
+                yield listed(out)
+        if held:
+            yield listed([best(key, held)])
+
+    return flat.repartition(*group).sortWithinPartitions(*group, "pos", "plain").mapInArrow(run, kind)
 
 
 def consensus(rows: DataFrame, group: list[str], block: int = 64, whole: int = 2048) -> DataFrame:
