@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.sources.files import kept
@@ -23,6 +23,14 @@ def addressed(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
 
 
+def numbered(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """addressed, with row_index counted through all files in the order of their names."""
+    rows = addressed(spark, path, columns)
+    files = addressed(spark, path, []).groupBy("file").agg(F.count("*").alias("n"))  # a row for each file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(files.select("file", before.alias("_before"))), "file").withColumn("row_index", F.col("row_index") + F.col("_before")).drop("_before")
+
+
 def _ranges(chosen: DataFrame, key: str, most: int) -> list[tuple]:
     """(least, most) of the key in runs of chosen rows: cut at the widest gaps between ``8 * most`` buckets of it."""
     ends = chosen.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
