@@ -91,7 +91,7 @@ _schema("n12_semantic_review", lambda text, allowed: S.semantic_review(text, F.s
     ({"items": [{"id": ID, "issues": []}]}, None, f"{ID}:0"),
     (_both, "id", None),
     ({"items": []}, "ids", None),
-    ({"items": [{"id": 5000000, "issues": []}]}, "ids", None),
+    ({"items": [{"id": -5000000, "issues": []}]}, "ids", None),
     ({"items": [{"id": ID, "issues": [_issue | {"type": "style"}]}]}, "type", None),
     ({"items": [{"id": ID, "issues": [_issue | {"severity": "minor"}]}]}, "severity", None),
     ({"items": [{"id": ID, "issues": [_issue | {"confidence": ""}]}]}, "confidence", None),
@@ -134,7 +134,7 @@ _added = {"id": ID, "type": "added", "confidence": "medium", "detail": "d"}
 _schema("n17_review", S.review, [
     ({"issues": [_added], "terms": [_work]}, None, f"{ID}:added|Ode=Ode"),
     ({}, None, ""),
-    ({"issues": [_added | {"id": 3000000}]}, "id", None),
+    ({"issues": [_added | {"id": -3000000}]}, "id", None),
     ({"issues": [_added | {"type": "severe"}]}, "type", None),
     ({"issues": [_added | {"detail": None}]}, "detail", None),
     ({"issues": [_added | {"confidence": 0.9}]}, "confidence", None),
