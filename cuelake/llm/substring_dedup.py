@@ -20,7 +20,8 @@ document with a smaller id. All windows are judged on the input.
 
 An automaton is not sent to all tasks: that would stream the whole corpus through
 every shard. It stays where the pieces that can match it are. What is sent
-to tasks are lists of places of at most ``BROADCAST_KEYS`` documents; longer ones are joined by shuffle.
+to tasks are lists of ``BROADCAST_PLACES`` places at most; longer ones are joined by shuffle,
+before which the nodes alone (``BROADCAST_KEYS`` at most) say which texts have a place.
 
 Null texts have no words. Documents without an id lose nothing and nothing is lost
 for them. Rows that repeat an id do not see each other; rows equal in id and text get
@@ -54,6 +55,8 @@ LONGEST = 64
 SHARD_WORDS = 100_000
 #: Distinct pieces of a key that go to a shard at most.
 HOT = 1000
+#: Places (of some 60 bytes) that are sent to tasks at most; the driver holds them too.
+BROADCAST_PLACES = 20_000
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -130,9 +133,17 @@ def _marks(docs: DataFrame, n: int) -> DataFrame:
     return long_enough.mapInArrow(arrow_task(run), f"key long, piece long, doc_id {id_type}, node long, start int, size int")
 
 
-def _by_node(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """docs joined with a list of places for each node: sent to all tasks while short, else by shuffle."""
-    return docs.join(F.broadcast(places) if places.count() <= BROADCAST_KEYS else places, "node", how)
+def _by_node(docs: DataFrame, places: DataFrame, listed: str, how: str) -> DataFrame:
+    """docs joined (inner or left) with a list of places for each node: sent to all tasks while there are few places in all, else by shuffle. Then only
+    nodes are sent, so that texts without a place are not shuffled; beyond BROADCAST_KEYS nodes all are."""
+    size = places.agg(F.count("*").alias("nodes"), F.sum(F.size(listed)).alias("places")).first()
+    if (size["places"] or 0) <= BROADCAST_PLACES:
+        return docs.join(F.broadcast(places), "node", how)
+    if size["nodes"] > BROADCAST_KEYS:
+        return docs.join(places.hint("merge"), "node", how)
+    nodes = F.broadcast(places.select("node"))
+    found = docs.join(nodes, "node", "left_semi").join(places.hint("merge"), "node")
+    return found.unionByName(docs.join(nodes, "node", "left_anti"), allowMissingColumns=True) if how == "left" else found
 
 
 def _contents(docs: DataFrame, n: int, hot: int) -> DataFrame:
@@ -258,7 +269,7 @@ def find_repeats(docs: DataFrame, n: int = N, shard_words: int = SHARD_WORDS, ho
     place = F.struct("key", "piece", "start", "size", "n")
     firsts = repeated.where("n > 1 and doc_id = first").groupBy("key", "piece", "n").agg(F.min(F.struct("node", "start", "size")).alias("f")).select("key", "piece", "n", "f.*")
     firsts = materialize(firsts.groupBy("node").agg(F.collect_list(place).alias("_places")), "passage-places")
-    contents = materialize(_contents(_by_node(docs.select("doc_id", "text", "node"), firsts, "inner"), n, hot), "passage-contents")
+    contents = materialize(_contents(_by_node(docs.select("doc_id", "text", "node"), firsts, "_places", "inner"), n, hot), "passage-contents")
 
     cold = contents.where("content is not null").select("key", "piece", "doc_id", "content")
     total = cold.agg(F.sum(F.length("content") / 8)).first()[0] or 0
@@ -273,7 +284,7 @@ def find_repeats(docs: DataFrame, n: int = N, shard_words: int = SHARD_WORDS, ho
     whole = repeated.where("doc_id > first").select("node", "start", (F.col("start") + F.col("size") + (n - 1)).alias("end"))
     part = repeated.where("n > 1 and doc_id = first").join(gone, ["key", "piece"]).select("node", (F.col("start") + F.col("from")).alias("start"), (F.col("start") + F.col("to") + (n - 1)).alias("end"))
     spans = whole.unionByName(part).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    return _by_node(docs, materialize(spans, "passage-spans"), "left").drop("node")
+    return _by_node(docs, materialize(spans, "passage-spans"), "_spans", "left").drop("node")
 
 
 def _left(text: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
