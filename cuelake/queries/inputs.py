@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import uuid
 import wave
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from cuelake.bridge import table
 from cuelake.functions import text as T
@@ -47,26 +47,34 @@ def tables(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-@F.pandas_udf(BinaryType())
-def tone(seconds: pd.Series) -> pd.Series:
+def _tone(n: int) -> bytes:
     """A WAV file of so many seconds at a quarter of the full level."""
+    raw = io.BytesIO()
+    with wave.open(raw, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes((8192).to_bytes(2, "little", signed=True) * (4000 * n) + (-8192).to_bytes(2, "little", signed=True) * (4000 * n))
+    return raw.getvalue()
 
-    def one(n: int) -> bytes:
-        raw = io.BytesIO()
-        with wave.open(raw, "wb") as w:
-            w.setnchannels(1)
-            w.setsampwidth(2)
-            w.setframerate(8000)
-            w.writeframes((8192).to_bytes(2, "little", signed=True) * (4000 * n) + (-8192).to_bytes(2, "little", signed=True) * (4000 * n))
-        return raw.getvalue()
 
-    return seconds.map(one)
+def tones(rows: DataFrame) -> DataFrame:
+    """rows (archive, member, seconds) with content, a tone, instead of seconds; a few at a time, whatever the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, files.CONTENTS):
+                some = batch.slice(at, files.CONTENTS)
+                content = pa.array([_tone(n) for n in some.column("seconds").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("archive"), some.column("member"), content], names=["archive", "member", "content"])
+
+    return rows.select("archive", "member", "seconds").mapInArrow(run, "archive string, member string, content binary")
 
 
 def clip_archives(spark: SparkSession, d: str) -> str:
     """A folder with an archive for each nation, with a clip and a text for each of its suppliers."""
     rows = table(spark, d, "supplier").select(F.concat(F.lit("a"), F.col("s_nationkey").cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("set/"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string")).alias("stem"), (F.col("s_suppkey") % 7 + 1).cast("int").alias("seconds"), F.when(F.col("s_suppkey") % 4 == 0, " ").otherwise(F.col("s_name")).alias("text"))
-    sound = rows.select("archive", F.concat("stem", F.lit(".wav")).alias("member"), tone("seconds").alias("content"))
+    sound = tones(rows.withColumn("member", F.concat("stem", F.lit(".wav"))))
     name = F.when(F.col("seconds") % 2 == 1, F.concat(F.upper("stem"), F.lit(".TXT"))).otherwise(F.concat("stem", F.lit(".txt")))
     said = rows.select("archive", name.alias("member"), files.encoded("text", F.lit("utf-8-sig")).alias("content"))
     path = _folder(spark, "clips")

@@ -18,16 +18,19 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql.types import StructType
 
-from cuelake.sources.files import unsafe
+from cuelake.sources.files import CONTENTS, batches_of, unsafe
 
 SCHEMA = "archive string, member string, size long, content binary"
 #: Bytes of archives that a task reads, about.
 SPLIT_BYTES = 64 << 20
+#: What the reader hands over at a time, about.
+OUT_BYTES, OUT_ROWS = 4 << 20, 1000
 _KINDS = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")
 _TESTS: dict[type, Callable] = {
     ds.EqualTo: lambda x, v: x == v, ds.EqualNullSafe: lambda x, v: x == v, ds.In: lambda x, v: x in v,
@@ -42,6 +45,11 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"archive": pa.string(), "member": pa.string(), "size": pa.int64(), "content": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
 @dataclass
 class Range(ds.InputPartition):
     """Parts (archive, part, of so many) of archives that a task reads."""
@@ -104,7 +112,19 @@ class ArchiveReader(ds.DataSourceReader):
                     parts, held = [], 0
         return out + ([Range(parts)] if parts else []) or [Range([])]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        """Members in batches of OUT_BYTES of content or OUT_ROWS rows, about."""
+        held, size = [], 0
+        for row in self._members(partition):
+            held.append(row)
+            size += len(row[3] or b"")
+            if size >= OUT_BYTES or len(held) >= OUT_ROWS:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def _members(self, partition: Range) -> Iterator[tuple]:
         fs, root = _opened(self.path)
         for name, k, of, size in partition.parts:
             path = root if fs.get_file_info(root).type == pafs.FileType.File else f"{root}/{name}"
@@ -229,4 +249,5 @@ def read_archives(spark: SparkSession, path: str, suffix: str = "", content: boo
 def write_archives(rows: DataFrame, path: str, mode: str = "append") -> None:
     """rows (archive, member, content) to ZIP archives in a folder."""
     register(rows.sparkSession)
-    rows.select("archive", "member", "content").repartition("archive").sortWithinPartitions("archive", "member").write.format("archive").mode(mode).save(path)
+    with batches_of(rows.sparkSession, CONTENTS):
+        rows.select("archive", "member", "content").repartition("archive").sortWithinPartitions("archive", "member").write.format("archive").mode(mode).save(path)
