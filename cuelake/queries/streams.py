@@ -13,6 +13,8 @@ from cuelake.streaming import task_states as S
 
 #: Batches that the events arrive in, each a sixth of the time; the watermark is behind by 10 days of 30.
 BATCHES, LATE = 6, "10 days"
+#: Events in a file, about: a batch of the stream is as many files as a batch was written to, however many tasks the table is read by.
+FILE_ROWS = 250_000
 #: A task is stale after five hours of silence, and forgotten two days after its end.
 STALE, KEEP = 5 * 3600, 2 * 86_400
 
@@ -25,10 +27,11 @@ arrived AS (
 mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 DAY AS mark FROM events)"""
 
 
-def arriving(spark: SparkSession, d: str) -> str:
-    """A folder to which the events were written in batches, some of them late."""
+def arriving(spark: SparkSession, d: str) -> tuple[str, int]:
+    """A folder to which the events were written in batches, some of them late, and the files of a batch."""
     rows = stage_rows(spark, d)
-    last = rows.agg(F.max("event_id")).first()[0] or 0
+    size = rows.agg(F.max("event_id").alias("last"), F.count("*").alias("n")).first()
+    last, parts = size["last"] or 0, size["n"] // (BATCHES * FILE_ROWS) + 1
     sixth = F.floor(F.col("event_id") * BATCHES / (last + 1))
     batch = F.when((F.col("event_id") % 97 == 0) & (sixth == 0), BATCHES - 1).when(F.col("event_id") % 50 == 0, F.least(sixth + 1, F.lit(BATCHES - 1))).otherwise(sixth)
     rows = rows.select(
@@ -37,8 +40,8 @@ def arriving(spark: SparkSession, d: str) -> str:
     )
     path = _folder(spark, "events")
     for k in range(BATCHES):
-        E.write_events(rows.where(F.col("batch") == k).drop("batch"), path)
-    return path
+        E.write_events(rows.where(F.col("batch") == k).drop("batch").repartition(parts), path)
+    return path, parts
 
 
 def _ran(spark: SparkSession, made: DataFrame, schema: str) -> DataFrame:
@@ -58,12 +61,14 @@ t AS (
 SELECT *, CASE status WHEN 'failed' THEN 'retry' WHEN 'stale' THEN 'resume' WHEN 'completed' THEN 'none' ELSE 'wait' END AS recovery FROM t""")
 def transitions(spark: SparkSession, d: str) -> DataFrame:
     """Stages that tasks enter, and when they fall silent, with what to do."""
-    events = E.read_events(spark, arriving(spark, d), LATE, files_at_once=1)
+    path, parts = arriving(spark, d)
+    events = E.read_events(spark, path, LATE, parts)
     return _ran(spark, S.task_transitions(events, STALE, KEEP), "task_id string, from_stage string, stage string, status string, at timestamp, recovery string")
 
 
 @query("r01_k11_stream_counts", f"WITH {_ARRIVED} SELECT date_trunc('day', ts) AS window_start, stage, status, count(*) AS n, sum(value) AS seconds FROM arrived, mark WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events and seconds of the days that the watermark has passed."""
-    events = E.read_events(spark, arriving(spark, d), LATE, files_at_once=1)
+    path, parts = arriving(spark, d)
+    events = E.read_events(spark, path, LATE, parts)
     return _ran(spark, E.stage_counts(events, "1 day"), "window_start timestamp, stage string, status string, n long, seconds double")
