@@ -1,13 +1,14 @@
 """Operators over rows in order: sessions, batches, context, and folds.
 
 Windows are partitioned by the group and ordered by ``pos``. What depends on the result for the
-row before (folds) runs in ``applyInPandas``, an island of a group at a time: rows up to a gap that no fold goes over."""
+row before (folds) is streamed through Python in order, an island of a group after the other: rows up to a gap that no fold goes over."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -139,23 +140,48 @@ def speech_blocks(spans: DataFrame, target_ms: int = 45_000, most_ms: int = 60_0
     )
 
 
-def fold(rows: DataFrame, step: Callable[[list[dict], dict], None], group: str = "media_id", order: tuple[str, ...] = ("start_ms", "end_ms", "pos"), apart: int | None = None) -> DataFrame:
-    """A left fold of each group's rows in order: ``step(kept, row)`` changes
-    the list of rows kept so far. Columns stay; pos counts anew. A step that never joins a row to one
-    that ended more than ``apart`` ms before says so: the fold then runs on each island between such gaps alone."""
+#: Rows that a fold keeps of an island at least, before it hands them over.
+FOLDED = 10_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values(list(order)).to_dict("records"):
-            step(kept, row)
-        out = pd.DataFrame(kept, columns=pdf.columns)
-        out["pos"] = range(1, len(out) + 1)
-        return out
 
+def fold(rows: DataFrame, step: Callable[[list[dict], dict], None], group: str = "media_id", order: tuple[str, ...] = ("start_ms", "end_ms", "pos"), apart: int | None = None) -> DataFrame:
+    """A left fold of each group's rows in order: ``step(kept, row)`` changes the last
+    of the rows kept so far or adds one (of long islands, only the last rows kept are there). Columns stay; pos counts anew. A step that never joins a row to one
+    that ended more than ``apart`` ms before says so: the fold then runs on each island between such gaps alone. Tasks stream their islands in order, however many and long."""
+    cut = rows.withColumn("_island", F.lit(0).cast("long")) if apart is None else islands(rows, apart, group, order)
+    names = cut.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[dict] = []
+        kept: list[dict] = []
+        now, n = None, 0
+
+        def close(most: int) -> None:
+            nonlocal n
+            for row in kept[:most]:
+                n += 1
+                done.append(row | {"pos": n})
+            del kept[:most]
+
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                key = (row[group] if row[group] == row[group] else None, row["_island"])  # null may come as NaN
+                if key != now:
+                    close(len(kept))
+                    now, n = key, 0
+                step(kept, row)
+                if len(kept) > 2 * FOLDED:
+                    close(FOLDED)
+            if len(done) >= FOLDED:
+                yield pd.DataFrame(done, columns=names)
+                done.clear()
+        close(len(kept))
+        yield pd.DataFrame(done, columns=names)
+
+    dealt = cut.repartition(group, "_island").sortWithinPartitions(group, "_island", *[F.asc_nulls_last(c) for c in order])
+    made = dealt.mapInPandas(run, cut.schema)
     if apart is None:
-        return rows.groupBy(group).applyInPandas(run, rows.schema)
-    cut = islands(rows, apart, group, order)
-    made = cut.groupBy(group, "_island").applyInPandas(run, cut.schema)
+        return made.select(*rows.columns)
     pos = F.row_number().over(Window.partitionBy(group).orderBy("_island", "pos")).cast(rows.schema["pos"].dataType)
     return made.withColumn("pos", pos).select(*rows.columns)
 
@@ -230,72 +256,83 @@ LEAST_MS, TARGET_MS, MOST_MS, MOST_UNITS, MOST_RATE = 700, 4500, 6500, 44, 12
 SENTENCE_END, CLAUSE_END = r"[。！？!?.]\s*$", r"[，,;；:：]\s*$"
 
 
-def _units(text: str) -> int:
-    """Reading units in quarters: wide 4; letters and digits 2, and 2 more at a word's start; white space 0; anything else 1."""
-    units, inside = 0, False
-    for c in text:
-        if c.isspace():
-            inside = False
-        elif unicodedata.east_asian_width(c) in "WF":
-            units, inside = units + 4, False
-        elif c.isalnum():
-            units, inside = units + (2 if inside else 4), True
-        else:
-            units, inside = units + 1, False
-    return units
+@lru_cache(maxsize=1 << 16)
+def _kind(c: str) -> tuple[str, bool]:
+    """A character: blank, wide, word (a letter or digit) or other; and whether it is Latin or a digit."""
+    kind = "blank" if c.isspace() else "wide" if unicodedata.east_asian_width(c) in "WF" else "word" if c.isalnum() else "other"
+    return kind, c.isdigit() or "LATIN" in unicodedata.name(c, "")
 
 
-def _latin(c: str) -> bool:
-    return c.isdigit() or "LATIN" in unicodedata.name(c, "")
+def _units(text: str) -> int:
+    """Reading units in quarters: wide 4; letters and digits 2, and 2 more at a word's start; white space 0; anything else 1."""
+    kinds = [_kind(c)[0] for c in text]
+    return sum({"blank": 0, "wide": 4, "word": 2, "other": 1}[k] + 2 * (k == "word" != before) for before, k in zip(["", *kinds], kinds))
 
 
-def _joined(text: str, token: str) -> str:
-    """A token after a text: with a blank if the token begins with one or both sides are Latin, but not before closing marks."""
+@lru_cache(maxsize=1 << 16)
+def _token(token: str) -> tuple[str, int, bool, bool, bool, bool, bool, bool, bool, bool]:
+    """Of a token: its word; its units; whether it begins and ends with a letter or digit, begins with a blank, is a closing mark, begins and ends Latin, and ends a sentence or a clause."""
     word = token.strip()
-    gap = text and word and word[0] not in ",.;:!?)]}" and (token[0].isspace() or (_latin(text[-1]) and _latin(word[0])))
-    return text + (" " if gap else "") + word
+    (first, first_latin), (last, last_latin) = (_kind(word[0]), _kind(word[-1])) if word else (("", False), ("", False))
+    closing = word != "" and word[0] in ",.;:!?)]}"
+    return word, _units(word), first == "word", last == "word", token[0].isspace(), closing, first_latin, last_latin, bool(re.search(SENTENCE_END, token)), bool(re.search(CLAUSE_END, token))
 
 
 def resegment(words: DataFrame, pause_ms: int = 10_000, group: str = "media_id") -> DataFrame:
     """Timed words (pos, text, start_ms, end_ms) to cues (with n_words). A cue ends with the word that makes it MOST_MS long or MOST_UNITS of reading, or, once it is
     LEAST_MS long, that makes it read faster than MOST_RATE or ends a sentence, or ends a clause from TARGET_MS on. A
-    pause of ``pause_ms`` ends one too, so that a recording is folded an island at a time. Blank words go; words without a positive length say nothing of time."""
+    pause of ``pause_ms`` ends one too, so that a recording is folded an island at a time. Blank words go; words without a positive length say nothing of time.
+    A word comes after a blank if it begins with one or both sides are Latin, but not if it begins with a closing mark. Units and words of a cue are carried along, so that a word costs the same wherever it stands."""
 
     def step(kept: list[dict], row: dict) -> None:
         top = kept[-1]["_top"] if kept else row["start_ms"]
         last = kept[-1] if kept and not kept[-1]["_closed"] and row["start_ms"] - top < pause_ms else None
         timed, top = row["end_ms"] > row["start_ms"], max(top, row["end_ms"])
+        word, units, begins, goes_on, blank, closing, first_latin, last_latin, sentence, clause = _token(row["text"])
         if last is None:
             # a cue of one word closes with the next one at the earliest
-            kept.append(row | {"text": row["text"].strip(), "_closed": False, "n_words": 1, "_timed": timed, "_top": top})
+            kept.append(row | {"text": word, "_closed": False, "n_words": 1, "_timed": timed, "_top": top, "_units": units, "_inside": goes_on, "_latin": last_latin})
             return
-        joined = _joined(last["text"], row["text"])
+        if word:
+            text = last.pop("text")
+            gap = text and not closing and (blank or (last["_latin"] and first_latin))
+            last["_units"] += units - 2 * (last["_inside"] and begins and not gap)
+            text += " " + word if gap else word  # in place, as the row holds it no more
+            last["text"] = text
+            last["_inside"], last["_latin"] = goes_on, last_latin
         start = last["start_ms"] if last["_timed"] or not timed else row["start_ms"]
         end = row["end_ms"] if timed else last["end_ms"]
-        ms, units = max(1, end - start), _units(joined)
-        closed = (last["_timed"] or timed) and (
-            ms >= MOST_MS or units >= 4 * MOST_UNITS or (ms >= LEAST_MS and (units * 250 > MOST_RATE * ms or bool(re.search(SENTENCE_END, row["text"])))) or (ms >= TARGET_MS and bool(re.search(CLAUSE_END, row["text"])))
-        )
-        last |= {"text": joined, "start_ms": start, "end_ms": max(start + 1, end), "n_words": last["n_words"] + 1, "_timed": last["_timed"] or timed, "_closed": closed, "_top": top}
+        ms, n = max(1, end - start), last["_units"]
+        last["_timed"] = last["_timed"] or timed
+        last["_closed"] = last["_timed"] and (ms >= MOST_MS or n >= 4 * MOST_UNITS or (ms >= LEAST_MS and (n * 250 > MOST_RATE * ms or sentence)) or (ms >= TARGET_MS and clause))
+        last["start_ms"], last["end_ms"], last["_top"] = start, max(start + 1, end), top
+        last["n_words"] += 1
+
+    said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(group, "pos", "text", "start_ms", "end_ms", F.lit(0).alias("n_words"))
+    return fold(said, step, group, order=("pos",), apart=pause_ms - 1).select(group, "pos", "text", "start_ms", "end_ms", "n_words")
+
 
-    said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(group, "pos", "text", "start_ms", "end_ms")
-    rows = said.withColumns({"n_words": F.lit(0), "_closed": F.lit(False), "_timed": F.lit(False), "_top": F.lit(0).cast("long")})
-    return fold(rows, step, group, order=("pos",), apart=pause_ms - 1).select(group, "pos", "text", "start_ms", "end_ms", "n_words")
+#: Letters of a group that are hashed at once.
+PRINTED = 1024
 
 
 def _text_print(rows: DataFrame, name: str, group: str) -> DataFrame:
-    """group, ``name``: length and a fingerprint of all letters and digits in order, however cut; each letter is hashed with its place, so that no text of a group is put together."""
+    """group, ``name``: length and a fingerprint of all letters and digits in order, however cut: PRINTED of them at a time are put together and hashed with their place, never all of a group."""
     plain = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
-    placed = rows.select(group, "pos", plain.alias("p")).withColumn("_at", F.coalesce(F.sum(F.length("p")).over(_order(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    each = F.transform(F.filter(F.split("p", ""), lambda c: c != ""), lambda c, i: F.xxhash64(F.col("_at") + i, c))
-    one = F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    return placed.groupBy(group).agg(F.struct(F.sum(F.length("p")).alias("n"), F.bit_xor(one).alias("h")).alias(name))
+    at = F.coalesce(F.sum(F.length("p")).over(_order(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = rows.select(group, "pos", plain.alias("p")).withColumn("at", at).where("p <> ''").withColumn("n", F.length("p"))
+    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / PRINTED), F.floor((F.col("at") + F.col("n") - 1) / PRINTED))))
+    start, end = F.greatest("at", F.col("block") * PRINTED), F.least(F.col("at") + F.col("n"), (F.col("block") + 1) * PRINTED)
+    pieces = pieces.select(group, "block", start.alias("start"), F.substring("p", (start - F.col("at") + 1).cast("int"), (end - start).cast("int")).alias("piece"))
+    blocks = pieces.groupBy(group, "block").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["piece"]), "")
+    return blocks.groupBy(group).agg(F.struct(F.sum(F.length(text)).alias("n"), F.bit_xor(F.xxhash64("block", text)).alias("h")).alias(name))
 
 
 def resegmented(cues: DataFrame, words: DataFrame, pause_ms: int = 10_000, group: str = "media_id") -> DataFrame:
     """Cues made of their words (``resegment``), or the cues as they were where there are no timed words or the result does not hold: group, pos,
     text, start_ms, end_ms, fallback (null, or the first of no_word_timestamps, empty_resegment, invalid_timestamps, overlap, text_conservation_failed, word_conservation_failed)."""
-    made = resegment(words, pause_ms, group)
+    made = kept(resegment(words, pause_ms, group))  # read by each of the checks
     before = F.max("end_ms").over(_order(group).rowsBetween(Window.unboundedPreceding, -1))
     checked = made.withColumn("before", before).groupBy(group).agg(
         F.count_if((F.col("start_ms") < 0) | (F.col("end_ms") <= F.col("start_ms"))).alias("n_bad"), F.count_if(F.col("start_ms") < F.col("before")).alias("n_over"), F.sum("n_words").alias("n_made"), F.lit(True).alias("there"),

@@ -306,7 +306,9 @@ def resegment(spark: SparkSession, d: str) -> DataFrame:
     """Words get equal shares of their cue's time. Recordings whose cues overlap stay as they are."""
     rows = cues(spark, d)
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    made = rows.select("media_id", "start_ms", "end_ms", F.size(words).alias("n"), (F.col("pos") * 1_000_000).alias("base"), F.posexplode(words).alias("k", "word"))
+    # split and counted before they are dealt out: beside the generator, each word would split its whole text anew
+    split = rows.select("media_id", "start_ms", "end_ms", (F.col("pos") * 1_000_000).alias("base"), words.alias("words")).withColumn("n", F.size("words"))
+    made = split.select("media_id", "start_ms", "end_ms", "n", "base", F.posexplode("words").alias("k", "word"))
     step = F.greatest(F.lit(1).cast("long"), F.floor((F.col("end_ms") - F.col("start_ms")) / F.col("n")))
     tokens = made.select("media_id", (F.col("base") + F.col("k")).alias("pos"), F.concat(F.lit(" "), "word").alias("text"), (F.col("start_ms") + F.col("k") * step).alias("start_ms"), (F.col("start_ms") + (F.col("k") + 1) * step).alias("end_ms"))
     return W.resegmented(rows, tokens, pause_ms=10**12)
