@@ -128,8 +128,10 @@ def by_language(rows: DataFrame) -> DataFrame:
 
 def altered(before: DataFrame, after: DataFrame, fixed: list[str]) -> DataFrame:
     """Rows of fixed columns that only one side has, as often as it has more of them, with side (before or after): none if nothing was altered."""
-    a, b = before.select(*fixed), after.select(*fixed)
-    return a.exceptAll(b).withColumn("side", F.lit("before")).unionByName(b.exceptAll(a).withColumn("side", F.lit("after")))
+    both = before.select(*fixed, F.lit(1).alias("_n")).unionByName(after.select(*fixed, F.lit(-1).alias("_n")))
+    more = both.groupBy(*fixed).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    each = more.withColumns({"side": F.when(F.col("_n") > 0, "before").otherwise("after"), "_n": F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))})
+    return each.select(*fixed, "side")
 
 
 def translate(batches: DataFrame, translator: Callable[[], Callable[[list[str]], list[str]]], cache: DataFrame, retries: int = 2) -> DataFrame:
