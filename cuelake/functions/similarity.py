@@ -221,40 +221,65 @@ def text_budget(duration_ms: Column, per_second: int, most: int) -> Column:
     return F.least(F.lit(most).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(duration_ms * per_second / F.lit(1000))))
 
 
+#: Rows whose n-grams are counted together.
+GRAM_ROWS = 64
+
+
+def gram_hits(left: list, right: list, most: int) -> np.ndarray:
+    """For n from 1 to ``most`` and each row, how many n-grams (of a list's items or a text's characters) both sides have, as often as the rarer side has them.
+    All rows are counted by one sort for each n; grams are numbered anew before their numbers get too large, so that equal numbers mean equal grams."""
+    number: dict = {}
+    items = np.array([number.setdefault(x, len(number)) for row in (*left, *right) for x in row], np.int64)
+    sizes = np.array([len(row) for row in (*left, *right)], np.int64)
+    n_rows, kinds, hits = len(left), max(1, len(number)), np.zeros((most, len(left)), np.int64)
+    row = np.repeat(np.arange(2 * n_rows), sizes)
+    rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(items))  # items from here to the row's end
+    start, ids, high = np.arange(len(items)), (row % n_rows) * kinds + items if n_rows else items, n_rows * kinds
+    for n in range(1, most + 1):
+        if n > 1:
+            whole = rest[start] >= n
+            start, ids = start[whole], ids[whole]
+            if high * kinds >= 1 << 61:
+                found, ids = np.unique(ids, return_inverse=True)
+                high = len(found)
+            ids, high = ids * kinds + items[start + n - 1], high * kinds
+        if not len(ids):
+            break
+        # sorted by gram, and by row as the row comes first in a gram's number; the last bit is the side
+        keys = np.sort(ids * 2 + (row[start] >= n_rows))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 1 != keys[:-1] >> 1]))
+        ones = np.add.reduceat(keys & 1, first)
+        both = np.minimum(ones, np.diff(np.append(first, len(keys))) - ones)
+        hits[n - 1] = np.bincount(np.sort(row[start] % n_rows)[first], weights=both, minlength=n_rows).astype(np.int64)
+    return hits
+
+
 def bleu_chrf(rows: DataFrame, candidate: str = "candidate", reference: str = "reference") -> DataFrame:
     """rows with bleu (4-grams of words, brevity penalty, add-one smoothing
     above unigrams) and chrf (6-grams of characters, beta 2), each 0 to 100."""
 
-    def grams(x: list | str, n: int) -> dict:
-        out: dict = {}
-        for k in range(len(x) - n + 1):
-            g = tuple(x[k : k + n])
-            out[g] = out.get(g, 0) + 1
-        return out
-
-    def both(a: dict, b: dict) -> int:
-        return sum(min(v, b.get(k, 0)) for k, v in a.items())
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bleu, chrf = [], []
-            for c, r in zip(pdf[candidate].fillna(""), pdf[reference].fillna(""), strict=True):
-                cw, rw = c.split(), r.split()
-                logs = []
-                for n in range(1, 5):
-                    hit, total = both(grams(cw, n), grams(rw, n)), max(0, len(cw) - n + 1)
-                    logs.append(np.log((hit + (n > 1)) / (total + (n > 1))) if hit + (n > 1) > 0 and total + (n > 1) > 0 else -np.inf)
-                penalty = min(1.0, np.exp(1 - len(rw) / len(cw))) if cw else 0.0
-                bleu.append(100 * penalty * float(np.exp(np.mean(logs))))
-                cc, rc = c.replace(" ", ""), r.replace(" ", "")
-                scores = []
-                for n in range(1, 7):
-                    a, b = grams(cc, n), grams(rc, n)
-                    na, nb = sum(a.values()), sum(b.values())
-                    if na and nb:
-                        p, q = both(a, b) / na, both(a, b) / nb
-                        scores.append(5 * p * q / (4 * p + q) if p + q else 0.0)
-                chrf.append(100 * float(np.mean(scores)) if scores else 0.0)
+            for at in range(0, len(pdf), GRAM_ROWS):
+                cs, rs = (pdf[x].iloc[at : at + GRAM_ROWS].fillna("").tolist() for x in (candidate, reference))
+                cws, rws = [c.split() for c in cs], [r.split() for r in rs]
+                words, letters = gram_hits(cws, rws, 4), gram_hits(*([x.replace(" ", "") for x in xs] for xs in (cs, rs)), 6)
+                for i, (cw, rw) in enumerate(zip(cws, rws, strict=True)):
+                    logs = []
+                    for n in range(1, 5):
+                        hit, total = int(words[n - 1, i]), max(0, len(cw) - n + 1)
+                        logs.append(np.log((hit + (n > 1)) / (total + (n > 1))) if hit + (n > 1) > 0 and total + (n > 1) > 0 else -np.inf)
+                    penalty = min(1.0, np.exp(1 - len(rw) / len(cw))) if cw else 0.0
+                    bleu.append(100 * penalty * float(np.exp(np.mean(logs))))
+                    nc, nr = (len(x[i]) - x[i].count(" ") for x in (cs, rs))
+                    scores = []
+                    for n in range(1, 7):
+                        na, nb = max(0, nc - n + 1), max(0, nr - n + 1)
+                        if na and nb:
+                            p, q = int(letters[n - 1, i]) / na, int(letters[n - 1, i]) / nb
+                            scores.append(5 * p * q / (4 * p + q) if p + q else 0.0)
+                    chrf.append(100 * float(np.mean(scores)) if scores else 0.0)
             yield pdf.assign(bleu=bleu, chrf=chrf)
 
     return rows.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, bleu double, chrf double")
