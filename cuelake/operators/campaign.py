@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.operators import bootstrap as B
+from cuelake.sources.files import kept
 
 #: A hallucination has so many insertions and so many for each word; what a candidate must gain relative to the present
 #: profile; by how much no sample may lose; samples on which it must be no worse.
@@ -60,10 +61,12 @@ def compared(clips: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def intervals(clips: DataFrame, pairs: DataFrame, seed: str, resamples: int = 10_000) -> DataFrame:
     """left, right, mean_delta, low, high, right_won, left_won, ties, n: the paired bootstrap of each of a few pairs."""
-    rows, out = marked(clips), None
+    # clips are made once for all pairs, and units once for the counts and draws of each
+    figures = clips.select("profile", "sample", "clip", "substitutions", "insertions", "deletions", "words")
+    rows, out = kept(figures), None
     for p in pairs.select("left", "right").distinct().collect():  # pairs of profiles, a few
         of = lambda name: rows.where(F.col("profile") == name)
-        units = B.paired_units(of(p["left"]), of(p["right"]), ["sample", "clip"])
+        units = kept(B.paired_units(of(p["left"]), of(p["right"]), ["sample", "clip"]))
         made = B.paired_bootstrap(units, f"{seed}:{p['left']}:{p['right']}", resamples).select(F.lit(p["left"]).alias("left"), F.lit(p["right"]).alias("right"), "mean_delta", "low", "high", "right_won", "left_won", "ties", "n")
         out = made if out is None else out.unionByName(made)
     return out
