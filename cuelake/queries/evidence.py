@@ -10,6 +10,7 @@ from cuelake.operators import evidence as E
 from cuelake.operators import rules as R
 from cuelake.operators import sequences as W
 from cuelake.queries.registry import query
+from cuelake.sources.files import kept
 
 _WORD = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
@@ -27,7 +28,7 @@ def _edits(a: str, b: str) -> str:
 
 
 def tracks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = cues(spark, d)
+    rows = kept(cues(spark, d))  # all three tracks are made of it, many times over
     p, late = F.col("pos"), (F.col("media_id") % 3) * 400 + 900
     captions = rows.select("media_id", "pos", "start_ms", "end_ms", "text", (F.col("silence_milli") / 1000).alias("stability"), F.when(p % 3 != 0, F.expr("substr(text, 4)")).alias("target"))
     text = F.when(p % 7 == 0, F.left("text", F.lit(9))).when(p % 6 == 0, "?!").otherwise(F.col("text"))
