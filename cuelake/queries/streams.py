@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,18 +29,30 @@ mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 DAY AS mark FR
 
 
 def arriving(spark: SparkSession, d: str) -> tuple[str, int]:
-    """A folder to which the events were written in batches, some of them late, and the files of a batch."""
-    rows = stage_rows(spark, d)
-    size = rows.agg(F.max("event_id").alias("last"), F.count("*").alias("n")).first()
-    last, parts = size["last"] or 0, size["n"] // (BATCHES * FILE_ROWS) + 1
-    sixth = F.floor(F.col("event_id") * BATCHES / (last + 1))
-    batch = F.when((F.col("event_id") % 97 == 0) & (sixth == 0), BATCHES - 1).when(F.col("event_id") % 50 == 0, F.least(sixth + 1, F.lit(BATCHES - 1))).otherwise(sixth)
+    """A folder to which the events were written in batches, some of them late, and the files of a batch.
+
+    Batches go by the events' time, whatever order their ids have. What is to be too late must come when the watermark has passed it, and its
+    day, for sure: with the last batch, or two batches later, where ids and times are in another order. Spark takes as late what the batch before had passed."""
+    rows = stage_rows(spark, d).where("event_id IS NOT NULL AND timestamp IS NOT NULL").withColumn("at", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    size = rows.agg(F.max("event_id").alias("last"), F.count("*").alias("n"), F.max("at").alias("end")).first()
+    last, end, parts = size["last"] or 0, size["end"] or 0, size["n"] // (BATCHES * FILE_ROWS) + 1
+    behind = int(pd.Timedelta(LATE).total_seconds()) * 1_000_000
+    at, slow = F.col("at"), F.col("event_id") % 50 == 0
+    too_late = F.expr(f"event_id % 97 = 0 AND event_id * {BATCHES} div {last + 1} = 0") & (at <= end // 1000 * 1000 - behind)
+    found = rows.agg(F.percentile_approx(F.when(~too_late & ~slow, at), [k / BATCHES for k in range(1, BATCHES)]).alias("bounds"), F.max(F.when(too_late, at)).alias("latest")).first()
+    bounds, latest = found["bounds"] or [], found["latest"]
+    # the fourth bound is the time of an event of the first four batches, and so the fifth has its watermark; windows that end a day after a time before it are over
+    passed = bounds[BATCHES - 3] // 1000 * 1000 - behind - 86_400_000_000 if bounds else 0
+    more = latest is not None and latest > passed
+    sixth = sum(((at > b).cast("int") for b in bounds), F.lit(0))
+    slowly = F.when(at < end, sixth + 1).otherwise(sixth) if more else F.least(sixth + 1, F.lit(BATCHES - 1))
+    batch = F.when(too_late, F.when(at <= passed, BATCHES - 1).otherwise(BATCHES + 1)).when(slow, slowly).otherwise(sixth)
     rows = rows.select(
         F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("event_id").cast("string").alias("run_id"), "task_id", "stage", F.lit("stage").alias("event"), "status", "duration_seconds",
         F.lit("ok").alias("summary"), batch.alias("batch"),
     )
     path = _folder(spark, "events")
-    for k in range(BATCHES):
+    for k in range(BATCHES + 2 * more):
         E.write_events(rows.where(F.col("batch") == k).drop("batch").repartition(parts), path)
     return path, parts
 
